@@ -24,10 +24,65 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_topk import sign_codes, top_k
+
+    codes = sign_codes(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(codes, codes.where("id % 50 = 0"), k=10).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import conversation_digests, format_windows
+
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return conversation_digests(format_windows(turns))
+
+
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_report
+
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_report
+
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .common import cut, shared_dir
+    from .token_files import read_shards, remove_files, write_token_files
+
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    shards = write_token_files(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    out = cut(read_shards(shards, folder).withColumnRenamed("id", "doc_id"))
+    remove_files(shards, folder)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_poisson_mixing": op1_poisson_mixing,
+        "op2_hamming_topk": op2_hamming_topk,
         "op3_quality_perplexity": op3_quality_perplexity,
+        "op4_chat_windows": op4_chat_windows,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op6_secret_ownership": op6_secret_ownership,
+        "op8_language_id": op8_language_id,
+        "op9_token_files": op9_token_files,
     }
 
 
