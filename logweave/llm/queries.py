@@ -73,6 +73,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_ownership": op6_secret_ownership,
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 
