@@ -27,6 +27,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Entries that may be broadcast: 16 million times 12 bytes.
 MAX_ENTRIES = 16_000_000
+#: Languages whose bands may be broadcast: a few dozen bytes each.
+MAX_BANDS = 100_000
 _table: list[np.ndarray] = []
 
 
@@ -313,7 +315,9 @@ def judge(
     q = F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
     bands = narrow.where("not base_failed").groupBy("model_lang").agg(q.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor_bits))
-    bands = bands.select("model_lang", (F.col("q")[1] - low * spread).alias("band_low"), (F.col("q")[1] + high * spread).alias("band_high"))
+    bands = cut(bands.select("model_lang", (F.col("q")[1] - low * spread).alias("band_low"), (F.col("q")[1] + high * spread).alias("band_high")))
+    if bands.count() <= MAX_BANDS:  # beyond it, a shuffled join
+        bands = F.broadcast(bands)
     # whole texts are scored again rather than written to the checkpoint folder
     scored = narrow if carry == ["doc_id"] else rated(quality_scores(docs, model, carry, text_col, lang_col, max_entries))
     inside = F.col("bits_per_char").between(F.col("band_low"), F.col("band_high"))

@@ -52,6 +52,14 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sp_sampling import sample_segmentations
+
+    return sample_segmentations(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_report
 
@@ -87,11 +95,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_windows": op4_chat_windows,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_secret_ownership": op6_secret_ownership,
+        "op7_sentencepiece_samples": op7_sentencepiece_samples,
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
         "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 
+OP1_SQL = """
+with sized as (
+  select source, greatest(sum(coalesce(length(text), 0)), 1)::double as size from documents group by source
+), weighted as (
+  select source, size, pow(size, 0.5) as weight from sized
+), rates as (
+  select source, (weight / (select sum(weight) from weighted)) * (select sum(size) from weighted) / size as rate from weighted
+), drawn as (
+  select d.*, r.rate, ('0x' || substr(md5('count:7:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint / 4503599627370496.0 as u
+  from documents d join rates r on d.source is not distinct from r.source
+), pmf as (
+  select source, j, exp(-rate + sum(case when j = 0 then 0.0 else ln(rate / greatest(j, 1)) end) over (partition by source order by j)) as p
+  from rates, lateral (select unnest(generate_series(0, cast(ceil(rate + 12 * sqrt(rate) + 24) as bigint))) as j)
+), steps as (
+  select source, sum(p) over (partition by source order by j) as c from pmf
+), counted as (
+  select d.*, (select count(*) from steps s where s.source is not distinct from d.source and s.c <= d.u)::bigint as n_copies from drawn d
+)
+select doc_id, text, lang, source, n_chars, n_copies, unnest(generate_series(0::bigint, n_copies - 1))::bigint as copy
+from counted where n_copies > 0
+"""
+
+OP2_SQL = """
+with codes as (
+  select vec_id, list_sum([case when embedding[i] > 0 then (1::hugeint << (i - 1)) else 0::hugeint end for i in generate_series(1, 64)])::hugeint as code
+  from embeddings where embedding is not null and vec_id is not null
+), scored as (
+  select q.vec_id as query_id, b.vec_id, bit_count(xor(q.code, b.code))::bigint as distance
+  from codes q, codes b where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by distance, vec_id) as rank, vec_id, distance
+from scored qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_poisson_mixing": OP1_SQL, "op2_hamming_topk": OP2_SQL}
