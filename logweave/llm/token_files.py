@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,27 @@ def _filesystem(uri: str):
     return pafs.LocalFileSystem(), uri
 
 
+class _Chunks(dict):
+    """Number of each chunk; a new one gets the next number and is noted for learning."""
+
+    def __init__(self, owner: ChunkEncoder, lead: str):
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, word: str) -> int:
+        own = self.owner
+        number = self[word] = own.known
+        own.known += 1
+        own.pending.append((self.lead, word))
+        return number
+
+
 class ChunkEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, each distinct chunk once.
 
     In a text whose white space is single blanks and newlines between words, pre-tokens never cross the start of a blank or a
-    newline, so words with their leading blank can be encoded apart. Any other text is encoded as it stands. Chunks not yet
-    known are encoded together, parted by newlines, whose id only a newline has.
+    newline, so words with their leading blank can be encoded apart. Any other text is encoded as it stands. A new chunk of
+    Latin letters, with or without marks of one kind of pre-token after them, goes to the library's BPE model directly; other
+    new chunks are encoded together, parted by newlines, whose id only a newline has.
     """
 
     def __init__(self, path: str):
@@ -58,68 +74,86 @@ class ChunkEncoder:
         self.newline = newline[0] if len(newline) == 1 else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # the visible characters that stand for bytes, as the library's own pre-tokenizer shows them
+        pre = self.tokenizer.pre_tokenizer
+        shown = [pre.pre_tokenize_str(chr(c)) for c in range(33, 127)] if pre is not None else []
+        self.plain = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and all(x and x[0][0] == chr(33 + i) for i, x in enumerate(shown))
+        self.blank = pre.pre_tokenize_str(" a")[0][0][:-1] if self.plain else ""
+        self.plain = self.plain and pre.pre_tokenize_str("a b")[0][0] == "a" and pre.pre_tokenize_str("ab.,c")[1][0] == ".,"
+        # each Latin letter as its bytes are shown, asked of the library
+        self.letters = str.maketrans({chr(c): pre.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}) if self.plain else {}
         self.reset()
 
     def reset(self):
-        self.first: dict[str, int] = {}
-        self.inner: dict[str, int] = {}
+        self.known = 1
+        self.pending: list[tuple[str, str]] = []
+        self.first, self.inner = _Chunks(self, ""), _Chunks(self, " ")
         self.ids: list[np.ndarray] = [np.array([self.newline or 0], np.uint32)]
-        self.sizes: list[int] = [1]
-
-    def _learn(self, cache: dict[str, int], words: set[str], lead: str):
-        words = sorted(words)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join([lead + w for w in part]), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.newline)
-            if len(ends) != len(part) - 1:
+        self.sizes: list[np.ndarray] = [np.ones(1, np.int64)]
+        self.cores: dict[str, list[int]] = {}
+
+    def _bpe(self, text: str) -> list[int]:
+        """Ids of one pre-token of Latin letters or of marks, as visible characters."""
+        got = self.cores.get(text)
+        if got is None:
+            got = self.cores[text] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        return got
+
+    def _learn(self) -> None:
+        """Encode the chunks noted, in order of their numbers."""
+        out: list[list[int] | None] = []
+        rest = []
+        for lead, word in self.pending:
+            core = word.rstrip(".,;:!?") if self.plain else ""
+            if core and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                ids = self._bpe((self.blank if lead else "") + core.translate(self.letters))
+                out.append(ids + self._bpe(word[len(core) :]) if len(core) < len(word) else ids)
+            else:
+                rest.append(len(out))
+                out.append(None)
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            ids = self.tokenizer.encode("\n".join([self.pending[i][0] + self.pending[i][1] for i in part]), add_special_tokens=False).ids
+            at = 0
+            for i in part:
+                stop = ids.index(self.newline, at) if i != part[-1] else len(ids)
+                out[i] = ids[at:stop]
+                at = stop + 1
+            if at != len(ids) + 1:
                 raise ValueError("chunks do not part at newlines")
-            starts = np.concatenate([[0], ends + 1])
-            stops = np.concatenate([ends, [len(ids)]])
-            base = len(self.sizes)
-            self.ids.append(np.delete(ids, ends))
-            self.sizes.extend((stops - starts).tolist())
-            cache.update(zip(part, range(base, base + len(part)), strict=True))
+        self.sizes.append(np.fromiter(map(len, out), np.int64, len(out)))
+        self.ids.append(np.fromiter(chain.from_iterable(out), np.uint32))
+        self.pending = []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids back to back, `end_id` after each text, and the number of ids of each text."""
-        if len(self.first) + len(self.inner) > CACHE:
+        if self.known > CACHE:
             self.reset()
-        plain = []
-        new_first: set[str] = set()
-        new_inner: set[str] = set()
+        first, inner = self.first.__getitem__, self.inner.__getitem__
+        numbers: list[np.ndarray | None] = []
         for t in texts:
-            words = t.split()
-            ok = self.newline is not None and bool(words) and len(words) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special)
-            lines = [x.split(" ") for x in t.split("\n")] if ok else None
-            plain.append(lines)
-            if ok:
-                for x in lines:
-                    new_first.add(x[0])
-                    new_inner.update(x[1:])
-        new_first.difference_update(self.first)
-        new_inner.difference_update(self.inner)
-        if new_first:
-            self._learn(self.first, new_first, "")
-        if new_inner:
-            self._learn(self.inner, new_inner, " ")
-        flat = np.concatenate(self.ids)
-        self.ids = [flat]
-        sizes = np.array(self.sizes, np.int64)
+            words = len(t.split())
+            if self.newline is None or not words or words != t.count(" ") + t.count("\n") + 1 or any(s in t for s in self.special):
+                numbers.append(None)
+                continue
+            at: list[int] = []
+            for line in t.split("\n"):
+                head, *more = line.split(" ")
+                at.append(first(head))
+                at.extend(map(inner, more))
+                at.append(0)
+            at.pop()
+            numbers.append(np.array(at, np.int64))
+        if self.pending:
+            self._learn()
+        flat, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        self.ids, self.sizes = [flat], [sizes]
         starts = np.cumsum(sizes) - sizes
-        first, inner = self.first, self.inner
         parts, lengths = [], []
-        for t, lines in zip(texts, plain, strict=True):
-            if lines is None:
+        for t, k in zip(texts, numbers, strict=True):
+            if k is None:
                 ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], np.uint32)
             else:
-                at: list[int] = []
-                for x in lines:
-                    at.append(first[x[0]])
-                    at += [inner[w] for w in x[1:]]
-                    at.append(0)
-                at.pop()
-                k = np.array(at, np.int64)
                 n = sizes[k]
                 ids = flat[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             parts += [ids, np.array([end_id], np.uint32)]
