@@ -35,10 +35,10 @@ def source_rates(docs: DataFrame, source_col: str, size: Column, weights: dict[s
     else:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
         sizes = sizes.withColumn("weight", F.coalesce(given[F.col("source")].cast("double"), F.lit(0.0)))
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    share = F.col("weight") / F.greatest(F.col("all_weight"), F.lit(1e-300))
-    # one row of totals: its size is fixed
-    return sizes.join(F.broadcast(total)).select("source", (share * F.lit(float(epochs)) * F.col("all_size") / F.col("size")).alias("rate"))
+    sizes = cut(sizes)
+    all_size, all_weight = sizes.agg(F.sum("size"), F.sum("weight")).first()
+    share = F.col("weight") / F.lit(max(all_weight or 0.0, 1e-300))
+    return sizes.select("source", (share * F.lit(float(epochs)) * F.lit(float(all_size or 0.0)) / F.col("size")).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:
