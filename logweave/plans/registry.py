@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fold_queries  # noqa: F401
+from . import fold_queries, metric_queries, view_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
