@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.storage import cut
 
 
@@ -83,6 +84,7 @@ def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def topological_order(nodes: DataFrame) -> DataFrame:
     """(workflow, place, node); a workflow's few nodes meet in one group."""
+    ship(nodes.sparkSession)
     return nodes.select("workflow", "node", "depends_on").groupBy("workflow").applyInPandas(_kahn, f"workflow {nodes.schema['workflow'].dataType.simpleString()}, place bigint, node string")
 
 
