@@ -63,9 +63,8 @@ def cyclic(nodes: DataFrame, max_nodes: int = 64) -> DataFrame:
     return left.groupBy("workflow").agg(F.min("node").alias("stuck"))
 
 
-def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
+def _kahn(deps: dict[str, list[str]]) -> list[str]:
     """First-in-first-out order of one workflow; ties sorted. A cycle yields only what comes before it."""
-    deps = {n: list(d) for n, d in zip(pdf["node"], pdf["depends_on"], strict=True)}
     open_count = {n: len(d) for n, d in deps.items()}
     users: dict[str, list[str]] = {n: [] for n in deps}
     for n in deps:
@@ -79,13 +78,34 @@ def _kahn(pdf: pd.DataFrame) -> pd.DataFrame:
             if open_count[child] == 0:
                 queue.append(child)
         at += 1
-    return pd.DataFrame({"workflow": [pdf["workflow"].iloc[0]] * len(queue), "place": range(1, len(queue) + 1), "node": queue})
+    return queue
 
 
 def topological_order(nodes: DataFrame) -> DataFrame:
-    """(workflow, place, node); a workflow's few nodes meet in one group."""
+    """(workflow, place, node). Nodes come sorted by workflow; only one workflow's few nodes are held at a time."""
     ship(nodes.sparkSession)
-    return nodes.select("workflow", "node", "depends_on").groupBy("workflow").applyInPandas(_kahn, f"workflow {nodes.schema['workflow'].dataType.simpleString()}, place bigint, node string")
+
+    def flush(name, deps):
+        order = _kahn(deps)
+        return pd.DataFrame({"workflow": [name] * len(order), "place": range(1, len(order) + 1), "node": order})
+
+    def run(batches):
+        name, deps = None, {}
+        for batch in batches:
+            done = []
+            for workflow, node, depends_on in batch.itertuples(index=False):
+                if workflow != name and deps:
+                    done.append(flush(name, deps))
+                    deps = {}
+                name = workflow
+                deps[node] = list(depends_on)
+            if done:
+                yield pd.concat(done)
+        if deps:
+            yield flush(name, deps)
+
+    rows = nodes.select("workflow", "node", "depends_on").repartition("workflow").sortWithinPartitions("workflow")
+    return rows.mapInPandas(run, f"workflow {nodes.schema['workflow'].dataType.simpleString()}, place bigint, node string")
 
 
 def ready(nodes: DataFrame, done: DataFrame, retries: DataFrame, now: Column) -> DataFrame:

@@ -27,33 +27,38 @@ CHAIN = "run_id string, seq bigint, event_type string, record string, prev_hash
 def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str | None = None) -> DataFrame:
     """Chain an unhashed log, with a seal after each due event when a secret is given.
 
-    Each hash covers the one before, so a run is stamped in order by one task; runs are independent.
+    Each hash covers the one before, so a run is stamped in order within one task, row after row; runs are independent.
     """
     ship(log.sparkSession)
     rows = log.select("run_id", "seq", "event_type", F.to_json(body).alias("body"))
 
-    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, prev, at = [], None, 0
-        for run_id, _, kind, text in pdf.sort_values("seq").itertuples(index=False):
-            at += 1
-            doc = {**json.loads(text), "run_id": run_id, "seq": at, "event_type": kind, "prev_hash": prev}
-            record = canonical(doc)
-            digest = hashlib.sha256(record).hexdigest()
-            out.append((run_id, at, kind, record.decode(), prev, digest, None, None, None, None, None))
-            prev = digest
-            if secret is not None and kind in SEAL_AFTER:
-                sign = hmac.new(secret.encode(), MESSAGE.format(run_id, at, digest).encode(), hashlib.sha256).hexdigest()
-                sealed_seq = at
+    columns = [c.split()[0] for c in CHAIN.split(", ")]
+
+    def run(batches):
+        now, prev, at = None, None, 0
+        for batch in batches:
+            out = []
+            for run_id, _, kind, text in batch.itertuples(index=False):
+                if run_id != now:
+                    now, prev, at = run_id, None, 0
                 at += 1
-                doc = {"run_id": run_id, "seq": at, "event_type": SEALED, "prev_hash": prev, "sealed_seq": sealed_seq, "sealed_hash": digest, "alg": ALG, "key_id": key_id, "signature": sign}
-                record = canonical(doc)
-                out.append((run_id, at, SEALED, record.decode(), prev, hashlib.sha256(record).hexdigest(), sealed_seq, digest, ALG, key_id, sign))
-                prev = out[-1][5]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN.split(", ")])
-        frame["sealed_seq"] = frame["sealed_seq"].astype("Int64")
-        return frame
-
-    return rows.groupBy("run_id").applyInPandas(one_run, CHAIN)
+                record = canonical({**json.loads(text), "run_id": run_id, "seq": at, "event_type": kind, "prev_hash": prev})
+                digest = hashlib.sha256(record).hexdigest()
+                out.append((run_id, at, kind, record.decode(), prev, digest, None, None, None, None, None))
+                prev = digest
+                if secret is not None and kind in SEAL_AFTER:
+                    sealed_seq = at
+                    at += 1
+                    sign = hmac.new(secret.encode(), MESSAGE.format(run_id, sealed_seq, digest).encode(), hashlib.sha256).hexdigest()
+                    doc = {"run_id": run_id, "seq": at, "event_type": SEALED, "prev_hash": prev, "sealed_seq": sealed_seq, "sealed_hash": digest, "alg": ALG, "key_id": key_id, "signature": sign}
+                    record = canonical(doc)
+                    prev = hashlib.sha256(record).hexdigest()
+                    out.append((run_id, at, SEALED, record.decode(), digest, prev, sealed_seq, digest, ALG, key_id, sign))
+            frame = pd.DataFrame(out, columns=columns)
+            frame["sealed_seq"] = frame["sealed_seq"].astype("Int64")
+            yield frame
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(run, CHAIN)
 
 
 def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None = None) -> DataFrame:
