@@ -74,7 +74,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, segments: int | None
     n = index.count()
     rows = firsts.count() if n < k else k + 1  # only whether all of them fit into k matters
     total = min(k, rows)
-    m = segments or min(8, max(2, round(BITS / max(8.0, math.log2(max(n, 2))))))
+    # segments of log2(n) bits at most: a bucket holds a code or more on average, so few probes go to empty ones
+    m = segments or min(8, max(2, math.ceil(BITS / max(8.0, math.log2(max(n, 2))))))
     width = [BITS // m + (j < BITS % m) for j in range(m)]
     offset = [sum(width[:j]) for j in range(m)]
     # copies of a query's code share one search
