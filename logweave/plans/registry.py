@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dag_queries, fold_queries, governance_queries, metric_queries, store_queries, view_queries  # noqa: F401
+from . import dag_queries, fold_queries, governance_queries, metric_queries, store_queries, stream_queries, text_queries, view_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
