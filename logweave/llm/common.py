@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from ..functions.shipping import ship as ship_package
+
+#: Rows and bytes of an Arrow batch, where the session sets none: whole texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="logweave-"), "logweave_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
+    """Let Python workers import this package, and bound the batches of texts that they get."""
+    ship_package(spark)
+    for key, ours in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -95,7 +95,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 if t is not None:
                     rows.setdefault(g or "", []).append(t)
             for lang, own in rows.items():
-                for lo, hi in slabs([len(t) for t in own], 2_000_000):
+                for lo, hi in slabs([len(t) for t in own], 1_000_000):
                     code, _ = grams(own[lo:hi])
                     code.sort()
                     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
@@ -233,7 +233,7 @@ def _measure(models):
                     by.setdefault(g or "", []).append(i)
             for lang, own in by.items():
                 model = arrays.get(lang)
-                for lo, hi in slabs([len(texts[i]) for i in own], 2_000_000):
+                for lo, hi in slabs([len(texts[i]) for i in own], 1_000_000):
                     rows = own[lo:hi]
                     code, doc = grams([texts[i] for i in rows])
                     size[rows] = np.bincount(doc, minlength=len(rows))
