@@ -66,3 +66,9 @@ def slabs(lengths: list[int], limit: int):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """The rows under names that no operator uses: (renamed, its names, new name of each old one)."""
+    names = [f"_col{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names, dict(zip(df.columns, names, strict=True))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, ship, slabs
+from .common import as_bytes, cut, masked, ship, slabs
 
 ORDER = 4
 SYMBOL_BITS = 12
@@ -311,7 +311,7 @@ def judge(
         scored = scored.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         return scored.withColumn("bits_per_char", F.when(F.col("n_grams") > 1, -F.col("log_sum") * LOG2E / F.col("n_grams")))
 
-    narrow = rated(cut(quality_scores(docs, model, ["doc_id"], text_col, lang_col, max_entries)))
+    narrow = rated(cut(quality_scores(docs, model, ["doc_id"] if carry == ["doc_id"] else [], text_col, lang_col, max_entries)))
     q = F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
     bands = narrow.where("not base_failed").groupBy("model_lang").agg(q.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor_bits))
@@ -326,6 +326,6 @@ def judge(
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that judge() keeps, with their columns."""
-    columns = docs.columns
-    kept = judge(docs, carry=columns, **options).where("kept")
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    rows, names, of = masked(docs)
+    kept = judge(rows, carry=names, text_col=of["text"], lang_col=of["lang"], **options).where("kept")
+    return kept.select(*names).toDF(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, masked, ship
 
 #: Kinds in listing order. The first three are the base kinds. (name, pattern, group of the value, least length of the value)
 PATTERNS = [
@@ -147,14 +147,15 @@ def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
 
     Copied examples and weak values stay. Only documents with candidates are shuffled; the others pass through the scan.
     """
-    columns = docs.columns
-    narrow = docs.select(F.col(owner_col).cast("string").alias("_owner"), F.col(repository_col).cast("string").alias("_repo"), F.col(text_col).alias("_text"))
+    renamed, columns, of = masked(docs)
+    text_col, length_col = of[text_col], of.get(length_col)
+    narrow = renamed.select(F.col(of[owner_col]).cast("string").alias("_owner"), F.col(of[repository_col]).cast("string").alias("_repo"), F.col(text_col).alias("_text"))
     found = cut(scan(narrow, ["_owner", "_repo"], "_text").where("row_key is not null").select("_owner", "_repo", "row_key", "found"))
     classes = _classes(found, ownership(found, "_owner", "_repo", example_owners))
-    whole = scan(docs, columns, text_col)
-    clean = whole.where("row_key is null").select(*[F.col(f"`{c}`") for c in columns])
+    whole = scan(renamed, columns, text_col)
+    clean = whole.where("row_key is null").select(*columns)
     dirty = whole.where("row_key is not null").join(classes, "row_key")
-    kinds = {f.name: f.dataType for f in docs.schema}
+    kinds = {f.name: f.dataType for f in renamed.schema}
 
     def run(batches):
         for b in batches:
@@ -170,5 +171,5 @@ def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns)
-    fixed = dirty.withColumn("_text", F.col(text_col)).select(*[F.col(f"`{c}`") for c in columns], "_text", "found", "classes").mapInArrow(run, schema)
-    return clean.unionByName(fixed)
+    fixed = dirty.withColumn("_text", F.col(text_col)).select(*columns, "_text", "found", "classes").mapInArrow(run, schema)
+    return clean.unionByName(fixed).toDF(*docs.columns)
