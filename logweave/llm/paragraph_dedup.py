@@ -6,6 +6,11 @@ shingles; with 16 bands of 4, a pair of Jaccard similarity 0.8 shares a key with
 1 - 2e-8. Paragraphs that share a key are verified by the exact Jaccard similarity of their shingle sets, and linked at
 `threshold` or more; removals go by connected components.
 
+A passage may also stand inside longer lines, where no line matches as a whole. So documents are cut into sentences too, and
+windows of whole sentences with `min_words` words or more are compared exactly. Of any two neighbouring windows the one
+whose first sentence has the smaller hash is kept, a choice that depends on the text alone: a repeated passage that holds two
+neighbouring windows whole is found wherever it stands.
+
 No bucket is cut. A bucket over `block` members is dealt out as pairs of blocks, so that a task holds two blocks at most, and
 within one only a spanning forest of the verified links is emitted. Buckets with the same members in several bands are
 verified once. Shingle sets are made only for paragraphs that share a key with another.
@@ -13,6 +18,10 @@ verified once. Shingle sets are made only for paragraphs that share a key with a
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +32,9 @@ from .common import as_bytes, cut, ship
 from .components import connected_components
 
 BANDS, ROWS = 16, 4
+#: Distinct repeated windows whose digests may be broadcast: 24 bytes each.
+MAX_REPEATED = 1_000_000
+_SENTENCE_END = re.compile(rb"[.!?](?= |$)")
 _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -85,6 +97,94 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def passages(text: bytes | None, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first word, word after the last, digest) of the kept sentence windows."""
+    norm = b" ".join(text.lower().split()) if text else b""
+    ends = [m.end() for m in _SENTENCE_END.finditer(norm)]
+    if not ends:
+        return []
+    if ends[-1] < len(norm):
+        ends.append(len(norm))
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    sentences = [norm[s:e] for s, e in zip(starts, ends, strict=True)]
+    order = [xxhash.xxh3_64_intdigest(x) for x in sentences]
+    at = [0, *accumulate([x.count(b" ") + 1 for x in sentences])]
+    n = len(order)
+    kept = range(n) if n < 2 else sorted({i if order[i] <= order[i + 1] else i + 1 for i in range(n - 1)})
+    out = []
+    for i in kept:
+        j = bisect_left(at, at[i] + min_words)
+        if j <= n:
+            out.append((at[i], at[j], xxhash.xxh3_128_digest(norm[starts[i] : ends[j - 1]])))
+    return out
+
+
+def _passage_digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h1, h2) of the kept windows."""
+
+    def run(batches):
+        for b in batches:
+            at, marks = [], []
+            for i, t in enumerate(as_bytes(b.column(1))):
+                found = passages(t, min_words)
+                at += [i] * len(found)
+                marks += [h for _, _, h in found]
+            marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(len(marks), 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(marked[:, 0]), pa.array(marked[:, 1])], ["doc_id", "h1", "h2"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint")
+
+
+def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """The kept windows with their places in the text: line, start and stop in code points, words."""
+    names = ["doc_id", "para", "start", "stop", "n_words", "h1", "h2"]
+
+    def run(batches):
+        for b in batches:
+            at, places, marks = [], [np.zeros((4, 0), np.int64)], []
+            for i, t in enumerate(as_bytes(b.column(1))):
+                found = passages(t, min_words)
+                if not found:
+                    continue
+                raw = np.frombuffer(t, np.uint8)
+                space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+                word = ~space
+                begins = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
+                finishes = np.flatnonzero(word & np.concatenate([space[1:], [True]])) + 1
+                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                first = np.array([f for f, _, _ in found])
+                last = np.array([e for _, e, _ in found])
+                lines = np.searchsorted(np.flatnonzero(raw == 10), begins[first])
+                places.append(np.stack([lines, points[begins[first]], points[finishes[last - 1]], last - first]))
+                at += [i] * len(found)
+                marks += [h for _, _, h in found]
+            marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(len(marks), 2)
+            cols = np.concatenate(places, axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c) for c in cols], pa.array(marked[:, 0]), pa.array(marked[:, 1])], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
+
+
+def repeated_passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """Spans of sentences that another document holds word for word: doc_id, para, start, stop, class_id, n_paragraphs, removed.
+
+    Overlapping windows of a document are merged; class_id is the smallest id that holds one of them.
+    """
+    ship(docs.sparkSession)
+    seen = _passage_digests(docs, min_words).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    repeated = cut(seen.where("low <> high").select("h1", "h2", "copies", "low"))
+    if repeated.count() <= MAX_REPEATED:  # beyond it, a shuffled join that adaptive execution may split
+        repeated = F.broadcast(repeated)
+    found = _passage_rows(docs, min_words).join(repeated, ["h1", "h2"])
+    over = "over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding)"
+    found = found.withColumn("_new", F.expr(f"case when start <= max(stop) {over} then 0 else 1 end")).withColumn("_i", F.expr("sum(_new) over (partition by doc_id order by start, stop)"))
+    return found.groupBy("doc_id", "_i").agg(
+        F.min("para").alias("para"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("n_words").alias("n_words"), F.min("low").alias("class_id"), F.max("copies").alias("n_paragraphs"), F.max(F.coalesce(F.col("doc_id") != F.col("low"), F.lit(True))).alias("removed")
+    ).drop("_i")
+
+
 def _shared_keys(batches):
     """Of rows (band, key, pid) sorted by band and key, those whose key occurs with another pid as well."""
     held = None  # last row of the batch before, and whether it has been emitted
@@ -193,6 +293,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int
     return near.mapInArrow(run, "pid bigint, shingles array<bigint>").dropDuplicates(["pid"])
 
 
+def repeated_text(docs: DataFrame, min_words: int = 20, **options) -> DataFrame:
+    """repeated_paragraphs(), and the repeated passages that start in other lines; kind tells which (paragraph or passage)."""
+    lines = cut(repeated_paragraphs(docs, min_words, **options))
+    spans = repeated_passages(docs, min_words)
+    rest = spans.join(lines.select(F.col("doc_id").alias("_d"), F.col("para").alias("_p")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("para") == F.col("_p")), "left_anti")
+    return lines.withColumn("kind", F.lit("paragraph")).unionByName(rest.withColumn("kind", F.lit("passage")))
+
+
 def repeated_paragraphs(docs: DataFrame, min_words: int = 20, threshold: float = 0.8, width: int = 5, block: int = 1024) -> DataFrame:
     """One row per paragraph that another document holds as well, exactly or nearly.
 

@@ -82,9 +82,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .paragraph_dedup import repeated_paragraphs
+    from .paragraph_dedup import repeated_text
 
-    return repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+    return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -569,6 +569,30 @@ def test_paragraph_classes(spark, nothing, block):
     assert repeated_paragraphs(nothing).count() == 0
 
 
+def test_passages_inside_lines(spark, nothing):
+    from logweave.llm.paragraph_dedup import repeated_passages, repeated_text
+
+    r = random.Random(21)
+    sentence = lambda seed: prose(r.randint(5, 9), seed).capitalize() + "."
+    passage = " ".join(sentence(9000 + i) for i in range(9))
+    rows = []
+    for i in range(40):
+        body = [sentence(i * 50 + j) for j in range(12)]
+        if i % 4 == 0:
+            body.insert(r.randint(1, 10), passage)
+        rows.append((i, "\n".join([" ".join(body[:7]), " ".join(body[7:])]) + " é"))
+    rows += [(90, None), (91, ""), (92, "...")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("low", F.lit(1))
+    got = repeated_passages(df, 20).collect()
+    assert {x["doc_id"] for x in got} == set(range(0, 40, 4)) and {x["class_id"] for x in got} == {0}
+    text = dict(rows)
+    for x in got:
+        span = text[x["doc_id"]][x["start"] : x["stop"]]
+        assert span in passage and len(span.split()) >= 20 and text[x["doc_id"]][: x["start"]].count("\n") == x["para"]
+    assert {x["doc_id"] for x in repeated_text(df).collect()} == set(range(0, 40, 4))
+    assert repeated_text(nothing).count() == 0
+
+
 # ------------------------------------------------------------------ components and pipeline
 
 
