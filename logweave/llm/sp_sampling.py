@@ -18,6 +18,7 @@ All random numbers hash the row's key with the sample, word and step: the result
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from .common import ship, slabs
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Lattice positions kept per worker before the cache starts anew.
-CACHE = 2_000_000
+CACHE = 3_000_000
+#: Edges that are kept room for, per position.
+EDGES = 5
 _models: dict[tuple, Lattices] = {}
 _ALL = (1 << 64) - 1
 #: A region of log mass below NEAR arrives after time exp(FAR): waiting times from 52-bit numbers are at least exp(-37).
@@ -67,6 +70,21 @@ def uniform(key: int, *parts: int) -> float:
     return ((x >> 12) + 0.5) / float(1 << 52)
 
 
+class _Words(dict):
+    """First position of each word's lattice; a new word gets the next stretch and is noted for learning."""
+
+    def __init__(self, owner: Lattices, lead: str):
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, word: str) -> int:
+        own = self.owner
+        at = self[word] = own.next_pos
+        whole = self.lead + word
+        own.next_pos += len(whole) + 1
+        own.pending.append(whole)
+        return at
+
+
 class Lattices:
     """Pieces of a model file, and the lattices of the words met so far."""
 
@@ -117,17 +135,24 @@ class Lattices:
             h = (h * int(_MULT) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def reset(self):
-        self.start: dict[str, int] = {}
-        self.ends = np.zeros(0, bool)  # by position: the word is over
-        self.reach = np.zeros(0)  # by edge: position + cumulative probability
-        self.edge_pos = np.zeros(0, np.int32)
-        self.step = np.zeros(0, np.int16)
-        self.logq = np.zeros(0)
-        self.id_start = np.zeros(0, np.int32)
-        self.id_count = np.zeros(0, np.int16)
-        self.edge_from = np.zeros(0, np.int32)  # by position: its first edge
-        self.ids = np.zeros(0, np.int32)
+    def reset(self, capacity: int = CACHE):
+        self.capacity = capacity
+        self.next_pos = self.n_pos = self.n_edges = 0
+        self.pending: list[str] = []
+        self.start, self.after_blank = _Words(self, ""), _Words(self, SPACE)
+        # rooms that fill up as words are learned; untouched room costs no memory
+        self.ends = np.zeros(capacity, bool)  # by position: the word is over
+        self.edge_from = np.zeros(capacity, np.int32)  # by position: its first edge
+        self._room(capacity * EDGES)
+        self.many: list[list[int]] = []
+
+    def _room(self, edges: int):
+        old = self.n_edges
+        for name, kind in (("reach", np.float64), ("edge_pos", np.int32), ("step", np.int16), ("logq", np.float64), ("edge_id", np.int32)):
+            fresh = np.zeros(edges, kind)
+            if old:
+                fresh[:old] = getattr(self, name)[:old]
+            setattr(self, name, fresh)  # reach: position + cumulative probability; edge_id: a piece, or below zero bytes in self.many
 
     def learn(self, words: list[str]) -> None:
         """Build the lattices of new words."""
@@ -193,58 +218,60 @@ class Lattices:
         cum -= np.repeat(np.where(head > 0, cum[head - 1], 0.0), counts)
         tails = head + counts - 1
         cum[tails] = 1.0
-        base_pos, base_ids = len(self.ends), len(self.ids)
-        # ids of edges: one, or the bytes of a character
-        n_ids = np.ones(len(pid), np.int64)
-        flat = pid.copy()
+        base, lo = self.n_pos, self.n_edges
+        hi = lo + len(pid)
+        if hi + 1 > len(self.reach):
+            self._room(2 * hi + 1)
         if len(odd):
             neg = np.flatnonzero(pid < 0)
-            n_ids[neg] = [len(odd_bytes[-1 - int(pid[e])]) for e in neg]
-            flat = np.repeat(pid, n_ids)
-            starts = np.cumsum(n_ids) - n_ids
             for e in neg:
-                flat[starts[e] : starts[e] + n_ids[e]] = self.byte_ids[list(odd_bytes[-1 - int(pid[e])])]
-        edge_from = np.full(n_pos, -1, np.int32)
-        edge_from[pos[head]] = head + len(self.reach)
-        ends = np.zeros(n_pos, bool)
-        ends[last] = True
-        self.start.update(zip(words, (base_pos + np.cumsum(sizes + 1) - (sizes + 1)).tolist(), strict=True))
-        self.id_start = np.concatenate([self.id_start, (base_ids + np.cumsum(n_ids) - n_ids).astype(np.int32)])
-        self.id_count = np.concatenate([self.id_count, n_ids.astype(np.int16)])
-        self.edge_pos = np.concatenate([self.edge_pos, (base_pos + pos).astype(np.int32)])
-        self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
-        self.reach = np.concatenate([self.reach, base_pos + pos + cum])
-        self.step = np.concatenate([self.step, ln.astype(np.int16)])
-        self.logq = np.concatenate([self.logq, logq])
-        self.edge_from = np.concatenate([self.edge_from, edge_from])
-        self.ends = np.concatenate([self.ends, ends])
-
-    def words_of(self, text: str) -> list[str]:
+                raw = odd_bytes[-1 - int(pid[e])]
+                if len(raw) == 1:
+                    pid[e] = self.byte_ids[raw[0]]
+                else:
+                    self.many.append([int(self.byte_ids[c]) for c in raw])
+                    pid[e] = -len(self.many)
+        self.edge_from[base + pos[head]] = lo + head
+        self.ends[base + last] = True
+        self.reach[lo:hi] = base + pos + cum
+        self.edge_pos[lo:hi] = base + pos
+        self.step[lo:hi] = ln
+        self.logq[lo:hi] = logq
+        self.edge_id[lo:hi] = pid
+        self.n_pos, self.n_edges = base + n_pos, hi
+
+    def _positions(self, text: str) -> list[int]:
+        """Start positions of a text's words."""
         if not text:
             return []
-        norm = SPACE + text.replace(" ", SPACE)
-        if SPACE * 2 in norm:
-            return _UNITS.findall(norm)
-        out: list[str] = []
-        for i, line in enumerate(norm.split("\n")):
-            if i:
-                out.append("\n")
-            head, *rest = line.split(SPACE)
-            if head:
-                out.append(head)
-            out += [SPACE + w for w in rest]
+        start, after_blank = self.start.__getitem__, self.after_blank.__getitem__
+        if "  " in text or text[0] == " " or SPACE in text:
+            return list(map(start, _UNITS.findall(SPACE + text.replace(" ", SPACE))))
+        out: list[int] = []
+        lead = after_blank  # the model's own blank before the text
+        for line in text.split("\n"):
+            if lead is not after_blank:
+                out.append(start("\n"))
+            head, *rest = line.split(" ")
+            if head or lead is after_blank:
+                out.append(lead(head))
+            out.extend(map(after_blank, rest))
+            lead = start
         return out
 
     def chains(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start positions of all words of all texts, and the number of words of each text."""
-        if len(self.ends) > CACHE:
-            self.reset()
-        words = [self.words_of(t) for t in texts]
-        new = sorted({w for x in words for w in x}.difference(self.start))
-        if new:
-            self.learn(new)
-        start = self.start
-        return np.array([start[w] for x in words for w in x], np.int64), np.array([len(x) for x in words], np.int64)
+        found = [self._positions(t) for t in texts]
+        if self.next_pos > self.capacity:  # start anew with this batch's words
+            self.reset(CACHE)
+            found = [self._positions(t) for t in texts]
+            if self.next_pos > CACHE:
+                self.reset(self.next_pos)
+                found = [self._positions(t) for t in texts]
+        if self.pending:
+            self.learn(self.pending)
+            self.pending = []
+        return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
     def _edges(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each position whose stretch of the cumulative probabilities holds u."""
@@ -279,12 +306,12 @@ class Lattices:
             out[offset[who] + k] = e
         return out, n
 
-    def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of edges back to back, and their number for each edge."""
-        n = self.id_count[edges]
-        if len(n) and n.max() == 1:
-            return self.ids[self.id_start[edges]], n
-        return self.ids[np.repeat(self.id_start[edges] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        """Piece ids of edges back to back."""
+        ids = self.edge_id[edges]
+        if len(ids) and ids.min() < 0:
+            return np.array([y for x in ids.tolist() for y in (self.many[-1 - x] if x < 0 else (x,))], np.int32)
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of piece ids; the first blank is the model's own."""
@@ -359,7 +386,7 @@ class Lattices:
             at = int(self.edge_pos[base[t]])
             lo = int(self.edge_from[at])
             hi = lo
-            while hi < len(self.edge_pos) and self.edge_pos[hi] == at:
+            while hi < self.n_edges and self.edge_pos[hi] == at:
                 hi += 1
             choice = [e for e in range(lo, hi) if e not in taken]
             p = np.cumsum(np.exp(self.logq[choice]))
@@ -428,7 +455,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: f
                 for i, own in enumerate(found):
                     raw = texts[lo + i].replace(SPACE, " ").encode("utf-8", "replace")
                     for s, (leaf, lp, li) in enumerate(own):
-                        ids, _ = lat.ids_of(leaf)
+                        ids = lat.ids_of(leaf)
                         row.append(lo + i)
                         no.append(s)
                         sizes.append(len(ids))
