@@ -65,7 +65,8 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    low = (hashes[:, None] * _A + _B).min(axis=0) >> np.uint64(20)
+    # a slice at a time: the products of a very long text would fill the memory
+    low = np.min([(hashes[i : i + 2048, None] * _A + _B).min(axis=0) for i in range(0, len(hashes), 2048)], axis=0) >> np.uint64(20)
     key = np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         key = (key ^ low[r::ROWS]) * _MIX
@@ -340,3 +341,20 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, threshold: float =
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "para")).alias("f"))
     kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("para") == F.col("f.para"))
     return found.join(first, "root").select("doc_id", "para", "start", "stop", "n_words", "class_id", "n_paragraphs", (~kept).alias("removed"))
+
+
+def keep_one_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, **options) -> DataFrame:
+    """The rows of `docs`, one of each group of near copies: the smallest doc_id, then the smallest hash of the text; null ids last.
+
+    Links are pairs of whole texts whose `width`-word shingle sets have Jaccard similarity `threshold` or more (A-Z lower-cased,
+    any white space between words), verified exactly; a group is a connected component. Candidates come from the band keys, so a
+    pair at 0.8 is met with probability 0.9998. Blank and null texts are one group. A repeated row stays once. Columns stay as
+    they are.
+    """
+    text = F.translate("text", "\n", " ")
+    whole = F.when(F.coalesce(text, F.lit("")).rlike(r"^[ \t-\r]*$"), F.lit("\x01")).otherwise(text)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    found = repeated_paragraphs(docs.select(key.alias("doc_id"), whole.alias("text")), 1, threshold, width, **options)
+    gone = found.where("removed").select(F.col("doc_id").alias("_gone")).distinct()
+    on = [key[x].eqNullSafe(F.col("_gone")[x]) for x in ("n", "id", "h")]
+    return docs.join(gone, on[0] & on[1] & on[2], "left_anti").dropDuplicates(["doc_id", "text"])

@@ -593,6 +593,40 @@ def test_passages_inside_lines(spark, nothing):
     assert repeated_text(nothing).count() == 0
 
 
+def test_pipeline_keeps_one_of_similar_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = prose(120, 500 + i % 12).split()
+        for _ in range(i // 12):
+            words[r.randrange(len(words))] = f"edit{r.randrange(999)}"
+        rows.append((i, ("\n" if i % 2 else " ").join(words)))
+    rows += [(70, None), (71, ""), (72, " \n\t"), (73, "two words"), (74, "Two\nwords"), (75, "two words more"), (None, rows[3][1]), (None, "no id"), (None, "no  id"), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 as key", "2 as pid", "3 as n")
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    far = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+            far += (brute_print(rows[i][1]) ^ brute_print(rows[j][1])).bit_count() > 3
+    assert far > 10
+    best = {}
+    for (i, t), g in zip(rows, group, strict=True):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    got = [x["doc_id"] for x in out.collect()]
+    assert out.columns == df.columns
+    assert sorted(got, key=repr) == sorted((None if n else i for n, i in best.values()), key=repr)
+
+
 # ------------------------------------------------------------------ components and pipeline
 
 
