@@ -132,8 +132,10 @@ class ChunkEncoder:
         first, inner = self.first.__getitem__, self.inner.__getitem__
         numbers: list[np.ndarray | None] = []
         for t in texts:
-            words = len(t.split())
-            if self.newline is None or not words or words != t.count(" ") + t.count("\n") + 1 or any(s in t for s in self.special):
+            words = t.split()
+            parts = t.count(" ") + t.count("\n")
+            # as many words as parts, and no white space besides: tabs could make up for blank lines
+            if self.newline is None or len(words) != parts + 1 or sum(map(len, words)) + parts != len(t) or any(s in t for s in self.special):
                 numbers.append(None)
                 continue
             at: list[int] = []

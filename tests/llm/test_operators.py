@@ -523,6 +523,19 @@ def test_token_files_round_trip(spark, docs, nothing, tmp_path):
     assert read_shards(none, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["name\tage\tcity\n\n\nrows", "a\u00a0b  c", "a\x1cb\n\nc", " a\tb", "a\u2003b\n", "plain words\nhere"])
+def test_other_white_space_is_encoded_whole(text):
+    from tokenizers import Tokenizer
+
+    from logweave.llm.token_files import ChunkEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, lengths = ChunkEncoder(path).encode([text, "next one"], 2)
+    t = Tokenizer.from_file(path)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in (text, "next one")]
+    assert ids.tolist() == want[0] + want[1] and lengths.tolist() == [len(x) for x in want]
+
+
 # ------------------------------------------------------------------ 10 paragraphs
 
 
