@@ -139,11 +139,11 @@ def _passage_digests(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
     """The kept windows with their places in the text: line, start and stop in code points, words."""
-    names = ["doc_id", "para", "start", "stop", "n_words", "h1", "h2"]
+    names = ["doc_id", "para", "end_para", "start", "stop", "n_words", "h1", "h2"]
 
     def run(batches):
         for b in batches:
-            at, places, marks = [], [np.zeros((4, 0), np.int64)], []
+            at, places, marks = [], [np.zeros((5, 0), np.int64)], []
             for i, t in enumerate(as_bytes(b.column(1))):
                 found = passages(t, min_words)
                 if not found:
@@ -156,8 +156,8 @@ def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 first = np.array([f for f, _, _ in found])
                 last = np.array([e for _, e, _ in found])
-                lines = np.searchsorted(np.flatnonzero(raw == 10), begins[first])
-                places.append(np.stack([lines, points[begins[first]], points[finishes[last - 1]], last - first]))
+                lines, ends = (np.searchsorted(np.flatnonzero(raw == 10), x) for x in (begins[first], finishes[last - 1]))
+                places.append(np.stack([lines, ends, points[begins[first]], points[finishes[last - 1]], last - first]))
                 at += [i] * len(found)
                 marks += [h for _, _, h in found]
             marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(len(marks), 2)
@@ -168,22 +168,80 @@ def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
 
 
-def repeated_passages(docs: DataFrame, min_words: int) -> DataFrame:
-    """Spans of sentences that another document holds word for word: doc_id, para, start, stop, class_id, n_paragraphs, removed.
-
-    Overlapping windows of a document are merged; class_id is the smallest id that holds one of them.
-    """
+def _repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """The kept windows that another document holds: doc_id, para, end_para, start, stop, n_words, copies, low, removed."""
     ship(docs.sparkSession)
     seen = _passage_digests(docs, min_words).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     repeated = cut(seen.where("low <> high").select("h1", "h2", "copies", "low"))
     if repeated.count() <= MAX_REPEATED:  # beyond it, a shuffled join that adaptive execution may split
         repeated = F.broadcast(repeated)
     found = _passage_rows(docs, min_words).join(repeated, ["h1", "h2"])
-    over = "over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding)"
-    found = found.withColumn("_new", F.expr(f"case when start <= max(stop) {over} then 0 else 1 end")).withColumn("_i", F.expr("sum(_new) over (partition by doc_id order by start, stop)"))
-    return found.groupBy("doc_id", "_i").agg(
-        F.min("para").alias("para"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("n_words").alias("n_words"), F.min("low").alias("class_id"), F.max("copies").alias("n_paragraphs"), F.max(F.coalesce(F.col("doc_id") != F.col("low"), F.lit(True))).alias("removed")
-    ).drop("_i")
+    return found.withColumn("removed", F.coalesce(F.col("doc_id") != F.col("low"), F.lit(True))).drop("h1", "h2")
+
+
+def _sweep(rows: list[dict]):
+    """Spans of one document: (para, start, stop, n_words, class_id, n_paragraphs, removed).
+
+    Windows that hold the first copy are kept, whatever else covers them; the rest of the other windows goes; lines are left out.
+    """
+    starts = np.array([r["start"] for r in rows])
+    stops = np.array([r["stop"] for r in rows])
+    kind = np.array([2 if r["line"] else int(r["removed"]) for r in rows])
+    points = np.unique(np.concatenate([starts, stops]))
+    line_of = {r["stop"]: r["end_para"] for r in rows} | {r["start"]: r["para"] for r in rows}
+    cover = np.zeros((3, len(points)), np.int64)
+    np.add.at(cover, (kind, np.searchsorted(points, starts)), 1)
+    np.add.at(cover, (kind, np.searchsorted(points, stops)), -1)
+    kept, gone, line = cover.cumsum(axis=1) > 0
+    label = np.where(line, 0, np.where(kept, 1, np.where(gone, 2, 0)))
+    edges = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist()]
+    line_stops = {r["stop"] for r in rows if r["line"]}
+    for i, lo in enumerate(edges[:-1]):
+        if not label[lo]:
+            continue
+        start, stop = int(points[lo]), int(points[edges[i + 1]])
+        after = start in line_stops  # a newline parts it from the line before
+        own = np.flatnonzero((starts < stop) & (stops > start) & (kind == label[lo] - 1))
+        if start + after < stop:
+            yield line_of[start] + after, start + after, stop, max(rows[j]["n_words"] for j in own), min(rows[j]["low"] for j in own), max(rows[j]["copies"] for j in own), bool(label[lo] == 2)
+
+
+def _spans(windows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Windows of a document put together to spans outside its lines."""
+    rows = windows.withColumn("line", F.lit(False))
+    if lines is not None:
+        flagged = lines.select("doc_id", "para", F.col("para").alias("end_para"), "start", "stop", F.lit(True).alias("line"))
+        rows = rows.unionByName(flagged, allowMissingColumns=True)
+    kind = windows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, para bigint, start bigint, stop bigint, n_words bigint, class_id {kind}, n_paragraphs bigint, removed boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if held and held[0]["doc_id"] != r["doc_id"]:
+                    out += [(held[0]["doc_id"], *x) for x in _sweep(held)]
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema([(n, b.schema.field("low" if n in ("doc_id", "class_id") else "removed" if n == "removed" else "start").type) for n in names]))
+            types = b.schema
+        if held:
+            rest = [dict(zip(names, (held[0]["doc_id"], *x), strict=True)) for x in _sweep(held)]
+            yield pa.RecordBatch.from_pylist(rest, pa.schema([(n, types.field("low" if n in ("doc_id", "class_id") else "removed" if n == "removed" else "start").type) for n in names]))
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """Spans that another document holds word for word: doc_id, para, start, stop, n_words, class_id, n_paragraphs, removed.
+
+    Windows are merged where they overlap and agree in removed: a window stays whole in the smallest id that holds it. class_id is
+    the smallest id that holds one of the windows, n_words the words of the longest.
+    """
+    return _spans(_repeated_windows(docs, min_words))
 
 
 def _shared_keys(batches):
@@ -295,10 +353,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int
 
 
 def repeated_text(docs: DataFrame, min_words: int = 20, **options) -> DataFrame:
-    """repeated_paragraphs(), and the repeated passages that start in other lines; kind tells which (paragraph or passage)."""
+    """repeated_paragraphs(), and what repeated passages cover outside these lines; kind tells which (paragraph or passage)."""
     lines = cut(repeated_paragraphs(docs, min_words, **options))
-    spans = repeated_passages(docs, min_words)
-    rest = spans.join(lines.select(F.col("doc_id").alias("_d"), F.col("para").alias("_p")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("para") == F.col("_p")), "left_anti")
+    rest = _spans(_repeated_windows(docs, min_words), lines)
     return lines.withColumn("kind", F.lit("paragraph")).unionByName(rest.withColumn("kind", F.lit("passage")))
 
 

@@ -606,6 +606,25 @@ def test_passages_inside_lines(spark, nothing):
     assert repeated_text(nothing).count() == 0
 
 
+def test_spans_run_on_and_leave_one_copy(spark):
+    from logweave.llm.paragraph_dedup import _sweep, repeated_text
+
+    sentence = lambda seed: prose(24, seed).capitalize() + "."
+    line = sentence(1) + " " + sentence(2)
+    tail = " ".join(sentence(10 + i) for i in range(4))
+    rows = [(0, f"{line}\n{tail} {sentence(50)}"), (1, f"{line}\n{tail} {' '.join(sentence(60 + i) for i in range(5))}")]
+    got = repeated_text(spark.createDataFrame(rows, "doc_id bigint, text string"), 20).collect()
+    assert {(x["doc_id"], x["para"], x["kind"]) for x in got} >= {(0, 0, "paragraph"), (1, 0, "paragraph"), (0, 1, "passage"), (1, 1, "passage")}
+    for i, t in rows:
+        places = sorted((x["start"], x["stop"]) for x in got if x["doc_id"] == i)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+        assert all(t[: x["start"]].count("\n") == x["para"] for x in got if x["doc_id"] == i)
+    window = lambda a, b, low, gone: {"start": a, "stop": b, "para": 0, "end_para": 0, "n_words": 20, "low": low, "copies": 2, "removed": gone, "line": False}
+    line = {"start": 90, "stop": 120, "para": 0, "end_para": 0, "line": True}
+    spans = list(_sweep([window(0, 50, 1, True), window(30, 80, 5, False), window(70, 100, 1, True), {**window(100, 150, 1, True), "end_para": 1}, line]))
+    assert [(p, a, b, gone) for p, a, b, _, _, _, gone in spans] == [(0, 0, 30, True), (0, 30, 80, False), (0, 80, 90, True), (1, 121, 150, True)]
+
+
 def test_pipeline_keeps_one_of_similar_texts(spark):
     import corpus_pipeline
 
