@@ -26,33 +26,39 @@ def dangling(nodes: DataFrame) -> DataFrame:
     return edges(nodes).join(known, ["workflow", "dep"], "left_anti")
 
 
-def _frontiers(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """(workflow, node, level): every length of a path from a source to the node, with unknown and self dependencies left out."""
+def _frontiers(nodes: DataFrame) -> DataFrame:
+    """(workflow, node, level): every length of a path from a source to the node, with unknown and self dependencies left out. A path longer than its workflow has nodes is an error."""
     known = nodes.select("workflow", F.col("node").alias("dep"))
     links = cut(edges(nodes).where("dep <> node").join(known, ["workflow", "dep"], "left_semi").distinct())
     sources = nodes.select("workflow", "node").join(links.select("workflow", "node"), ["workflow", "node"], "left_anti")
     now = cut(sources.withColumn("level", F.lit(0).cast("bigint")))
     out = now
-    for level in range(1, max_depth + 1):
+    level, most = 0, nodes.groupBy("workflow").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        level += 1
         now = cut(now.withColumnRenamed("node", "dep").join(links, ["workflow", "dep"]).select("workflow", "node").distinct().withColumn("level", F.lit(level).cast("bigint")))
         if now.isEmpty():
             break
+        if level >= most:
+            raise ValueError("a workflow has a cycle behind a source")
         out = out.unionByName(now)
+        if level % 32 == 0:
+            out = cut(out)
     return out
 
 
-def waves(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def waves(nodes: DataFrame) -> DataFrame:
     """Longest path from a source, for graphs without cycles (see cyclic)."""
-    return _frontiers(nodes, max_depth).groupBy("workflow", "node").agg(F.max("level").alias("wave"))
+    return _frontiers(nodes).groupBy("workflow", "node").agg(F.max("level").alias("wave"))
 
 
-def cyclic(nodes: DataFrame, max_nodes: int = 64) -> DataFrame:
+def cyclic(nodes: DataFrame) -> DataFrame:
     """Workflows with a cycle: peeling off nodes without open dependencies stops before none is left. Dangling ones are left out."""
     known = nodes.select("workflow", F.col("node").alias("dep"))
     links = cut(edges(nodes).join(known, ["workflow", "dep"], "left_semi").distinct())
     left = cut(nodes.select("workflow", "node"))
     size = left.count()
-    for _ in range(max_nodes):
+    while True:
         open_links = links.join(left.withColumnRenamed("node", "dep"), ["workflow", "dep"], "left_semi")
         now = cut(left.join(open_links.select("workflow", "node"), ["workflow", "node"], "left_semi"))
         n = now.count()

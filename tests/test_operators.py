@@ -165,6 +165,16 @@ def test_topological_order_ties_and_cycles(spark):
     assert {x["node"]: x["wave"] for x in dag.waves(nodes.where("workflow = 'w'")).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_long_chains_are_not_cut(spark):
+    rows = [("w", f"n{i}", [f"n{i - 1}"] if i else []) for i in range(68)]
+    nodes = spark.createDataFrame(rows, "workflow string, node string, depends_on array<string>").coalesce(1)
+    assert {x["node"]: x["wave"] for x in dag.waves(nodes).collect()} == {f"n{i}": i for i in range(68)}
+    assert dag.cyclic(nodes).count() == 0
+    loop = spark.createDataFrame([("w", "a", []), ("w", "b", ["a", "c"]), ("w", "c", ["b"])], nodes.schema)
+    with pytest.raises(ValueError):
+        dag.waves(loop)
+
+
 def test_export_round_trip(spark, many, tmp_path):
     _, log = many
     path = str(tmp_path / "export")
