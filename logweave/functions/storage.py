@@ -1,15 +1,32 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""The shared folder for intermediate tables, and cutting lineage there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset: a temporary one in local mode, an error on a cluster."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="logweave-checkpoint-")
+    sc.setCheckpointDir(own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint where spark.checkpoint.dir says; a temporary folder only where that is unset."""
+    """Materialise in the shared folder and cut the lineage."""
+    base = shared_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logweave-"))
+        sc.setCheckpointDir(base)
     return df.checkpoint(eager=True)
