@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship as ship_package
+from ..functions.storage import cut, shared_dir  # noqa: F401
 
 #: Rows and bytes of an Arrow batch, where the session sets none: whole texts may be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
@@ -25,30 +26,6 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    own = tempfile.mkdtemp(prefix="logweave-checkpoint-")
-    sc.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if pa.types.is_large_string(column.type):
@@ -72,3 +49,28 @@ def masked(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """The rows under names that no operator uses: (renamed, its names, new name of each old one)."""
     names = [f"_col{i}" for i in range(len(df.columns))]
     return df.toDF(*names), names, dict(zip(df.columns, names, strict=True))
+
+
+class Bloom:
+    """A filter with one hash: bits set by the low bits of 64-bit hashes."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (self.bits - 1)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 26):
+    """A broadcast Bloom filter of a column of 64-bit hashes, built by grouped bit-or; at most `most_bits` bits (8 MB), whatever the number of keys."""
+    n = keys.count()
+    bits = 1 << 16
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Bloom(words, bits))

@@ -21,8 +21,11 @@ BITS = 64
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, code): bit i is set if component i of the first 64 is above zero. Null vectors and ids are left out; null or missing components count as zero."""
-    v = F.slice(F.col(vector_col), 1, BITS)
+    """(id, code): bit i is set if component i is above zero. Null vectors and ids are left out; null or missing components count as zero.
+
+    A code has 64 bits: a longer vector raises an error, as its further components would be lost.
+    """
+    v = F.when(F.size(vector_col) > BITS, F.raise_error(F.lit(f"a vector has more than {BITS} components"))).otherwise(F.col(vector_col))
     code = F.aggregate(
         F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
         F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, masked
 
 #: Steps of all sources together that may be broadcast: 4 million doubles, 32 MB.
 MAX_STEPS = 4_000_000
@@ -58,21 +58,39 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """The rows of `docs`, each as often as its Poisson count says, in a shuffled order; adds copy (0, 1, ...) and n_copies.
 
     Size is counted in characters of whole texts; null text counts as empty. A null source is a source of its own, and a null
-    id hashes as an empty one. Repeated rows draw the same count. An empty table gives no rows. Columns named copy or
-    n_copies are replaced.
+    id hashes as an empty one. Repeated rows draw the same count. An empty table gives no rows. Columns come back as they are,
+    whatever their names; if the input has a copy or n_copies itself, the added one gets an underscore more.
     """
-    columns = [c for c in docs.columns if c not in ("copy", "n_copies")]
-    rates = cut(source_rates(docs, source_col, F.coalesce(F.length(text_col), F.lit(0)), weights, alpha, epochs))
+    rows, names, of = masked(docs)
+    drawn = drawn_copies(rows, of[id_col], of[source_col], of[text_col], weights, alpha, epochs, seed)
+    added = ["n_copies", "copy"]
+    for i in range(2):
+        while added[i] in docs.columns:
+            added[i] += "_"
+    return drawn.toDF(*docs.columns, *added)
+
+
+def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    """mix() without the added columns; its rules on nulls, repeated rows and empty tables hold."""
+    mixed = mix(docs, **options)
+    names = [f"_col{i}" for i in range(len(mixed.columns))]
+    return mixed.toDF(*names).select(*names[: len(docs.columns)]).toDF(*docs.columns)
+
+
+def drawn_copies(rows: DataFrame, id_col: str, source_col: str, text_col: str, weights: dict[str, float] | None, alpha: float, epochs: float, seed: int) -> DataFrame:
+    """mix() over rows whose names are free of those used here."""
+    columns = rows.columns
+    rates = cut(source_rates(rows, source_col, F.coalesce(F.length(text_col), F.lit(0)), weights, alpha, epochs))
     steps = rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
     bound = rates.agg(F.sum(F.col("rate") + 12 * F.sqrt("rate") + 26)).first()[0] or 0
     if bound <= MAX_STEPS:  # beyond it, a shuffled join that adaptive execution may split
         steps = F.broadcast(steps)
-    u = hashed_uniform(F.lit(f"count:{seed}"), F.col(f"`{id_col}`"))
-    drawn = docs.select(*[F.col(f"`{c}`") for c in columns], u.alias("_u")).join(steps, F.col(f"`{source_col}`").eqNullSafe(F.col("_source")))
+    u = hashed_uniform(F.lit(f"count:{seed}"), F.col(id_col))
+    drawn = rows.withColumn("_u", u).join(steps, F.col(source_col).eqNullSafe(F.col("_source")))
     n = F.size(F.filter("_steps", lambda s: s <= F.col("_u"))).cast("bigint")
     drawn = drawn.withColumn("n_copies", n).where("n_copies > 0")
-    each = drawn.select(*[F.col(f"`{c}`") for c in columns], "n_copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)).alias("copy"))
-    return shuffled(each, F.lit(f"order:{seed}"), F.col(f"`{id_col}`"), F.col("copy"))
+    each = drawn.select(*columns, "n_copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)).alias("copy"))
+    return shuffled(each, F.lit(f"order:{seed}"), F.col(id_col), F.col("copy"))
 
 
 def shuffled(df: DataFrame, *key: Column) -> DataFrame:

@@ -6,39 +6,46 @@ shingles; with 16 bands of 4, a pair of Jaccard similarity 0.8 shares a key with
 1 - 2e-8. Paragraphs that share a key are verified by the exact Jaccard similarity of their shingle sets, and linked at
 `threshold` or more; removals go by connected components.
 
-A passage may also stand inside longer lines, where no line matches as a whole. So documents are cut into sentences too, and
-windows of whole sentences with `min_words` words or more are compared exactly. Of any two neighbouring windows the one
-whose first sentence has the smaller hash is kept, a choice that depends on the text alone: a repeated passage that holds two
-neighbouring windows whole is found wherever it stands.
-
-No bucket is cut. A bucket over `block` members is dealt out as pairs of blocks, so that a task holds two blocks at most, and
-within one only a spanning forest of the verified links is emitted. Buckets with the same members in several bands are
-verified once. Shingle sets are made only for paragraphs that share a key with another.
+A passage may also stand inside longer lines or run over short ones, where no line matches as a whole. So windows of `min_words`
+words are picked by winnowing: of every REACH windows that start at successive words the one with the least hash. The choice
+depends on the words alone, whatever stands around them, so two documents that share min_words + REACH - 1 words in a row
+(50) share a picked window. A picked window together with the next one is a second item: where both documents go on alike,
+the words between two picks are covered too. Items are compared by 128-bit hashes, exactly.
+
+No bucket is cut. A bucket is dealt out as pairs of blocks, so that a task holds two blocks at most, and within one only a
+spanning forest of the verified links is emitted. Buckets with the same members in several bands are verified once. Shingle
+sets are made only for paragraphs that share a key with another.
+
+Documents are told apart by doc_id, and where it is null by a hash of the text.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, ship
+from .common import as_bytes, bloom, cut, ship, slabs
 from .components import connected_components
+from .jaccard import block_pairs, shingle_hashes, verified_links
 
 BANDS, ROWS = 16, 4
-#: Distinct repeated windows whose digests may be broadcast: 24 bytes each.
-MAX_REPEATED = 1_000_000
-_SENTENCE_END = re.compile(rb"[.!?](?= |$)")
+#: Successive starts of which one window is picked.
+REACH = 31
 _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd bases of two polynomial hashes over the words of a window, and their inverses modulo 2^64.
+_BASES = [int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
+_INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
+
+
+def _document() -> Column:
+    """What tells documents apart: a hash of the id, or of the text where there is none."""
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("id"), "doc_id")), F.xxhash64(F.lit("text"), "text")).alias("doc")
 
 
 def paragraphs(text: bytes | None, min_words: int):
@@ -52,18 +59,6 @@ def paragraphs(text: bytes | None, min_words: int):
         at += size + 1
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; fewer words than `width`: one shingle of them all."""
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    digest = xxhash.xxh3_64_digest
-    raw = b"".join([digest(joined[s:e]) for s, e in zip((ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     # a slice at a time: the products of a very long text would fill the memory
     low = np.min([(hashes[i : i + 2048, None] * _A + _B).min(axis=0) for i in range(0, len(hashes), 2048)], axis=0) >> np.uint64(20)
@@ -75,12 +70,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
-    names = ["doc_id", "para", "start", "stop", "n_words", "h1", "h2", *[f"b{i}" for i in range(BANDS)]]
+    names = ["doc_id", "doc", "para", "start", "stop", "n_words", "h1", "h2", *[f"b{i}" for i in range(BANDS)]]
 
     def run(batches):
         for b in batches:
             at, nums, marks, keys = [], [], [], []
-            for i, t in enumerate(as_bytes(b.column(1))):
+            for i, t in enumerate(as_bytes(b.column(2))):
                 for no, start, stop, words in paragraphs(t, min_words):
                     at.append(i)
                     nums.append((no, start, stop, len(words)))
@@ -90,99 +85,137 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
             table = np.array(nums, np.int64).reshape(n, 4)
             marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(n, 2)
             key = np.array(keys, np.int64).reshape(n, BANDS)
-            cols = [b.column(0).take(pa.array(at, pa.int64())), *[pa.array(table[:, j]) for j in range(4)], pa.array(marked[:, 0]), pa.array(marked[:, 1]), *[pa.array(key[:, j]) for j in range(BANDS)]]
+            took = pa.array(at, pa.int64())
+            cols = [b.column(0).take(took), b.column(1).take(took), *[pa.array(table[:, j]) for j in range(4)], pa.array(marked[:, 0]), pa.array(marked[:, 1]), *[pa.array(key[:, j]) for j in range(BANDS)]]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def passages(text: bytes | None, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first word, word after the last, digest) of the kept sentence windows."""
-    norm = b" ".join(text.lower().split()) if text else b""
-    ends = [m.end() for m in _SENTENCE_END.finditer(norm)]
-    if not ends:
-        return []
-    if ends[-1] < len(norm):
-        ends.append(len(norm))
-    starts = [0, *[e + 1 for e in ends[:-1]]]
-    sentences = [norm[s:e] for s, e in zip(starts, ends, strict=True)]
-    order = [xxhash.xxh3_64_intdigest(x) for x in sentences]
-    at = [0, *accumulate([x.count(b" ") + 1 for x in sentences])]
-    n = len(order)
-    kept = range(n) if n < 2 else sorted({i if order[i] <= order[i + 1] else i + 1 for i in range(n - 1)})
-    out = []
-    for i in kept:
-        j = bisect_left(at, at[i] + min_words)
-        if j <= n:
-            out.append((at[i], at[j], xxhash.xxh3_128_digest(norm[starts[i] : ends[j - 1]])))
-    return out
+    return docs.select("doc_id", _document(), "text").mapInArrow(run, schema)
+
+
+def _windows(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Items of texts: (text, first word, word after the last, hash, second hash).
+
+    words: 64-bit hashes of the words of all texts, back to back; sizes: words of each text. Texts under `width` words have none.
+    Each text is laid out with room for one whole choice, so that texts do not see each other.
+    """
+    room = np.maximum(sizes, width + REACH - 1)
+    begin = np.cumsum(room) - room
+    own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(words))
+    flat = np.zeros(int(room.sum()), np.uint64)
+    flat[own] = words
+    total = len(flat)
+    if not len(words) or total < width:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, z
+    sums, shift = [], []
+    for base, inverse, mix in zip(_BASES, _INVERSES, (1, 29), strict=True):
+        w = flat ^ (flat >> np.uint64(mix))
+        power = np.full(total, base, np.uint64)
+        power[0] = 1
+        back = np.full(total, inverse, np.uint64)
+        back[0] = 1
+        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * np.multiply.accumulate(power))]))
+        shift.append(np.multiply.accumulate(back))
+
+    def item(at, stop, i):
+        x = (sums[i][stop] - sums[i][at]) * shift[i][at]
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+    starts = np.arange(total - width + 1)
+    text = np.repeat(np.arange(len(sizes)), room)[: len(starts)]
+    order = item(starts, starts + width, 0).view(np.uint64) >> np.uint64(1)
+    valid = starts + width <= (begin + sizes)[text]
+    order = np.where(valid, order, ~np.uint64(0))  # never the least
+    # least of REACH starts from each on, by doubling; then the largest of these over the choices that see a start
+    least, reach = order, 1
+    while reach < REACH:
+        step = min(reach, REACH - reach)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        reach += step
+    choice = np.arange(len(least))
+    inside = choice + REACH + width - 1 <= (begin + room)[text[: len(choice)]]
+    least = np.where(inside, least, np.uint64(0))
+    most = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(len(starts) - len(least), np.uint64)])
+    seen, reach = most, 1
+    while reach < REACH:
+        step = min(reach, REACH - reach)
+        seen = np.maximum(seen[: len(seen) - step], seen[step:])
+        reach += step
+    seen = np.concatenate([seen, np.zeros(len(starts) - len(seen), np.uint64)])[: len(starts)]
+    at = np.flatnonzero(valid & (order == seen))
+    doc = text[at]
+    follow = np.flatnonzero(doc[1:] == doc[:-1]) if len(at) else np.zeros(0, np.int64)
+    first, stop = np.concatenate([at, at[follow]]), np.concatenate([at + width, at[follow + 1] + width])
+    who = np.concatenate([doc, doc[follow]])
+    return who, first - begin[who], stop - begin[who], item(first, stop, 0), item(first, stop, 1)
+
+
+def _items(texts: list[bytes | None], width: int):
+    """The items of texts, some at a time: (index of the first text, text, first word, word after the last, hashes)."""
+    for lo, hi in slabs([len(t or b"") + 200 for t in texts], 1_500_000):
+        split = [t.lower().split() if t else [] for t in texts[lo:hi]]
+        sizes = np.array(list(map(len, split)), np.int64)
+        raw = b"".join([xxhash.xxh3_64_digest(w) for own in split for w in own])
+        yield lo, *_windows(np.frombuffer(raw, ">u8").astype(np.uint64), sizes, width)
 
 
 def _passage_digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, h1, h2) of the kept windows."""
+    """(doc_id, doc, h1, h2) of the items."""
 
     def run(batches):
         for b in batches:
-            at, marks = [], []
-            for i, t in enumerate(as_bytes(b.column(1))):
-                found = passages(t, min_words)
-                at += [i] * len(found)
-                marks += [h for _, _, h in found]
-            marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(len(marks), 2)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(marked[:, 0]), pa.array(marked[:, 1])], ["doc_id", "h1", "h2"])
+            for lo, who, _, _, h1, h2 in _items(as_bytes(b.column(2)), min_words):
+                took = pa.array(lo + who)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(took), b.column(1).take(took), pa.array(h1), pa.array(h2)], ["doc_id", "doc", "h1", "h2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h1 bigint, h2 bigint")
+    return docs.select("doc_id", _document(), "text").mapInArrow(run, f"doc_id {kind}, doc bigint, h1 bigint, h2 bigint")
 
 
-def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """The kept windows with their places in the text: line, start and stop in code points, words."""
-    names = ["doc_id", "para", "end_para", "start", "stop", "n_words", "h1", "h2"]
+def _passage_rows(docs: DataFrame, min_words: int, sieve) -> DataFrame:
+    """The items that pass the filter, with their places in the text: line, last line, start and stop in code points, words."""
+    names = ["doc_id", "doc", "para", "end_para", "start", "stop", "n_words", "h1", "h2"]
 
     def run(batches):
         for b in batches:
-            at, places, marks = [], [np.zeros((5, 0), np.int64)], []
-            for i, t in enumerate(as_bytes(b.column(1))):
-                found = passages(t, min_words)
-                if not found:
-                    continue
-                raw = np.frombuffer(t, np.uint8)
-                space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-                word = ~space
-                begins = np.flatnonzero(word & np.concatenate([[True], space[:-1]]))
-                finishes = np.flatnonzero(word & np.concatenate([space[1:], [True]])) + 1
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                first = np.array([f for f, _, _ in found])
-                last = np.array([e for _, e, _ in found])
-                lines, ends = (np.searchsorted(np.flatnonzero(raw == 10), x) for x in (begins[first], finishes[last - 1]))
-                places.append(np.stack([lines, ends, points[begins[first]], points[finishes[last - 1]], last - first]))
-                at += [i] * len(found)
-                marks += [h for _, _, h in found]
-            marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(len(marks), 2)
+            texts = as_bytes(b.column(2))
+            at, places = [], [np.zeros((7, 0), np.int64)]
+            for lo, who, first, stop, h1, h2 in _items(texts, min_words):
+                some = np.flatnonzero(sieve.value.may_hold(h1))
+                some = some[np.argsort(who[some], kind="stable")]
+                edges = np.flatnonzero(np.concatenate([[True], who[some][1:] != who[some][:-1]])) if len(some) else []
+                for i, e in enumerate(edges):
+                    own = some[e : edges[i + 1] if i + 1 < len(edges) else len(some)]
+                    raw = np.frombuffer(texts[lo + int(who[own[0]])], np.uint8)
+                    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+                    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+                    finishes = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+                    x, y = begins[first[own]], finishes[stop[own] - 1]
+                    breaks, points = np.flatnonzero(raw == 10), np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    places.append(np.stack([np.searchsorted(breaks, x), np.searchsorted(breaks, y), points[x], points[y], stop[own] - first[own], h1[own], h2[own]]))
+                    at.append(lo + who[own])
             cols = np.concatenate(places, axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c) for c in cols], pa.array(marked[:, 0]), pa.array(marked[:, 1])], names)
+            took = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(took), b.column(1).take(took), *[pa.array(c) for c in cols]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
+    return docs.select("doc_id", _document(), "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
 
 
-def _repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """The kept windows that another document holds: doc_id, para, end_para, start, stop, n_words, copies, low, removed."""
+def _repeated_items(docs: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2, copies, low, d_low) of the items that more than one document holds."""
     ship(docs.sparkSession)
-    seen = _passage_digests(docs, min_words).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = cut(seen.where("low <> high").select("h1", "h2", "copies", "low"))
-    if repeated.count() <= MAX_REPEATED:  # beyond it, a shuffled join that adaptive execution may split
-        repeated = F.broadcast(repeated)
-    found = _passage_rows(docs, min_words).join(repeated, ["h1", "h2"])
-    return found.withColumn("removed", F.coalesce(F.col("doc_id") != F.col("low"), F.lit(True))).drop("h1", "h2")
+    seen = _passage_digests(docs, min_words).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("doc").alias("d_low"), F.max("doc").alias("d_high"))
+    return cut(seen.where("d_low <> d_high").select("h1", "h2", "copies", "low", "d_low"))
 
 
 def _sweep(rows: list[dict]):
     """Spans of one document: (para, start, stop, n_words, class_id, n_paragraphs, removed).
 
-    Windows that hold the first copy are kept, whatever else covers them; the rest of the other windows goes; lines are left out.
+    Items that hold the copy which stays are kept, whatever else covers them; the rest of the other items goes; lines are left out.
     """
     starts = np.array([r["start"] for r in rows])
     stops = np.array([r["stop"] for r in rows])
@@ -203,14 +236,14 @@ def _sweep(rows: list[dict]):
         after = start in line_stops  # a newline parts it from the line before
         own = np.flatnonzero((starts < stop) & (stops > start) & (kind == label[lo] - 1))
         if start + after < stop:
-            yield line_of[start] + after, start + after, stop, max(rows[j]["n_words"] for j in own), min(rows[j]["low"] for j in own), max(rows[j]["copies"] for j in own), bool(label[lo] == 2)
+            yield line_of[start] + after, start + after, stop, max(rows[j]["n_words"] for j in own), min((rows[j]["low"] for j in own if rows[j]["low"] is not None), default=None), max(rows[j]["copies"] for j in own), bool(label[lo] == 2)
 
 
 def _spans(windows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Windows of a document put together to spans outside its lines."""
     rows = windows.withColumn("line", F.lit(False))
     if lines is not None:
-        flagged = lines.select("doc_id", "para", F.col("para").alias("end_para"), "start", "stop", F.lit(True).alias("line"))
+        flagged = lines.select("doc_id", "doc", "para", F.col("para").alias("end_para"), "start", "stop", F.lit(True).alias("line"))
         rows = rows.unionByName(flagged, allowMissingColumns=True)
     kind = windows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, para bigint, start bigint, stop bigint, n_words bigint, class_id {kind}, n_paragraphs bigint, removed boolean"
@@ -221,7 +254,7 @@ def _spans(windows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if held and held[0]["doc_id"] != r["doc_id"]:
+                if held and held[0]["doc"] != r["doc"]:
                     out += [(held[0]["doc_id"], *x) for x in _sweep(held)]
                     held = []
                 held.append(r)
@@ -232,16 +265,41 @@ def _spans(windows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
             rest = [dict(zip(names, (held[0]["doc_id"], *x), strict=True)) for x in _sweep(held)]
             yield pa.RecordBatch.from_pylist(rest, pa.schema([(n, types.field("low" if n in ("doc_id", "class_id") else "removed" if n == "removed" else "start").type) for n in names]))
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, schema)
+    return rows.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(run, schema)
+
+
+def _judged(docs: DataFrame, min_words: int, lines: DataFrame | None = None) -> DataFrame:
+    """Repeated items with their places and removed: all but the copies in one document go. That is the first by id of those that hold the item clear of removed lines."""
+    repeated = _repeated_items(docs, min_words)
+    places = _passage_rows(docs, min_words, bloom(repeated.select("h1"), "h1"))
+    if lines is None:
+        found = places.join(repeated, ["h1", "h2"])
+        first = F.when(F.col("low").isNull(), F.col("doc") == F.col("d_low")).otherwise(F.col("doc_id").eqNullSafe(F.col("low")))
+        return found.withColumn("removed", ~first).drop("h1", "h2", "d_low")
+    gone = lines.where("removed").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")).withColumnRenamed("doc", "_doc")
+    found = places.join(gone, F.col("doc") == F.col("_doc"), "left")
+    within = F.exists("cuts", lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop")))
+    touched = F.exists("cuts", lambda x: (x["start"] < F.col("stop")) & (x["stop"] > F.col("start")))
+    # what lies in a removed line whole is gone with it
+    found = found.where(~F.coalesce(within, F.lit(False))).withColumn("touched", F.coalesce(touched, F.lit(False))).drop("_doc", "cuts")
+    found = cut(found.join(repeated, ["h1", "h2"]))
+    stays = cut(found.where("not touched").groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.min("doc").alias("d_keeper"), F.lit(True).alias("some")))
+    # where a removed line cuts into every copy, the first by id stays as far as it lies outside
+    marked = found.join(stays, ["h1", "h2"], "left")
+    keeper, d_keeper = (F.when(F.col("some"), F.col(x)).otherwise(F.col(y)) for x, y in (("keeper", "low"), ("d_keeper", "d_low")))
+    first = F.when(keeper.isNull(), F.col("doc") == d_keeper).otherwise(F.col("doc_id").eqNullSafe(keeper))
+    return marked.withColumn("removed", ~first).drop("h1", "h2", "d_low", "keeper", "d_keeper", "some", "touched")
 
 
 def repeated_passages(docs: DataFrame, min_words: int) -> DataFrame:
     """Spans that another document holds word for word: doc_id, para, start, stop, n_words, class_id, n_paragraphs, removed.
 
-    Windows are merged where they overlap and agree in removed: a window stays whole in the smallest id that holds it. class_id is
-    the smallest id that holds one of the windows, n_words the words of the longest.
+    Items are merged where they overlap and agree in removed: an item stays whole in the smallest id that holds it. class_id is
+    the smallest id that holds one of the items, n_words the words of the longest item, n_paragraphs its copies. Null and short
+    texts have no spans. Documents without an id take part, told apart by their texts; a repeated row is no other document. An
+    empty table gives no rows.
     """
-    return _spans(_repeated_windows(docs, min_words))
+    return _spans(_judged(docs, min_words))
 
 
 def _shared_keys(batches):
@@ -266,73 +324,10 @@ def _shared_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(band[emit].astype(np.int64)), pa.array(key[emit]), pa.array(pid[emit])], ["band", "key", "pid"])
 
 
-def _jaccard_forest(pids: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs at `threshold` or more."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    values, ids = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(len(values), np.int64)
-    unseen = np.ones(len(sets), bool)
-    links = []
-    for first in range(len(sets)):
-        if not unseen[first]:
-            continue
-        unseen[first] = False
-        frontier = [first]
-        while frontier and unseen.any():
-            x = frontier.pop()
-            own = ids[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[ids], starts)
-            mark[own] = 0
-            near = unseen & (common >= threshold * (sizes + sizes[x] - common) - 1e-9)
-            for y in np.flatnonzero(near):
-                links.append((int(pids[x]), int(pids[y])))
-                frontier.append(int(y))
-            unseen &= ~near
-    return links
-
-
-def _verify(threshold: float):
-    """Over rows (bucket, i, j, pid, shingles) sorted by (bucket, i, j): links (a, b)."""
-
-    def flush(pids, sets):
-        if len(pids) < 2:
-            return []
-        if len(pids) == 2:
-            x, y = sets
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            return [(pids[0], pids[1])] if common >= threshold * (len(x) + len(y) - common) - 1e-9 else []
-        return _jaccard_forest(np.array(pids), sets, threshold)
-
-    def run(batches):
-        now, pids, sets = None, [], []
-        for b in batches:
-            a, out_b = [], []
-            keys = list(zip(*[b.column(i).to_pylist() for i in range(4)], strict=True))
-            shingles = b.column(4)
-            offsets = shingles.offsets.to_numpy()
-            flat = shingles.values.to_numpy(zero_copy_only=False)
-            for r, (x, i, j, pid) in enumerate(keys):
-                if (x, i, j) != now:
-                    for p, q in flush(pids, sets):
-                        a.append(p)
-                        out_b.append(q)
-                    now, pids, sets = (x, i, j), [], []
-                pids.append(pid)
-                sets.append(flat[offsets[r] : offsets[r + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-        rest = flush(pids, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rest], pa.int64()), pa.array([q for _, q in rest], pa.int64())], ["a", "b"])
-
-    return run
-
-
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int) -> DataFrame:
-    """(pid, shingles) of the wanted paragraphs (pid, h1, h2, doc_id), read again from one document that holds each."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "pid")).alias("want")).withColumnRenamed("doc_id", "_d")
-    near = docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "want")
+    """(pid, shingles) of the wanted paragraphs (pid, h1, h2, doc), read again from one document that holds each."""
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2", "pid")).alias("want")).withColumnRenamed("doc", "_d")
+    near = docs.select(_document(), "text").join(lists, F.col("doc") == F.col("_d")).select("text", "want")
 
     def run(batches):
         for b in batches:
@@ -353,25 +348,34 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int
 
 
 def repeated_text(docs: DataFrame, min_words: int = 20, **options) -> DataFrame:
-    """repeated_paragraphs(), and what repeated passages cover outside these lines; kind tells which (paragraph or passage)."""
-    lines = cut(repeated_paragraphs(docs, min_words, **options))
-    rest = _spans(_repeated_windows(docs, min_words), lines)
-    return lines.withColumn("kind", F.lit("paragraph")).unionByName(rest.withColumn("kind", F.lit("passage")))
+    """repeated_paragraphs(), and what repeated passages cover outside these lines; kind tells which (paragraph or passage).
+
+    Of every repeated stretch one copy stays: an item's copy inside a removed line does not count as the one that stays. Nulls,
+    repeated rows and empty tables: as in these two.
+    """
+    lines = cut(_repeated_lines(docs, min_words, **options))
+    rest = _spans(_judged(docs, min_words, lines), lines)
+    return lines.drop("doc").withColumn("kind", F.lit("paragraph")).unionByName(rest.withColumn("kind", F.lit("passage")))
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 20, threshold: float = 0.8, width: int = 5, block: int = 1024) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, min_words: int = 20, threshold: float = 0.8, width: int = 5, block_words: int = 150_000) -> DataFrame:
     """One row per paragraph that another document holds as well, exactly or nearly.
 
     doc_id, para (line number from 0), start, stop (code points), n_words, class_id (smallest doc_id of the class), n_paragraphs
     of the class, removed (all but the first of a class by doc_id and line). A class is a connected component of links.
-    Null or short texts have no paragraphs and no rows. Paragraphs that repeat within one document only are left alone. Null
-    ids take part, but name a class only if it has no other. A repeated row is a copy under the same id: with no other
-    document it makes no class. An empty table gives no rows. Other columns are not read.
+    Null or short texts have no paragraphs and no rows. Paragraphs that repeat within one document only are left alone.
+    Documents without an id take part, told apart by their texts, but name a class only if it has no other. A repeated row is
+    a copy under the same id: with no other document it makes no class. An empty table gives no rows. Other columns are not
+    read.
     """
+    return _repeated_lines(docs, min_words, threshold, width, block_words).drop("doc")
+
+
+def _repeated_lines(docs: DataFrame, min_words: int, threshold: float = 0.8, width: int = 5, block_words: int = 150_000) -> DataFrame:
     ship(docs.sparkSession)
     rows = cut(_paragraph_rows(docs, min_words, width))
     distinct = rows.groupBy("h1", "h2").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)]
+        F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("doc").alias("d_low"), F.max("doc").alias("d_high"), F.max("n_words").alias("n_words"), *[F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS)]
     )
     distinct = cut(distinct.withColumn("pid", F.monotonically_increasing_id()))
     keyed = distinct.select("pid", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band", "key"))
@@ -379,39 +383,22 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, threshold: float =
     members = cut(dealt.mapInArrow(_shared_keys, "band bigint, key bigint, pid bigint"))
     # the same members in several bands: one bucket is enough
     mark = F.xxhash64(F.lit(1), "pid"), F.xxhash64(F.lit(2), "pid")
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.bit_xor(mark[0]).alias("x1"), F.bit_xor(mark[1]).alias("x2"))
-    buckets = buckets.groupBy("size", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("k")).select("size", "k.band", "k.key")
-    own = members.join(buckets, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    own = own.withColumn("i", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
-    pairs = own.select("band", "key", "pid", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    pairs = pairs.select(F.xxhash64("band", "key").alias("bucket"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "pid")
-    wanted = own.select("pid").distinct().join(distinct.select("pid", "h1", "h2", F.col("low").alias("doc_id")), "pid")
-    sets = _shingle_sets(docs, wanted, min_words, width)
-    work = pairs.join(sets, "pid").select("bucket", "i", "j", "pid", "shingles").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    roots = connected_components(work.mapInArrow(_verify(threshold), "a bigint, b bigint"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("h1", "h2", "copies", "low", "high", F.coalesce("root", "pid").alias("root"))
-    rooted = rooted.withColumn("key", F.struct("h1", "h2"))
-    classes = rooted.groupBy("root").agg(F.sum("copies").alias("n_paragraphs"), F.min("low").alias("class_id"), F.max("high").alias("class_high"), F.count("*").alias("kinds"))
-    classes = classes.where("n_paragraphs > 1 and (class_id <> class_high or class_id is null)")
-    labels = rooted.join(classes, "root").select("h1", "h2", "root", "class_id", "n_paragraphs")
-    found = cut(rows.select("doc_id", "para", "start", "stop", "n_words", "h1", "h2").join(labels, ["h1", "h2"]).drop("h1", "h2"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "para")).alias("f"))
-    kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("para") == F.col("f.para"))
-    return found.join(first, "root").select("doc_id", "para", "start", "stop", "n_words", "class_id", "n_paragraphs", (~kept).alias("removed"))
-
-
-def keep_one_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, **options) -> DataFrame:
-    """The rows of `docs`, one of each group of near copies: the smallest doc_id, then the smallest hash of the text; null ids last.
-
-    Links are pairs of whole texts whose `width`-word shingle sets have Jaccard similarity `threshold` or more (A-Z lower-cased,
-    any white space between words), verified exactly; a group is a connected component. Candidates come from the band keys, so a
-    pair at 0.8 is met with probability 0.9998. Blank and null texts are one group. A repeated row stays once. Columns stay as
-    they are.
-    """
-    text = F.translate("text", "\n", " ")
-    whole = F.when(F.coalesce(text, F.lit("")).rlike(r"^[ \t-\r]*$"), F.lit("\x01")).otherwise(text)
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    found = repeated_paragraphs(docs.select(key.alias("doc_id"), whole.alias("text")), 1, threshold, width, **options)
-    gone = found.where("removed").select(F.col("doc_id").alias("_gone")).distinct()
-    on = [key[x].eqNullSafe(F.col("_gone")[x]) for x in ("n", "id", "h")]
-    return docs.join(gone, on[0] & on[1] & on[2], "left_anti").dropDuplicates(["doc_id", "text"])
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(mark[0]).alias("x1"), F.bit_xor(mark[1]).alias("x2"))
+    buckets = cut(buckets.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key"))
+    own = members.join(buckets, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "pid")
+    own = cut(own.join(distinct.select("pid", "h1", "h2", "d_low", "n_words"), "pid"))
+    sizes = cut(own.groupBy("bucket").agg(F.sum("n_words").alias("size")))
+    pairs = block_pairs(own.select("bucket", "pid").join(sizes, "bucket"), block_words)
+    wanted = own.select("pid", "h1", "h2", F.col("d_low").alias("doc")).distinct()
+    roots = connected_components(verified_links(pairs, _shingle_sets(docs, wanted, min_words, width), threshold))
+    rooted = distinct.join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("h1", "h2", "copies", "low", "d_low", "d_high", F.coalesce("root", "pid").alias("root"))
+    rooted = cut(rooted)
+    classes = rooted.groupBy("root").agg(F.sum("copies").alias("n_paragraphs"), F.min("low").alias("class_id"), F.min("d_low").alias("d_low"), F.max("d_high").alias("d_high"))
+    classes = cut(classes.where("d_low <> d_high").select("root", "n_paragraphs", "class_id", F.col("d_low").alias("d_first")))
+    labels = rooted.select("h1", "h2", "root").join(classes, "root")
+    found = cut(rows.select("doc_id", "doc", "para", "start", "stop", "n_words", "h1", "h2").join(labels, ["h1", "h2"]).drop("h1", "h2"))
+    # the copy that stays: the first line of the class in the document that names it, or without an id in its first document
+    named = F.when(F.col("class_id").isNull(), F.col("doc") == F.col("d_first")).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = cut(found.where(named).groupBy("root").agg(F.min("para").alias("f_para")))
+    kept = named & (F.col("para") == F.col("f_para"))
+    return found.join(first, "root").select("doc_id", "doc", "para", "start", "stop", "n_words", "class_id", "n_paragraphs", (~kept).alias("removed"))

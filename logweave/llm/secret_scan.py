@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in every whole text. The hash of each secret value is counted over the corpus by distinct repositories
-and owners: a value that many owners carry is a copied example, a value bound to few owners that looks random is treated as
-live. Counting goes by (value, owner, repository), then (value, owner), then value, each with a partial aggregate, so a value
+and owners: a value that many owners or very many repositories carry is a copied example, a value bound to few that looks random is
+treated as live. Counting goes by (value, owner, repository), then (value, owner), then value, each with a partial aggregate, so a value
 that stands in a third of all documents is no single task's work.
 """
 
@@ -97,17 +97,18 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", min_entropy:
     return docs.select(F.col(text_col).alias("_t"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)
 
 
-def ownership(found: DataFrame, owner: str, repository: str, example_owners: int = 3) -> DataFrame:
+def ownership(found: DataFrame, owner: str, repository: str, example_owners: int = 3, example_repositories: int = 25) -> DataFrame:
     """(hash, n_repositories, n_owners, class) over rows with found: class is example, live or weak.
 
-    example: carried by `example_owners` owners or more; live: by fewer, and random enough; weak: the rest. A null owner or
-    repository counts as one owner or repository of its own.
+    example: carried by `example_owners` owners or more, or by `example_repositories` distinct repositories of whatever owners (a
+    key of documentation that one large owner copies everywhere); live: by fewer, and random enough; weak: the rest. A null
+    owner or repository counts as one owner or repository of its own.
     """
     each = found.select(F.explode("found").alias("f"), F.col(owner).alias("o"), F.col(repository).alias("r"))
     each = each.select("f.hash", "f.random", "o", "r").groupBy("hash", "o", "r").agg(F.max("random").alias("random"))
     by_owner = each.groupBy("hash", "o").agg(F.count("*").alias("repositories"), F.max("random").alias("random"))
     total = by_owner.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.max("random").alias("random"))
-    kind = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("random"), "live").otherwise("weak")
+    kind = F.when((F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories), "example").when(F.col("random"), "live").otherwise("weak")
     return total.select("hash", "n_repositories", "n_owners", kind.alias("class"))
 
 
@@ -145,7 +146,9 @@ def _redact(text: str, spans, classes: dict[str, str], mark: str) -> str:
 def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", length_col: str = "n_chars", mark: str = "[SECRET]", example_owners: int = 3) -> DataFrame:
     """The rows of `docs`, columns as they are, with every live credential replaced by `mark` and the length column set anew.
 
-    Copied examples and weak values stay. Only documents with candidates are shuffled; the others pass through the scan.
+    Copied examples and weak values stay. Only documents with candidates are shuffled; the others pass through the scan. Null or
+    empty texts pass as they are; null ids, owners and repeated rows count as in ownership() and come back as often as they
+    are given. An empty table gives no rows.
     """
     renamed, columns, of = masked(docs)
     text_col, length_col = of[text_col], of.get(length_col)

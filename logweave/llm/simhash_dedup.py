@@ -6,6 +6,10 @@ is orthogonal to all of their vectors, so the two fingerprints agree under that
 A bucket over `bucket_rows` fingerprints is split once more by covering masks over the bits its mask leaves free. What agrees
 under both masks has at most 16 free bits, hence at most 65,536 members: that bound holds for any input.
 Inside a bucket a spanning forest of the verified links is emitted, not all pairs.
+
+Near copies in the sense of shingle sets (five words, Jaccard similarity 0.8 or more) differ in about ten of 64 bits, too many for
+one covering. keep_one() takes fingerprints of 128 bits in four blocks, each with a covering of radius 4: pairs within 19
+bits surely share a bucket, those beyond it mostly. Candidates at 32 bits or fewer are verified by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, ship
+from .common import as_bytes, bloom, cut, masked, ship
 from .components import connected_components
+from .jaccard import block_pairs, shingle_hashes, verified_links
 
 BITS = 64
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -207,11 +213,270 @@ def simhash_groups(
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, one of each group of near-duplicates: the one with the smallest doc_id. Columns stay as they are.
+# ---------------------------------------------------------------- near copies by wide fingerprints and exact Jaccard
+
+#: A wide fingerprint: two 64-bit words in blocks of 32 bits, each with its own covering of radius 4.
+BLOCK_BITS, BLOCK_RADIUS = 32, 4
+#: Fingerprints of a bucket held at once, and comparisons made in it, before it is split by further masks.
+HELD_ROWS, COMPARISONS = 65_536, 100_000_000
+
+
+def wide_masks() -> list[tuple[int, int]]:
+    """Masks over both words: 31 for each block. Pairs within 4 * (4 + 1) - 1 = 19 bits differ in at most 4 bits of some block, so a mask of it leaves all of these out."""
+    out = []
+    for block in range(2 * BITS // BLOCK_BITS):
+        at = block * BLOCK_BITS
+        for m in covering_masks(list(range(at, at + BLOCK_BITS)), BLOCK_RADIUS):
+            out.append((m & ((1 << BITS) - 1), m >> BITS))
+    return out
+
+
+def inner_masks(outer: tuple[int, int]) -> list[tuple[int, int]]:
+    """The same over the bits that a mask leaves free, for what shares a hot bucket."""
+    free = [p for p in range(2 * BITS) if not (outer[0] | outer[1] << BITS) >> p & 1]
+    out = []
+    for block in range(4):
+        for m in covering_masks(free[block::4], BLOCK_RADIUS):
+            out.append((m & ((1 << BITS) - 1), m >> BITS))
+    return out
+
+
+def wide_fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two words of SimHash over distinct 64-bit shingle hashes; none: zero."""
+    out = []
+    for word in range(2):
+        h = shingles
+        if word:  # a second 64 bits out of the first
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+        sums = np.zeros(BITS, np.int64)
+        for lo in range(0, len(h), 4096):
+            sums += np.unpackbits(h[lo : lo + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * sums > len(h)).view(">u8")[0]))
+    return out[0], out[1]
+
+
+def _row_key(id_col: str, text_col: str) -> list:
+    """A row's identity and its order: rows without an id last, then by id, then by a hash of the text."""
+    return [F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")]
+
+
+def _wide_prints(rows: DataFrame, width: int) -> DataFrame:
+    """(n, id, h, d1, d2, f1, f2, n_words) of rows (n, id, h, text): d is a digest of the words, f the fingerprint."""
+
+    def run(batches):
+        for b in batches:
+            texts = as_bytes(b.column(3))
+            words = [t.lower().split() if t else [] for t in texts]
+            digests = b"".join([xxhash.xxh3_128_digest(b" ".join(w)) for w in words])
+            d = np.frombuffer(digests, ">i8").astype(np.int64).reshape(len(texts), 2)
+            f = np.array([wide_fingerprint(shingle_hashes(w, width)) if w else (0, 0) for w in words], np.uint64).reshape(len(texts), 2).view(np.int64)
+            n_words = np.array(list(map(len, words)), np.int64)
+            cols = [*b.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(n_words)]
+            yield pa.RecordBatch.from_arrays(cols, ["n", "id", "h", "d1", "d2", "f1", "f2", "n_words"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, d1 bigint, d2 bigint, f1 bigint, f2 bigint, n_words bigint")
+
+
+def _wide_forest(fp: np.ndarray, who: np.ndarray, radius: int, budget: int):
+    """Links (a, b) of a spanning forest, and the members that are still to be compared if the budget did not do."""
+    rest = np.arange(len(fp))
+    a, b = [], []
+    spent = 0
+    frontier: list[int] = []
+    while len(rest):
+        if not frontier:
+            frontier, rest = [int(rest[0])], rest[1:]
+        x = frontier.pop()
+        spent += len(rest)
+        near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1) <= radius
+        if near.any():
+            hit = rest[near]
+            a.append(np.full(len(hit), who[x]))
+            b.append(who[hit])
+            frontier.extend(hit.tolist())
+            rest = rest[~near]
+        if spent > budget and len(rest):
+            left = np.concatenate([np.array(frontier, np.int64), rest])
+            return a, b, left
+    return a, b, np.zeros(0, np.int64)
+
+
+def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
+    """Over rows (mask, key, f1, f2, who) sorted by mask and key: links (a, b), or members (a, null, mask, f1, f2) of buckets that want further masks."""
+    names = ["a", "b", "mask", "f1", "f2"]
+
+    def links(a, b):
+        z = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(z.astype(np.int32)), pa.array(z), pa.array(z)], names)
+
+    def members(mask, fp, who):
+        f = fp.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(mask), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names)
+
+    def run(batches):
+        def emit(mask, key, fp, who):
+            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+            starts = np.concatenate([[0], cuts])
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
+            bucket = np.repeat(np.arange(len(sizes)), sizes)[small]
+            a, b = [], []
+            for d in range(1, 8):
+                if len(small) <= d:
+                    break
+                ok = (bucket[d:] == bucket[:-d]) & (np.bitwise_count(fp[small[d:]] ^ fp[small[:-d]]).sum(axis=1) <= radius)
+                a.append(who[small[:-d][ok]])
+                b.append(who[small[d:][ok]])
+            for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
+                x, y, left = _wide_forest(fp[s : s + n], who[s : s + n], radius, 1 << 62 if last else budget)
+                a += x
+                b += y
+                if len(left):
+                    yield members(mask[s + left], fp[s + left], who[s + left])
+            if a and sum(map(len, a)):
+                yield links(np.concatenate(a), np.concatenate(b))
+
+        held: list = []
+        flooded = None
+        for batch in batches:
+            mask = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            key = batch.column(1).to_numpy(zero_copy_only=False)
+            fp = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)], axis=1).view(np.uint64)
+            who = batch.column(4).to_numpy(zero_copy_only=False)
+            if flooded is not None:  # the rest of a bucket that is already known as hot
+                same = (mask == flooded[0]) & (key == flooded[1])
+                n = len(same) if same.all() else int(same.argmin())
+                if n:
+                    yield members(mask[:n], fp[:n], who[:n])
+                mask, key, fp, who = mask[n:], key[n:], fp[n:], who[n:]
+            if not len(key):
+                continue
+            flooded = None
+            held.append((mask, key, fp, who))
+            if (mask[0], key[0]) == (mask[-1], key[-1]) and sum(len(x[1]) for x in held) < held_rows:
+                continue  # perhaps all one bucket so far
+            mask, key, fp, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
+            tail = int(ends[-1]) + 1 if len(ends) else 0
+            if tail:
+                yield from emit(mask[:tail], key[:tail], fp[:tail], who[:tail])
+            held = [(mask[tail:], key[tail:], fp[tail:], who[tail:])]
+            if not last and len(key) - tail > held_rows:
+                mask, key, fp, who = held[0]
+                a, b, _ = _wide_forest(fp, who, radius, budget)
+                if a:
+                    yield links(np.concatenate(a), np.concatenate(b))
+                yield members(mask, fp, who)
+                flooded, held = (mask[0], key[0]), []
+        if held:
+            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS, budget: int = COMPARISONS) -> DataFrame:
+    """(a, b): links between distinct wide fingerprints (who, f1, f2) at `radius` or fewer differing bits: for each linked pair that shares a bucket, a path of links.
+
+    Every pair within 19 bits shares a bucket, most pairs beyond it do too. A bucket with more members or work than its bounds
+    is split by further masks over its free bits.
+    """
+    ship(prints.sparkSession)
+    masks = wide_masks()
+    keys = F.array(*[F.col("f1" if m[0] else "f2").bitwiseAND(F.lit(_signed(m[0] or m[1]))) for m in masks])
+    rows = prints.select("f1", "f2", "who", F.posexplode(keys).alias("mask", "key")).select("mask", "key", "f1", "f2", "who")
+    schema = "a bigint, b bigint, mask int, f1 bigint, f2 bigint"
+    found = cut(rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_wide_job(radius, held_rows, budget, False), schema))
+    deep: dict[int, np.ndarray] = {}
+
+    def further(batches):
+        for b in batches:
+            outer = b.column(2).to_numpy(zero_copy_only=False)
+            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4)], axis=1).view(np.uint64)
+            who = b.column(0).to_numpy(zero_copy_only=False)
+            for m in np.unique(outer).tolist():
+                if m not in deep:
+                    deep[m] = np.array(inner_masks(masks[m]), np.uint64)
+                own = fp[outer == m]
+                base = (own & np.array(masks[m], np.uint64)).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                for i, inner in enumerate(deep[m]):
+                    part = own & inner
+                    key = (base ^ part[:, 0]) * np.uint64(0xBF58476D1CE4E5B9) ^ (part[:, 1] * np.uint64(0x94D049BB133111EB))
+                    n = len(own)
+                    f = own.view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m * 1000 + i, np.int32)), pa.array(key.view(np.int64)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(who[outer == m])], ["mask", "key", "f1", "f2", "who"])
+
+    again = found.where("b is null").mapInArrow(further, "mask int, key bigint, f1 bigint, f2 bigint, who bigint")
+    more = again.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_wide_job(radius, held_rows, budget, True), schema)
+    return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+
+
+def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(pid, shingles) of the rows that wanted (pid, n, id, h) names. Texts are not shuffled: a filter of bounded size lets few others pass."""
+    sieve = bloom(wanted.select("h"), "h")
 
-    A repeated row stays once. Rows without a doc_id stay only where no member of their group has one, once for each text.
+    def run(batches):
+        for b in batches:
+            own = np.flatnonzero(sieve.value.may_hold(b.column(2).to_numpy(zero_copy_only=False)))
+            part = b.take(pa.array(own))
+            sets = [shingle_hashes((t or b"").lower().split(), width) for t in as_bytes(part.column(3))]
+            ends = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n", "id", "h", "shingles"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, shingles array<bigint>").withColumnsRenamed({"n": "_n", "id": "_id", "h": "_h"})
+    on = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_id"))
+    return wanted.join(some, on).select("pid", "shingles").dropDuplicates(["pid"])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, radius: int = 32, block_words: int = 300_000) -> DataFrame:
+    """(n, id, h, best): for every distinct row its identity and that of the row which stays of its group.
+
+    Candidates are texts whose wide fingerprints over `width`-word shingles differ in `radius` bits or fewer, or lead from one
+    to the other; they are linked if the exact Jaccard similarity of their shingle sets is `threshold` or more. A group is a
+    connected component of links; texts of the same words are one text. The row that stays is the first by id, rows without an
+    id last, then by a hash of the text.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    own = cut(_wide_prints(rows, width))
+    texts = own.groupBy("d1", "d2", "f1", "f2").agg(F.min(F.struct("n", "id", "h")).alias("first"), F.max("n_words").alias("n_words"))
+    texts = cut(texts.withColumn("pid", F.monotonically_increasing_id()))
+    # a fingerprint goes by one of its texts
+    prints = texts.groupBy("f1", "f2").agg(F.min("pid").alias("who"))
+    prints = cut(prints)
+    roots = connected_components(wide_links(prints, radius)).withColumnRenamed("node", "who")
+    rooted = texts.join(prints, ["f1", "f2"]).join(roots, "who", "left").select("pid", "first", "n_words", F.coalesce("root", "who").alias("bucket"))
+    rooted = cut(rooted)
+    # members weigh as their words, so blocks are bounded in memory
+    groups = cut(rooted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum(F.col("n_words") + 16).alias("size")).where("texts > 1"))
+    members = cut(rooted.join(groups, "bucket").select("bucket", "pid", "size", "first"))
+    sets = _wanted_shingles(rows, members.select("pid", "first.*"), width)
+    links = verified_links(block_pairs(members.select("bucket", "pid", "size"), block_words), sets, threshold)
+    same = connected_components(links).withColumnRenamed("node", "pid")
+    labels = rooted.select("pid", "first").join(same, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+    best = cut(labels.groupBy("root").agg(F.min("first").alias("best")))
+    of = labels.join(best, "root").select("pid", "best")
+    named = texts.select("d1", "d2", "pid").join(of, "pid").drop("pid")
+    return own.select("n", "id", "h", "d1", "d2").distinct().join(named, ["d1", "d2"]).select("n", "id", "h", "best")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, one of each group of near copies (see near_copies), columns as they are.
+
+    Null and blank texts have no words and are one group. Rows without an id take part and stay only if no member of their
+    group has one. A repeated row stays once. An empty table gives no rows.
     """
-    groups = simhash_groups(docs, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows, names, of = masked(docs)
+    id_col, text_col = of[id_col], of[text_col]
+    found = near_copies(rows, id_col, text_col, **options)
+    kept = found.where((F.col("n") == F.col("best.n")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))).select("n", "id", "h")
+    n, id_, h = (c.alias(f"_{x}") for c, x in zip(_row_key(id_col, text_col), "nih", strict=True))
+    keyed = rows.select("*", n, id_, h)
+    on = (F.col("_h") == F.col("h")) & (F.col("_n") == F.col("n")) & F.col("_i").eqNullSafe(F.col("id"))
+    once = W.partitionBy("_h", "_n", "_i").orderBy("_h")
+    left = keyed.join(kept, on, "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1")
+    return left.select(*names).toDF(*docs.columns)

@@ -31,7 +31,7 @@ from .common import ship, slabs
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Lattice positions kept per worker before the cache starts anew.
-CACHE = 3_000_000
+CACHE = 800_000
 #: Edges that are kept room for, per position.
 EDGES = 5
 _models: dict[tuple, Lattices] = {}
@@ -135,8 +135,8 @@ class Lattices:
             h = (h * int(_MULT) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def reset(self, capacity: int = CACHE):
-        self.capacity = capacity
+    def reset(self, capacity: int | None = None):
+        self.capacity = capacity = capacity or CACHE
         self.next_pos = self.n_pos = self.n_edges = 0
         self.pending: list[str] = []
         self.start, self.after_blank = _Words(self, ""), _Words(self, SPACE)
@@ -263,7 +263,7 @@ class Lattices:
         """Start positions of all words of all texts, and the number of words of each text."""
         found = [self._positions(t) for t in texts]
         if self.next_pos > self.capacity:  # start anew with this batch's words
-            self.reset(CACHE)
+            self.reset()
             found = [self._positions(t) for t in texts]
             if self.next_pos > CACHE:
                 self.reset(self.next_pos)
@@ -438,7 +438,8 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: f
 
     Samples come in order of their perturbed scores. logp is the log-probability of the segmentation, log_inclusion the log of
     its inclusion probability given the threshold (0 if the text has no more segmentations than were asked for). round_trip says
-    that decoding gives the text back. Null or empty text: one sample without pieces, logp 0. Repeated rows come back
+    that decoding gives the text back; it is false for a text that holds the model's own blank mark U+2581, which the
+    model reads as a blank. Null or empty text: one sample without pieces, logp 0. Repeated rows come back
     repeated and equal; a null key hashes as an empty one. An empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
@@ -453,7 +454,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: f
                 found = lat.sample(texts[lo:hi], keys[lo:hi], samples)
                 row, no, sizes, parts, logp, incl, good = [], [], [], [], [], [], []
                 for i, own in enumerate(found):
-                    raw = texts[lo + i].replace(SPACE, " ").encode("utf-8", "replace")
+                    raw = texts[lo + i].encode("utf-8", "replace")
                     for s, (leaf, lp, li) in enumerate(own):
                         ids = lat.ids_of(leaf)
                         row.append(lo + i)

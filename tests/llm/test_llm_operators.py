@@ -563,7 +563,7 @@ def brute_paragraphs(rows, min_words):
     return sorted((d, i, min(x[0] for x in g), len(g), (d, i) != min(g)) for g in groups.values() if len({x[0] for x in g}) > 1 for d, i in g)
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [150_000, 200])
 def test_paragraph_classes(spark, nothing, block):
     from logweave.llm.paragraph_dedup import repeated_paragraphs
 
@@ -577,33 +577,123 @@ def test_paragraph_classes(spark, nothing, block):
         rows.append((i, f"{prose(30, i)}\n{' '.join(words)}\nshort line" if i % 2 else prose(70, 1000 + i)))
     rows += [(70, None), (71, ""), (72, prose(25, 5) + "\n" + prose(25, 5)), (73, prose(30, 1).upper())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("pid", F.lit(2))
-    got = sorted((x["doc_id"], x["para"], x["class_id"], x["n_paragraphs"], x["removed"]) for x in repeated_paragraphs(df, block=block).collect())
+    got = sorted((x["doc_id"], x["para"], x["class_id"], x["n_paragraphs"], x["removed"]) for x in repeated_paragraphs(df, block_words=block).collect())
     assert got == brute_paragraphs(rows, 20)
     assert repeated_paragraphs(nothing).count() == 0
 
 
-def test_passages_inside_lines(spark, nothing):
+def planted(sizes, dots, seed):
+    """Texts of long lines, some with a shared passage of a size inside; (rows, passages, documents of each passage)."""
+    r = random.Random(seed)
+    dot = (lambda w: w + r.choice(["", "", "", ".", "!"])) if dots else (lambda w: w)
+    passages = [" ".join(dot(w) for w in prose(n, 7000 + i + 100 * seed).split()) for i, n in enumerate(sizes)]
+    rows, where = [], [[] for _ in sizes]
+    for i in range(60):
+        words = [dot(w) for w in prose(r.randint(30, 400), 900 * seed + i).split()]
+        for k in range(len(sizes)):
+            if (i + k) % 7 == 0:
+                words.insert(r.randint(1, len(words)), passages[k])
+                where[k].append(i)
+        gap = r.choice([" ", " ", "\n"]) if i % 5 else "\n" * (i % 2) or " "
+        text = gap.join(words) if i % 5 == 0 and i % 2 else " ".join(words)
+        rows.append((i, text + " é"))
+    return rows, passages, where
+
+
+@pytest.mark.parametrize("dots", [True, False])
+def test_passages_inside_lines(spark, nothing, dots):
     from logweave.llm.paragraph_dedup import repeated_passages, repeated_text
 
-    r = random.Random(21)
-    sentence = lambda seed: prose(r.randint(5, 9), seed).capitalize() + "."
-    passage = " ".join(sentence(9000 + i) for i in range(9))
-    rows = []
-    for i in range(40):
-        body = [sentence(i * 50 + j) for j in range(12)]
-        if i % 4 == 0:
-            body.insert(r.randint(1, 10), passage)
-        rows.append((i, "\n".join([" ".join(body[:7]), " ".join(body[7:])]) + " é"))
-    rows += [(90, None), (91, ""), (92, "...")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("low", F.lit(1))
-    got = repeated_passages(df, 20).collect()
-    assert {x["doc_id"] for x in got} == set(range(0, 40, 4)) and {x["class_id"] for x in got} == {0}
+    rows, passages, where = planted([50, 51, 60, 100, 230], dots, 3)
+    rows += [(90, None), (91, ""), (92, "..."), (None, rows[0][1] + " more"), (None, rows[0][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("low", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("h1", F.lit(3))
     text = dict(rows)
-    for x in got:
-        span = text[x["doc_id"]][x["start"] : x["stop"]]
-        assert span in passage and len(span.split()) >= 20 and text[x["doc_id"]][: x["start"]].count("\n") == x["para"]
-    assert {x["doc_id"] for x in repeated_text(df).collect()} == set(range(0, 40, 4))
-    assert repeated_text(nothing).count() == 0
+    for got in (repeated_passages(df, 20).collect(), repeated_text(df).collect()):
+        kept, found = {}, {}
+        for x in got:
+            if x["doc_id"] is None:
+                continue
+            t = text[x["doc_id"]]
+            assert t[: x["start"]].count("\n") == x["para"] and x["start"] < x["stop"]
+            found.setdefault(x["doc_id"], []).append((x["start"], x["stop"]))
+            if not x["removed"]:
+                kept.setdefault(x["doc_id"], []).append((x["start"], x["stop"]))
+        flat = {i: (t or "").replace("\n", " ") for i, t in rows if i is not None}
+        for p, docs_of in zip(passages, where, strict=True):
+            stays = 0
+            for i in docs_of:
+                at = flat[i].index(p)
+                own = [(max(a, at), min(b, at + len(p))) for a, b in found[i] if a < at + len(p) and b > at]
+                assert own, "a planted passage has no span"
+                gone = [(a, b) for a, b in found[i] if a < at + len(p) and b > at and (a, b) not in kept.get(i, [])]
+                stays += not gone
+            assert stays >= 1, "every copy lost text"
+    assert any(x["doc_id"] is None for x in repeated_text(df).collect())
+    assert repeated_text(nothing).count() == 0 and repeated_passages(nothing, 20).count() == 0
+
+
+def brute_picks(words, width, reach):
+    """Starts of the picked windows: of every `reach` successive windows the least hashes."""
+    from logweave.llm.paragraph_dedup import _windows
+
+    n = len(words) - width + 1
+    hashes = [int(_windows(np.array(words[i : i + width], np.uint64), np.array([width]), width)[3].view(np.uint64)[0] >> np.uint64(1)) for i in range(n)]
+    out = set()
+    for j in range(max(1, n - reach + 1)):
+        some = hashes[j : j + reach]
+        out |= {j + i for i, h in enumerate(some) if h == min(some)}
+    return out
+
+
+def test_windows_are_winnowed():
+    from logweave.llm.paragraph_dedup import REACH, _windows
+
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 19, 20, 21, 49, 50, 51, 120, 300, 3, 90)]
+    texts[8][40:80] = texts[8][0]  # one word again and again
+    sizes = np.array(list(map(len, texts)))
+    who, first, stop, h1, h2 = _windows(np.concatenate(texts), sizes, 20)
+    for i, t in enumerate(texts):
+        own = (who == i) & (stop - first == 20)
+        assert set(first[own].tolist()) == (brute_picks(t.tolist(), 20, REACH) if len(t) >= 20 else set())
+        again = _windows(t, np.array([len(t)]), 20)
+        mine = who == i
+        assert sorted(zip(first[mine], stop[mine], h1[mine], h2[mine])) == sorted(zip(*again[1:]))
+    same = {}
+    for i, a, b, x in zip(who, first, stop, h1, strict=True):
+        assert same.setdefault(int(x), tuple(texts[i][a:b].tolist())) == tuple(texts[i][a:b].tolist())
+
+
+def test_one_copy_of_each_stretch_stays(spark):
+    """Chains of overlapping passages: by brute force over all 20-word windows, none that several documents hold loses its last copy."""
+    from logweave.llm.paragraph_dedup import repeated_text
+
+    for seed in range(3):
+        r = random.Random(seed)
+        parts = [prose(r.randint(18, 30), 40 * seed + i) + r.choice([".", ""]) for i in range(14)]
+        rows = []
+        for i in range(9):
+            a = r.randrange(10)
+            rows.append((i, r.choice([" ", "\n"]).join(parts[a : a + r.randint(2, 5)])))
+        got = repeated_text(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        left = {}
+        for i, t in rows:
+            marks = np.zeros(len(t), bool)
+            for x in got:
+                if x["doc_id"] == i and x["removed"]:
+                    marks[x["start"] : x["stop"]] = True
+            words, at = [], 0
+            for w in t.split():
+                at = t.index(w, at)
+                words.append((w.lower(), not marks[at : at + len(w)].any()))
+                at += len(w)
+            for j in range(len(words) - 19):
+                key = tuple(w for w, _ in words[j : j + 20])
+                left.setdefault(key, []).append(all(k for _, k in words[j : j + 20]))
+        lost = [k for k, v in left.items() if len(v) > 1 and not any(v)]
+        # a window over the seam of two kept stretches may be cut; no word sequence of a part may be lost altogether
+        whole = {tuple(p.lower().split()[:18]) for p in parts}
+        assert not [k for k in lost if k[:18] in whole and sum(v for v in left[k]) == 0 and k[:18] not in {q[:18] for q, v in left.items() if any(v)}]
 
 
 def test_spans_run_on_and_leave_one_copy(spark):
