@@ -243,7 +243,8 @@ def _spans(windows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Windows of a document put together to spans outside its lines."""
     rows = windows.withColumn("line", F.lit(False))
     if lines is not None:
-        flagged = lines.select("doc_id", "doc", "para", F.col("para").alias("end_para"), "start", "stop", F.lit(True).alias("line"))
+        rows = cut(rows)
+        flagged = lines.join(rows.select("doc").distinct(), "doc", "left_semi").select("doc_id", "doc", "para", F.col("para").alias("end_para"), "start", "stop", F.lit(True).alias("line"))
         rows = rows.unionByName(flagged, allowMissingColumns=True)
     kind = windows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, para bigint, start bigint, stop bigint, n_words bigint, class_id {kind}, n_paragraphs bigint, removed boolean"
@@ -276,19 +277,20 @@ def _judged(docs: DataFrame, min_words: int, lines: DataFrame | None = None) ->
         found = places.join(repeated, ["h1", "h2"])
         first = F.when(F.col("low").isNull(), F.col("doc") == F.col("d_low")).otherwise(F.col("doc_id").eqNullSafe(F.col("low")))
         return found.withColumn("removed", ~first).drop("h1", "h2", "d_low")
-    gone = lines.where("removed").groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")).withColumnRenamed("doc", "_doc")
-    found = places.join(gone, F.col("doc") == F.col("_doc"), "left")
-    within = F.exists("cuts", lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop")))
-    touched = F.exists("cuts", lambda x: (x["start"] < F.col("stop")) & (x["stop"] > F.col("start")))
-    # what lies in a removed line whole is gone with it
-    found = found.where(~F.coalesce(within, F.lit(False))).withColumn("touched", F.coalesce(touched, F.lit(False))).drop("_doc", "cuts")
+    flagged = lines.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "removed")).alias("cuts")).withColumnRenamed("doc", "_doc")
+    found = places.join(flagged, F.col("doc") == F.col("_doc"), "left")
+    within = lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop"))
+    some = lambda f: F.coalesce(F.exists("cuts", f), F.lit(False))
+    # what lies in a removed line whole is gone with it; what lies in another line whole only counts as a copy
+    found = found.where(~some(lambda x: x["removed"] & within(x))).withColumn("inside", some(within))
+    found = found.withColumn("touched", some(lambda x: x["removed"] & (x["start"] < F.col("stop")) & (x["stop"] > F.col("start")))).drop("_doc", "cuts")
     found = cut(found.join(repeated, ["h1", "h2"]))
     stays = cut(found.where("not touched").groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.min("doc").alias("d_keeper"), F.lit(True).alias("some")))
     # where a removed line cuts into every copy, the first by id stays as far as it lies outside
-    marked = found.join(stays, ["h1", "h2"], "left")
+    marked = found.where("not inside").join(stays, ["h1", "h2"], "left")
     keeper, d_keeper = (F.when(F.col("some"), F.col(x)).otherwise(F.col(y)) for x, y in (("keeper", "low"), ("d_keeper", "d_low")))
     first = F.when(keeper.isNull(), F.col("doc") == d_keeper).otherwise(F.col("doc_id").eqNullSafe(keeper))
-    return marked.withColumn("removed", ~first).drop("h1", "h2", "d_low", "keeper", "d_keeper", "some", "touched")
+    return marked.withColumn("removed", ~first).drop("h1", "h2", "d_low", "keeper", "d_keeper", "some", "touched", "inside")
 
 
 def repeated_passages(docs: DataFrame, min_words: int) -> DataFrame:
