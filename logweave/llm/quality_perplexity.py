@@ -1,13 +1,17 @@
 """Quality rules by n-gram perplexity.
 
 The model is an interpolated modified Kneser-Ney model over character n-grams of order 4, one per language. Characters are
-lower-cased and mapped to 4,096 classes (code points below 3,072 are their own class), so a 4-gram is an exact 48-bit key and
-its suffixes and contexts are bit operations. Spark counts the n-grams of the whole corpus, with a partial count per task,
-and derives continuation counts, discounts and log-probabilities from them by grouping and joining.
+lower-cased; digits are one class and white space is one. A class is the code point itself, so a 4-gram is an exact 64-bit
+key and its suffixes and contexts are bit operations; code points above 65,535 share the 6,400 classes of the private use
+area. Spark counts the n-grams, with a partial count per task, and derives continuation counts, discounts and
+log-probabilities from them by grouping and joining.
+
+The model is fitted on every row that reads as text: it passes the base rules, and at most one in fifty of its characters is one
+of the counted symbols. Rows that are full of marks are judged by a model that has not learned them, so they stand out.
 
 For scoring, each language's entries are sorted arrays of 64-bit keys beside their values. The arrays are broadcast only if
 their number of entries is at most `max_entries` (12 bytes each); beyond that each document's distinct n-grams are joined to
-the model table instead.
+the model table instead. Values are single-precision numbers on both ways.
 """
 
 from __future__ import annotations
@@ -20,13 +24,17 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, masked, ship, slabs
 
 ORDER = 4
-SYMBOL_BITS = 12
+SYMBOL_BITS = 16
 START, END = 0, 1
 LOG2E = 1.4426950408889634
 SYMBOLS = "#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Entries that may be broadcast: 16 million times 12 bytes.
 MAX_ENTRIES = 16_000_000
+#: Characters of a text taken at once, and n-grams counted in a task before they are handed on.
+SLAB, HELD = 600_000, 1_000_000
+#: A row with more symbols than one in so many characters is not learned from.
+SYMBOL_SHARE = 50
 #: Languages whose bands may be broadcast: a few dozen bytes each.
 MAX_BANDS = 100_000
 _table: list[np.ndarray] = []
@@ -35,7 +43,7 @@ _table: list[np.ndarray] = []
 def symbol_table() -> np.ndarray:
     """Class of each code point below 65,536; built once per process."""
     if not _table:
-        out = np.zeros(65536, np.int64)
+        out = np.zeros(65536, np.uint64)
         for cp in range(65536):
             low = chr(cp).lower()
             c = ord(low) if len(low) == 1 else cp
@@ -43,32 +51,57 @@ def symbol_table() -> np.ndarray:
                 c = 48
             elif chr(c).isspace():
                 c = 32
-            out[cp] = max(c, 2) if c < 3072 else 3072 + c % 1024
+            out[cp] = max(c, 2)
         _table.append(out)
     return _table[0]
 
 
+def symbols(text: bytes) -> np.ndarray:
+    """Classes of a text's characters."""
+    cp = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = symbol_table()[cp & 0xFFFF]
+    far = np.flatnonzero(cp > 0xFFFF)
+    if len(far):
+        out[far] = 0xE000 + cp[far] % 6400
+    return out
+
+
+def _codes(s: np.ndarray) -> np.ndarray:
+    code = s.copy()
+    for back in range(1, ORDER):
+        code[back:] |= s[:-back] << np.uint64(SYMBOL_BITS * back)
+    return code
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit codes of the n-grams that end at each character and at the end of each text, and the index of their text."""
-    table = symbol_table()
+    """64-bit codes of the n-grams that end at each character and at the end of each text, and the index of their text."""
     parts, sizes = [], []
     for t in texts:
-        cp = np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts += [np.full(3, START, np.int64), table[cp & 0xFFFF], np.full(1, END, np.int64)]
-        sizes.append(len(cp) + 1)
+        own = symbols(t)
+        parts += [np.full(ORDER - 1, START, np.uint64), own, np.full(1, END, np.uint64)]
+        sizes.append(len(own) + 1)
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s = np.concatenate(parts)
-    code = s.copy()
-    for back in range(1, ORDER):
-        code[back:] |= s[:-back] << (SYMBOL_BITS * back)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    code = _codes(np.concatenate(parts))
     sizes = np.array(sizes)
-    begins = np.cumsum(sizes + 3) - sizes
+    begins = np.cumsum(sizes + ORDER - 1) - sizes
     doc = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
     return code[at], doc
 
 
+def gram_slabs(texts: list[bytes], limit: int = SLAB):
+    """grams() of some texts at a time: (first text, text after the last, codes, index of their text). A very long text comes in pieces."""
+    for lo, hi in slabs([len(t) for t in texts], limit):
+        if hi - lo > 1 or len(texts[lo]) <= 4 * limit:
+            yield lo, hi, *grams(texts[lo:hi])
+            continue
+        s = np.concatenate([np.full(ORDER - 1, START, np.uint64), symbols(texts[lo]), np.full(1, END, np.uint64)])
+        for at in range(ORDER - 1, len(s), limit):
+            code = _codes(s[at - ORDER + 1 : at + limit])[ORDER - 1 :]
+            yield lo, hi, code, np.zeros(len(code), np.int64)
+
+
 def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     code, count = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(code, kind="stable")
@@ -77,8 +110,14 @@ def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return code[first], np.add.reduceat(count, first)
 
 
-def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, code, n): exact counts over all rows; null languages count as ''. Null text is left out."""
+def learned_from(features: tuple[int, int, int, int, int], min_words: int = 50) -> bool:
+    """Whether the model is fitted on a row: it passes the base rules and is not full of symbols."""
+    n, chars, marks, _, repeat = features
+    return n >= min_words and 100 * repeat <= 50 * n and SYMBOL_SHARE * marks <= chars
+
+
+def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int | None = None) -> DataFrame:
+    """(lang, code, n): exact counts over all rows, or with `min_words` over all rows learned from; null languages count as ''. Null text is left out."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -86,28 +125,30 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         def flush(lang):
             code, n = _tally(*held.pop(lang))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
         for b in batches:
             texts, langs = as_bytes(b.column(0)), b.column(1).to_pylist()
             rows: dict[str, list[bytes]] = {}
             for t, g in zip(texts, langs, strict=True):
-                if t is not None:
+                if t is not None and (min_words is None or learned_from(base_features(t), min_words)):
                     rows.setdefault(g or "", []).append(t)
             for lang, own in rows.items():
-                for lo, hi in slabs([len(t) for t in own], 1_000_000):
-                    code, _ = grams(own[lo:hi])
+                for _, _, code, _ in gram_slabs(own):
                     code.sort()
                     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                     sizes = np.diff(np.concatenate([first, [len(code)]]))
                     h = held.setdefault(lang, ([], []))
                     h[0].append(code[first])
                     h[1].append(sizes)
-                    if sum(map(len, h[0])) > 3_000_000:
+                    if sum(map(len, h[0])) > HELD:
                         code, n = _tally(*h)
                         held[lang] = ([code], [n])
-                        if len(code) > 1_500_000:
+                        if len(code) > HELD // 2:
                             yield flush(lang)
+            if len(held) > 64:  # many languages: what a task holds stays bounded
+                for lang in list(held):
+                    yield flush(lang)
         for lang in list(held):
             yield flush(lang)
 
@@ -129,7 +170,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     out = None
     lower = None
     for k in range(1, ORDER + 1):
-        t = tables[k].withColumn("h", F.shiftright("code", bits))
+        t = tables[k].withColumn("h", F.shiftrightunsigned("code", bits))
         of = t.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
         y = F.expr("n1 / greatest(n1 + 2 * n2, 1)")
         d = [F.least(F.greatest(F.lit(0.05), F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(0.5 * i)), F.lit(i * 0.95)) for i in (1, 2, 3)]
@@ -158,8 +199,9 @@ class Arrays:
         self.keys, self.values = {}, {}
         for k in np.unique(kind):
             own = kind == k
-            order = np.argsort(code[own])
-            self.keys[int(k)] = code[own][order]
+            keys = code[own].view(np.uint64)
+            order = np.argsort(keys)
+            self.keys[int(k)] = keys[order]
             self.values[int(k)] = value[own][order].astype(np.float32)
 
     def find(self, kind: int, code: np.ndarray) -> np.ndarray:
@@ -172,21 +214,27 @@ class Arrays:
 
     def logp(self, code: np.ndarray) -> np.ndarray:
         """Natural log-probability of the last character of each 4-gram; `code` sorted is faster, not needed."""
+        bits = np.uint64(SYMBOL_BITS)
         out = self.find(ORDER, code)
         weight = np.zeros(len(code))
         rest = np.flatnonzero(np.isnan(out))
         for k in range(ORDER - 1, 0, -1):
             if not len(rest):
                 return out
-            part = code[rest] & ((1 << SYMBOL_BITS * (k + 1)) - 1)
-            back = self.find(10 + k, part >> SYMBOL_BITS)
+            part = code[rest] & np.uint64((1 << SYMBOL_BITS * (k + 1)) - 1)
+            back = self.find(10 + k, part >> bits)
             weight[rest] += np.where(np.isnan(back), 0.0, back)
-            p = self.find(k, part & ((1 << SYMBOL_BITS * k) - 1))
+            p = self.find(k, part & np.uint64((1 << SYMBOL_BITS * k) - 1))
             out[rest] = p + weight[rest]
             rest = rest[np.isnan(p)]
-        out[rest] = self.find(10, np.zeros(len(rest), np.int64)) + weight[rest]
+        out[rest] = self.find(10, np.zeros(len(rest), np.uint64)) + weight[rest]
         return np.nan_to_num(out, nan=-30.0)
 
+    def sums(self, code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Sum of log-probabilities for each of `n` texts; every distinct n-gram is looked up once."""
+        keys, own = np.unique(code, return_inverse=True)
+        return np.bincount(doc, weights=self.logp(keys)[own], minlength=n)
+
 
 def base_features(text: bytes | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
@@ -233,22 +281,18 @@ def _measure(models):
                     by.setdefault(g or "", []).append(i)
             for lang, own in by.items():
                 model = arrays.get(lang)
-                for lo, hi in slabs([len(texts[i]) for i in own], 1_000_000):
+                for lo, hi, code, doc in gram_slabs([texts[i] for i in own]):
                     rows = own[lo:hi]
-                    code, doc = grams([texts[i] for i in rows])
-                    size[rows] = np.bincount(doc, minlength=len(rows))
+                    size[rows] += np.bincount(doc, minlength=len(rows))
                     if model is not None:
-                        if len(rows) < 65536:  # sorted look-ups stay in the cache; the text's number rides in the low bits
-                            both = np.sort(code.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64))
-                            code, doc = (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
-                        total[rows] = np.bincount(doc, weights=model.logp(code), minlength=len(rows))
+                        total[rows] += model.sums(code, doc, len(rows))
             cols = [*b.columns[2:], pa.array([g or "" for g in langs], pa.string()), *[pa.array(base[:, j]) for j in range(5)], pa.array(size), pa.array(total)]
             yield pa.RecordBatch.from_arrays(cols, [str(i) for i in range(len(cols))])
 
     return run
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
+def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     """The way without a broadcast: distinct n-grams of each document joined to the model, its shorter orders where one is missing."""
     ship(docs.sparkSession)
 
@@ -256,21 +300,28 @@ def _joined_scores(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataF
         for b in batches:
             for i, (t, g) in enumerate(zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True)):
                 if t is not None:
-                    code, n = np.unique(grams([t])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(2)[i].as_py()] * len(code), pa.string()), pa.array([g or ""] * len(code), pa.string()), pa.array(code), pa.array(n)], ["k", "lang", "code", "n"])
+                    for _, _, code, _ in gram_slabs([t]):
+                        code, n = np.unique(code, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([b.column(2)[i].as_py()] * len(code), pa.string()), pa.array([g or ""] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["k", "lang", "code", "n"])
 
     found = docs.select("_t", "_g", "_k").mapInArrow(run, "k string, lang string, code bigint, n bigint")
     bits = SYMBOL_BITS
+    short = lambda k: F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1)) if k < ORDER else F.col("code")
 
     def side(kind):
         return model.where(F.col("kind") == kind).select("lang", F.col("code").alias("m"), F.col("value").alias(f"v{kind}"))
 
-    for kind, part in [(ORDER, F.col("code"))] + [(k, F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1))) for k in (3, 2, 1)] + [(10 + k, F.shiftright(F.col("code").bitwiseAND(F.lit((1 << bits * (k + 1)) - 1)), bits)) for k in (3, 2, 1)] + [(10, F.lit(0).cast("bigint"))]:
+    for kind, part in [(ORDER, F.col("code"))] + [(k, short(k)) for k in (3, 2, 1)] + [(10 + k, F.shiftrightunsigned(short(k + 1), bits)) for k in (3, 2, 1)]:
         found = found.withColumn("m", part).join(side(kind), ["lang", "m"], "left").drop("m")
-    w = [F.coalesce(F.col(f"v{10 + k}"), F.lit(0.0)) for k in (3, 2, 1)]
-    logp = F.coalesce("v4", F.col("v3") + w[0], F.col("v2") + w[0] + w[1], F.col("v1") + w[0] + w[1] + w[2], F.col("v10") + w[0] + w[1] + w[2], F.lit(-30.0))
-    sums = found.groupBy("k").agg(F.sum(logp * F.col("n")).alias("s"))
-    return sums
+    w = [F.coalesce(F.col(f"v{10 + k}"), F.lit(0.0)).cast("double") for k in (3, 2, 1)]
+    # what no order knows waits for its language's weight: added up by document first, as one language may hold a third of all rows
+    known = F.coalesce(F.col("v4").cast("double"), F.col("v3") + w[0], F.col("v2") + w[0] + w[1], F.col("v1") + w[0] + w[1] + w[2])
+    lost = known.isNull()
+    sums = found.groupBy("k", "lang").agg(F.sum(F.coalesce(known, w[0] + w[1] + w[2]) * F.col("n")).alias("s"), F.sum(F.when(lost, F.col("n")).otherwise(0)).alias("lost"))
+    unseen = side(10).drop("m")
+    if unseen.count() <= MAX_BANDS:
+        unseen = F.broadcast(unseen)
+    return sums.join(unseen, "lang", "left").select("k", (F.col("s") + F.col("lost") * F.coalesce(F.col("v10").cast("double"), F.lit(-30.0))).alias("s"))
 
 
 def quality_scores(docs: DataFrame, model: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
@@ -280,6 +331,7 @@ def quality_scores(docs: DataFrame, model: DataFrame, carry: list[str], text_col
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["model_lang string", _COLUMNS])
     picked = docs.select(F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_g"), *carry)
+    model = model.withColumn("value", F.col("value").cast("float"))
     if model.count() <= max_entries:
         flat = model.toArrow()
         langs = np.array(flat.column("lang").to_pylist(), dtype=object)
@@ -288,7 +340,7 @@ def quality_scores(docs: DataFrame, model: DataFrame, carry: list[str], text_col
         return picked.mapInArrow(_measure(sent), schema)
     keyed = picked.withColumn("_k", F.sha2(F.concat_ws("\x01", F.coalesce("_g", F.lit("")), "_t"), 256))
     plain = keyed.select("_t", "_g", *carry, "_k").mapInArrow(_measure(None), schema.replace("model_lang", "_k string, model_lang"))
-    return plain.drop("log_sum").join(_joined_scores(keyed.dropDuplicates(["_k"]), model, carry), plain["_k"] == F.col("k"), "left").drop("k", "_k").withColumn("log_sum", F.coalesce("s", F.lit(0.0))).drop("s")
+    return plain.drop("log_sum").join(_joined_scores(keyed.dropDuplicates(["_k"]), model), plain["_k"] == F.col("k"), "left").drop("k", "_k").withColumn("log_sum", F.coalesce("s", F.lit(0.0))).drop("s")
 
 
 def judge(
@@ -298,14 +350,14 @@ def judge(
 
     A document that passes the base rules is kept if its bits per character lie within its language's band: the median, less
     `low` and plus `high` times a spread. The spread is the interquartile range over 1.349, at least `floor_bits`. Both come
-    from all documents of the language that pass the base rules. Perplexity is 2 to the power bits_per_char, so the band is
-    an upper and a lower perplexity.
+    from all documents of the language that the model is fitted on. Perplexity is 2 to the power bits_per_char, so the band is
+    an upper and a lower perplexity. A language with nothing to fit on has no band: the base rules alone decide.
 
     Null or blank text: zero words, base_failed, not kept. Null language: a language of its own. Repeated rows are counted and
     returned each time. An empty table gives no rows. Other columns are not read.
     """
     carry = ["doc_id"] if carry is None else carry
-    model = kneser_ney(cut(count_grams(docs, text_col, lang_col)))
+    model = kneser_ney(cut(count_grams(docs, text_col, lang_col, min_words)))
 
     def rated(scored: DataFrame) -> DataFrame:
         scored = scored.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -313,7 +365,8 @@ def judge(
 
     narrow = rated(cut(quality_scores(docs, model, ["doc_id"] if carry == ["doc_id"] else [], text_col, lang_col, max_entries)))
     q = F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
-    bands = narrow.where("not base_failed").groupBy("model_lang").agg(q.alias("q"))
+    fitted = ~F.col("base_failed") & (SYMBOL_SHARE * F.col("n_symbols") <= F.col("word_chars"))
+    bands = narrow.where(fitted).groupBy("model_lang").agg(q.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor_bits))
     bands = cut(bands.select("model_lang", (F.col("q")[1] - low * spread).alias("band_low"), (F.col("q")[1] + high * spread).alias("band_high")))
     if bands.count() <= MAX_BANDS:  # beyond it, a shuffled join
@@ -321,11 +374,11 @@ def judge(
     # whole texts are scored again rather than written to the checkpoint folder
     scored = narrow if carry == ["doc_id"] else rated(quality_scores(docs, model, carry, text_col, lang_col, max_entries))
     inside = F.col("bits_per_char").between(F.col("band_low"), F.col("band_high"))
-    return scored.join(bands, "model_lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("log_sum")
+    return scored.join(bands, "model_lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("log_sum")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that judge() keeps, with their columns."""
+    """The rows of `docs` that judge() keeps, with their columns, whatever their names. Null and blank texts go; null ids and languages, repeated rows and empty tables are as in judge()."""
     rows, names, of = masked(docs)
     kept = judge(rows, carry=names, text_col=of["text"], lang_col=of["lang"], **options).where("kept")
     return kept.select(*names).toDF(*docs.columns)
