@@ -1,10 +1,13 @@
 r"""Chat formatting with budgeted windows. DataFrame functions only.
 
-Prefix sums of turn tokens choose windows at turn ends. With stride S = budget - history, a turn that lies within one cell
-[cS, (c+1)S) of its conversation's token line goes to that cell's window; a turn that crosses a cell's end gets a window of its
-own. So a window's new turns hold at most S tokens, or are one single turn, whatever the turns before them. Every window also
-repeats the conversation's opening system turns and the turns that lie wholly within `history` tokens before it. Only new
-assistant turns are under the loss mask: each assistant text is a target once.
+Prefix sums of turn tokens choose windows at turn ends. S = budget - history is the room for what does not come from history. The
+opening system turns (s tokens) are repeated in every window if 2 s <= S. A turn over S / 4 has a window of its own. The
+others go by the cell of the token line in which they start; cells are S - s - m wide, m the longest of these turns of the
+conversation, so what starts in a cell takes S - s tokens at most. A turn with its own window parts the cell around it.
+Every window also repeats the turns before it that lie wholly within `history` tokens, fewer where its own turns leave less room.
+Tokens are counted on the formatted turns, so a window's text keeps to the budget. Exceptions: a single turn over the budget stands
+alone, with nothing repeated; where a single turn leaves no room for the system turns, they are left out. Only new assistant
+turns are under the loss mask: each assistant text is a target once.
 
 Prefix sums run in two levels, by blocks of turns and then within a block, so that a very long conversation is spread over
 tasks; only the digests that a caller asks for gather a conversation.
@@ -36,52 +39,65 @@ def unescape(text: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """Words and marks, at least one."""
-    return F.greatest(F.regexp_count(text, F.lit(r"\w+|[^\w\s]")), F.lit(1)).cast("bigint")
+    """Words of ASCII letters and digits, and other characters but white space; at least one."""
+    return F.greatest(F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D\x20]")), F.lit(1)).cast("bigint")
 
 
-def _turns(conv: DataFrame, block: int) -> DataFrame:
-    """Turns with their rank and token interval [lo, hi) within the conversation."""
+def _turns(conv: DataFrame, block: int, longest: int) -> DataFrame:
+    """Formatted turns with their rank, their token interval [lo, hi) within the conversation and the turns over `longest` tokens before them."""
     t = conv.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", token_estimate(F.col("text"))).withColumn("blk", F.floor(F.coalesce("turn", F.lit(-1)) / block))
+    t = t.withColumn("t", F.concat(F.lit("<s>"), F.url_encode("role"), F.lit("\n"), escape(F.col("text")), F.lit(TURN_END)))
+    t = t.withColumn("tokens", token_estimate(F.col("t"))).withColumn("alone", (F.col("tokens") > longest).cast("bigint"))
+    t = t.withColumn("blk", F.floor(F.coalesce("turn", F.lit(-1)) / block))
     inner = W.partitionBy("conv_id", "blk").orderBy("turn", "role", "text")
-    t = t.withColumn("rank_in", F.row_number().over(inner).cast("bigint")).withColumn("hi_in", F.sum("tokens").over(inner.rowsBetween(W.unboundedPreceding, 0)))
-    blocks = t.groupBy("conv_id", "blk").agg(F.sum("tokens").alias("b_tokens"), F.count("*").alias("b_rows"))
+    so_far = inner.rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("rank_in", F.row_number().over(inner).cast("bigint")).withColumn("hi_in", F.sum("tokens").over(so_far)).withColumn("alone_in", F.sum("alone").over(so_far))
+    blocks = t.groupBy("conv_id", "blk").agg(F.sum("tokens").alias("b_tokens"), F.count("*").alias("b_rows"), F.sum("alone").alias("b_alone"))
     outer = W.partitionBy("conv_id").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    before = blocks.select("conv_id", "blk", F.coalesce(F.sum("b_tokens").over(outer), F.lit(0)).alias("b_lo"), F.coalesce(F.sum("b_rows").over(outer), F.lit(0)).alias("b_rank"))
-    t = t.join(before.withColumnsRenamed({"conv_id": "_c", "blk": "_b"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("blk") == F.col("_b")))
-    return t.select("conv_id", "role", "text", (F.col("b_rank") + F.col("rank_in")).alias("pos"), (F.col("b_lo") + F.col("hi_in") - F.col("tokens")).alias("lo"), (F.col("b_lo") + F.col("hi_in")).alias("hi"))
+    before = blocks.select(F.col("conv_id").alias("_c"), F.col("blk").alias("_b"), *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(y) for x, y in (("b_tokens", "b_lo"), ("b_rows", "b_rank"), ("b_alone", "b_before"))])
+    t = t.join(before, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("blk") == F.col("_b")))
+    hi = F.col("b_lo") + F.col("hi_in")
+    return t.select("conv_id", "role", "t", "tokens", "alone", (F.col("b_rank") + F.col("rank_in")).alias("pos"), (hi - F.col("tokens")).alias("lo"), hi.alias("hi"), (F.col("b_before") + F.col("alone_in") - F.col("alone")).alias("before"))
 
 
 def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, block: int = 256) -> DataFrame:
-    """One row per window: conv_id, window, text, n_repeated (turns at its start that are repeated), loss_spans.
+    """One row per window: conv_id, window (number of its first new turn), text, tokens, n_repeated (turns at its start that are repeated), loss_spans.
 
     loss_spans are code-point intervals [start, stop) of `text`. Turns go by turn number, then role, then text. Null text or
     role: empty. A null conv_id is a conversation of its own. Repeated rows are further turns. No turns: no window. Other
     columns are not read.
     """
-    stride = budget - history
-    t = _turns(conversations, block)
-    cell = F.floor(F.col("lo") / stride)
-    alone = F.floor((F.col("hi") - 1) / stride) > cell
-    t = t.withColumn("window", 2 * cell + alone.cast("bigint"))
-    heads = t.groupBy("conv_id", "window").agg(F.min("lo").alias("w_lo"), F.min("pos").alias("w_pos"))
-    # opening system turns: no other role stands before them
-    first_other = t.where("role <> 'system'").groupBy("conv_id").agg(F.min("pos").alias("first_other"))
-    opening = t.where("role = 'system'").join(first_other.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left").where("first_other is null or pos < first_other")
-    opening = opening.select("conv_id", "role", "text", "pos").withColumnRenamed("conv_id", "_c")
-    system = heads.join(opening, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("pos") < F.col("w_pos"))).select("conv_id", "window", "pos", "role", "text", F.lit(False).alias("new"))
+    room = budget - history
+    if history < 0 or room < 4:
+        raise ValueError("the budget must exceed the history by four tokens or more")
+    t = _turns(conversations, block, room // 4)
+    other = F.col("role") != "system"
+    per = t.groupBy("conv_id").agg(F.min(F.when(other, F.col("pos"))).alias("first_other"), F.min(F.when(other, F.col("lo"))).alias("s"), F.coalesce(F.max(F.when(F.col("alone") == 0, F.col("tokens"))), F.lit(0)).alias("m"))
+    held = (F.col("s") > 0) & (2 * F.col("s") <= room)
+    per = per.select(F.col("conv_id").alias("_c"), F.when(held, F.col("first_other")).otherwise(0).alias("first_other"), F.when(held, F.col("s")).otherwise(0).alias("s"), "m")
+    per = per.withColumn("width", room - F.col("s") - F.col("m"))
+    t = t.join(per.select("_c", "width"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    t = t.withColumn("cell", F.when(F.col("alone") == 1, 0).otherwise(F.floor(F.col("lo") / F.col("width")))).withColumn("part", 2 * F.col("before") + F.col("alone"))
+    heads = t.groupBy("conv_id", "part", "cell").agg(F.min("lo").alias("w_lo"), F.min("pos").alias("window"), F.sum("tokens").alias("new"))
+    heads = heads.withColumnsRenamed({"conv_id": "_k", "part": "_part", "cell": "_cell"})
+    own = t.join(heads.select("_k", "_part", "_cell", "window"), F.col("conv_id").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_part")) & (F.col("cell") == F.col("_cell")))
+    own = own.select("conv_id", "window", "pos", "role", "t", F.lit(True).alias("new"))
+    heads = heads.join(per, F.col("_k").eqNullSafe(F.col("_c"))).drop("_c")
+    fits = F.col("s") + F.col("new") <= budget
+    heads = heads.select("_k", "window", "w_lo", "first_other", F.when(fits, F.col("s")).otherwise(0).alias("s"), F.least(F.lit(history), F.greatest(budget - F.col("new") - F.when(fits, F.col("s")).otherwise(0), F.lit(0))).alias("past"))
+    opening = t.where("role = 'system'").select("conv_id", "role", "t", "pos")
+    system = heads.where("s > 0").join(opening, F.col("_k").eqNullSafe(F.col("conv_id")) & (F.col("pos") < F.col("window")) & (F.col("pos") < F.col("first_other")))
+    system = system.select("conv_id", "window", "pos", "role", "t", F.lit(False).alias("new"))
     # a turn is history of the windows that start in [hi, lo + history]; those lie in a fixed number of cells
-    reach = t.where(F.col("hi") <= F.col("lo") + history).withColumn("cell", F.explode(F.sequence(F.floor(F.col("hi") / stride), F.floor((F.col("lo") + history) / stride))))
-    starts = heads.select(F.col("conv_id").alias("_c"), F.col("window").alias("_w"), "w_lo", F.floor(F.col("w_lo") / stride).alias("_cell"))
-    past = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("cell") == F.col("_cell")) & F.col("w_lo").between(F.col("hi"), F.col("lo") + history))
-    past = past.select("conv_id", F.col("_w").alias("window"), "pos", "role", "text", F.lit(False).alias("new"))
-    own = t.select("conv_id", "window", "pos", "role", "text", F.lit(True).alias("new"))
+    wide = max(history, 1)
+    reach = t.where(F.col("hi") <= F.col("lo") + history).withColumn("at", F.explode(F.sequence(F.floor(F.col("hi") / wide), F.floor((F.col("lo") + history) / wide))))
+    starts = heads.where("past > 0").withColumn("_at", F.floor(F.col("w_lo") / wide))
+    past = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_at")) & F.col("w_lo").between(F.col("hi"), F.col("lo") + F.col("past")))
+    past = past.select("conv_id", "window", "pos", "role", "t", F.lit(False).alias("new"))
     # an opening system turn may also be recent history: once is enough
     rows = own.unionByName(system).unionByName(past)
-    rows = rows.groupBy("conv_id", "window").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "role", "text", "new")))).alias("turns"))
-    turn_text = lambda x: F.concat(F.lit("<s>"), F.url_encode(x["role"]), F.lit("\n"), escape(x["text"]), F.lit(TURN_END))
-    rows = rows.withColumn("parts", F.transform("turns", lambda x: F.struct(turn_text(x).alias("t"), x["new"].alias("new"), (x["role"] == "assistant").alias("target"), (F.length(F.url_encode(x["role"])) + 4).alias("skip"))))
+    rows = rows.groupBy("conv_id", "window").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "role", "t", "new")))).alias("turns"))
+    rows = rows.withColumn("parts", F.transform("turns", lambda x: F.struct(x["t"].alias("t"), x["new"].alias("new"), (x["role"] == "assistant").alias("target"), (F.length(F.url_encode(x["role"])) + 4).alias("skip"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -89,8 +105,9 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
         span = F.struct((acc["at"] + x["skip"]).alias("start"), (end - len(TURN_END)).alias("stop"))
         return F.struct(end.alias("at"), F.when(x["new"] & x["target"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
+    text = F.array_join(F.col("parts.t"), "")
     return rows.select(
-        "conv_id", "window", F.array_join(F.col("parts.t"), "").alias("text"), F.size(F.filter("parts", lambda x: ~x["new"])).alias("n_repeated"),
+        "conv_id", "window", text.alias("text"), token_estimate(text).alias("tokens"), F.size(F.filter("parts", lambda x: ~x["new"])).alias("n_repeated"),
         F.aggregate("parts", start, add, lambda acc: acc["spans"]).alias("loss_spans"),
     )
 

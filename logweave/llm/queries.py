@@ -137,5 +137,42 @@ from scored qualify rank <= 10
 """
 
 
+#: The windows of op4 (budget 512, history 128), turn by turn; roles of the tables need no URL encoding.
+OP4_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), escaped as (
+  select *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|<?/?SYS>>|\|im_start\||\|im_end\|)', '\1\\\2', 'g'),
+    '([<\[])(/?s>|/?INST\]|<?/?SYS>>|\|im_start\||\|im_end\|)', '\1\\\2', 'g') as e from turns
+), formatted as (
+  select conv_id, role, text, '<s>' || role || chr(10) || e || '</s>' || chr(10) as t, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from escaped
+), counted as (
+  select *, len(regexp_extract_all(t, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D\x20]')) as tokens from formatted
+), placed as (
+  select *, tokens > 96 as alone, sum(tokens) over w - tokens as lo, count(*) filter (tokens > 96) over w - (tokens > 96)::int as before from counted
+  window w as (partition by conv_id order by pos)
+), per as (
+  select conv_id, case when s > 0 and 2 * s <= 384 then first_other else 0 end as first_other, case when s > 0 and 2 * s <= 384 then s else 0 end as s, m from (
+    select conv_id, min(pos) filter (role <> 'system') as first_other, min(lo) filter (role <> 'system') as s, coalesce(max(tokens) filter (not alone), 0) as m from placed group by conv_id)
+), heads as (
+  select *, case when s + new <= 512 then s else 0 end as held, least(128, greatest(512 - new - case when s + new <= 512 then s else 0 end, 0)) as past from (
+    select p.conv_id, before, alone, case when alone then 0 else floor(lo / (384 - s - m)) end as cell, any_value(s) as s, any_value(first_other) as first_other,
+      min(lo) as w_lo, min(pos) as w_pos, sum(tokens) as new, sum(length(t)) as chars
+    from placed p join per using (conv_id) group by 1, 2, 3, 4)
+), repeated as (
+  select h.conv_id, sum(length(t)) as chars from heads h join placed p on p.conv_id = h.conv_id and p.pos < h.w_pos
+    and ((h.held > 0 and p.role = 'system' and p.pos < h.first_other) or (h.past > 0 and p.lo >= h.w_lo - h.past and p.tokens <= 128)) group by h.conv_id
+), sizes as (
+  select conv_id, sum(chars) as chars, count(*) as n_windows from heads group by conv_id
+), digests as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+    coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '') as loss from placed group by conv_id
+)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, (s.chars + coalesce(r.chars, 0))::bigint as formatted_chars, n_windows
+from digests join sizes s using (conv_id) left join repeated r using (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op2_hamming_topk": OP2_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op4_chat_windows": OP4_SQL}
