@@ -4,10 +4,10 @@ The kernel of two texts is the blended-spectrum presence kernel: the number of d
 hold, over the root of the product of their own numbers. A bounded sample of labelled rows gives landmarks and training rows;
 the Nyström map of the landmarks turns one-versus-rest kernel ridge regression into a linear problem of the landmarks' size.
 Since kernel values are products of presence vectors, the learned weights fold into one matrix of (n-gram, language), and a
-batch of whole texts is scored by one matrix product.
+batch of whole texts is scored by matrix products, a block of n-grams at a time.
 
-The model is fitted on the driver from at most `per_lang` rows of a language (documented bounds below); everything else runs
-over all rows.
+The model is fitted on the driver from a bounded sample (rows of a language, rows and landmarks in all, characters of a row:
+documented bounds below); everything else runs over all rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from .common import as_bytes, ship, slabs
 
 #: Bounds of the fitting sample: rows of a language, landmarks of a language, languages.
 PER_LANG, LANDMARKS, MAX_LANGS = 150, 50, 200
+#: And in all: rows, landmarks; characters of a row that may be learned from. At most 120 million characters reach the driver.
+MAX_ROWS, MAX_LANDMARKS, MAX_CHARS = 6_000, 600, 20_000
+#: n-grams of a matrix product; characters of a text that are taken apart at once.
+BLOCK, PIECE = 32_768, 4_000_000
 UNKNOWN = "und"
 _table: list[np.ndarray] = []
 
@@ -38,16 +42,23 @@ def _symbols() -> np.ndarray:
     return _table[0]
 
 
+def _symbols_of(text: bytes) -> np.ndarray:
+    return _symbols()[np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFFF]
+
+
 def presence(texts: list[bytes], n_max: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(code, text index) of the distinct n-grams of each text, sorted by code. Codes carry their length."""
-    table = _symbols()
-    parts, sizes = [], []
-    for t in texts:
-        cp = np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts.append(table[cp & 0xFFFF])
-        sizes.append(len(cp))
+    """(code, text index) of the distinct n-grams of each text, sorted by code for each length. Codes carry their length; at most 16,384 texts."""
+    s = [_symbols_of(t) for t in texts]
+    if len(s) == 1 and len(s[0]) > PIECE:  # a very long text in pieces that overlap
+        found = [_presence([s[0][at : at + PIECE + n_max - 1]], n_max)[0] for at in range(0, len(s[0]), PIECE)]
+        code = np.unique(np.concatenate(found))
+        return code, np.zeros(len(code), np.int64)
+    return _presence(s, n_max)
+
+
+def _presence(parts: list[np.ndarray], n_max: int) -> tuple[np.ndarray, np.ndarray]:
     s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(parts)), list(map(len, parts)))
     codes, docs = [], []
     code = s.astype(np.uint64)
     for n in range(1, n_max + 1):
@@ -64,43 +75,63 @@ def presence(texts: list[bytes], n_max: int = 3) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(codes), np.concatenate(docs)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+class Rows:
+    """Presence rows of texts over some n-grams (sorted codes), each over the root of the text's own number of n-grams; dense only a block at a time."""
+
+    def __init__(self, texts: list[bytes], codes: np.ndarray, n_max: int):
+        code, doc = presence(texts, n_max)
+        self.n, self.width = len(texts), len(codes)
+        self.scale = (1 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1))).astype(np.float32)
+        at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+        hit = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+        order = np.argsort(at[hit], kind="stable")
+        self.at, self.doc = at[hit][order], doc[hit][order]
+
+    def block(self, lo: int, hi: int) -> np.ndarray:
+        a, b = np.searchsorted(self.at, [lo, hi])
+        x = np.zeros((self.n, hi - lo), np.float32)
+        x[self.doc[a:b], self.at[a:b] - lo] = 1.0
+        return x * self.scale[:, None]
+
+    def blocks(self):
+        return ((lo, min(lo + BLOCK, self.width)) for lo in range(0, self.width, BLOCK))
+
+    def kernel(self, other: Rows) -> np.ndarray:
+        out = np.zeros((self.n, other.n))
+        for lo, hi in self.blocks():
+            out += self.block(lo, hi) @ other.block(lo, hi).T
+        return out
+
+
 class Model:
     """n-grams of the landmarks (sorted codes), and a weight for each of them and each language."""
 
     def __init__(self, langs: list[str], codes: np.ndarray, weights: np.ndarray, n_max: int):
         self.langs, self.codes, self.weights, self.n_max = langs, codes, weights, n_max
 
-    def matrix(self, texts: list[bytes]) -> np.ndarray:
-        """Presence rows over the model's n-grams, each over the root of the text's own number of n-grams."""
-        code, doc = presence(texts, self.n_max)
-        own = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-        x = np.zeros((len(texts), len(self.codes)), np.float32)
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
-            x[doc[hit], at[hit]] = 1.0
-        return x / np.sqrt(own)[:, None].astype(np.float32)
-
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return self.matrix(texts) @ self.weights
+        rows = Rows(texts, self.codes, self.n_max)
+        out = np.zeros((len(texts), len(self.langs)), np.float32)
+        for lo, hi in rows.blocks():
+            out += rows.block(lo, hi) @ self.weights[lo:hi]
+        return out
 
 
 def fit(rows: list[tuple[bytes, str]], landmarks: int = LANDMARKS, ridge: float = 1e-3, n_max: int = 3) -> Model:
-    """Kernel ridge regression of +1/-1 targets on the Nyström features of the first `landmarks` rows of each language."""
+    """Kernel ridge regression of +1/-1 targets on the Nyström features of the first `landmarks` rows of each language (fewer where MAX_LANDMARKS asks for it)."""
     langs = sorted({g for _, g in rows})
     if not langs:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), n_max)
+    each = max(1, min(landmarks, MAX_LANDMARKS // len(langs)))
     marks: list[bytes] = []
     for g in langs:
-        marks += [t for t, own in rows if own == g][:landmarks]
-    code, doc = presence(marks, n_max)
-    codes = np.unique(code)
-    land = Model(langs, codes, np.zeros((len(codes), 0), np.float32), n_max)
-    m = land.matrix(marks).astype(np.float64)
-    values, vectors = np.linalg.eigh(m @ m.T)
+        marks += [t for t, own in rows if own == g][:each]
+    codes = np.unique(presence(marks, n_max)[0])
+    land = Rows(marks, codes, n_max)
+    values, vectors = np.linalg.eigh(land.kernel(land))
     use = values > 1e-8 * max(values.max(), 1e-12)
     root = vectors[:, use] / np.sqrt(values[use])  # landmarks to Nyström features
-    phi = np.concatenate([land.matrix([t for t, _ in rows[lo : lo + 256]]) @ m.T.astype(np.float32) for lo in range(0, len(rows), 256)]).astype(np.float64) @ root
+    phi = np.concatenate([Rows([t for t, _ in rows[lo : lo + 256]], codes, n_max).kernel(land) for lo in range(0, len(rows), 256)]) @ root
     target = np.where(np.array([[own == g for g in langs] for _, own in rows]), 1.0, -1.0)
     # each class weighs as much as all others together
     weight = (target > 0) / np.maximum((target > 0).sum(0), 1) + (target < 0) / np.maximum((target < 0).sum(0), 1)
@@ -108,7 +139,8 @@ def fit(rows: list[tuple[bytes, str]], landmarks: int = LANDMARKS, ridge: float
     for j in range(len(langs)):
         w = weight[:, j : j + 1]
         beta[:, j] = np.linalg.solve(phi.T @ (phi * w) + ridge * np.eye(phi.shape[1]), phi.T @ (w[:, 0] * target[:, j]))
-    return Model(langs, codes, (m.T @ (root @ beta)).astype(np.float32), n_max)
+    right = (root @ beta).astype(np.float32)
+    return Model(langs, codes, np.concatenate([land.block(lo, hi).T @ right for lo, hi in land.blocks()]), n_max)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -116,19 +148,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[bytes, str]]:
-    """At most `per_lang` labelled rows of each of the MAX_LANGS most frequent languages, chosen by a hash of the id; never held-out rows.
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> list[tuple[bytes, str]]:
+    """At most `per_lang` labelled rows of each of the MAX_LANGS most frequent languages and MAX_ROWS in all, chosen by a hash of the id; never held-out rows.
 
-    Rows are thinned by a hash threshold set from the languages' counts before they are ranked, so no language meets in one task.
+    Rows over `max_chars` characters are not learned from. Rows are thinned by a hash threshold set from the languages' counts
+    before they are ranked, so no language meets in one task.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return []
+    per_lang = max(1, min(per_lang, MAX_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (2.0 * per_lang + 20) / r["count"])])  # at most MAX_LANGS entries
     u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = rows.select("doc_id", "lang", u.alias("u")).join(F.broadcast(counts), "lang").where(F.col("u") < (2.0 * per_lang + 20) / F.col("count"))
+    thin = rows.select("doc_id", "lang", u.alias("u")).where(F.col("u") < share[F.col("lang")])
     w = W.partitionBy("lang").orderBy("u", "doc_id")
     chosen = thin.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("doc_id", "lang", "r").distinct()
     texts = rows.join(F.broadcast(chosen.withColumnsRenamed({"lang": "_g", "doc_id": "_d"})), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_g")))
-    got = texts.select("lang", "r", "doc_id", F.encode("text", "UTF-8").alias("t")).collect()  # at most per_lang * MAX_LANGS rows
+    got = texts.select("lang", "r", "doc_id", F.encode("text", "UTF-8").alias("t")).collect()  # at most MAX_ROWS rows of max_chars characters, and their repeated rows
     return [(bytes(x["t"]), x["lang"]) for x in sorted(got, key=lambda x: (x["lang"], x["r"], x["doc_id"], bytes(x["t"])))]
 
 
