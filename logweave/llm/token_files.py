@@ -13,6 +13,7 @@ are memory-mapped when read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from itertools import chain
@@ -29,6 +30,8 @@ from .common import ship
 
 #: Cached chunks per worker before the cache starts anew.
 CACHE = 800_000
+#: Bytes of input for a shard, where that gives more shards than shuffle partitions: bounds what a task holds of its ids.
+SHARD_BYTES = 128 << 20
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -169,6 +172,19 @@ def _encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """The optimizer's estimate of the table's size: for files their bytes, without a scan."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _sweep_strays(folder: str, names: set[str]) -> None:
+    """Delete the files of task attempts that did not count (lost, repeated or speculative). A folder is for one data set."""
+    fs, root = _filesystem(folder)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.type == pafs.FileType.File and re.fullmatch(r"_?\d{6}-[0-9a-f]{12}\.(bin|len|ids)", f.base_name) and f.base_name.lstrip("_").split(".")[0] not in names:
+            fs.delete_file(f.path)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Write `.bin` and `.len` files and return the shard table: shard, name, n_docs, n_ids, base (ids before the shard), width.
 
@@ -177,8 +193,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     """
     spark = docs.sparkSession
     ship(spark)
-    n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = docs.schema[id_col].dataType.simpleString()
+    n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // SHARD_BYTES)
     dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(n, "id").sortWithinPartitions("id", "t")
 
     def run(batches):
@@ -219,9 +234,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 fs.move(p, f"{root}/{name}.{x}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids], "width": [width]})
 
-    del kind
     # a row per shard is all that is gathered; the files themselves stay where their tasks put them
     table = dealt.mapInArrow(run, "shard bigint, name string, n_docs bigint, n_ids bigint, width bigint").collect()
+    _sweep_strays(folder, {r["name"] for r in table})
     table = spark.createDataFrame(table, "shard bigint, name string, n_docs bigint, n_ids bigint, width bigint")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return table.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
