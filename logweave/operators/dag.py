@@ -1,6 +1,8 @@
 """Workflow graphs and what runs made of them.
 
-nodes: workflow, node, agent, depends_on (array). Graphs have tens of nodes; there may be very many workflows.
+nodes: workflow, node, agent, depends_on (array). There may be very many workflows, so graph rules run workflow by workflow over
+rows that are dealt by workflow and sorted: one shuffle, one workflow's nodes in memory. A workflow of more than IN_TASK nodes
+is worked out by frontier joins instead, level by level.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from ..functions.storage import cut
 
+#: Nodes of a workflow that one task may hold.
+IN_TASK = 200_000
+
 
 def edges(nodes: DataFrame) -> DataFrame:
     """(workflow, dep, node): one row per declared dependency."""
@@ -47,71 +52,113 @@ def _frontiers(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def waves(nodes: DataFrame) -> DataFrame:
-    """Longest path from a source, for graphs without cycles (see cyclic)."""
-    return _frontiers(nodes).groupBy("workflow", "node").agg(F.max("level").alias("wave"))
-
+def _in_rounds(deps: dict[str, set[str]]) -> dict[str, tuple[int, int]]:
+    """Wave and place of each node that is ever ready. deps: each node with the known nodes it waits for.
 
-def cyclic(nodes: DataFrame) -> DataFrame:
-    """Workflows with a cycle: peeling off nodes without open dependencies stops before none is left. Dangling ones are left out."""
-    known = nodes.select("workflow", F.col("node").alias("dep"))
-    links = cut(edges(nodes).join(known, ["workflow", "dep"], "left_semi").distinct())
-    left = cut(nodes.select("workflow", "node"))
-    size = left.count()
-    while True:
-        open_links = links.join(left.withColumnRenamed("node", "dep"), ["workflow", "dep"], "left_semi")
-        now = cut(left.join(open_links.select("workflow", "node"), ["workflow", "node"], "left_semi"))
-        n = now.count()
-        left = now
-        if n == size or not n:
-            break
-        size = n
-    return left.groupBy("workflow").agg(F.min("node").alias("stuck"))
-
-
-def _kahn(deps: dict[str, list[str]]) -> list[str]:
-    """First-in-first-out order of one workflow; ties sorted. A cycle yields only what comes before it."""
-    open_count = {n: len(d) for n, d in deps.items()}
-    users: dict[str, list[str]] = {n: [] for n in deps}
-    for n in deps:
-        for d in deps[n]:
+    A round takes all nodes whose dependencies were placed in rounds before. Within it a node stands by its latest dependency's
+    place, then by name; that is the order in which a first-in-first-out queue would have let them out.
+    """
+    users: dict[str, list[str]] = {}
+    for n, wants in deps.items():
+        for d in wants:
             users.setdefault(d, []).append(n)
-    queue = sorted(n for n, c in open_count.items() if c == 0)
-    at = 0
-    while at < len(queue):
-        for child in sorted(users[queue[at]]):
-            open_count[child] -= 1
-            if open_count[child] == 0:
-                queue.append(child)
-        at += 1
-    return queue
-
-
-def topological_order(nodes: DataFrame) -> DataFrame:
-    """(workflow, place, node). Nodes come sorted by workflow; only one workflow's few nodes are held at a time."""
+    found: dict[str, tuple[int, int]] = {}
+    wave, now = 0, [(0, n) for n, wants in deps.items() if not wants]
+    while now:
+        for _, n in sorted(now):
+            found[n] = (wave, len(found) + 1)
+        touched = {u for _, n in now for u in users.get(n, [])}
+        now = [(max(found[d][1] for d in deps[u]), u) for u in touched if u not in found and all(d in found for d in deps[u])]
+        wave += 1
+    return found
+
+
+def rounds(nodes: DataFrame, ignore_self: bool = False, strict: bool = False, unknown: bool = True) -> DataFrame:
+    """(workflow, node, wave, place). Nodes on a cycle or behind one have neither; with `strict` they raise an error that names the first.
+
+    Dependencies on unknown nodes are left out, or raise an error if `unknown` is not allowed.
+    """
     ship(nodes.sparkSession)
 
     def flush(name, deps):
-        order = _kahn(deps)
-        return pd.DataFrame({"workflow": [name] * len(order), "place": range(1, len(order) + 1), "node": order})
+        lost = sorted((d, n) for n, wants in deps.items() for d in wants if d not in deps)
+        if lost and not unknown:
+            raise ValueError(f"workflow {name}: node {lost[0][1]} depends on unknown node {lost[0][0]}")
+        known = {n: {d for d in wants if d in deps and not (ignore_self and d == n)} for n, wants in deps.items()}
+        found = _in_rounds(known)
+        stuck = sorted(n for n in known if n not in found)
+        if stuck and strict:
+            raise ValueError(f"workflow {name} has a cycle: node {stuck[0]} is never ready")
+        order = [*found, *stuck]
+        wave = pd.array([found[n][0] if n in found else None for n in order], dtype="Int64")
+        place = pd.array([found[n][1] if n in found else None for n in order], dtype="Int64")
+        return pd.DataFrame({"workflow": [name] * len(order), "node": order, "wave": wave, "place": place})
 
     def run(batches):
-        name, deps = None, {}
+        name, deps, begun = None, {}, False
         for batch in batches:
             done = []
             for workflow, node, depends_on in batch.itertuples(index=False):
-                if workflow != name and deps:
+                if begun and workflow != name:
                     done.append(flush(name, deps))
                     deps = {}
-                name = workflow
-                deps[node] = list(depends_on)
+                name, begun = workflow, True
+                deps.setdefault(node, set()).update(depends_on if depends_on is not None else ())
             if done:
                 yield pd.concat(done)
-        if deps:
+        if begun:
             yield flush(name, deps)
 
     rows = nodes.select("workflow", "node", "depends_on").repartition("workflow").sortWithinPartitions("workflow")
-    return rows.mapInPandas(run, f"workflow {nodes.schema['workflow'].dataType.simpleString()}, place bigint, node string")
+    return rows.mapInPandas(run, f"workflow {nodes.schema['workflow'].dataType.simpleString()}, node string, wave bigint, place bigint")
+
+
+def _by_size(nodes: DataFrame, in_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes of workflows that fit a task, and of those that do not (None if there are none)."""
+    big = nodes.groupBy("workflow").agg(F.count("*").alias("_n")).where(F.col("_n") > in_task).select("workflow")
+    big = cut(big)
+    if big.isEmpty():
+        return nodes, None
+    return nodes.join(big, "workflow", "left_anti"), nodes.join(big, "workflow", "left_semi")
+
+
+def waves(nodes: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """Longest path from a source to each node. Unknown and self dependencies are left out; a cycle raises an error."""
+    small, large = _by_size(nodes, in_task)
+    out = rounds(small, ignore_self=True, strict=True).select("workflow", "node", "wave")
+    if large is None:
+        return out
+    return out.unionByName(_frontiers(large).groupBy("workflow", "node").agg(F.max("level").alias("wave")))
+
+
+def cyclic(nodes: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(workflow, stuck): workflows with a cycle, and the first node that is never ready. Dangling dependencies are left out."""
+    small, large = _by_size(nodes, in_task)
+    left = rounds(small).where("place is null").select("workflow", "node")
+    if large is not None:
+        left = left.unionByName(_peeled(large))
+    return left.groupBy("workflow").agg(F.min("node").alias("stuck"))
+
+
+def _peeled(nodes: DataFrame) -> DataFrame:
+    """What is left when nodes without open dependencies are peeled off until none goes."""
+    known = nodes.select("workflow", F.col("node").alias("dep"))
+    links = cut(edges(nodes).join(known, ["workflow", "dep"], "left_semi").distinct())
+    left = cut(nodes.select("workflow", "node").distinct())
+    size = left.count()
+    while size:
+        open_links = links.join(left.withColumnRenamed("node", "dep"), ["workflow", "dep"], "left_semi")
+        left = cut(left.join(open_links.select("workflow", "node"), ["workflow", "node"], "left_semi"))
+        n = left.count()
+        if n == size:
+            break
+        size = n
+    return left
+
+
+def topological_order(nodes: DataFrame) -> DataFrame:
+    """(workflow, place, node): first-in-first-out order, ties by name. A cycle or an unknown dependency raises an error with the node's name."""
+    return rounds(nodes, strict=True, unknown=False).select("workflow", "place", "node")
 
 
 def ready(nodes: DataFrame, done: DataFrame, retries: DataFrame, now: Column) -> DataFrame:
@@ -196,17 +243,22 @@ def idempotency_keys(inputs: DataFrame) -> DataFrame:
     return inputs.select("run_id", "step_id", F.concat_ws(":", "run_id", "step_id", digest(F.map_keys("inputs"), F.map_values("inputs"))).alias("idempotency_key"))
 
 
-def lineage(runs: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(run_id, root, depth) by pointer doubling over parent_run_id; a parent that is not in the table makes a root."""
+def lineage(runs: DataFrame) -> DataFrame:
+    """(run_id, root, depth) by pointer doubling over parent_run_id, until no run moves; a parent that is not in the table makes a root. A cycle of parents raises an error."""
     known = runs.select(F.col("run_id").alias("parent"), F.lit(True).alias("_in"))
     base = runs.select("run_id", F.col("parent_run_id").alias("parent")).join(known, "parent", "left")
     now = cut(base.select("run_id", F.when(F.col("_in"), F.col("parent")).otherwise(F.col("run_id")).alias("up"), F.when(F.col("_in"), 1).otherwise(0).cast("bigint").alias("depth")))
-    reach = 1
-    while reach < max_depth:
+    reach, most = 1, now.count()
+    while True:
         nxt = now.select(F.col("run_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        now = cut(now.join(nxt, "up").select("run_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth")))
+        step = cut(now.join(nxt, "up").select("run_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") > 0).alias("_moved")))
+        now = step.drop("_moved")
+        moved = step.where("_moved")
+        if moved.isEmpty():
+            return now.select("run_id", F.col("up").alias("root"), "depth")
         reach *= 2
-    return now.select("run_id", F.col("up").alias("root"), "depth")
+        if reach > 2 * most:
+            raise ValueError(f"run {moved.agg(F.min('run_id')).first()[0]} is its own ancestor, or descends from one")
 
 
 def step_inputs(links: DataFrame, outputs: DataFrame, run_inputs: DataFrame) -> DataFrame:

@@ -65,7 +65,18 @@ def _f03(spark, sf_dir):
     return dag.waves(definitions(spark, sf_dir))
 
 
-@query("f04_topological_order")
+#: By waves: a node stands behind the latest of its dependencies, which is of the wave before; ties by name.
+ORDER = f"""{WAVES}, wave as (select workflow, node, max(level) as wave from paths group by all),
+sized as (select workflow, node, wave, count(*) over (partition by workflow order by wave range between unbounded preceding and 1 preceding) as before from wave),
+places(workflow, node, wave, place) as (
+  select workflow, node, wave, row_number() over (partition by workflow order by node) from sized where wave = 0
+  union all
+  select workflow, node, wave, before + row_number() over (partition by workflow order by latest, node) from (
+    select s.workflow, s.node, s.wave, s.before, max(p.place) as latest from places p join raw_edges e on e.workflow = p.workflow and e.dep = p.node
+    join sized s on s.workflow = e.workflow and s.node = e.node and s.wave = p.wave + 1 group by all))"""
+
+
+@query("f04_topological_order", f"{ORDER} select workflow, place, node from places")
 def _f04(spark, sf_dir):
     return dag.topological_order(definitions(spark, sf_dir))
 
