@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.hashing import record_hash
 from ..operators import fold, integrity
 from ..sources import ingest
-from ..sources.run_log import derive
+from ..sources.run_log import COLUMNS, HEADER_COLUMNS, STEP_COLUMNS, derive
 from .base import on_log, query, table
 from .fold_queries import STATUS_CTES
 from .log_sql import over_log
 from .view_queries import STALE, _stale
 
+TYPES = {"run_id": "string", "seq": "bigint", "event_type": "string", "occurred_at": "timestamp_ntz"} | {n: t for n, t, _ in HEADER_COLUMNS + STEP_COLUMNS}
 DIGIT = "cast(conv(substr(run_id, 1, 1), 16, 10) as int)"
 DIGIT_SQL = "('0x' || substr(run_id, 1, 1))::int"
 CANON = """'{"event_type":"' || event_type || '","run_id":"' || run_id || '","seq":' || seq || coalesce(',"step_id":"' || step_id || '"', '') || '}'"""
@@ -187,13 +188,33 @@ def _a10(spark, sf_dir):
     return ingest.put_blobs(stored, docs.where("doc_id % 3 <> 0")).select("sha256", "size")
 
 
-EVENT_LINE = """'{"event_type":"' || event_type || '","seq":' || seq || ',"run_id":"' || run_id || '"' || coalesce(',"step_id":"' || step_id || '"', '') || '}'"""
-LINES = f"""lines as (select run_id, 0 as section, 0::bigint as seq, '{{"kind":"run-export","run_id":"' || run_id || '"}}' as line from (select distinct run_id from log)
-union all select run_id, 1, seq, {EVENT_LINE} from log union all select run_id, 3, 0, '{{"kind":"summary","events":' || count(*) || '}}' from log group by run_id)"""
-on_log("a11_export_lines", lambda g: ingest.export_lines(g), "select * from lines", LINES)
-on_log("a12_classify_lines", lambda g: ingest.classify(ingest.export_lines(g)).groupBy("kind").agg(F.count("*").alias("lines")), "select case section when 0 then 'run-export' when 1 then 'event' else 'summary' end as kind, count(*) as lines from lines group by 1", LINES)
+def _field_sql(name: str) -> str:
+    kind = TYPES[name]
+    text = {"timestamp_ntz": f"strftime({name}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"}.get(kind, f"cast({name} as varchar)")
+    mark = '"' if kind in ("string", "timestamp_ntz") or kind.startswith("decimal") else ""
+    return f"""coalesce(',"{name}":{mark}' || {text} || '{mark}', '')"""
+
+
+#: Every column of the log that is not null, by name.
+EVENT_LINE = "'{' || substr(" + " || ".join(_field_sql(c) for c in sorted(COLUMNS)) + ", 2) || '}'"
+AT = "2024-01-01T00:00:00Z"
+LINES = f"""folded as (select s.run_id, s.status, c.cost from run_status s join (select run_id, cast(coalesce(sum(cost) filter (event_type in ('step.completed', 'step.dead_lettered')), 0) as decimal(28,4)) as cost, count(*) as n from log group by run_id) c using (run_id)),
+lines as (select run_id, 0 as section, 0::bigint as seq, '{{"exported_at":"{AT}","kind":"run-export","run_id":"' || run_id || '","version":1}}' as line from folded
+union all select run_id, 1, seq, {EVENT_LINE} from log
+union all select run_id, 3, 0, '{{"cost":"' || cost || '","events":' || (select count(*) from log l where l.run_id = f.run_id) || ',"kind":"summary","run_id":"' || run_id || '","status":"' || status || '"}}' from folded f)"""
+LINES = LINES.replace("(select count(*) from log l where l.run_id = f.run_id)", "n").replace("s.status, c.cost from", "s.status, c.cost, c.n from")
+
+
+def _lines(g):
+    states = fold.status(g).select("run_id", "status").join(fold.total_cost(g).select("run_id", "total_cost"), "run_id").withColumn("error", F.lit(None).cast("string"))
+    return ingest.export_lines(g, states=states, exported_at=AT)
+
+
+DAMAGE = f"not ({DIGIT} = 1 and section = 0) and not ({DIGIT} = 2 and section = 1 and seq = 2) and not ({DIGIT} = 3 and section = 3)"
+on_log("a11_export_lines", _lines, "select * from lines", f"{STATUS_CTES}, {LINES}")
+on_log("a12_classify_lines", lambda g: ingest.classify(_lines(g)).groupBy("kind").agg(F.count("*").alias("lines")), "select case section when 0 then 'run-export' when 1 then 'event' else 'summary' end as kind, count(*) as lines from lines group by 1", f"{STATUS_CTES}, {LINES}")
 on_log(
-    "a13_export_check", lambda g: ingest.export_check(ingest.export_lines(g).where(f"not ({DIGIT} = 1 and section = 0) and not ({DIGIT} = 2 and section = 1 and seq = 2) and not ({DIGIT} = 3 and section = 3)")),
+    "a13_export_check", lambda g: ingest.export_check(_lines(g).where(DAMAGE)),
     f"select run_id, count(*) - case when {DIGIT_SQL} = 2 then 1 else 0 end as events, case {DIGIT_SQL} when 1 then 'header' when 2 then 'event lines' when 3 then 'summary' end as problem from log group by run_id",
 )
 SELECTION = f"""selection as (select s.run_id, case when t.status is null then 'unindexed' when t.status not in ('completed', 'failed', 'cancelled') then 'non-terminal' when t.status not in ('completed', 'cancelled') then 'status not selected' when t.last_at >= timestamp '1998-01-01' then 'too recent' when s.status <> t.status then 'index drift' end as reason
@@ -205,13 +226,14 @@ def _selection(g):
 
 
 on_log("a14_archive_selection", _selection, "select * from selection", f"{STATUS_CTES}, {STALE}, {SELECTION}")
+#: Runs whose export does not read back stay, whatever the selection says.
 on_log(
-    "a15_retained_log", lambda g: ingest.retained(g, _selection(g).where("reason is null")).groupBy("run_id").agg(F.count("*").alias("events")),
-    "select run_id, count(*) as events from log where run_id not in (select run_id from selection where reason is null) group by run_id", f"{STATUS_CTES}, {STALE}, {SELECTION}",
+    "a15_retained_log", lambda g: ingest.retained(g, ingest.purgeable(_selection(g), ingest.export_check(_lines(g).where(DAMAGE)))).groupBy("run_id").agg(F.count("*").alias("events")),
+    f"select run_id, count(*) as events from log where run_id not in (select run_id from selection where reason is null) or {DIGIT_SQL} in (1, 2, 3) group by run_id", f"{STATUS_CTES}, {STALE}, {SELECTION}",
 )
 on_log(
-    "a16_manifest", lambda g: ingest.manifest(ingest.export_lines(g)),
-    "select run_id, count(*) as lines, count(*) filter (section = 1) as events, strlen(string_agg(line || chr(10), '' order by section, seq))::bigint as bytes, sha256(string_agg(line || chr(10), '' order by section, seq)) as sha256 from lines group by run_id", LINES,
+    "a16_manifest", lambda g: ingest.manifest(_lines(g)),
+    "select run_id, count(*) as lines, count(*) filter (section = 1) as events, strlen(string_agg(line || chr(10), '' order by section, seq))::bigint as bytes, sha256(string_agg(line || chr(10), '' order by section, seq)) as sha256 from lines group by run_id", f"{STATUS_CTES}, {LINES}",
 )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,18 +83,69 @@ def put_blobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.join(stored.select("sha256"), "sha256", "left_anti")
 
 
-def export_lines(log: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
-    """(run_id, section, seq, line): header, events, blobs and a summary of each run, as JSON lines in that order."""
+EXPORT_KIND, EXPORT_VERSION = "run-export", 1
+
+
+def _json(columns: dict[str, Column]) -> Column:
+    """JSON text with sorted keys and without nulls."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
+
+
+def _exact(field: T.StructField) -> Column:
+    """A column as it can be read back exactly: decimals as text, times with microseconds."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.DecimalType):
+        return c.cast("string")
+    if isinstance(field.dataType, T.TimestampNTZType | T.TimestampType):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.base64(c) if isinstance(field.dataType, T.BinaryType) else c
+
+
+def export_lines(log: DataFrame, blobs: DataFrame | None = None, states: DataFrame | None = None, chain: DataFrame | None = None, exported_at: str | None = None) -> DataFrame:
+    """(run_id, section, seq, line): header, events, blobs and a summary of each run, as JSON lines in that order.
+
+    An event line holds every column of the log that is not null. blobs: (run_id, seq, sha256, data), null data marks a missing
+    one; states: (run_id, status, total_cost, error) of the fold; chain: what integrity.chain_state gives.
+    """
     head = log.groupBy("run_id").agg(F.count("*").alias("events"))
-    header = head.select("run_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("run-export").alias("kind"), "run_id")).alias("line"))
-    events = log.select("run_id", F.lit(1).alias("section"), "seq", F.to_json(F.struct("event_type", "seq", "run_id", "step_id")).alias("line"))
-    summary = head.select("run_id", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("summary").alias("kind"), "events")).alias("line"))
+    top = head.select("run_id") if chain is None else head.select("run_id").join(chain.select("run_id", F.struct("verified", "sealed_through", F.col("state").alias("seals"), "error").alias("chain")), "run_id", "left")
+    own = {"kind": F.lit(EXPORT_KIND), "version": F.lit(EXPORT_VERSION), "run_id": F.col("run_id"), "exported_at": F.lit(exported_at)}
+    header = top.select("run_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("seq"), _json(own if chain is None else own | {"chain": F.col("chain")}).alias("line"))
+    events = log.select("run_id", F.lit(1).alias("section"), "seq", _json({f.name: _exact(f) for f in log.schema}).alias("line"))
+    end = {"kind": F.lit("summary"), "run_id": F.col("run_id"), "events": F.col("events")}
+    if states is not None:
+        head = head.join(states, "run_id", "left")
+        end |= {"status": F.col("status"), "cost": F.col("total_cost").cast("string"), "error": F.col("error")}
+    summary = head.select("run_id", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("seq"), _json(end).alias("line"))
     out = header.unionByName(events).unionByName(summary)
     if blobs is not None:
-        out = out.unionByName(blobs.select("run_id", F.lit(2).alias("section"), "seq", F.to_json(F.struct(F.lit("blob").alias("kind"), "sha256")).alias("line")))
+        line = _json({"kind": F.lit("blob"), "sha256": F.col("sha256"), "bytes_b64": F.base64("data"), "missing": F.when(F.col("data").isNull(), True)})
+        out = out.unionByName(blobs.select("run_id", F.lit(2).alias("section"), "seq", line.alias("line")))
     return out
 
 
+def events_from(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The log that export lines hold, with the given columns."""
+    plain = T.StructType([T.StructField(f.name, f.dataType if not isinstance(f.dataType, T.DecimalType | T.TimestampNTZType | T.TimestampType | T.BinaryType) else T.StringType()) for f in schema])
+    rows = classify(lines).where("kind = 'event'").select(F.from_json("line", plain).alias("r")).select("r.*")
+
+    def back(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampNTZType | T.TimestampType):
+            c = F.to_timestamp_ntz(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.unbase64(c)
+        return c.cast(f.dataType).alias(f.name)
+
+    return rows.select(*[back(f) for f in schema])
+
+
+def blobs_from(lines: DataFrame) -> DataFrame:
+    """(sha256, data) of the blob lines, each blob once; data is null where it was missing."""
+    rows = classify(lines).where("kind = 'blob'").select(F.from_json("line", "sha256 string, bytes_b64 string").alias("r"))
+    return rows.groupBy("r.sha256").agg(F.unbase64(F.max("r.bytes_b64")).alias("data"))
+
+
 def write_export(lines: DataFrame, path: str) -> None:
     """Text files with whole runs, in order within each."""
     lines.repartition("run_id").sortWithinPartitions("run_id", "section", "seq").select("line").write.mode("overwrite").text(path)
@@ -116,7 +169,7 @@ def export_check(lines: DataFrame) -> DataFrame:
     event = F.col("kind") == "event"
     out = rows.groupBy("run_id").agg(
         F.count(F.when(event, 1)).alias("events"), F.count_distinct(F.when(event, F.col("_seq"))).alias("distinct_seqs"), F.min(F.when(event, F.col("_seq"))).alias("low"), F.max(F.when(event, F.col("_seq"))).alias("high"),
-        F.max(F.when(F.col("kind") == "run-export", F.col("_run"))).alias("named"), F.max(F.when(F.col("kind") == "summary", F.col("_n"))).alias("said"),
+        F.max(F.when(F.col("kind") == EXPORT_KIND, F.col("_run"))).alias("named"), F.max(F.when(F.col("kind") == "summary", F.col("_n"))).alias("said"),
     )
     problem = (
         F.when(~F.col("named").eqNullSafe(F.col("run_id")), "header")
@@ -141,16 +194,42 @@ def archive_selection(folded: DataFrame, index: DataFrame, cutoff: Column, selec
     return rows.select("run_id", reason.alias("reason"))
 
 
-def retained(log: DataFrame, archived: DataFrame) -> DataFrame:
-    """The live log after archiving: a new table without the verified archived runs."""
-    return log.join(archived.select("run_id"), "run_id", "left_anti")
+def purgeable(selection: DataFrame, checks: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """(run_id) of the runs that may leave the log: selected, their export read back without a problem, their chain verified where it is given."""
+    runs = selection.where("reason is null").select("run_id").join(checks.where("problem is null").select("run_id"), "run_id", "left_semi")
+    return runs if chain is None else runs.join(chain.where("verified").select("run_id"), "run_id", "left_semi")
+
+
+def retained(log: DataFrame, purged: DataFrame) -> DataFrame:
+    """The live log after archiving: a new table without the runs of purgeable()."""
+    return log.join(purged.select("run_id"), "run_id", "left_anti")
 
 
 def manifest(lines: DataFrame) -> DataFrame:
-    """Per archived run: lines, bytes with line ends, events and the digest of its file."""
-    rows = lines.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("section", "seq", "line"))).alias("l"), F.count("*").alias("lines"), F.count(F.when(F.col("section") == 1, 1)).alias("events"))
-    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return rows.select("run_id", "lines", "events", F.octet_length(text).cast("bigint").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    """Per archived run: lines, events, bytes with line ends and the digest of its file.
+
+    A run's lines pass in their order, one by one; none is held.
+    """
+    columns = ["run_id", "lines", "events", "bytes", "sha256"]
+
+    def run(batches):
+        now, digest, counts = None, None, [0, 0, 0]
+        for batch in batches:
+            done = []
+            for run_id, section, line in batch.itertuples(index=False):
+                if run_id != now or digest is None:
+                    if digest is not None:
+                        done.append((now, *counts, digest.hexdigest()))
+                    now, digest, counts = run_id, hashlib.sha256(), [0, 0, 0]
+                text = (line + "\n").encode()
+                digest.update(text)
+                counts = [counts[0] + 1, counts[1] + int(section == 1), counts[2] + len(text)]
+            yield pd.DataFrame(done, columns=columns)
+        if digest is not None:
+            yield pd.DataFrame([(now, *counts, digest.hexdigest())], columns=columns)
+
+    rows = lines.repartition("run_id").sortWithinPartitions("run_id", "section", "seq").select("run_id", "section", "line")
+    return rows.mapInPandas(run, "run_id string, lines bigint, events bigint, bytes bigint, sha256 string")
 
 
 def unreferenced(candidates: DataFrame, references: DataFrame) -> DataFrame:
