@@ -151,16 +151,48 @@ def endings(log: DataFrame) -> DataFrame:
 
 
 def run_row(log: DataFrame) -> DataFrame:
-    """The whole nested row of each run. All parts group by run or by a finer key, over one exchange by run."""
-    log = log.repartition("run_id")
-    steps = completed_steps(log).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", "step_id", "attempt", "cost", "finished_at"))).alias("steps"))
-    tries = attempts(log).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step_id", "attempt")))).alias("attempts"))
-    done = progress(log).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step_id", "progress")))).alias("progress"))
-    gates = approvals(log).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("approval_id", F.struct("step_id", "kind", "approval_status", "decided_by"))))).alias("approvals"))
-    out = status(log)
-    for part in (header(log), flags(log), total_cost(log), endings(log), steps, tries, done, gates, raised_ceiling(log), policy_stamp(log)):
-        out = out.join(part, "run_id", "left")
-    return out
+    """The whole nested row of each run: one aggregate by run, one by step, and what the few approval events add."""
+    retry = _is("step.retry_requested")
+    code = F.lit(None).cast("bigint")
+    for kind, value in SETTERS.items():
+        code = F.when(_is(kind), STATUSES.index(value)).otherwise(code)
+    first = (F.col("seq") == 1) & _is("run.started")
+    done = _is("step.completed")
+    cancel = F.when(_is("run.cancel_requested"), True).when(_is("run.cancelled"), False)
+    pause = F.when(_is("run.pause_requested"), True).when(_is("run.cancelled", "run.paused"), False)
+    sets_error = retry | _is("run.failed") | (_is("step.failed") & F.col("terminal"))
+    text = F.when(retry, None).when(_is("run.failed"), F.col("error")).otherwise(F.concat(F.lit("step '"), F.col("step_id"), F.lit("': "), F.col("error")))
+    ends = retry | _is("run.completed", "run.failed", "run.cancelled")
+
+    def last(value: Column, where: Column) -> Column:
+        return F.max_by(value, F.when(where, F.col("seq")))
+
+    whole = log.groupBy("run_id").agg(
+        F.max(F.when(_is(*SETTERS), F.col("seq") * 64 + code)).alias("packed"), F.max("seq").alias("last_seq"), F.max_by("occurred_at", "seq").alias("last_at"),
+        *[F.max(F.when(first, F.col(c))).alias(a) for c, a in (("workflow", "workflow"), ("request_id", "request_id"), ("parent_run_id", "parent_run_id"), ("occurred_at", "started_at"))],
+        F.coalesce(last(cancel, cancel.isNotNull()), F.lit(False)).alias("cancel_requested"), F.coalesce(last(pause, pause.isNotNull()), F.lit(False)).alias("pause_requested"),
+        F.coalesce(F.sum(F.when(_is("step.completed", "step.dead_lettered"), F.col("cost"))), F.lit(0)).cast("decimal(28,4)").alias("total_cost"), F.sum(done.cast("bigint")).alias("n_completed"),
+        last(text, sets_error).alias("error"), last(F.when(~retry, F.col("occurred_at")), ends).alias("ended_at"),
+        F.array_sort(F.collect_list(F.when(done, F.struct("seq", "step_id", "attempt", "cost", F.col("occurred_at").alias("finished_at"))))).alias("steps"),
+        last(F.struct("policy", "narrowed"), _is("governance.policy_applied")).alias("p"),
+    )
+    moves = log.where(F.col("step_id").isNotNull() & _is("step.started", "step.progress", "step.completed")).groupBy("run_id", "step_id").agg(
+        last(F.col("attempt"), _is("step.started")).alias("attempt"), F.max(_is("step.started")).alias("tried"),
+        last(F.when(done, 1.0).otherwise(F.col("fraction")), done | _is("step.progress")).alias("progress"), F.max(done | _is("step.progress")).alias("moved"),
+    )
+    per_step = moves.groupBy("run_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("tried"), F.struct("step_id", "attempt"))))).alias("attempts"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("moved"), F.struct("step_id", "progress"))))).alias("progress")
+    )
+    few = log.where(_is("approval.requested", *DECISIONS))
+    cleared = approval_transitions(few).where("event_type = 'approval.granted' and pending_after = 0").groupBy("run_id").agg(F.max("seq").alias("cleared_seq"))
+    gates = approvals(few).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("approval_id", F.struct("step_id", "kind", "approval_status", "decided_by"))))).alias("approvals"))
+    out = whole.join(per_step, "run_id", "left").join(cleared.join(gates, "run_id", "full").join(raised_ceiling(few), "run_id", "full"), "run_id", "left")
+    item = lambda x, i: F.struct((i + 1).cast("bigint").alias("position"), x["step_id"].alias("step_id"), x["attempt"].alias("attempt"), x["cost"].alias("cost"), x["finished_at"].alias("finished_at"))
+    none = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return out.select(
+        "run_id", _status_of(out).alias("status"), "last_seq", "last_at", "workflow", "request_id", "parent_run_id", "started_at", "cancel_requested", "pause_requested", "total_cost", "n_completed", "error", "ended_at",
+        F.when(F.size("steps") > 0, F.transform("steps", item)).alias("steps"), none("attempts"), none("progress"), "approvals", "cost_ceiling", F.col("p.policy").alias("policy"), F.col("p.narrowed").alias("narrowed"),
+    )
 
 
 # ---------------------------------------------------------------- incremental
@@ -223,8 +255,8 @@ def state_at(log: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("run_id", "k", good.alias("in_range"), F.when(good, F.col("status")).alias("status"), F.when(good, F.col("total_cost")).alias("total_cost"))
 
 
-def state_everywhere(log: DataFrame) -> DataFrame:
-    """State after every event, by running windows: one pass, no self-join."""
+def state_everywhere(log: DataFrame, *carry: str) -> DataFrame:
+    """State after every event, by running windows: one pass, no self-join. Columns to carry come after the state."""
     mapping = F.create_map(*[F.lit(x) for kv in SETTERS.items() for x in kv])
     w = "over (partition by run_id order by seq rows between unbounded preceding and current row)"
     rows = log.withColumn("_set", F.when(_is(*SETTERS), F.struct(F.col("seq").alias("s"), mapping[F.col("event_type")].alias("v"))))
@@ -232,7 +264,7 @@ def state_everywhere(log: DataFrame) -> DataFrame:
     rows = rows.withColumn("_last", F.expr(f"max(_set) {w}")).withColumn("_clear", F.expr(f"max(case when event_type = 'approval.granted' and _pend = 0 then seq end) {w}"))
     rows = rows.withColumn("total_cost", F.expr(f"cast(coalesce(sum(case when event_type in ('step.completed', 'step.dead_lettered') then cost end) {w}, 0) as decimal(28,4))"))
     state = F.when((F.col("_last.v") == "suspended") & (F.col("_clear") > F.col("_last.s")), "running").otherwise(F.coalesce("_last.v", F.lit("pending")))
-    return rows.select("run_id", "seq", state.alias("status"), "total_cost")
+    return rows.select("run_id", "seq", state.alias("status"), "total_cost", *carry)
 
 
 def violations(log: DataFrame) -> DataFrame:

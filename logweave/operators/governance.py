@@ -153,13 +153,16 @@ def policy_attribution(stamps: DataFrame, runs: DataFrame, policies: DataFrame)
     return rows.groupBy(label.alias("policy")).agg(F.count("*").alias("runs"), F.coalesce(F.sum("narrowed"), F.lit(0)).alias("narrowings"))
 
 
-def as_of(probes: DataFrame, history: DataFrame, at: str, values: list[str], bucket: str = "DAY") -> DataFrame:
+def as_of(probes: DataFrame, history: DataFrame, at: str, values: list[str], cell_rows: int = 10_000, most_cells: int = 200_000) -> DataFrame:
     """Each probe with the newest history row at or before it; equal instants count. History columns: at, place, values.
 
-    Rows meet by time bucket; what a bucket starts with is carried over from the buckets before it, one row each, so no task
-    orders the whole table.
+    Rows meet by time cell; what a cell starts with is carried over from the cells before it, one row each, so no task orders
+    the whole table. Cells are as wide as leaves `cell_rows` rows for one on average, and at most `most_cells`.
     """
-    cell = F.date_trunc(bucket, F.col(at))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))
+    n, low, high = probes.select(at).unionByName(history.select(at)).agg(F.count("*"), F.min(micros), F.max(micros)).first()
+    width = max(1, ((high or 0) - (low or 0)) // min(max(1, n // cell_rows), most_cells) + 1)
+    cell = F.floor((micros - F.lit(low or 0)) / F.lit(width))
     item = F.struct(F.col(at).alias("_t"), "place", *values)
     ends = history.groupBy(cell.alias("_cell")).agg(F.max(item).alias("_last"))
     cells = probes.select(cell.alias("_cell")).distinct().join(ends, "_cell", "full")
@@ -180,7 +183,9 @@ def retryable(dead: DataFrame, failed: DataFrame) -> DataFrame:
 def rejection_audit(approvals: DataFrame, log: DataFrame) -> DataFrame:
     """What follows a rejection: an effect gate needs the step's dead letter and the run's failure, a cost gate the failure only."""
     after = log.where(F.col("event_type").isin("step.dead_lettered", "run.failed")).select("run_id", F.col("seq").alias("_s"), "event_type", F.col("step_id").alias("_step"))
-    rows = approvals.where("approval_status = 'rejected'").join(after, "run_id", "left").where("_s is null or _s > decided_seq")
+    # in the join's condition: a rejection with earlier events only comes out too
+    rejected = approvals.where("approval_status = 'rejected'").withColumnRenamed("run_id", "_run")
+    rows = rejected.join(after, (F.col("_run") == F.col("run_id")) & (F.col("_s") > F.col("decided_seq")), "left").drop("run_id").withColumnRenamed("_run", "run_id")
     out = rows.groupBy("run_id", "approval_id", "kind").agg(
         F.coalesce(F.max((F.col("event_type") == "step.dead_lettered") & (F.col("_step") == F.col("step_id"))), F.lit(False)).alias("dead_lettered"),
         F.coalesce(F.max(F.col("event_type") == "run.failed"), F.lit(False)).alias("run_failed"),

@@ -55,9 +55,9 @@ def needs_advance(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def inbox(approvals: DataFrame, states: DataFrame) -> DataFrame:
-    """Pending approvals of suspended runs."""
+    """Pending approvals of suspended runs: oldest run first, then in the order of the requests."""
     waiting = states.where("status = 'suspended'").select("run_id", "created_at")
-    return approvals.where("approval_status = 'pending'").join(waiting, "run_id")
+    return approvals.where("approval_status = 'pending'").join(waiting, "run_id").orderBy("created_at", "run_id", "requested_seq")
 
 
 def drift(stored: DataFrame, folded: DataFrame) -> DataFrame:

@@ -83,8 +83,11 @@ def verify(chain: DataFrame, content_ok: Column | None = None, anchors: DataFram
     """Per run: first failing seq and reason (null if it verifies), and the hashed events before it."""
     rows = link_reasons(chain, content_matches() if content_ok is None else content_ok, anchors)
     bad = F.col("reason").isNotNull()
-    first = rows.groupBy("run_id").agg(F.min(F.when(bad, F.col("seq"))).alias("bad_seq"), F.min_by("reason", F.when(bad, F.col("seq"))).alias("reason"), F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.col("seq")))).alias("_h"))
-    return first.select("run_id", "bad_seq", "reason", F.size(F.filter("_h", lambda s: F.col("bad_seq").isNull() | (s < F.col("bad_seq")))).cast("bigint").alias("verified"))
+    # whether the run has failed so far: a running maximum over the order in which the links were checked
+    rows = rows.withColumn("_bad", F.expr("max(reason is not null) over (partition by run_id order by seq rows between unbounded preceding and current row)"))
+    return rows.groupBy("run_id").agg(
+        F.min(F.when(bad, F.col("seq"))).alias("bad_seq"), F.min_by("reason", F.when(bad, F.col("seq"))).alias("reason"), F.count(F.when(F.col("hash").isNotNull() & ~F.col("_bad"), 1)).alias("verified")
+    )
 
 
 def judge_seals(chain: DataFrame, keyring: DataFrame | None) -> DataFrame:

@@ -73,11 +73,10 @@ def suspended_history(log: DataFrame) -> DataFrame:
     """Suspended runs over time and workflow: a running sum of runs entering and leaving the state, from states after each event."""
     from .fold import state_everywhere
 
-    states = state_everywhere(log)
+    states = state_everywhere(log, "occurred_at")
     states = states.withColumn("_was", F.expr("lag(status) over (partition by run_id order by seq)"))
     step = F.when((F.col("status") == "suspended") & (F.coalesce("_was", F.lit("")) != "suspended"), 1).when((F.col("status") != "suspended") & (F.col("_was") == "suspended"), -1)
-    moves = states.withColumn("step", step).where("step is not null").select("run_id", "seq", "step")
-    timed = moves.join(log.select("run_id", "seq", "occurred_at"), ["run_id", "seq"])
+    moves = states.withColumn("step", step).where("step is not null").select("run_id", "occurred_at", "step")
     heads = log.where("event_type = 'run.started'").select("run_id", "workflow")
-    daily = timed.join(heads, "run_id").groupBy("workflow", F.to_date("occurred_at").alias("day")).agg(F.sum("step").alias("change"))
+    daily = moves.join(heads, "run_id").groupBy("workflow", F.to_date("occurred_at").alias("day")).agg(F.sum("step").alias("change"))
     return daily.withColumn("suspended", F.expr("sum(change) over (partition by workflow order by day)"))

@@ -35,14 +35,14 @@ def step_spans(log: DataFrame) -> DataFrame:
 
     A second settlement of an attempt finds no open span. An attempt started again replaces the span before it.
     """
-    rows = log.where(F.col("event_type").isin("step.started", *SETTLES))
-    w = "over (partition by run_id, step_id, attempt order by seq)"
+    rows = log.where(F.col("event_type").isin("step.started", *SETTLES, *TERMINAL_EVENTS))
+    # terminal events stand in groups of their own: they carry no attempt
+    w = "over (partition by run_id, step_id, attempt, substr(event_type, 1, 4) order by seq)"
     rows = rows.withColumn("_kind", F.expr(f"lead(event_type) {w}")).withColumn("_end", F.expr(f"lead(occurred_at) {w}")).withColumn("_error", F.expr(f"lead(error) {w}"))
-    started = rows.where("event_type = 'step.started' and (_kind is null or _kind <> 'step.started')")
-    ends = log.where(F.col("event_type").isin(TERMINAL_EVENTS)).select("run_id", F.col("seq").alias("_s"), F.col("occurred_at").alias("_at"))
-    open_spans = started.where("_kind is null").join(ends, "run_id").where("_s > seq")
-    open_spans = open_spans.groupBy("run_id", "step_id", "attempt", "seq").agg(F.min_by("_at", "_s").alias("run_end"))
-    out = started.join(open_spans, ["run_id", "step_id", "attempt", "seq"], "left")
+    # the run's next terminal event comes along in one running window by run
+    terminal = ", ".join(f"'{x}'" for x in TERMINAL_EVENTS)
+    out = rows.withColumn("run_end", F.expr(f"first(case when event_type in ({terminal}) then occurred_at end, true) over (partition by run_id order by seq rows between 1 following and unbounded following)"))
+    out = out.where("event_type = 'step.started' and (_kind is null or _kind <> 'step.started')")
     settled = F.col("_kind").isNotNull()
     return out.where(settled | F.col("run_end").isNotNull()).select(
         "run_id", "step_id", "attempt", "agent", F.col("occurred_at").alias("started_at"), F.when(settled, F.col("_end")).otherwise(F.col("run_end")).alias("ended_at"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import fold, metrics, spans
-from ..sources.run_log import with_workflow
-from .base import on_log
+from ..functions.storage import cut, shared_dir
+from ..operators import fold, metrics, spans, telemetry
+from ..sources.run_log import derive, with_workflow
+from .base import SQL, on_log, query
 from .fold_queries import APPROVALS, STATUS_CTES
 from .view_queries import DONE_SQL
 
@@ -193,3 +196,38 @@ on_log(
     "i18_distinct_approx", lambda g: g.agg((F.abs(F.approx_count_distinct("run_id", 0.01) / F.count_distinct("run_id") - 1) < 0.05).alias("close")),
     "select true as close",
 )
+
+
+#: Columns of each metric table in the long form, at most four labels; spans are counted by status or name.
+SAMPLES = {
+    "runs": ["workflow", "outcome"], "run_seconds": ["workflow", "outcome", "le"], "steps_started": ["workflow", "step_id", "agent"], "steps_ended": ["workflow", "step_id", "outcome"], "step_seconds": ["workflow", "outcome", "le"],
+    "retries_and_dead_letters": ["workflow", "event_type", "effect_class"], "approvals": ["workflow", "event_type", "effect_class", "principal_kind"], "approval_seconds": ["decision", "le"],
+}
+COUNTED = {"run_spans": ["name", "status"], "step_spans": ["outcome", "status"], "point_spans": ["name"]}
+TWINS = {
+    "runs": "i01_run_counters", "run_seconds": "i02_run_duration_histogram", "steps_started": "i03_steps_started", "steps_ended": "i03_steps_ended", "step_seconds": "i04_step_duration_histogram", "retries_and_dead_letters": "i05_retries_and_dead_letters",
+    "approvals": "i06_approval_counters", "approval_seconds": "i07_approval_wait_histogram", "run_spans": "h01_run_spans", "step_spans": "h02_step_spans", "point_spans": "h04_point_spans",
+}
+
+
+def _rebuilt_sql() -> str:
+    parts = []
+    for name, labels in (SAMPLES | COUNTED).items():
+        wide = ", ".join(f"{c} as l{i}" for i, c in enumerate([*labels, *["null::varchar"] * (4 - len(labels))]))
+        n = "n" if name in SAMPLES else "count(*)"
+        parts.append(f"select '{name}' as series, {wide}, {n}::bigint as n from ({SQL[TWINS[name]]}) t{'' if name in SAMPLES else ' group by ' + ', '.join(labels)}")
+    return " union all ".join(parts)
+
+
+@query("a18_rebuilt_telemetry", _rebuilt_sql())
+def _a18(spark, sf_dir):
+    """All tables written from one derivation of the log; the samples and span counts read back from them."""
+    log = cut(derive(spark, sf_dir))
+    written = telemetry.rebuild(log, f"{shared_dir(spark)}/telemetry-{uuid.uuid4().hex}")
+    out = None
+    for name, labels in (SAMPLES | COUNTED).items():
+        rows = written[name] if name in SAMPLES else written[name].groupBy(*labels).agg(F.count("*").alias("n"))
+        wide = [F.col(labels[i]).alias(f"l{i}") if i < len(labels) else F.lit(None).cast("string").alias(f"l{i}") for i in range(4)]
+        part = rows.select(F.lit(name).alias("series"), *wide, F.col("n").cast("bigint").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
