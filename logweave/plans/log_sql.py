@@ -20,13 +20,13 @@ def _build() -> str:
     theirs = ", ".join([*[_cast(x, n, t) for n, t, x in L.HEADER_COLUMNS], *[_cast(L.RUN_COLUMNS.get(n, "null"), n, t) for n, t, _ in L.STEP_COLUMNS]])
     run_id, at = L.RUN_ID.format(text="varchar"), L.OCCURRED.format(k="k")
     return f"""
-steps as ({L.STEP_SQL.format(**fill)}), outcomes as ({L.OUTCOME_SQL.format(**fill)}), kept as ({L.KEPT_SQL.format(**fill)}),
+steps as materialized ({L.STEP_SQL.format(**fill)}), outcomes as materialized ({L.OUTCOME_SQL.format(**fill)}), kept as materialized ({L.KEPT_SQL.format(**fill)}),
 runs as (select * exclude (k) from kept where k = last_k), step_rows as ({step_rows}), run_rows as ({run_rows}),
 both_rows as (
   select {run_id} as run_id, k, p, event_type, {at} as occurred_at, {ours} from step_rows
   union all select {run_id} as run_id, k, p, event_type, {at} as occurred_at, {theirs} from run_rows
 ),
-log as (select run_id, cast(row_number() over (partition by run_id order by k, p) as bigint) as seq, {", ".join(L.COLUMNS[2:])} from both_rows)
+log as materialized (select run_id, cast(row_number() over (partition by run_id order by k, p) as bigint) as seq, {", ".join(L.COLUMNS[2:])} from both_rows)
 """
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.shipping import ship
 from ..functions.storage import cut
 from ..operators.fold import SETTERS
+from ..operators.fold import TERMINAL as ENDED
 
 TERMINAL = ["run.completed", "run.failed", "run.cancelled"]
 
@@ -65,66 +66,111 @@ def tail(stream: DataFrame, offsets: DataFrame) -> DataFrame:
     return stream.join(offsets, "run_id", "left").where(F.col("seq") > F.coalesce("after", F.lit(0))).drop("after")
 
 
-def _state_json(state: GroupState, start: dict) -> dict:
-    return json.loads(state.get[0]) if state.exists else start
+#: How long the state of a run that has ended stays, in milliseconds of event time: late and repeated events are told apart that long.
+KEEP_ENDED = 24 * 3600 * 1000
 
 
-def until_terminal(stream: DataFrame) -> DataFrame:
-    """(run_id, seq, event_type) of each run up to its first terminal event, in seq order; later events of the run are dropped."""
+def _per_run(stream: DataFrame, at: str | None, delay: str, step, out: str, state: str, mode: str) -> DataFrame:
+    """Apply `step` to the events of each run; with a time column under a watermark, so that states of ended runs can go."""
     ship(stream.sparkSession)
+    if at is None:
+        rows = stream.select("run_id", "seq", "event_type")
+        return rows.groupBy("run_id").applyInPandasWithState(step, out, state, mode, GroupStateTimeout.NoTimeout)
+    rows = stream.select("run_id", "seq", "event_type", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
+    return rows.groupBy("run_id").applyInPandasWithState(step, out, state, mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def _latest(frames: list[pd.DataFrame], before: int) -> int:
+    """Newest event time so far, in milliseconds."""
+    return max([before, *[int(f["at"].max().timestamp() * 1000) for f in frames if "at" in f and len(f)]])
+
+
+def _set_aside(state: GroupState, values: tuple, until: int) -> None:
+    """Keep an ended run's state until a time that the watermark has yet to reach, or drop it."""
+    if until <= state.getCurrentWatermarkMs():
+        state.remove()
+        return
+    state.update(values)
+    state.setTimeoutTimestamp(until)
+
+
+def until_terminal(stream: DataFrame, at: str | None = None, delay: str = "1 day", keep_ended: int = KEEP_ENDED) -> DataFrame:
+    """(run_id, seq, event_type) of each run up to its first terminal event, in seq order; later events of the run are dropped.
+
+    Early events wait in the state. An ended run leaves a tombstone. With `at`, an event-time column, the tombstone goes
+    `keep_ended` milliseconds after the run's newest event; without it, it stays.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = _state_json(state, {"next": 1, "held": [], "over": False})
-        rows = s["held"]
-        for f in frames:
-            rows += [[int(a), b] for a, b in zip(f["seq"], f["event_type"], strict=True)]
-        rows.sort()
-        out = []
-        while rows and rows[0][0] <= s["next"]:
-            seq, kind = rows.pop(0)
-            if seq == s["next"]:
-                s["next"] += 1
-                if not s["over"]:
-                    out.append((key[0], seq, kind))
-                s["over"] = s["over"] or kind in TERMINAL
-        s["held"] = [] if s["over"] else rows
-        state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "event_type"])
-
-    return stream.select("run_id", "seq", "event_type").groupBy("run_id").applyInPandasWithState(step, "run_id string, seq bigint, event_type string", "s string", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_state(stream: DataFrame) -> DataFrame:
+        none = pd.DataFrame({"run_id": pd.Series([], dtype=object), "seq": pd.Series([], dtype="int64"), "event_type": pd.Series([], dtype=object)})
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
+        following, over, latest, early = state.get if state.exists else (1, False, 0, "[]")
+        got = list(frames)
+        latest = _latest(got, latest)
+        rows = [] if over else sorted([*json.loads(early), *[[int(a), b] for f in got for a, b in zip(f["seq"], f["event_type"], strict=True)]])
+        out, used = [], 0
+        while used < len(rows) and rows[used][0] <= following and not over:
+            seq, kind = rows[used]
+            used += 1
+            if seq == following:
+                following += 1
+                out.append((key[0], seq, kind))
+                over = kind in TERMINAL
+        if over and at is not None:
+            _set_aside(state, (following, over, latest, "[]"), latest + keep_ended)
+        else:
+            state.update((following, over, latest, "[]" if over else json.dumps(rows[used:])))
+        yield pd.DataFrame(out, columns=["run_id", "seq", "event_type"]) if out else none
+
+    return _per_run(stream, at, delay, step, "run_id string, seq bigint, event_type string", "following bigint, over boolean, latest bigint, early string", "append")
+
+
+def live_state(stream: DataFrame, at: str | None = None, delay: str = "1 day", keep_ended: int = KEEP_ENDED) -> DataFrame:
     """State of each run as its events arrive, in any order: (run_id, status, last_seq, n_completed). Emits when a run moves on.
 
-    Events that come early wait in the state until the ones before them are there; repeated events are ignored.
+    Events that come early wait in the state until the ones before them are there; repeated events are ignored. With `at`, an
+    event-time column, the state of a run in a terminal status goes `keep_ended` milliseconds after its newest event; a retry
+    before that reopens the run. Without it, states stay.
     """
-    ship(stream.sparkSession)
     setters = dict(SETTERS)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = _state_json(state, {"next": 1, "held": {}, "status": "pending", "pending": 0, "done": 0})
-        for f in frames:
-            s["held"].update({str(a): b for a, b in zip(f["seq"], f["event_type"], strict=True) if a >= s["next"]})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        following, status, pending, done, latest, early = state.get if state.exists else (1, "pending", 0, 0, 0, "{}")
+        got = list(frames)
+        latest = _latest(got, latest)
+        held = json.loads(early)
+        for f in got:
+            held.update({str(a): b for a, b in zip(f["seq"], f["event_type"], strict=True) if a >= following})
         moved = False
-        while str(s["next"]) in s["held"]:
-            kind = s["held"].pop(str(s["next"]))
-            s["next"] += 1
+        while str(following) in held:
+            kind = held.pop(str(following))
+            following += 1
             moved = True
             if kind == "approval.requested":
-                s["pending"] += 1
+                pending += 1
             elif kind in ("approval.granted", "approval.rejected"):
-                s["pending"] -= 1
-                if kind == "approval.granted" and s["status"] == "suspended" and s["pending"] == 0:
-                    s["status"] = "running"
+                pending -= 1
+                if kind == "approval.granted" and status == "suspended" and pending == 0:
+                    status = "running"
             elif kind == "step.completed":
-                s["done"] += 1
-            s["status"] = setters.get(kind, s["status"])
-        state.update((json.dumps(s),))
+                done += 1
+            status = setters.get(kind, status)
+        values = (following, status, pending, done, latest, json.dumps(held))
+        if at is not None and status in ENDED and not held:
+            _set_aside(state, values, latest + keep_ended)
+        else:
+            state.update(values)
         if moved:
-            yield pd.DataFrame({"run_id": [key[0]], "status": [s["status"]], "last_seq": [s["next"] - 1], "n_completed": [s["done"]]})
+            yield pd.DataFrame({"run_id": [key[0]], "status": [status], "last_seq": [following - 1], "n_completed": [done]})
 
-    return stream.select("run_id", "seq", "event_type").groupBy("run_id").applyInPandasWithState(step, "run_id string, status string, last_seq bigint, n_completed bigint", "s string", "update", GroupStateTimeout.NoTimeout)
+    kept = "following bigint, status string, pending bigint, done bigint, latest bigint, early string"
+    return _per_run(stream, at, delay, step, "run_id string, status string, last_seq bigint, n_completed bigint", kept, "update")
 
 
 def expire(stream: DataFrame) -> DataFrame:
@@ -196,7 +242,7 @@ def decision_join(requests: DataFrame, decisions: DataFrame, delay: str, within:
 def throttle(reports: DataFrame, interval_seconds: float) -> DataFrame:
     """Progress reports kept greedily: one per step and interval; fraction clamped to 0..1, note cut at 200 characters.
 
-    Which report is kept depends on the one kept before it, so a step's reports pass one by one, streamed in order.
+    Which report is kept depends on the one kept before it, so a step's reports pass one by one, streamed in order: by time, then fraction and note.
     """
     ship(reports.sparkSession)
 
@@ -213,7 +259,7 @@ def throttle(reports: DataFrame, interval_seconds: float) -> DataFrame:
             yield b[keep]
 
     rows = reports.select("run_id", "step_id", "at", F.least(F.greatest("fraction", F.lit(0.0)), F.lit(1.0)).alias("fraction"), F.left("note", F.lit(200)).alias("note"))
-    return rows.repartition("run_id", "step_id").sortWithinPartitions("run_id", "step_id", "at").mapInPandas(run, rows.schema)
+    return rows.repartition("run_id", "step_id").sortWithinPartitions("run_id", "step_id", "at", "fraction", "note").mapInPandas(run, rows.schema)
 
 
 def notices(stream: DataFrame) -> DataFrame:
