@@ -39,7 +39,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """The same rows with more columns whose names operators use inside."""
-    more = ["t", "fp", "id", "key", "root", "node", "k", "copy", "n_copies", "found", "hash", "kept", "rate", "window", "sample", "ids"]
+    more = ["t", "fp", "id", "key", "root", "node", "k", "copy", "n_copies", "found", "hash", "kept", "rate", "window", "sample", "ids", "_k", "_o", "_u", "_steps", "_source", "_r", "_n", "_i", "_h", "n", "h", "who", "first", "best", "pid", "_t", "_g", "_col0", "doc", "count", "u", "code", "lang_pred", "score", "shard", "name", "base"]
     return docs.select("*", *[F.lit("x").alias(c) for c in more])
 
 
@@ -56,7 +56,7 @@ def rows_of(df):
 
 
 def test_mixing_counts_follow_the_inverse(docs, clashing, nothing):
-    from logweave.llm.mixing import mix, poisson_steps, source_rates
+    from logweave.llm.mixing import mix, poisson_steps, repeat_rows, source_rates
 
     out = mix(docs, epochs=3.0).toPandas()
     rates = {r["source"]: r["rate"] for r in source_rates(docs, "source", F.coalesce(F.length("text"), F.lit(0)), epochs=3.0).collect()}
@@ -76,7 +76,12 @@ def test_mixing_counts_follow_the_inverse(docs, clashing, nothing):
     got = [(None if pd.isna(a) else int(a), b) for a, b in zip(out.doc_id, out.text)]
     assert sorted(map(repr, want)) == sorted(map(repr, got))
     assert out.columns.tolist() == ["doc_id", "text", "lang", "source", "n_chars", "n_copies", "copy"]
-    assert len(mix(clashing, epochs=3.0).toPandas()) == len(out)
+    more = mix(clashing, epochs=3.0)
+    assert more.columns == [*clashing.columns, "n_copies_", "copy_"]
+    seen = more.toPandas()
+    assert len(seen) == len(out) and (seen[["_k", "_o", "_u", "_steps", "_source", "copy", "n_copies"]] == "x").all().all()
+    again = repeat_rows(clashing, epochs=3.0)
+    assert again.columns == clashing.columns and rows_of(again) == sorted((tuple(r)[:-2] for r in more.collect()), key=repr)
     assert mix(nothing).count() == 0
     steps = docs.sparkSession.range(1).select(poisson_steps(F.lit(900.0)).alias("s")).first()["s"]
     assert steps[-1] == pytest.approx(1.0, abs=1e-9) and steps == sorted(steps)
@@ -121,7 +126,10 @@ def test_search_without_rows(spark):
     none = spark.createDataFrame([], "id bigint, code bigint")
     assert top_k(none, none).count() == 0
     v = spark.createDataFrame([(1, [1.0, -1.0, None, 2.0]), (2, None), (None, [1.0])], "id bigint, v array<float>")
-    assert rows_of(sign_codes(v, "id", "v")) == [(1, 0b1001)]
+    assert rows_of(sign_codes(v.withColumn("code", F.lit("x")), "id", "v")) == [(1, 0b1001)]
+    long = spark.createDataFrame([(1, [1.0] * 65)], "id bigint, v array<float>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        sign_codes(long, "id", "v").collect()
 
 
 # ------------------------------------------------------------------ 3 quality
@@ -413,6 +421,58 @@ def test_covering_masks():
             assert any(not any(m >> p & 1 for p in three) for m in masks)
 
 
+def test_wide_masks_cover_nineteen_bits():
+    from logweave.llm.simhash_dedup import inner_masks, wide_masks
+
+    r = random.Random(6)
+    masks = [a | b << 64 for a, b in wide_masks()]
+    assert len(masks) == 124 and all(bin(m).count("1") in range(14, 19) for m in masks)
+    for _ in range(3000):
+        diff = sum(1 << p for p in r.sample(range(128), 19))
+        assert any(not m & diff for m in masks)
+    inner = [a | b << 64 for a, b in inner_masks(wide_masks()[40])]
+    assert all(not m & masks[40] for m in inner)
+    free = [p for p in range(128) if not masks[40] >> p & 1]
+    for _ in range(1000):
+        diff = sum(1 << p for p in r.sample(free, 19))
+        assert any(not m & diff for m in inner)
+
+
+@pytest.mark.parametrize("held,budget", [(65_536, 10**8), (50, 10**8), (65_536, 300)])
+def test_wide_links_join_near_fingerprints(spark, held, budget):
+    from logweave.llm.components import connected_components
+    from logweave.llm.simhash_dedup import wide_links
+
+    r = random.Random(12)
+    rows = []
+    for c in range(30):
+        center = r.getrandbits(128)
+        for _ in range(40 if c < 4 else 3):
+            rows.append(center ^ sum(1 << p for p in r.sample(range(128), r.randint(0, 9))))
+    rows = list(dict.fromkeys(rows))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(x & (2**64 - 1)), signed(x >> 64)) for i, x in enumerate(rows)], "who bigint, f1 bigint, f2 bigint")
+    roots = {x["node"]: x["root"] for x in connected_components(wide_links(df, 32, held, budget)).collect()}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        d = (rows[i] ^ rows[j]).bit_count()
+        if d <= 19:
+            assert roots[i] == roots[j]
+    for a, b in wide_links(df, 32, held, budget).collect():
+        assert (rows[a] ^ rows[b]).bit_count() <= 32
+
+
+def test_one_row_of_a_group_stays(spark, nothing):
+    from logweave.llm.simhash_dedup import keep_one
+
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [(5, a), (None, a), (None, b), (7, a), (5, a), (5, b + " more"), (8, None), (9, "  ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", *[f"'x' as {c}" for c in ("n", "id", "h", "_n", "_i", "_h", "_r", "pid", "best", "first", "bucket", "shingles")])
+    out = keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((tuple(r)[:2] for r in out.collect()), key=repr) == sorted([(5, a), (5, b + " more"), (8, None)], key=repr)
+    assert keep_one(nothing).count() == 0 and keep_one(nothing).columns == nothing.columns
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 
@@ -446,6 +506,23 @@ def test_ownership_and_redaction(spark, nothing):
     assert text[0][0] == rows[0][1] and text[20] == ("keep [SECRET] safe", 18) and text[None][0] == "[SECRET] [SECRET]" and text[21] == (None, 0)
 
 
+def test_ownership_by_brute_force(spark):
+    from logweave.llm.secret_scan import ownership
+
+    r = random.Random(9)
+    seen = [(r.choice("abcdefgh"), r.choice([None, "o1", "o2", "o3"]), r.choice([None, *[f"r{i}" for i in range(9)]]), r.random() < 0.3) for _ in range(300)]
+    seen += [("wide", "o1", f"d{i}", True) for i in range(30)] + [("near", "o1", f"d{i}", True) for i in range(24)] + [("near", "o1", "d1", True)] * 9
+    df = spark.createDataFrame([([(h, x), (h, x)], o, d) for h, o, d, x in seen], "found array<struct<hash:string,random:boolean>>, own string, rep string")
+    got = {tuple(x) for x in ownership(df, "own", "rep").collect()}
+    want = set()
+    for h in {x[0] for x in seen}:
+        own = [x for x in seen if x[0] == h]
+        owners, places = {x[1] for x in own}, {(x[1], x[2]) for x in own}
+        kind = "example" if len(owners) >= 3 or len(places) >= 25 else "live" if any(x[3] for x in own) else "weak"
+        want.add((h, len(places), len(owners), kind))
+    assert got == want and ("wide", 30, 1, "example") in got and ("near", 24, 1, "live") in got
+
+
 # ------------------------------------------------------------------ 7 sentencepiece
 
 
@@ -518,6 +595,14 @@ def test_sampling_rows(docs, clashing, nothing):
     assert sample_segmentations(nothing, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_round_trip_is_of_the_text_itself(spark):
+    from logweave.llm.sp_sampling import sample_segmentations
+
+    rows = [(1, "a\u2581b"), (2, "a b"), (3, "  two  blanks "), (4, "\u4e2d \U0001f600\n\n")]
+    got = sample_segmentations(spark.createDataFrame(rows, "doc_id bigint, text string"), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {x["doc_id"] for x in got if not x["round_trip"]} == {1}
+
+
 def test_decoding_matches_the_library(lattice):
     import sentencepiece
 
@@ -553,6 +638,52 @@ def test_languages(spark, nothing):
     assert model.scores([text("de", 1).encode()]).shape == (1, 3)
 
 
+def brute_grams(text):
+    shape = [c.lower() if c.isalpha() else 1 if c.isspace() else 2 if c.isdigit() else 3 for c in text]
+    return {tuple(shape[i : i + n]) for n in (1, 2, 3) for i in range(len(shape) - n + 1)}
+
+
+def test_kernel_ridge_by_brute_force(monkeypatch):
+    from logweave.llm import langid
+
+    r = random.Random(3)
+    word = {"a": "ba be bi", "b": "xo xu 12", "c": "zz, zé ab"}
+    text = lambda g, n: " ".join(r.choice(word[g].split()) for _ in range(n))
+    rows = [(text(g, 12).encode(), g) for g in "abc" * 8]
+    probes = [text(g, 9) for g in "abcabc"] + ["q", "é é"]
+    kernel = lambda x, y: len(x & y) / math.sqrt(max(len(x), 1) * max(len(y), 1))
+    sets = [brute_grams(t.decode()) for t, _ in rows]
+    marks = [s for g in "abc" for s in [x for x, (_, own) in zip(sets, rows) if own == g][:4]]
+    inner = np.array([[kernel(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(inner)
+    root = vectors[:, values > 1e-8 * values.max()] / np.sqrt(values[values > 1e-8 * values.max()])
+    phi = np.array([[kernel(x, y) for y in marks] for x in sets]) @ root
+    want = []
+    for g in "abc":
+        t = np.where([own == g for _, own in rows], 1.0, -1.0)
+        w = np.where(t > 0, 1 / (t > 0).sum(), 1 / (t < 0).sum())[:, None]
+        beta = np.linalg.solve(phi.T @ (phi * w) + 1e-3 * np.eye(phi.shape[1]), phi.T @ (w[:, 0] * t))
+        want.append(np.array([[kernel(brute_grams(p), y) for y in marks] for p in probes]) @ root @ beta)
+    for block in (32_768, 7):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = langid.fit(rows, landmarks=4).scores([p.encode() for p in probes])
+        assert np.allclose(got, np.stack(want, axis=1), atol=1e-3)
+    monkeypatch.setattr(langid, "PIECE", 5)
+    long = text("c", 20).encode()
+    pieces = langid.presence([long])[0]
+    monkeypatch.undo()
+    assert set(pieces.tolist()) == set(langid.presence([long])[0].tolist())
+
+
+def test_languages_of_the_tables(spark):
+    """Held-out accuracy on labelled rows of the given tables."""
+    from logweave.llm.langid import language_report
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").toPandas()
+    assert len(out) > 100 and (out.lang == out.lang_pred).mean() > 0.97
+
+
 # ------------------------------------------------------------------ 9 token files
 
 
@@ -564,7 +695,12 @@ def test_token_files_round_trip(spark, docs, nothing, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     extra = spark.createDataFrame([(200, "a  b\n\n don't\t中 <|endoftext|> x", "en", "s", 1), (201, "plain words.\nNext, line!? yes", "en", "s", 1), (202, "été ß ÿ", "en", "s", 1)], SCHEMA)
     both = docs.unionByName(extra).withColumn("shard", F.lit("x"))
+    stray = [tmp_path / f"{x}.bin" for x in ("000001-0123456789ab", "_000002-0123456789ab")]
+    for f in [*stray, tmp_path / "notes.bin"]:
+        f.write_text("left by an attempt")
     shards = write_token_files(both, str(tmp_path), path, partitions=3)
+    assert not any(f.exists() for f in stray) and (tmp_path / "notes.bin").exists()
+    (tmp_path / "notes.bin").unlink()
     got = [tuple(r) for r in read_shards(shards, str(tmp_path)).collect()]
     t = Tokenizer.from_file(path)
     at, want = 0, []
