@@ -32,7 +32,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Entries that may be broadcast: 16 million times 12 bytes.
 MAX_ENTRIES = 16_000_000
 #: Characters of a text taken at once, and n-grams counted in a task before they are handed on.
-SLAB, HELD = 600_000, 1_000_000
+SLAB, HELD = 250_000, 500_000
 #: A row with more symbols than one in so many characters is not learned from.
 SYMBOL_SHARE = 50
 #: Languages whose bands may be broadcast: a few dozen bytes each.
@@ -163,6 +163,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     context of 1 to 3 characters; kind 10: log-probability of an unseen character.
     """
     bits = SYMBOL_BITS
+    few = counts.select("lang").distinct().count() <= MAX_BANDS  # beyond it, shuffled joins by language
+    small = F.broadcast if few else (lambda df: df)
     tables = {ORDER: counts.select("lang", "code", F.col("n").alias("c"))}
     for k in range(ORDER - 1, 0, -1):
         short = F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1))
@@ -174,7 +176,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         of = t.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
         y = F.expr("n1 / greatest(n1 + 2 * n2, 1)")
         d = [F.least(F.greatest(F.lit(0.05), F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(0.5 * i)), F.lit(i * 0.95)) for i in (1, 2, 3)]
-        t = t.join(of.select("lang", *[x.alias(f"d{i + 1}") for i, x in enumerate(d)]), "lang")
+        t = t.join(small(of.select("lang", *[x.alias(f"d{i + 1}") for i, x in enumerate(d)])), "lang")
         t = t.withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"))
         ctx = t.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("cut"), F.count("*").alias("kinds"))
         t = t.join(ctx, ["lang", "h"])

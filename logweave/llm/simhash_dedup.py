@@ -267,12 +267,14 @@ def _wide_prints(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = as_bytes(b.column(3))
-            words = [t.lower().split() if t else [] for t in texts]
-            digests = b"".join([xxhash.xxh3_128_digest(b" ".join(w)) for w in words])
-            d = np.frombuffer(digests, ">i8").astype(np.int64).reshape(len(texts), 2)
-            f = np.array([wide_fingerprint(shingle_hashes(w, width)) if w else (0, 0) for w in words], np.uint64).reshape(len(texts), 2).view(np.int64)
-            n_words = np.array(list(map(len, words)), np.int64)
+            digests, prints, n_words = [], [], np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(as_bytes(b.column(3))):  # one text's words at a time
+                words = t.lower().split() if t else []
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(wide_fingerprint(shingle_hashes(words, width)) if words else (0, 0))
+                n_words[i] = len(words)
+            d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(b.num_rows, 2)
+            f = np.array(prints, np.uint64).reshape(b.num_rows, 2).view(np.int64)
             cols = [*b.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(n_words)]
             yield pa.RecordBatch.from_arrays(cols, ["n", "id", "h", "d1", "d2", "f1", "f2", "n_words"])
 
@@ -280,32 +282,36 @@ def _wide_prints(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, d1 bigint, d2 bigint, f1 bigint, f2 bigint, n_words bigint")
 
 
-def _wide_forest(fp: np.ndarray, who: np.ndarray, radius: int, budget: int):
-    """Links (a, b) of a spanning forest, and the members that are still to be compared if the budget did not do."""
+def _wide_stars(fp: np.ndarray, who: np.ndarray, radius: int, budget: int):
+    """Links (a, b) from the first member of each component to the others, and the members that are still to be compared if the budget did not do.
+
+    Members come in ascending order of `who`, so a link goes to the component's smallest one.
+    """
     rest = np.arange(len(fp))
     a, b = [], []
     spent = 0
     frontier: list[int] = []
+    center = 0
     while len(rest):
         if not frontier:
-            frontier, rest = [int(rest[0])], rest[1:]
+            center, rest = int(rest[0]), rest[1:]
+            frontier = [center]
         x = frontier.pop()
         spent += len(rest)
         near = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1) <= radius
         if near.any():
             hit = rest[near]
-            a.append(np.full(len(hit), who[x]))
+            a.append(np.full(len(hit), who[center]))
             b.append(who[hit])
             frontier.extend(hit.tolist())
             rest = rest[~near]
         if spent > budget and len(rest):
-            left = np.concatenate([np.array(frontier, np.int64), rest])
-            return a, b, left
+            return a, b, np.concatenate([np.array(frontier, np.int64), rest])
     return a, b, np.zeros(0, np.int64)
 
 
 def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
-    """Over rows (mask, key, f1, f2, who) sorted by mask and key: links (a, b), or members (a, null, mask, f1, f2) of buckets that want further masks."""
+    """Over rows (mask, key, f1, f2, who) sorted by mask, key and who: links (a, b), or members (a, null, mask, f1, f2) of buckets that want further masks."""
     names = ["a", "b", "mask", "f1", "f2"]
 
     def links(a, b):
@@ -331,7 +337,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
                 a.append(who[small[:-d][ok]])
                 b.append(who[small[d:][ok]])
             for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                x, y, left = _wide_forest(fp[s : s + n], who[s : s + n], radius, 1 << 62 if last else budget)
+                x, y, left = _wide_stars(fp[s : s + n], who[s : s + n], radius, 1 << 62 if last else budget)
                 a += x
                 b += y
                 if len(left):
@@ -366,7 +372,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
             held = [(mask[tail:], key[tail:], fp[tail:], who[tail:])]
             if not last and len(key) - tail > held_rows:
                 mask, key, fp, who = held[0]
-                a, b, _ = _wide_forest(fp, who, radius, budget)
+                a, b, _ = _wide_stars(fp, who, radius, budget)
                 if a:
                     yield links(np.concatenate(a), np.concatenate(b))
                 yield members(mask, fp, who)
@@ -388,7 +394,7 @@ def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS,
     keys = F.array(*[F.col("f1" if m[0] else "f2").bitwiseAND(F.lit(_signed(m[0] or m[1]))) for m in masks])
     rows = prints.select("f1", "f2", "who", F.posexplode(keys).alias("mask", "key")).select("mask", "key", "f1", "f2", "who")
     schema = "a bigint, b bigint, mask int, f1 bigint, f2 bigint"
-    found = cut(rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_wide_job(radius, held_rows, budget, False), schema))
+    found = cut(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "who").mapInArrow(_wide_job(radius, held_rows, budget, False), schema))
     deep: dict[int, np.ndarray] = {}
 
     def further(batches):
@@ -409,8 +415,13 @@ def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m * 1000 + i, np.int32)), pa.array(key.view(np.int64)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(who[outer == m])], ["mask", "key", "f1", "f2", "who"])
 
     again = found.where("b is null").mapInArrow(further, "mask int, key bigint, f1 bigint, f2 bigint, who bigint")
-    more = again.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_wide_job(radius, held_rows, budget, True), schema)
-    return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+    more = again.repartition("mask", "key").sortWithinPartitions("mask", "key", "who").mapInArrow(_wide_job(radius, held_rows, budget, True), schema)
+    links = found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+    # a member meets a few smaller ones in each of its buckets: one link to the least stays, the others are linked to the least
+    lists = links.groupBy(F.greatest("a", "b").alias("a")).agg(F.array_sort(F.collect_set(F.least("a", "b"))).alias("less"))
+    lists = cut(lists)
+    rest = lists.select(F.explode(F.slice("less", 2, F.size("less"))).alias("a"), F.col("less")[0].alias("b")).distinct()
+    return lists.select("a", F.col("less")[0].alias("b")).unionByName(rest)
 
 
 def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -31,7 +31,9 @@ from .common import ship, slabs
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Lattice positions kept per worker before the cache starts anew.
-CACHE = 800_000
+CACHE = 500_000
+#: Characters that are sampled at once.
+SLAB = 250_000
 #: Edges that are kept room for, per position.
 EDGES = 5
 _models: dict[tuple, Lattices] = {}
@@ -450,7 +452,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = 2, alpha: f
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             keys = np.array([xxhash.xxh64_intdigest("" if x is None else str(x), seed) for x in b.column(0).to_pylist()], np.uint64)
-            for lo, hi in slabs([len(t) + 50 for t in texts], 1_000_000):
+            for lo, hi in slabs([len(t) + 50 for t in texts], SLAB):
                 found = lat.sample(texts[lo:hi], keys[lo:hi], samples)
                 row, no, sizes, parts, logp, incl, good = [], [], [], [], [], [], []
                 for i, own in enumerate(found):

@@ -453,12 +453,14 @@ def test_wide_links_join_near_fingerprints(spark, held, budget):
     signed = lambda x: x - 2**64 if x >> 63 else x
     df = spark.createDataFrame([(i, signed(x & (2**64 - 1)), signed(x >> 64)) for i, x in enumerate(rows)], "who bigint, f1 bigint, f2 bigint")
     roots = {x["node"]: x["root"] for x in connected_components(wide_links(df, 32, held, budget)).collect()}
+    wide = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
         d = (rows[i] ^ rows[j]).bit_count()
         if d <= 19:
             assert roots[i] == roots[j]
-    for a, b in wide_links(df, 32, held, budget).collect():
-        assert (rows[a] ^ rows[b]).bit_count() <= 32
+        if d <= 32:
+            wide = [wide[i] if g == wide[j] else g for g in wide]
+    assert all(wide[a] == wide[b] for a, b in roots.items())
 
 
 def test_one_row_of_a_group_stays(spark, nothing):
