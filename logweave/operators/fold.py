@@ -150,6 +150,22 @@ def endings(log: DataFrame) -> DataFrame:
     )
 
 
+def summary(log: DataFrame) -> DataFrame:
+    """(run_id, status, last_seq, last_at, workflow, started_at, total_cost, n_completed): one aggregate, and one over the few approval events."""
+    code = F.lit(None).cast("bigint")
+    for kind, value in SETTERS.items():
+        code = F.when(_is(kind), STATUSES.index(value)).otherwise(code)
+    first = (F.col("seq") == 1) & _is("run.started")
+    counted = F.when(_is("step.completed", "step.dead_lettered"), F.col("cost"))
+    whole = log.groupBy("run_id").agg(
+        F.max(F.when(_is(*SETTERS), F.col("seq") * 64 + code)).alias("packed"), F.max("seq").alias("last_seq"), F.max_by("occurred_at", "seq").alias("last_at"), F.max(F.when(first, F.col("workflow"))).alias("workflow"),
+        F.max(F.when(first, F.col("occurred_at"))).alias("started_at"), F.coalesce(F.sum(counted), F.lit(0)).cast("decimal(28,4)").alias("total_cost"), F.sum(_is("step.completed").cast("bigint")).alias("n_completed"),
+    )
+    cleared = approval_transitions(log).where("event_type = 'approval.granted' and pending_after = 0").groupBy("run_id").agg(F.max("seq").alias("cleared_seq"))
+    out = whole.join(cleared, "run_id", "left")
+    return out.withColumn("status", _status_of(out)).select("run_id", "status", "last_seq", "last_at", "workflow", "started_at", "total_cost", "n_completed")
+
+
 def run_row(log: DataFrame) -> DataFrame:
     """The whole nested row of each run: one aggregate by run, one by step, and what the few approval events add."""
     retry = _is("step.retry_requested")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import shared_dir
 from ..sources.run_log import derive
 from .log_sql import over_log
 
@@ -23,9 +25,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def on_log(name: str, build: Callable[[DataFrame], DataFrame], body: str | None = None, ctes: str = "") -> None:
-    """A query over the derived log and its twin: `body` after the log's CTEs."""
-    query(name, None if body is None else over_log(body, ctes))(lambda spark, sf_dir: build(derive(spark, sf_dir)))
+def stored(log: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The log, or some columns of it, written once to the shared folder: for queries that read several parts of it."""
+    spark = log.sparkSession
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log = log.select(*columns) if columns else log
+    log.write.parquet(path)
+    return spark.read.schema(log.schema).parquet(path)
+
+
+def on_log(name: str, build: Callable[[DataFrame], DataFrame], body: str | None = None, ctes: str = "", store: list[str] | None = None) -> None:
+    """A query over the derived log and its twin: `body` after the log's CTEs. store: columns of the log to write once, where the query reads the log more than once."""
+    sql = None if body is None else over_log(body, ctes)
+    query(name, sql)(lambda spark, sf_dir: build(stored(derive(spark, sf_dir), store) if store else derive(spark, sf_dir)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

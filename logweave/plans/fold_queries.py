@@ -19,6 +19,9 @@ setter as (select run_id, arg_max({VALUE}, seq) filter ({SETS}) as s, max(seq) f
 run_status as (select x.run_id, case when s = 'suspended' and exists (select 1 from grants g where g.run_id = x.run_id and g.seq > x.set_at) then 'running' else s end as status, last_seq, last_at from setter x)
 """
 
+#: What the fold reads of the log.
+FOLDED = ["run_id", "seq", "event_type", "occurred_at", "workflow", "cost"]
+APPROVED = [*FOLDED, "step_id", "approval_id", "approval_kind", "effect_class", "proposed_ceiling", "expires_at", "principal_kind"]
 on_log("b01_run_status", lambda g: fold.status(g), "select * from run_status", STATUS_CTES)
 on_log("b02_run_header", lambda g: fold.header(g), "select run_id, workflow, request_id, parent_run_id, occurred_at as started_at from log where event_type = 'run.started'")
 on_log(
@@ -100,7 +103,7 @@ on_log(
     coalesce((select string_agg(step_id || ':' || attempt, ',' order by seq) from log e where e.run_id = s.run_id and e.event_type = 'step.completed'), '') as steps,
     coalesce((select string_agg(approval_id || '=' || approval_status, ',' order by approval_id) from approvals a where a.run_id = s.run_id), '') as approvals
     from run_status s join (select run_id, workflow from log where event_type = 'run.started') h using (run_id) join cost c using (run_id) left join err using (run_id) left join fin using (run_id)""",
-    f"{STATUS_CTES}, {APPROVALS}, {COST}, {ENDINGS}",
+    f"{STATUS_CTES}, {APPROVALS}, {COST}, {ENDINGS}", [*APPROVED, "request_id", "parent_run_id", "error", "terminal", "attempt", "fraction", "policy", "narrowed"],
 )
 on_log(
     "b19_snapshot_fold", lambda g: fold.fold_from(fold.accumulators(g.where("seq <= 9")), g).select("run_id", "status", "last_seq", F.col("total_cost").cast("double").alias("total_cost"), "n_completed"),
@@ -161,13 +164,13 @@ on_log(
 )
 on_log(
     "flagship_workflow_summary",
-    lambda g: fold.status(g).join(fold.header(g).select("run_id", "workflow"), "run_id").join(fold.total_cost(g), "run_id").groupBy("workflow", "status").agg(
+    lambda g: fold.summary(g).where("started_at is not null").groupBy("workflow", "status").agg(
         F.count("*").alias("runs"), F.sum("last_seq").alias("events"), F.sum("n_completed").alias("completed_steps"), F.sum("total_cost").cast("double").alias("total_cost")
     ),
     """select workflow, status, count(*) as runs, sum(last_seq)::bigint as events, sum(n_completed)::bigint as completed_steps, sum(c)::double as total_cost
     from run_status join (select run_id, workflow from log where event_type = 'run.started') using (run_id)
     join (select run_id, coalesce(sum(cost) filter (event_type in ('step.completed', 'step.dead_lettered')), 0) as c, count(*) filter (event_type = 'step.completed') as n_completed from log group by run_id) using (run_id) group by all""",
-    STATUS_CTES,
+    STATUS_CTES, FOLDED,
 )
 
 

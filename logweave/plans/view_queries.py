@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import cost, fold, index, timeline
 from ..sources.run_log import derive, with_workflow
 from .base import on_log, query
-from .fold_queries import APPROVALS, STATUS_CTES
+from .fold_queries import APPROVALS, APPROVED, STATUS_CTES
 from .log_sql import over_log
 
 RUNS = "run_rows2 as (select s.run_id, status, workflow, occurred_at as created_at from run_status s join (select run_id, workflow, occurred_at from log where event_type = 'run.started') using (run_id))"
@@ -17,7 +17,7 @@ CURSOR = (datetime.datetime(1996, 1, 1), "8")
 
 
 def runs(log):
-    return fold.status(log).join(fold.header(log), "run_id").select("run_id", "status", "workflow", F.col("started_at").alias("created_at"))
+    return fold.summary(log).where("started_at is not null").select("run_id", "status", "workflow", F.col("started_at").alias("created_at"))
 
 
 on_log(
@@ -49,7 +49,7 @@ STALE = STATUS_CTES.replace("run_status", "stale_status").replace("grants", "sta
 on_log(
     "c06_list_rows", lambda g: index.list_rows(fold.status(g), _stale(g), fold.approvals(g), ["running", "failed"]),
     "select s.run_id, s.status, (select count(*) from approvals a where a.run_id = s.run_id and approval_status = 'pending') as n_pending from run_status s join stale_status t using (run_id) where t.status in ('running', 'failed') and s.status = t.status",
-    f"{STATUS_CTES}, {STALE}, {APPROVALS}",
+    f"{STATUS_CTES}, {STALE}, {APPROVALS}", APPROVED,
 )
 on_log(
     "c07_needs_advance", lambda g: index.needs_advance(runs(g), 100),
