@@ -26,6 +26,11 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than the number of rows is worth: tasks and files of tiny tables cost more than their rows."""
+    return df.coalesce(8 + rows // 250_000)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     if pa.types.is_large_string(column.type):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -39,10 +39,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     )
     e = cut(e.distinct())
     state = _state(e)
+    e = few(e, state[0])
     for _ in range(max_rounds):
         if not state[0]:
             break
-        e = cut(_small(_large(e).distinct()).distinct())
+        n = state[0]
+        large = few(few(_large(e), n).distinct(), n)
+        e = cut(few(few(_small(large), n).distinct(), n))
         now = _state(e)
         if now == state:
             break

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bloom, cut, ship, slabs
+from .common import as_bytes, bloom, cut, few, ship, slabs
 from .components import connected_components
 from .jaccard import block_pairs, shingle_hashes, verified_links
 
@@ -394,9 +394,10 @@ def _repeated_lines(docs: DataFrame, min_words: int, threshold: float = 0.8, wid
     wanted = own.select("pid", "h1", "h2", F.col("d_low").alias("doc")).distinct()
     roots = connected_components(verified_links(pairs, _shingle_sets(docs, wanted, min_words, width), threshold))
     rooted = distinct.join(roots.withColumnRenamed("node", "pid"), "pid", "left").select("h1", "h2", "copies", "low", "d_low", "d_high", F.coalesce("root", "pid").alias("root"))
-    rooted = cut(rooted)
+    size = distinct.count()
+    rooted = cut(few(rooted, size))
     classes = rooted.groupBy("root").agg(F.sum("copies").alias("n_paragraphs"), F.min("low").alias("class_id"), F.min("d_low").alias("d_low"), F.max("d_high").alias("d_high"))
-    classes = cut(classes.where("d_low <> d_high").select("root", "n_paragraphs", "class_id", F.col("d_low").alias("d_first")))
+    classes = cut(few(classes.where("d_low <> d_high").select("root", "n_paragraphs", "class_id", F.col("d_low").alias("d_first")), size))
     labels = rooted.select("h1", "h2", "root").join(classes, "root")
     found = cut(rows.select("doc_id", "doc", "para", "start", "stop", "n_words", "h1", "h2").join(labels, ["h1", "h2"]).drop("h1", "h2"))
     # the copy that stays: the first line of the class in the document that names it, or without an id in its first document

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, masked, ship, slabs
+from .common import as_bytes, cut, few, masked, ship, slabs
 
 ORDER = 4
 SYMBOL_BITS = 16
@@ -163,12 +163,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     context of 1 to 3 characters; kind 10: log-probability of an unseen character.
     """
     bits = SYMBOL_BITS
-    few = counts.select("lang").distinct().count() <= MAX_BANDS  # beyond it, shuffled joins by language
-    small = F.broadcast if few else (lambda df: df)
+    n = counts.count()
+    counts = few(counts, n)
+    # beyond so many languages, shuffled joins by language
+    small = F.broadcast if counts.select("lang").distinct().count() <= MAX_BANDS else (lambda df: df)
     tables = {ORDER: counts.select("lang", "code", F.col("n").alias("c"))}
     for k in range(ORDER - 1, 0, -1):
         short = F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1))
-        tables[k] = tables[k + 1].groupBy("lang", short.alias("code")).agg(F.count("*").alias("c"))
+        tables[k] = few(tables[k + 1].groupBy("lang", short.alias("code")).agg(F.count("*").alias("c")), n)
     out = None
     lower = None
     for k in range(1, ORDER + 1):
@@ -187,11 +189,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             t = t.withColumn("s", F.col("code").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1))).join(lower, ["lang", "s"])
             t = t.withColumn("p", F.expr("(c - d) / total + cut / total * q"))
             extra = ctx.select("lang", F.lit(9 + k).alias("kind"), F.col("h").alias("code"), F.expr("ln(cut / total)").alias("value"))
-        t = cut(t.select("lang", "code", "p"))
+        t = cut(few(t.select("lang", "code", "p"), n))
         lower = t.select("lang", F.col("code").alias("s"), F.col("p").alias("q"))
         own = t.select("lang", F.lit(k).alias("kind"), "code", F.ln("p").alias("value")).unionByName(extra)
         out = own if out is None else out.unionByName(own)
-    return cut(out)
+    return cut(few(out, n))
 
 
 class Arrays:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bloom, cut, masked, ship
+from .common import as_bytes, bloom, cut, few, masked, ship
 from .components import connected_components
 from .jaccard import block_pairs, shingle_hashes, verified_links
 
@@ -419,7 +419,7 @@ def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS,
     links = found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
     # a member meets a few smaller ones in each of its buckets: one link to the least stays, the others are linked to the least
     lists = links.groupBy(F.greatest("a", "b").alias("a")).agg(F.array_sort(F.collect_set(F.least("a", "b"))).alias("less"))
-    lists = cut(lists)
+    lists = cut(few(lists, prints.count()))
     rest = lists.select(F.explode(F.slice("less", 2, F.size("less"))).alias("a"), F.col("less")[0].alias("b")).distinct()
     return lists.select("a", F.col("less")[0].alias("b")).unionByName(rest)
 
@@ -455,21 +455,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
     own = cut(_wide_prints(rows, width))
     texts = own.groupBy("d1", "d2", "f1", "f2").agg(F.min(F.struct("n", "id", "h")).alias("first"), F.max("n_words").alias("n_words"))
-    texts = cut(texts.withColumn("pid", F.monotonically_increasing_id()))
+    size = own.count()
+    texts = cut(few(texts, size).withColumn("pid", F.monotonically_increasing_id()))
     # a fingerprint goes by one of its texts
     prints = texts.groupBy("f1", "f2").agg(F.min("pid").alias("who"))
-    prints = cut(prints)
+    prints = cut(few(prints, size))
     roots = connected_components(wide_links(prints, radius)).withColumnRenamed("node", "who")
     rooted = texts.join(prints, ["f1", "f2"]).join(roots, "who", "left").select("pid", "first", "n_words", F.coalesce("root", "who").alias("bucket"))
-    rooted = cut(rooted)
+    rooted = cut(few(rooted, size))
     # members weigh as their words, so blocks are bounded in memory
-    groups = cut(rooted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum(F.col("n_words") + 16).alias("size")).where("texts > 1"))
-    members = cut(rooted.join(groups, "bucket").select("bucket", "pid", "size", "first"))
+    groups = cut(rooted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum(F.col("n_words") + 16).alias("size")).where("texts > 1").coalesce(8 + size // 250_000))
+    members = cut(few(rooted.join(groups, "bucket").select("bucket", "pid", "size", "first"), size))
     sets = _wanted_shingles(rows, members.select("pid", "first.*"), width)
     links = verified_links(block_pairs(members.select("bucket", "pid", "size"), block_words), sets, threshold)
     same = connected_components(links).withColumnRenamed("node", "pid")
     labels = rooted.select("pid", "first").join(same, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
-    best = cut(labels.groupBy("root").agg(F.min("first").alias("best")))
+    labels = cut(few(labels, size))
+    best = cut(few(labels.groupBy("root").agg(F.min("first").alias("best")), size))
     of = labels.join(best, "root").select("pid", "best")
     named = texts.select("d1", "d2", "pid").join(of, "pid").drop("pid")
     return own.select("n", "id", "h", "d1", "d2").distinct().join(named, ["d1", "d2"]).select("n", "id", "h", "best")
