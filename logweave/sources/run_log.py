@@ -95,7 +95,7 @@ OCCURRED = "odate + interval '1' second * cast(6 * (100 * {k} + p) as int)"
 
 
 def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log, one row per event, dealt by run: later windows and groups by run need no further exchange."""
+    """The log, one row per event. Orders are dealt once, by their key, for the windows over lines and for the events' numbers; a query's own groups and windows by run shuffle the columns that they read."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")}
     steps = spark.sql(STEP_SQL, **tables)
     outcomes = spark.sql(OUTCOME_SQL, steps=steps)
@@ -104,19 +104,19 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     def item(own: int, k: str, p: int, kind: str, cond: str) -> str:
         return f"if({cond}, struct({own} as own, {k} as ek, {p} as p, '{kind}' as event_type), null)"
 
-    # one pass: a run's own events come from its last step's row
+    # one pass: a run's own events come from its last step's row; what a line has no event for comes out null
     items = [item(0, "k", p, e, c) for p, e, c in STEP_EVENTS]
     items += [item(1, "last_k + 1" if k else "0L", p, e, f"k = last_k and {c}") for k, p, e, c in RUN_EVENTS]
-    rows = kept.selectExpr("*", f"inline(filter(array({', '.join(items)}), x -> x is not null))")
+    rows = kept.selectExpr("*", f"inline(array({', '.join(items)}))").where("event_type is not null")
+    rows = rows.withColumn("seq", F.expr("cast(row_number() over (partition by okey order by ek, p) as bigint)"))
 
     def column(name: str, kind: str, of_step: str, of_run: str) -> str:
         return f"cast(if(own = 1, {of_run}, {of_step}) as {kind}) as {name}".format(text="string")
 
-    log = rows.selectExpr(
-        RUN_ID.format(text="string") + " as run_id", "ek as k", "p", "event_type", OCCURRED.format(k="ek") + " as occurred_at",
+    return rows.selectExpr(
+        RUN_ID.format(text="string") + " as run_id", "seq", "event_type", OCCURRED.format(k="ek") + " as occurred_at",
         *[column(n, t, "null", x) for n, t, x in HEADER_COLUMNS], *[column(n, t, x, RUN_COLUMNS.get(n, "null")) for n, t, x in STEP_COLUMNS],
-    ).repartition("run_id")
-    return log.selectExpr("run_id", "cast(row_number() over (partition by run_id order by k, p) as bigint) as seq", *COLUMNS[2:])
+    )
 
 
 def with_workflow(log: DataFrame) -> DataFrame:
