@@ -20,14 +20,18 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def all_shingles(words: list[bytes], width: int) -> np.ndarray:
     """Hashes of the word shingles in order, repeats included."""
+    return np.frombuffer(shingle_digests(words, width), ">u8").astype(np.uint64)
+
+
+def shingle_digests(words: list[bytes], width: int) -> bytes:
+    """The same as bytes, eight for each shingle."""
     joined = b" ".join(words)
+    digest = xxhash.xxh3_64_digest
     if len(words) <= width:
-        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
+        return digest(joined)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    digest = xxhash.xxh3_64_digest
-    raw = b"".join([digest(joined[s:e]) for s, e in zip((ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
-    return np.frombuffer(raw, ">u8").astype(np.uint64)
+    return b"".join([digest(joined[s:e]) for s, e in zip((ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
 
 
 def jaccard_forest(pids: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:

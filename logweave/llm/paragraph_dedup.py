@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bloom, cut, few, ship, slabs
 from .components import connected_components
-from .jaccard import block_pairs, shingle_hashes, verified_links
+from .jaccard import block_pairs, shingle_digests, shingle_hashes, verified_links
 
 BANDS, ROWS = 16, 4
 #: Successive starts of which one window is picked.
@@ -52,19 +52,29 @@ def paragraphs(text: bytes | None, min_words: int):
     """(paragraph number, start, stop, words): lines with enough words; offsets in code points."""
     at = 0
     for i, line in enumerate(text.split(b"\n") if text else []):
-        size = len(line.decode("utf-8", "replace"))
+        size = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
         words = line.lower().split()
         if len(words) >= min_words:
             yield i, at, at + size, words
         at += size + 1
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    # a slice at a time: the products of a very long text would fill the memory
-    low = np.min([(hashes[i : i + 2048, None] * _A + _B).min(axis=0) for i in range(0, len(hashes), 2048)], axis=0) >> np.uint64(20)
-    key = np.zeros(BANDS, np.uint64)
+def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Band keys of sets of shingle hashes, back to back: a row for each set. Repeated hashes change nothing."""
+    low = np.empty((len(sizes), BANDS * ROWS), np.uint64)
+    at = 0
+    for lo, hi in slabs(sizes.tolist(), 8192):  # some at a time: the products of very long texts would fill the memory
+        stop = at + int(sizes[lo:hi].sum())
+        if hi - lo == 1:
+            low[lo] = np.min([(hashes[i : min(i + 8192, stop), None] * _A + _B).min(axis=0) for i in range(at, stop, 8192)], axis=0)
+        else:
+            starts = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
+            low[lo:hi] = np.minimum.reduceat(hashes[at:stop, None] * _A + _B, starts, axis=0)
+        at = stop
+    low >>= np.uint64(20)
+    key = np.zeros((len(sizes), BANDS), np.uint64)
     for r in range(ROWS):
-        key = (key ^ low[r::ROWS]) * _MIX
+        key = (key ^ low[:, r::ROWS]) * _MIX
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
@@ -74,17 +84,18 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at, nums, marks, keys = [], [], [], []
+            at, nums, marks, digests = [], [], [], []
             for i, t in enumerate(as_bytes(b.column(2))):
                 for no, start, stop, words in paragraphs(t, min_words):
                     at.append(i)
                     nums.append((no, start, stop, len(words)))
                     marks.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    keys.append(band_keys(shingle_hashes(words, width)))
+                    digests.append(shingle_digests(words, width))
             n = len(at)
             table = np.array(nums, np.int64).reshape(n, 4)
             marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(n, 2)
-            key = np.array(keys, np.int64).reshape(n, BANDS)
+            hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+            key = band_keys(hashes, np.array([len(x) // 8 for x in digests], np.int64))
             took = pa.array(at, pa.int64())
             cols = [b.column(0).take(took), b.column(1).take(took), *[pa.array(table[:, j]) for j in range(4)], pa.array(marked[:, 0]), pa.array(marked[:, 1]), *[pa.array(key[:, j]) for j in range(BANDS)]]
             yield pa.RecordBatch.from_arrays(cols, names)
