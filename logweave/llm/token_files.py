@@ -173,8 +173,9 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """The optimizer's estimate of the table's size: for files their bytes, without a scan."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the table's size: for files their bytes, without a scan. 0 where it has none (it then says exabytes)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
 
 
 def _sweep_strays(folder: str, names: set[str]) -> None:
