@@ -31,7 +31,7 @@ from .common import ship, slabs
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Lattice positions kept per worker before the cache starts anew.
-CACHE = 500_000
+CACHE = 1_500_000
 #: Characters that are sampled at once.
 SLAB = 250_000
 #: Edges that are kept room for, per position.
