@@ -87,6 +87,24 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .reversed_search import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_poisson_mixing": op1_poisson_mixing,
@@ -99,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
         "op10_paragraph_dedup": op10_paragraph_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_reversed_search": op12_reversed_search,
+        "op13_toxicity_grammar": op13_toxicity_grammar,
     }
 
 
@@ -174,5 +195,30 @@ from digests join sizes s using (conv_id) left join repeated r using (conv_id)
 """
 
 
+OP12_SQL = r"""
+with words as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as t
+  from documents where text is not null
+), docs as (
+  select r, doc_id, t, len(t) as n from words where len(t) > 0
+), totals as (
+  select count(*)::bigint as nd, sum(n)::bigint as l from docs
+), tf as (
+  select r, t, count(*)::bigint as f from (select r, unnest(t) as t from docs) group by r, t
+), weight as (
+  select t, floor(1000 * ln((2 * (select nd from totals) + 2)::double / (2 * count(*) + 1)))::bigint as w from tf group by t
+), items as (
+  select row_number() over () as i, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as ts
+  from benchmark
+), asked as (
+  select i, item_id, unnest(ts) as t from items
+), scored as (
+  select i, item_id, r, doc_id, sum(w * ((1000000000 * f) // (1000 * f + 8 * (10 + (90 * n * nd) // l))))::bigint as score
+  from asked join tf using (t) join weight using (t) join docs using (r), totals group by i, item_id, r, doc_id
+)
+select item_id, row_number() over (partition by i order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0 qualify rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mixing": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op4_chat_windows": OP4_SQL}
+    return {"op1_poisson_mixing": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op4_chat_windows": OP4_SQL, "op12_reversed_search": OP12_SQL}
