@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, masked, ship
 
+_GAP = r"(?:\s|\\[nr])"
+#: A private key: its first line, header lines, base64 lines (the last may be short before the END line or with its padding), the END line if there is one.
+_PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}*+[A-Za-z-]+:[^\n\\]*+)*+((?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}*+[A-Za-z0-9+/]+(?:={{1,2}}|={{0,2}}(?={_GAP}*-----END)))?)(?:{_GAP}*+-----END [A-Z ]*PRIVATE KEY-----)?"
 #: Kinds in listing order. The first three are the base kinds. (name, pattern, group of the value, least length of the value)
 PATTERNS = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -28,8 +31,9 @@ PATTERNS = [
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("pem", _PEM, 1, 20),
 ]
+_BLANKS = re.compile(_GAP)
 _ORDER = {name: i for i, (name, *_) in enumerate(PATTERNS)}
 _COMPILED = [(name, re.compile(p), group, least) for name, p, group, least in PATTERNS]
 #: A text without one of these holds no match of the kind.
@@ -37,7 +41,12 @@ _NEEDS = {"assign": ("passw", "secret", "token", "apikey", "api_key"), "access":
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, value) in code points, by start and then kind; leftmost, not overlapping within a kind."""
+    """(kind, start, end, value) in code points, by start and then kind; leftmost, not overlapping within a kind.
+
+    The value of a private key is its body without blanks, so that the same key has one hash however its lines are broken; its
+    span reaches from the first line to the END line, or over the base64 lines where that is missing. A first line without a
+    body is no key.
+    """
     if not text:
         return []
     low = text.lower()
@@ -49,7 +58,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, str]]:
         elif name in _NEEDS and not any(w in text for w in _NEEDS[name]):
             continue
         for m in pattern.finditer(text):
-            value = m.group(group)
+            value = _BLANKS.sub("", m.group(group)) if name == "pem" else m.group(group)
             if len(value) >= least:
                 out.append((name, m.start(), m.end(), value))
     out.sort(key=lambda x: (x[1], _ORDER[x[0]]))
