@@ -6,8 +6,8 @@ key and its suffixes and contexts are bit operations; code points above 65,535 s
 area. Spark counts the n-grams, with a partial count per task, and derives continuation counts, discounts and
 log-probabilities from them by grouping and joining.
 
-The model is fitted on every row that reads as text: it passes the base rules, and at most one in fifty of its characters is one
-of the counted symbols. Rows that are full of marks are judged by a model that has not learned them, so they stand out.
+The model is fitted on every row that passes the base rules and, unless `symbol_share` is None, has at most one counted symbol in
+`symbol_share` characters. Rows that are full of marks are then judged by a model that has not learned them, so they stand out.
 
 For scoring, each language's entries are sorted arrays of 64-bit keys beside their values. The arrays are broadcast only if
 their number of entries is at most `max_entries` (12 bytes each); beyond that each document's distinct n-grams are joined to
@@ -33,8 +33,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 MAX_ENTRIES = 16_000_000
 #: Characters of a text taken at once, and n-grams counted in a task before they are handed on.
 SLAB, HELD = 250_000, 500_000
-#: A row with more symbols than one in so many characters is not learned from.
-SYMBOL_SHARE = 50
+#: By default a row with more symbols than one in so many characters is not learned from.
+SYMBOL_SHARE = 50.0
 #: Languages whose bands may be broadcast: a few dozen bytes each.
 MAX_BANDS = 100_000
 _table: list[np.ndarray] = []
@@ -110,13 +110,13 @@ def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return code[first], np.add.reduceat(count, first)
 
 
-def learned_from(features: tuple[int, int, int, int, int], min_words: int = 50) -> bool:
-    """Whether the model is fitted on a row: it passes the base rules and is not full of symbols."""
+def learned_from(features: tuple[int, int, int, int, int], min_words: int = 50, symbol_share: float | None = SYMBOL_SHARE) -> bool:
+    """Whether the model is fitted on a row: it passes the base rules and, with a symbol share, is not full of symbols."""
     n, chars, marks, _, repeat = features
-    return n >= min_words and 100 * repeat <= 50 * n and SYMBOL_SHARE * marks <= chars
+    return n >= min_words and 100 * repeat <= 50 * n and (symbol_share is None or symbol_share * marks <= chars)
 
 
-def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int | None = None) -> DataFrame:
+def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int | None = None, symbol_share: float | None = SYMBOL_SHARE) -> DataFrame:
     """(lang, code, n): exact counts over all rows, or with `min_words` over all rows learned from; null languages count as ''. Null text is left out."""
     ship(docs.sparkSession)
 
@@ -131,7 +131,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             texts, langs = as_bytes(b.column(0)), b.column(1).to_pylist()
             rows: dict[str, list[bytes]] = {}
             for t, g in zip(texts, langs, strict=True):
-                if t is not None and (min_words is None or learned_from(base_features(t), min_words)):
+                if t is not None and (min_words is None or learned_from(base_features(t), min_words, symbol_share)):
                     rows.setdefault(g or "", []).append(t)
             for lang, own in rows.items():
                 for _, _, code, _ in gram_slabs(own):
@@ -271,7 +271,7 @@ _COLUMNS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines big
 
 
 def _measure(models):
-    """Rows (carried columns, lang, base features, number of n-grams, sum of log-probabilities). models: broadcast, or None for features only."""
+    """Rows (carried columns, lang, base features, number of n-grams, sum of log-probabilities, null without a model of the language). models: broadcast, or None for features only."""
 
     def run(batches):
         arrays = models.value if models is not None else {}
@@ -279,6 +279,7 @@ def _measure(models):
             texts, langs = as_bytes(b.column(0)), b.column(1).to_pylist()
             base = np.array([base_features(t) for t in texts], np.int64).reshape(len(texts), 5)
             total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            unknown = np.array([models is not None and t is not None and (g or "") not in arrays for t, g in zip(texts, langs, strict=True)], bool)
             by: dict[str, list[int]] = {}
             for i, g in enumerate(langs):
                 if texts[i] is not None:
@@ -290,7 +291,7 @@ def _measure(models):
                     size[rows] += np.bincount(doc, minlength=len(rows))
                     if model is not None:
                         total[rows] += model.sums(code, doc, len(rows))
-            cols = [*b.columns[2:], pa.array([g or "" for g in langs], pa.string()), *[pa.array(base[:, j]) for j in range(5)], pa.array(size), pa.array(total)]
+            cols = [*b.columns[2:], pa.array([g or "" for g in langs], pa.string()), *[pa.array(base[:, j]) for j in range(5)], pa.array(size), pa.array(total, mask=unknown)]
             yield pa.RecordBatch.from_arrays(cols, [str(i) for i in range(len(cols))])
 
     return run
@@ -325,7 +326,7 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     unseen = side(10).drop("m")
     if unseen.count() <= MAX_BANDS:
         unseen = F.broadcast(unseen)
-    return sums.join(unseen, "lang", "left").select("k", (F.col("s") + F.col("lost") * F.coalesce(F.col("v10").cast("double"), F.lit(-30.0))).alias("s"))
+    return sums.join(unseen, "lang", "left").select("k", (F.col("s") + F.col("lost") * F.col("v10").cast("double")).alias("s"))
 
 
 def quality_scores(docs: DataFrame, model: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
@@ -338,30 +339,35 @@ def quality_scores(docs: DataFrame, model: DataFrame, carry: list[str], text_col
     model = model.withColumn("value", F.col("value").cast("float"))
     if model.count() <= max_entries:
         flat = model.toArrow()
-        langs = np.array(flat.column("lang").to_pylist(), dtype=object)
-        kind, code, value = (flat.column(c).to_numpy() for c in ("kind", "code", "value"))
-        sent = spark.sparkContext.broadcast({g: Arrays(kind[own], code[own], value[own]) for g in sorted(set(langs)) for own in [langs == g]})
+        langs = flat.column("lang").combine_chunks().dictionary_encode()
+        names, place = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        order = np.argsort(place, kind="stable")
+        sizes = np.bincount(place, minlength=len(names))
+        stops = np.cumsum(sizes)
+        kind, code, value = (flat.column(c).to_numpy()[order] for c in ("kind", "code", "value"))
+        sent = spark.sparkContext.broadcast({g: Arrays(kind[a:b], code[a:b], value[a:b]) for g, a, b in zip(names, stops - sizes, stops, strict=True)})
         return picked.mapInArrow(_measure(sent), schema)
     keyed = picked.withColumn("_k", F.sha2(F.concat_ws("\x01", F.coalesce("_g", F.lit("")), "_t"), 256))
     plain = keyed.select("_t", "_g", *carry, "_k").mapInArrow(_measure(None), schema.replace("model_lang", "_k string, model_lang"))
-    return plain.drop("log_sum").join(_joined_scores(keyed.dropDuplicates(["_k"]), model), plain["_k"] == F.col("k"), "left").drop("k", "_k").withColumn("log_sum", F.coalesce("s", F.lit(0.0))).drop("s")
+    return plain.drop("log_sum").join(_joined_scores(keyed.dropDuplicates(["_k"]), model), plain["_k"] == F.col("k"), "left").drop("k", "_k").withColumn("log_sum", F.when(F.col("n_grams") == 0, 0.0).otherwise(F.col("s"))).drop("s")
 
 
 def judge(
-    docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, low: float = 6.0, high: float = 6.0, floor_bits: float = 0.03, max_entries: int = MAX_ENTRIES
+    docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, low: float = 6.0, high: float = 6.0, floor_bits: float = 0.03, max_entries: int = MAX_ENTRIES, symbol_share: float | None = SYMBOL_SHARE
 ) -> DataFrame:
     """One row per input row: carry columns, base features, base_failed, bits_per_char, and kept.
 
     A document that passes the base rules is kept if its bits per character lie within its language's band: the median, less
     `low` and plus `high` times a spread. The spread is the interquartile range over 1.349, at least `floor_bits`. Both come
     from all documents of the language that the model is fitted on. Perplexity is 2 to the power bits_per_char, so the band is
-    an upper and a lower perplexity. A language with nothing to fit on has no band: the base rules alone decide.
+    an upper and a lower perplexity. A language with nothing to fit on has no band and null bits_per_char: the base rules alone decide.
+    `symbol_share` says which rows are learned from (None: all that pass the base rules); every row is judged.
 
     Null or blank text: zero words, base_failed, not kept. Null language: a language of its own. Repeated rows are counted and
     returned each time. An empty table gives no rows. Other columns are not read.
     """
     carry = ["doc_id"] if carry is None else carry
-    model = kneser_ney(cut(count_grams(docs, text_col, lang_col, min_words)))
+    model = kneser_ney(cut(count_grams(docs, text_col, lang_col, min_words, symbol_share)))
 
     def rated(scored: DataFrame) -> DataFrame:
         scored = scored.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -369,7 +375,9 @@ def judge(
 
     narrow = rated(cut(quality_scores(docs, model, ["doc_id"] if carry == ["doc_id"] else [], text_col, lang_col, max_entries)))
     q = F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
-    fitted = ~F.col("base_failed") & (SYMBOL_SHARE * F.col("n_symbols") <= F.col("word_chars"))
+    fitted = ~F.col("base_failed")
+    if symbol_share is not None:
+        fitted &= symbol_share * F.col("n_symbols") <= F.col("word_chars")
     bands = narrow.where(fitted).groupBy("model_lang").agg(q.alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(floor_bits))
     bands = cut(bands.select("model_lang", (F.col("q")[1] - low * spread).alias("band_low"), (F.col("q")[1] + high * spread).alias("band_high")))
