@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+from .scan import BLOCK, running
+
 #: Status that an event sets; a grant sets it only on a suspended run without other pending approvals. Fixed values.
 SETTERS = {
     "run.started": "running", "run.completed": "completed", "run.failed": "failed", "run.cancelled": "cancelled",
@@ -283,6 +286,20 @@ def state_everywhere(log: DataFrame, *carry: str) -> DataFrame:
     return rows.select("run_id", "seq", state.alias("status"), "total_cost", *carry)
 
 
+def state_everywhere_blocks(log: DataFrame, *carry: str, block: int = BLOCK) -> DataFrame:
+    """state_everywhere() for runs of any length: blocks of a run go side by side (see scan). Which grants clear a suspension takes a second scan, over approval events only."""
+    few = running(log.where(_is("approval.requested", *DECISIONS)), {"_pend": ("sum", F.when(_is("approval.requested"), 1).otherwise(-1))}, block)
+    cleared = cut(few.where("event_type = 'approval.granted' and _pend = 0").select("run_id", "seq", F.lit(True).alias("_clears")))
+    code = F.lit(None).cast("bigint")
+    for kind, value in SETTERS.items():
+        code = F.when(_is(kind), STATUSES.index(value)).otherwise(code)
+    rows = log.select("run_id", "seq", "event_type", "cost", *[c for c in carry if c not in ("run_id", "seq", "event_type", "cost")]).join(cleared, ["run_id", "seq"], "left")
+    spent = F.when(_is("step.completed", "step.dead_lettered"), F.col("cost")).cast("decimal(28,4)")
+    out = running(rows, {"packed": ("max", F.when(_is(*SETTERS), F.col("seq") * 64 + code)), "cleared_seq": ("max", F.when(F.col("_clears"), F.col("seq"))), "_total": ("sum", spent)}, block)
+    total = F.coalesce("_total", F.lit(0)).cast("decimal(28,4)").alias("total_cost")
+    return out.select("run_id", "seq", _status_of(out).alias("status"), total, *carry)
+
+
 def violations(log: DataFrame) -> DataFrame:
     """Runs whose log does not fold: first bad seq and the reason, in the order the rules are checked."""
     w = "over (partition by run_id order by seq)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import seconds
+from .scan import running
 
 #: Closed vocabulary of effect classes, and those that need a human. Fixed values.
 CLASSES = ["compute", "execute_code", "read", "send_message", "spawn_run", "spend", "write_external"]
@@ -113,13 +114,18 @@ def over_wall_time(settled: DataFrame, budgets: DataFrame) -> DataFrame:
     return settled.join(budgets, "workflow").where("max_wall is not null and seconds > max_wall")
 
 
-def ceiling_crossing(costs: DataFrame) -> DataFrame:
+def ceiling_crossing(costs: DataFrame, block: int | None = None) -> DataFrame:
     """First event of a run after which its rolling cost exceeds the ceiling in force, and the ceiling a grant would set.
 
     costs: run_id, seq, cost (null for other events), granted_ceiling (null but on grants that raise it), max_run_cost.
+    block: cut runs into blocks of so many events (see scan), where one run may be too long for a task; costs are then read twice.
     """
-    w = "over (partition by run_id order by seq rows between unbounded preceding and current row)"
-    rows = costs.withColumn("total", F.expr(f"coalesce(sum(cost) {w}, 0)")).withColumn("ceiling", F.expr(f"coalesce(last(granted_ceiling, true) {w}, max_run_cost)"))
+    if block is None:
+        w = "over (partition by run_id order by seq rows between unbounded preceding and current row)"
+        rows = costs.withColumn("total", F.expr(f"coalesce(sum(cost) {w}, 0)")).withColumn("ceiling", F.expr(f"coalesce(last(granted_ceiling, true) {w}, max_run_cost)"))
+    else:
+        rows = running(costs, {"_sum": ("sum", F.col("cost").cast("decimal(28,4)")), "_raised": ("last", F.col("granted_ceiling"))}, block)
+        rows = rows.withColumn("total", F.coalesce("_sum", F.lit(0)).cast("decimal(28,4)")).withColumn("ceiling", F.coalesce("_raised", "max_run_cost")).drop("_sum", "_raised")
     over = rows.where("cost is not null and ceiling is not null and total > ceiling")
     first = over.groupBy("run_id").agg(F.min_by(F.struct("seq", "total", "ceiling", "max_run_cost"), "seq").alias("x"))
     return first.select("run_id", "x.seq", "x.total", "x.ceiling", (F.col("x.total") + F.col("x.max_run_cost")).alias("proposed"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical, hmac_hex, record_hash
 from ..functions.shipping import ship
+from .scan import running
 
 ALG = "hmac-sha256"
 #: Events after which a seal is due. Fixed values.
@@ -61,10 +62,16 @@ def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str |
     return rows.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(run, CHAIN)
 
 
-def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None = None) -> DataFrame:
-    """Every event with the reason it fails, or null. anchors: (run_id, last_hash) that a tail continues; unhashed prefixes are legal."""
-    w = "over (partition by run_id order by seq rows between unbounded preceding and 1 preceding)"
-    rows = chain.withColumn("_prev", F.expr(f"last(hash, true) {w}"))
+def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """Every event with the reason it fails, or null. anchors: (run_id, last_hash) that a tail continues; unhashed prefixes are legal.
+
+    block: cut runs into blocks of so many events (see scan), where one run may be too long for a task; the chain is then read twice.
+    """
+    if block is None:
+        w = "over (partition by run_id order by seq rows between unbounded preceding and 1 preceding)"
+        rows = chain.withColumn("_prev", F.expr(f"last(hash, true) {w}"))
+    else:
+        rows = running(chain, {"_prev": ("before", F.col("hash"))}, block)
     if anchors is not None:
         rows = rows.join(anchors.withColumnRenamed("last_hash", "_anchor"), "run_id", "left").withColumn("_prev", F.coalesce("_prev", "_anchor"))
     reason = (

@@ -135,8 +135,7 @@ on_log(
     left join lateral (select coalesce(sum(cost) filter (event_type in ('step.completed', 'step.dead_lettered')), 0)::double as total_cost from log e where e.run_id = p.run_id and e.seq <= p.k) c on true""",
     STATUS_CTES + ", points as (select run_id, max(seq) - ('0x' || substr(run_id, 1, 1))::bigint as k, max(seq) as n from log group by run_id)",
 )
-on_log(
-    "b22_state_everywhere", lambda g: fold.state_everywhere(g).withColumn("total_cost", F.col("total_cost").cast("double")),
+EVERYWHERE = (
     f"""select l.run_id, l.seq, case when w = 'suspended' and g > set_at then 'running' else w end as status, total_cost::double as total_cost from (
       select run_id, seq, last_value(case when {SETS} then {VALUE} end ignore nulls) over w as w, max(case when {SETS} then seq end) over w as set_at, max(gseq) over w as g,
         coalesce(sum(case when event_type in ('step.completed', 'step.dead_lettered') then cost end) over w, 0) as total_cost
@@ -144,6 +143,9 @@ on_log(
       window w as (partition by run_id order by seq rows between unbounded preceding and current row)) l""",
     STATUS_CTES,
 )
+on_log("b22_state_everywhere", lambda g: fold.state_everywhere(g).withColumn("total_cost", F.col("total_cost").cast("double")), *EVERYWHERE)
+#: Blocks so short that most runs have several.
+on_log("b22_state_everywhere_blocks", lambda g: fold.state_everywhere_blocks(g, block=5).withColumn("total_cost", F.col("total_cost").cast("double")), *EVERYWHERE, FOLDED)
 
 
 def _damaged(log):

@@ -163,14 +163,20 @@ def _costs(g):
     return rows.select("run_id", "seq", counted.alias("cost"), F.when(F.col("event_type") == "approval.granted", F.col("granted_ceiling")).alias("granted_ceiling"), F.lit(40000).cast("decimal(18,4)").alias("max_run_cost"))
 
 
-on_log(
-    "e11_ceiling_crossing", lambda g: governance.ceiling_crossing(_costs(g)).select("run_id", "seq", *[F.col(c).cast("double").alias(c) for c in ("total", "ceiling", "proposed")]),
-    """select run_id, seq, total::double as total, ceiling::double as ceiling, (total + 40000)::double as proposed from (
+CROSSING = """select run_id, seq, total::double as total, ceiling::double as ceiling, (total + 40000)::double as proposed from (
       select run_id, seq, c, sum(c) over w as total, coalesce(last_value(gc ignore nulls) over w, 40000) as ceiling from (
         select l.run_id, l.seq, case when l.event_type in ('step.completed', 'step.dead_lettered') then l.cost end as c, case when l.event_type = 'approval.granted' then r.proposed_ceiling end as gc
         from log l left join log r on r.run_id = l.run_id and r.approval_id = l.approval_id and r.event_type = 'approval.requested' and r.approval_kind = 'cost')
-      window w as (partition by run_id order by seq rows between unbounded preceding and current row)) where c is not null and total > ceiling qualify row_number() over (partition by run_id order by seq) = 1""",
-)
+      window w as (partition by run_id order by seq rows between unbounded preceding and current row)) where c is not null and total > ceiling qualify row_number() over (partition by run_id order by seq) = 1"""
+
+
+def _crossing(g, **how):
+    return governance.ceiling_crossing(_costs(g), **how).select("run_id", "seq", *[F.col(c).cast("double").alias(c) for c in ("total", "ceiling", "proposed")])
+
+
+on_log("e11_ceiling_crossing", _crossing, CROSSING)
+#: Blocks so short that most runs have several.
+on_log("e11_ceiling_crossing_blocks", lambda g: _crossing(g, block=5), CROSSING, "", ["run_id", "seq", "event_type", "cost", "approval_id", "approval_kind", "proposed_ceiling"])
 
 
 def _allow_agent(g):

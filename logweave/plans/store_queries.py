@@ -40,6 +40,11 @@ links as (select *, case when hash is null and before is not null then 'unhashed
 firsts as (select run_id, min(seq) filter (reason is not null) as bad_seq, arg_min(reason, seq) filter (reason is not null) as reason from links group by run_id)
 """
 on_log("d02_chain_links", lambda g: integrity.link_reasons(_fake_chain(g), F.col("content_ok")).where("reason is not null").select("run_id", "seq", "reason"), "select run_id, seq, reason from links where reason is not null", FAKE)
+#: Blocks so short that most runs have several.
+on_log(
+    "d02_chain_links_blocks", lambda g: integrity.link_reasons(_fake_chain(g), F.col("content_ok"), block=4).where("reason is not null").select("run_id", "seq", "reason"),
+    "select run_id, seq, reason from links where reason is not null", FAKE, ["run_id", "seq", "event_type"],
+)
 on_log(
     "d03_chain_verify", lambda g: integrity.verify(_fake_chain(g), F.col("content_ok")),
     "select f.run_id, bad_seq, reason, (select count(*) from fake k where k.run_id = f.run_id and hash is not null and (bad_seq is null or seq < bad_seq)) as verified from firsts f", FAKE,

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir
 from ..operators import cost, fold, index, timeline
+from ..operators.index_table import IndexTable
 from ..sources.run_log import derive, with_workflow
 from .base import on_log, query
 from .fold_queries import APPROVALS, APPROVED, STATUS_CTES
@@ -75,6 +78,21 @@ on_log(
     "c10_index_behind", lambda g: index.behind(_stale(g), g),
     "select run_id, least(max(seq), 12)::bigint as indexed_seq, max(seq) as last_seq, max(seq) - least(max(seq), 12)::bigint as tail from log group by run_id having max(seq) > 12",
 )
+
+
+@query("c10_index_catch_up", over_log("select run_id, status, coalesce((select string_agg(approval_id, ',' order by approval_id) from approvals a where a.run_id = s.run_id and approval_status = 'pending'), '') as pending, last_seq as indexed_seq, last_at as updated_at from run_status s", f"{STATUS_CTES}, {APPROVALS}"))
+def _caught_up(spark, sf_dir):
+    """The log arrives in three batches (up to seq 4, up to 11, the rest); the index catches up after each."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    rows = derive(spark, sf_dir).select("run_id", "seq", "event_type", "occurred_at", "cost", "approval_id", F.expr("case when seq <= 4 then 1 when seq <= 11 then 2 else 3 end").alias("batch"))
+    rows.write.partitionBy("batch").parquet(f"{folder}/log")
+    log = spark.read.schema(rows.schema).parquet(f"{folder}/log")
+    table = IndexTable(spark, f"{folder}/index").create()
+    for batch in (1, 2, 3):
+        table.advance(log, upto=batch)
+    return table.rows().withColumn("pending", F.array_join("pending", ","))
+
+
 on_log(
     "c11_text_filter", lambda g: fold.header(g).where(index.text_match("A") | index.text_match("urg")).select("run_id", "workflow"),
     "select run_id, workflow from log where event_type = 'run.started' and (starts_with(lower(run_id), 'a') or contains(lower(workflow), 'a') or starts_with(lower(run_id), 'urg') or contains(lower(workflow), 'urg'))",
