@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +17,6 @@ UNKNOWN_EFFECT = "execute_code"
 MIN_SECRET = 8
 
 
-def referenced_blobs(records: DataFrame, paths: list[str]) -> DataFrame:
-    """Distinct digests a run's records name, in order of first reference. paths: JSON paths that hold a digest."""
-    found = F.array(*[F.get_json_object("record", p) for p in paths])
-    rows = records.select("run_id", "seq", F.posexplode(found).alias("i", "sha256")).where("sha256 is not null")
-    first = rows.groupBy("run_id", "sha256").agg(F.min(F.struct("seq", "i")).alias("at"))
-    return first.select("run_id", "sha256", F.expr("cast(row_number() over (partition by run_id order by at, sha256) as bigint)").alias("place"))
-
-
 def redact(text: Column, secrets: dict[str, str]) -> tuple[Column, Column]:
     """(text with secret values replaced, sorted names removed); longest first, values under the least length left alone."""
     kept = sorted(((n, v) for n, v in secrets.items() if len(v) >= MIN_SECRET), key=lambda kv: -len(kv[1]))
@@ -63,44 +55,91 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(F.when(t.startswith("```"), inner).otherwise(t), r"^\s+|\s+$", "")
 
 
-def violation(reply: Column, schema: dict) -> Column:
-    """First violation of an object schema by a JSON reply, as "path: rule"; null if it conforms.
+#: JSON types by the names that schemas give them, as the parser names them. Fixed values.
+TYPE_NAMES = {"string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
+MESSAGE_CAP = 300
 
-    Rules: required, type, enum, minimum, maximum, minLength, maxLength, additionalProperties, items.type, in order of the fields.
+
+def violation(reply: Column, schema: dict) -> Column:
+    """The most specific violation of an object schema by a JSON reply, as "path: rule" of at most 300 characters; null if it conforms.
+
+    The schema is walked, with nested `properties` and `items`, and becomes one expression: values of arrays go through a
+    higher-order function, so replies of any size stay in one row. Of several failures the deepest comes first, then the rule's
+    name, then the order of the walk: object rules before properties in the order of the schema, entries by position. Rules: type,
+    enum, minimum, maximum, minLength, maxLength, minItems, maxItems, items, required, properties, additionalProperties. A field
+    that is there as null satisfies `required`; 5.0 is an integer; a boolean is no number. References and combinators of schemas
+    are not read. A reply that is null is no JSON.
     """
     v = F.try_parse_json(reply)
-    kind = lambda x: F.schema_of_variant(x)
-    names = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"]}
-    is_type = lambda x, t: F.expr("false") if t not in names else kind(x).rlike("^(" + "|".join(names[t]) + ")")
-    checks = [F.when(v.isNull(), "$: not JSON"), F.when(~is_type(v, "object"), "$: type object")]
+    found = _failures(v, schema, F.lit("$"), 0)
+    none = F.lit(None).cast(_FAILURE)
+    # the first of the deepest, by one fold: array_sort is not stable
+    better = lambda best, x: best.isNull() | (x["depth"] > best["depth"]) | ((x["depth"] == best["depth"]) & (x["rule"] < best["rule"]))
+    first = F.reduce(found, none, lambda best, x: F.when(better(best, x), x).otherwise(best))
+    words = F.concat(first["path"], F.lit(": "), first["message"])
+    return F.when(v.isNull(), "$: not JSON").otherwise(F.left(words, F.lit(MESSAGE_CAP)))
+
+
+_FAILURE = "struct<depth:int,rule:string,path:string,message:string>"
+
+
+def _is_type(v: Column, name: str) -> Column:
+    kind = F.schema_of_variant(v)
+    if name in TYPE_NAMES:
+        return kind.startswith(TYPE_NAMES[name])
+    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    if name == "number":
+        return number
+    if name == "integer":
+        value = F.try_variant_get(v, "$", "double")
+        return number & (kind.startswith("BIGINT") | (value == F.floor(value)))
+    return F.lit(False)
+
+
+def _failures(v: Column, schema: dict, path: Column, depth: int) -> Column:
+    """Array of the failures of a variant, in the order of the walk."""
+    def fail(ok: Column, rule: str, message: Column | str) -> Column:
+        message = F.lit(message) if isinstance(message, str) else message
+        one = F.struct(F.lit(depth).alias("depth"), F.lit(rule).alias("rule"), path.alias("path"), message.alias("message")).cast(_FAILURE)
+        return F.when(~F.coalesce(ok, F.lit(False)), F.array(one)).otherwise(F.array().cast(f"array<{_FAILURE}>"))
+
+    out = []
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    is_object, is_array, is_string, is_number = (_is_type(v, t) for t in ("object", "array", "string", "number"))
+    if "type" in schema:
+        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        ok = _is_type(v, names[0])
+        for n in names[1:]:
+            ok = ok | _is_type(v, n)
+        out.append(fail(ok, "type", f"type {' or '.join(names)}"))
+    if "enum" in schema:
+        allowed = F.array(*[F.to_json(F.parse_json(F.lit(json.dumps(x)))) for x in schema["enum"]])
+        out.append(fail(F.array_contains(allowed, F.to_json(v)), "enum", "enum"))
+    for rule, ok in (("minimum", lambda n: number >= n), ("maximum", lambda n: number <= n)):
+        if rule in schema:
+            out.append(fail(~is_number | ok(schema[rule]), rule, f"{rule} {schema[rule]}"))
+    for rule, ok in (("minLength", lambda n: F.length(text) >= n), ("maxLength", lambda n: F.length(text) <= n)):
+        if rule in schema:
+            out.append(fail(~is_string | ok(schema[rule]), rule, f"{rule} {schema[rule]}"))
+    size = F.when(is_array, F.json_array_length(F.to_json(v)))
+    for rule, ok in (("minItems", lambda n: size >= n), ("maxItems", lambda n: size <= n)):
+        if rule in schema:
+            out.append(fail(~is_array | ok(schema[rule]), rule, f"{rule} {schema[rule]}"))
+    field = lambda name: F.variant_get(v, f'$["{name}"]', "variant")
     for name in schema.get("required", []):
-        checks.append(F.when(F.get_json_object(reply, f"$.{name}").isNull(), f"$: required {name}"))
-    for name, rule in schema.get("properties", {}).items():
-        x, text = F.variant_get(v, f"$.{name}", "variant"), F.get_json_object(reply, f"$.{name}")
-        here = text.isNotNull()
-        number = F.expr("try_cast(null as double)") if rule.get("type") not in ("integer", "number") else text.try_cast("double")
-        for ok, words in _rules(rule, x, text, number, is_type):
-            checks.append(F.when(here & ~F.coalesce(ok, F.lit(False)), f"$.{name}: {words}"))
+        out.append(fail(~is_object | field(name).isNotNull(), "required", f"required {name}"))
     if schema.get("additionalProperties") is False:
-        allowed = F.array(*[F.lit(n) for n in schema.get("properties", {})])
-        extra = F.array_except(F.json_object_keys(reply), allowed)
-        checks.append(F.when(F.size(extra) > 0, F.concat(F.lit("$: additional "), F.array_join(F.array_sort(extra), ","))))
-    return F.coalesce(*checks)
-
-
-def _rules(rule: dict, x: Column, text: Column, number: Column, is_type) -> Iterable[tuple[Column, str]]:
-    if "type" in rule:
-        yield is_type(x, rule["type"]), f"type {rule['type']}"
-    if "enum" in rule:
-        yield text.isin(rule["enum"]), "enum"
-    if "minimum" in rule:
-        yield number >= rule["minimum"], f"minimum {rule['minimum']}"
-    if "maximum" in rule:
-        yield number <= rule["maximum"], f"maximum {rule['maximum']}"
-    if "minLength" in rule:
-        yield F.length(text) >= rule["minLength"], f"minLength {rule['minLength']}"
-    if "maxLength" in rule:
-        yield F.length(text) <= rule["maxLength"], f"maxLength {rule['maxLength']}"
+        known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
+        extra = F.array_sort(F.array_except(F.json_object_keys(F.to_json(v)), known))
+        out.append(fail(~is_object | (F.size(extra) == 0), "additionalProperties", F.concat(F.lit("additional "), F.array_join(extra, ","))))
+    empty = F.array().cast(f"array<{_FAILURE}>")
+    for name, inner in schema.get("properties", {}).items():
+        out.append(F.when(is_object & field(name).isNotNull(), _failures(field(name), inner, F.concat(path, F.lit(f".{name}")), depth + 1)).otherwise(empty))
+    if "items" in schema:
+        held = F.try_variant_get(v, "$", "array<variant>")
+        each = F.transform(held, lambda x, i: _failures(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1))
+        out.append(F.when(is_array, F.flatten(each)).otherwise(empty))
+    return F.concat(*out) if out else empty
 
 
 def tool_calls(replies: DataFrame) -> DataFrame:
@@ -130,18 +169,6 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("bigint")
 
 
-def subset_drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """Paths of a recorded state that the current one lacks or holds otherwise. Both: key, path, value."""
-    now = current.select("key", "path", F.col("value").alias("now"))
-    return recorded.join(now, ["key", "path"], "left").where(~F.col("value").eqNullSafe(F.col("now")))
-
-
-def flatten_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, path, value) of the named columns."""
-    items = F.array(*[F.struct(F.lit(f"$.{c}").alias("path"), F.col(c).cast("string").alias("value")) for c in columns])
-    return rows.select(F.col(key).alias("key"), F.explode(items).alias("i")).select("key", "i.path", "i.value")
-
-
 def output_stats(outputs: DataFrame, group: str, text: str, cap: int) -> DataFrame:
     n = F.octet_length(text).cast("bigint")
     return outputs.groupBy(group).agg(F.count("*").alias("n"), F.max(n).alias("largest"), F.sum(n).alias("bytes"), F.count(F.when(n > cap, 1)).alias("over_cap"), F.percentile_approx(n, 0.5, 1000000).alias("median"))

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_hex
-from ..operators import schedule, textjobs
+from ..operators import json_walk, schedule, textjobs
 from ..sources.run_log import derive
-from .base import on_log, query, table
+from .base import on_log, query, stored, table
 from .log_sql import over_log
 
 EXPR = """concat_ws(' ', case s_suppkey % 4 when 0 then '*/20' when 1 then cast(s_suppkey % 60 as string) when 2 then '5-15/5' else '50/5' end,
@@ -101,14 +101,11 @@ def _n07(spark, sf_dir):
 # ---------------------------------------------------------------- text and JSON
 
 
-def _with_refs(g):
-    record = F.to_json(F.struct(F.struct(F.when(F.col("event_type") == "step.completed", F.md5(F.col("tokens").cast("string"))).alias("sha256")).alias("output_ref"), F.struct(F.when(F.col("event_type") == "step.completed", F.md5("model_id")).alias("pricing_snapshot_hash")).alias("cost")))
-    return g.select("run_id", "seq", record.alias("record"))
-
-
+#: Records with references at several depths, in the order of the text: an output, an object in an array in an object, a price.
+NESTED = """if(event_type = 'step.completed', concat('{"output_ref":{"sha256":"', md5(cast(tokens as string)), '","size":1},"effects":[{"n":1},{"reported":{"proof":{"sha256":"', md5(step_id), '","size":null}}}],"cost":{"pricing_snapshot_hash":"', md5(model_id), '"},"note":{"sha256":"no size"}}'), concat('{"seq":', seq, '}')) as record"""
 on_log(
-    "m01_referenced_blobs", lambda g: textjobs.referenced_blobs(_with_refs(g), ["$.output_ref.sha256", "$.cost.pricing_snapshot_hash"]),
-    "select run_id, sha256, row_number() over (partition by run_id order by ref_at, sha256) as place from (select run_id, sha256, min(seq * 2 + i) as ref_at from (select run_id, seq, 0 as i, md5(tokens::varchar) as sha256 from log where event_type = 'step.completed' union all select run_id, seq, 1, md5(model_id) from log where event_type = 'step.completed') group by all)",
+    "m01_referenced_blobs", lambda g: json_walk.references(g.selectExpr("run_id", "seq", NESTED)),
+    "select run_id, sha256, row_number() over (partition by run_id order by ref_at, sha256) as place from (select run_id, sha256, min(seq * 3 + i) as ref_at from (select run_id, seq, unnest([0, 1, 2]) as i, unnest([md5(tokens::varchar), md5(step_id), md5(model_id)]) as sha256 from log where event_type = 'step.completed') group by all)",
 )
 WORDS = {"A": "password", "B": "password=", "C": "the", "LIC": "Licensed under"}
 
@@ -137,15 +134,20 @@ def _m04(spark, sf_dir):
 
 SCHEMA = {
     "type": "object", "required": ["id", "kind"], "additionalProperties": False,
-    "properties": {"id": {"type": "integer", "minimum": 5}, "kind": {"type": "string", "enum": ["click", "view", "error"]}, "value": {"type": "number", "maximum": 400}},
+    "properties": {
+        "id": {"type": "integer", "minimum": 5}, "kind": {"type": ["string", "null"], "enum": ["click", "view", "error", None]}, "value": {"type": "number", "maximum": 400},
+        "lines": {"type": "array", "maxItems": 2, "items": {"type": "object", "required": ["sku"], "properties": {"sku": {"type": "string", "minLength": 2}, "tags": {"type": "array", "items": {"type": "string", "maxLength": 3}}}}},
+    },
 }
-REPLY = """case when event_id % 11 = 0 then 'no json' when event_id % 13 = 0 then '[1]' else concat('{"id": ', case when event_id % 7 = 0 then '"x"' else cast(event_id as string) end, case when event_id % 5 = 0 then '' else concat(', "kind": "', event_type, '"') end, ', "value": ', cast(cast(value as bigint) as string), case when event_id % 17 = 0 then ', "more": 1' else '' end, '}') end"""
+REPLY = """case when event_id % 11 = 0 then 'no json' when event_id % 13 = 0 then '[1]' else concat('{"id": ', case when event_id % 7 = 0 then '"x"' else cast(event_id as string) end, case when event_id % 5 = 0 then '' when event_id % 5 = 1 then ', "kind": null' else concat(', "kind": "', event_type, '"') end,
+  ', "value": ', cast(cast(value as bigint) as string), case when event_id % 17 = 0 then ', "more": 1' else '' end, ', "lines": [{"sku": "ab", "tags": ["x", "yy"]}', case when event_id % 3 = 0 then ', {"sku": "a"}' when event_id % 19 = 0 then ', {"tags": ["x", "long", 4]}' when event_id % 23 = 0 then ', {}, 7' else '' end, ']}') end"""
 
 
 @query(
     "m05_reply_violations",
-    """select event_id, case when event_id % 11 = 0 then '$: not JSON' when event_id % 13 = 0 then '$: type object' when event_id % 5 = 0 then '$: required kind' when event_id % 7 = 0 then '$.id: type integer' when event_id < 5 then '$.id: minimum 5'
-    when event_type not in ('click', 'view', 'error') then '$.kind: enum' when trunc(value) > 400 then '$.value: maximum 400' when event_id % 17 = 0 then '$: additional more' end as violation from events where value is not null""",
+    """select event_id, case when event_id % 11 = 0 then '$: not JSON' when event_id % 13 = 0 then '$: type object' when event_id % 3 <> 0 and event_id % 19 = 0 then '$.lines[1].tags[1]: maxLength 3' when event_id % 3 = 0 then '$.lines[1].sku: minLength 2'
+    when event_id % 23 = 0 then '$.lines[1]: required sku' when event_id % 5 > 1 and event_type not in ('click', 'view', 'error') then '$.kind: enum' when trunc(value) > 400 then '$.value: maximum 400' when event_id < 5 and event_id % 7 <> 0 then '$.id: minimum 5'
+    when event_id % 7 = 0 then '$.id: type integer' when event_id % 17 = 0 then '$: additional more' when event_id % 5 = 0 then '$: required kind' end as violation from events where value is not null""",
 )
 def _m05(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("value is not null").selectExpr("event_id", f"{REPLY} as reply")
@@ -185,17 +187,25 @@ def _m11(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", textjobs.word_count(F.col("text")).alias("words"))
 
 
+DRIFT = """
+step_states as (select run_id, step_id, arg_max(attempt, seq) filter (seq <= 8) as a8, arg_max(attempt, seq) as a, count(error) filter (seq <= 8) as n8, count(error) as n,
+  '[' || coalesce(string_agg('"' || error || '"', ',' order by seq) filter (seq <= 8), '') || ']' as e8, '[' || coalesce(string_agg('"' || error || '"', ',' order by seq), '') || ']' as e from log where attempt is not null group by run_id, step_id)
+"""
+
+
 @query(
     "m12_state_drift",
-    over_log("select run_id as key, '$.' || c as path, o as value, n as now from (select run_id, unnest(['attempt', 'error']) as c, unnest([(arg_max(attempt, seq) filter (seq <= 8))::varchar, arg_max(error, seq) filter (seq <= 8)]) as o, unnest([arg_max(attempt, seq)::varchar, arg_max(error, seq)]) as n from log where event_type like 'step.%' group by run_id) where o is distinct from n and exists (select 1 from log l where l.run_id = key and l.seq <= 8 and l.event_type like 'step.%')"),
-)
+    over_log("select run_id as key, '$.steps.' || step_id || '.attempt' as path, 'differs' as rule, a8::varchar as value, a::varchar as now from step_states where a8 <> a union all select run_id, '$.steps.' || step_id || '.errors', 'length', e8, e from step_states where a8 is not null and n8 <> n", DRIFT),
+)
 def _m12(spark, sf_dir):
+    """Nested states of runs: as recorded at seq 8, and now."""
+
     def state(g):
-        rows = g.where("event_type like 'step.%'").groupBy("run_id").agg(F.max_by("attempt", F.when(F.col("attempt").isNotNull(), F.col("seq"))).alias("attempt"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"))
-        return textjobs.flatten_rows(rows, "run_id", ["attempt", "error"])
+        step = g.groupBy("run_id", "step_id").agg(F.max_by("attempt", "seq").alias("attempt"), F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))))["error"].alias("errors"))
+        return step.groupBy(F.col("run_id").alias("key")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("step_id", F.struct("attempt", "errors")))).alias("steps"))).alias("state"))
 
-    g = derive(spark, sf_dir)
-    return textjobs.subset_drift(state(g.where("seq <= 8")), state(g))
+    g = stored(derive(spark, sf_dir).where("attempt is not null"), ["run_id", "seq", "step_id", "attempt", "error"])
+    return json_walk.drift(state(g.where("seq <= 8")), state(g))
 
 
 @query("m13_output_stats", "select lang, count(*) as n, max(strlen(text)) as largest, sum(strlen(text))::bigint as bytes, count(*) filter (strlen(text) > 4096) as over_cap, quantile_disc(strlen(text), 0.5) as median from documents group by lang")
