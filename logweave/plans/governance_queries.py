@@ -148,7 +148,7 @@ def _limits(g):
 
 on_log(
     "e09_over_step_cost", lambda g: governance.over_step_cost(with_workflow(g).where("event_type = 'step.completed'"), _limits(g)).select("run_id", "step_id", F.col("cost").cast("double").alias("cost")),
-    "select run_id, step_id, cost::double as cost from wf where event_type = 'step.completed' and substr(workflow, 1, 1) <> '5' and cost > substr(workflow, 1, 1)::int * 12000", f"{HEADS}, {WF}",
+    "select run_id, step_id, cost::double as cost from (select *, max(workflow) over (partition by run_id) as w from log) where event_type = 'step.completed' and substr(w, 1, 1) <> '5' and cost > substr(w, 1, 1)::int * 12000",
 )
 on_log(
     "e10_over_wall_time", lambda g: governance.over_wall_time(metrics.first_settles(with_workflow(g)), _limits(g)).select("workflow", "step_id", "outcome", "seconds"),

@@ -18,7 +18,9 @@ WF = "wf as (select l.* replace (h.workflow as workflow) from log l join heads h
 
 on_log(
     "h01_run_spans", spans.run_spans,
-    "select run_id as trace_id, left(sha256('run:' || run_id), 16) as span_id, 'run ' || h.workflow as name, started_at, l.occurred_at as ended_at, case event_type when 'run.completed' then 'OK' else 'ERROR' end as status, error from log l join heads h using (run_id) where event_type in ('run.completed', 'run.failed', 'run.cancelled')", HEADS,
+    """select run_id as trace_id, left(sha256('run:' || run_id), 16) as span_id, 'run ' || workflow as name, started_at, ended_at, case kind when 'run.completed' then 'OK' else 'ERROR' end as status, error from (
+      select run_id, max(workflow) as workflow, min(occurred_at) filter (event_type = 'run.started') as started_at, max(occurred_at) filter (event_type in ('run.completed', 'run.failed', 'run.cancelled')) as ended_at,
+        max(event_type) filter (event_type in ('run.completed', 'run.failed', 'run.cancelled')) as kind, max(error) filter (event_type in ('run.completed', 'run.failed', 'run.cancelled')) as error from log group by run_id) where ended_at is not null""",
 )
 SPANS = """
 starts as (select * from log where event_type = 'step.started'),

@@ -5,7 +5,6 @@ Each operator maps a streaming DataFrame to another; most take a batch DataFrame
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -13,11 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.shipping import ship
 from ..functions.storage import cut
-from ..operators.fold import SETTERS
+from ..operators.fold import DECISIONS, SETTERS
 from ..operators.fold import TERMINAL as ENDED
 
 TERMINAL = ["run.completed", "run.failed", "run.cancelled"]
@@ -32,10 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def as_stream(rows: DataFrame, files: int = 3, max_files: int = 1) -> DataFrame:
-    """A file-source stream of a table that is written once, by ranges of its first column, in `files` files."""
+    """A file-source stream of a table that is written in `files` files, by ranges of its first column, one after another: the source takes files by their time of change, so they come in the order of that column."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/in"
-    rows.repartitionByRange(files, rows.columns[0]).write.parquet(path)
+    dealt = cut(rows.repartitionByRange(files, rows.columns[0]))
+    for i in range(files):
+        dealt.where(F.spark_partition_id() == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
@@ -66,146 +67,279 @@ def tail(stream: DataFrame, offsets: DataFrame) -> DataFrame:
     return stream.join(offsets, "run_id", "left").where(F.col("seq") > F.coalesce("after", F.lit(0))).drop("after")
 
 
-#: How long the state of a run that has ended stays, in milliseconds of event time: late and repeated events are told apart that long.
+#: How long the state of a run or approval that has ended stays, in milliseconds of event time: late and repeated events are told apart that long.
 KEEP_ENDED = 24 * 3600 * 1000
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _per_run(stream: DataFrame, at: str | None, delay: str, step, out: str, state: str, mode: str) -> DataFrame:
-    """Apply `step` to the events of each run; with a time column under a watermark, so that states of ended runs can go."""
-    ship(stream.sparkSession)
-    if at is None:
-        rows = stream.select("run_id", "seq", "event_type")
-        return rows.groupBy("run_id").applyInPandasWithState(step, out, state, mode, GroupStateTimeout.NoTimeout)
-    rows = stream.select("run_id", "seq", "event_type", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
-    return rows.groupBy("run_id").applyInPandasWithState(step, out, state, mode, GroupStateTimeout.EventTimeTimeout)
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, mode: str, timed: bool) -> DataFrame:
+    """Rows through a processor with typed state per key. Sets the session's state store to the one that such processors need."""
+    ship(rows.sparkSession)
+    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, mode, "EventTime" if timed else "None")
 
 
-def _latest(frames: list[pd.DataFrame], before: int) -> int:
-    """Newest event time so far, in milliseconds."""
-    return max([before, *[int(f["at"].max().timestamp() * 1000) for f in frames if "at" in f and len(f)]])
+def _timed(stream: DataFrame, at: str | None, delay: str, columns: list[str]) -> DataFrame:
+    rows = stream.select(*columns)
+    return rows if at is None else stream.select(*columns, F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
 
 
-def _set_aside(state: GroupState, values: tuple, until: int) -> None:
-    """Keep an ended run's state until a time that the watermark has yet to reach, or drop it."""
-    if until <= state.getCurrentWatermarkMs():
-        state.remove()
-        return
-    state.update(values)
-    state.setTimeoutTimestamp(until)
+def _ms(times: pd.Series) -> list[int]:
+    return [int(x.timestamp() * 1000) for x in times]
+
+
+class _InOrder(StatefulProcessor):
+    """Events of a run in seq order, whatever order they arrive in.
+
+    What comes early waits in a map by seq, one entry each, and the map is emptied when the run has caught up with its newest
+    event. A run that has ended keeps its value until a timer, `keep` milliseconds of event time after its newest event.
+    """
+
+    state = "following bigint, latest bigint, timer bigint, newest bigint"
+
+    def __init__(self, keep: int | None):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("run", self.state)
+        self.early = handle.getMapState("early", "seq bigint", "event_type string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following, latest, timer, newest, *own = self.value.get() or self.first
+        waiting = newest >= following
+        got: dict[int, str] = {}
+        for f in rows:
+            got.update((int(a), b) for a, b in zip(f["seq"], f["event_type"], strict=True) if a >= following)
+            if self.keep is not None and len(f):
+                latest = max(latest, *_ms(f["at"]))
+        out = []
+        while not self.closed(own):
+            kind = got.pop(following, None)
+            if kind is None and newest >= following:
+                kind = (self.early.getValue((following,)) or (None,))[0]
+            if kind is None:
+                break
+            own = self.step(own, kind)
+            out.append((key[0], following, kind))
+            following += 1
+        if self.closed(own):
+            newest, got = 0, {}
+        for seq, kind in got.items():
+            self.early.updateValue((seq,), (kind,))
+            newest = max(newest, seq)
+        if waiting and newest < following:
+            self.early.clear()
+        if self.keep is not None:
+            due = latest + self.keep if self.ended(own) and newest < following else 0
+            if due != timer:
+                if timer:
+                    self.handle.deleteTimer(timer)
+                if due:
+                    self.handle.registerTimer(due)
+                timer = due
+        self.value.update((following, latest, timer, newest, *own))
+        yield from self.told(key[0], following, own, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.value.get()
+        if held and held[2] == expiredTimerInfo.getExpiryTimeInMs():
+            self.value.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _UntilTerminal(_InOrder):
+    state = _InOrder.state + ", over boolean"
+    first = (1, 0, 0, 0, False)
+
+    def closed(self, own: list) -> bool:
+        return own[0]
+
+    ended = closed
+
+    def step(self, own: list, kind: str) -> list:
+        return [kind in TERMINAL]
+
+    def told(self, run_id: str, following: int, own: list, out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "seq", "event_type"])
+
+
+class _LiveState(_InOrder):
+    state = _InOrder.state + ", status string, pending bigint, done bigint"
+    first = (1, 0, 0, 0, "pending", 0, 0)
+
+    def closed(self, own: list) -> bool:
+        return False
+
+    def ended(self, own: list) -> bool:
+        return own[0] in ENDED
+
+    def step(self, own: list, kind: str) -> list:
+        status, pending, done = own
+        if kind == "approval.requested":
+            pending += 1
+        elif kind in DECISIONS:
+            pending -= 1
+            if kind == "approval.granted" and status == "suspended" and pending == 0:
+                status = "running"
+        elif kind == "step.completed":
+            done += 1
+        return [SETTERS.get(kind, status), pending, done]
+
+    def told(self, run_id: str, following: int, own: list, out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame({"run_id": [run_id], "status": [own[0]], "last_seq": [following - 1], "n_completed": [own[2]]})
 
 
 def until_terminal(stream: DataFrame, at: str | None = None, delay: str = "1 day", keep_ended: int = KEEP_ENDED) -> DataFrame:
     """(run_id, seq, event_type) of each run up to its first terminal event, in seq order; later events of the run are dropped.
 
     Early events wait in the state. An ended run leaves a tombstone. With `at`, an event-time column, the tombstone goes
-    `keep_ended` milliseconds after the run's newest event; without it, it stays.
+    `keep_ended` milliseconds after the run's newest event, and events that arrive behind the watermark are dropped by the
+    engine; without it, it stays.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        none = pd.DataFrame({"run_id": pd.Series([], dtype=object), "seq": pd.Series([], dtype="int64"), "event_type": pd.Series([], dtype=object)})
-        if state.hasTimedOut:
-            state.remove()
-            yield none
-            return
-        following, over, latest, early = state.get if state.exists else (1, False, 0, "[]")
-        got = list(frames)
-        latest = _latest(got, latest)
-        rows = [] if over else sorted([*json.loads(early), *[[int(a), b] for f in got for a, b in zip(f["seq"], f["event_type"], strict=True)]])
-        out, used = [], 0
-        while used < len(rows) and rows[used][0] <= following and not over:
-            seq, kind = rows[used]
-            used += 1
-            if seq == following:
-                following += 1
-                out.append((key[0], seq, kind))
-                over = kind in TERMINAL
-        if over and at is not None:
-            _set_aside(state, (following, over, latest, "[]"), latest + keep_ended)
-        else:
-            state.update((following, over, latest, "[]" if over else json.dumps(rows[used:])))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "event_type"]) if out else none
-
-    return _per_run(stream, at, delay, step, "run_id string, seq bigint, event_type string", "following bigint, over boolean, latest bigint, early string", "append")
+    rows = _timed(stream, at, delay, ["run_id", "seq", "event_type"])
+    return _stateful(rows, ["run_id"], _UntilTerminal(None if at is None else keep_ended), "run_id string, seq bigint, event_type string", "Append", at is not None)
 
 
 def live_state(stream: DataFrame, at: str | None = None, delay: str = "1 day", keep_ended: int = KEEP_ENDED) -> DataFrame:
     """State of each run as its events arrive, in any order: (run_id, status, last_seq, n_completed). Emits when a run moves on.
 
     Events that come early wait in the state until the ones before them are there; repeated events are ignored. With `at`, an
-    event-time column, the state of a run in a terminal status goes `keep_ended` milliseconds after its newest event; a retry
-    before that reopens the run. Without it, states stay.
+    event-time column, the state of a run in a terminal status goes `keep_ended` milliseconds after its newest event, and events
+    that arrive behind the watermark are dropped by the engine; a retry before that reopens the run. Without it, states stay.
     """
-    setters = dict(SETTERS)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    rows = _timed(stream, at, delay, ["run_id", "seq", "event_type"])
+    return _stateful(rows, ["run_id"], _LiveState(None if at is None else keep_ended), "run_id string, status string, last_seq bigint, n_completed bigint", "Update", at is not None)
+
+
+class _Expiry(StatefulProcessor):
+    """An approval's expiry and whether it is decided. One timer: at the expiry while it is open, then `keep` after its newest event, when all goes."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("approval", "expiry bigint, latest bigint, timer bigint, over boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        expiry, latest, timer, over = self.value.get() or (0, 0, 0, False)
+        for f in rows:
+            # a decision after the expiry comes too late
+            for kind, at, until in zip(f["event_type"], _ms(f["occurred_at"]), f["expires_at"], strict=True):
+                latest = max(latest, at)
+                expiry = expiry if pd.isna(until) else max(expiry, int(until.timestamp() * 1000))
+                over = over or kind in DECISIONS
+        due = expiry if expiry and not over else max(expiry, latest + self.keep)
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.value.update((expiry, latest, due, over))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.value.get()
+        if not held or held[2] != expiredTimerInfo.getExpiryTimeInMs():
             return
-        following, status, pending, done, latest, early = state.get if state.exists else (1, "pending", 0, 0, 0, "{}")
-        got = list(frames)
-        latest = _latest(got, latest)
-        held = json.loads(early)
-        for f in got:
-            held.update({str(a): b for a, b in zip(f["seq"], f["event_type"], strict=True) if a >= following})
-        moved = False
-        while str(following) in held:
-            kind = held.pop(str(following))
-            following += 1
-            moved = True
-            if kind == "approval.requested":
-                pending += 1
-            elif kind in ("approval.granted", "approval.rejected"):
-                pending -= 1
-                if kind == "approval.granted" and status == "suspended" and pending == 0:
-                    status = "running"
-            elif kind == "step.completed":
-                done += 1
-            status = setters.get(kind, status)
-        values = (following, status, pending, done, latest, json.dumps(held))
-        if at is not None and status in ENDED and not held:
-            _set_aside(state, values, latest + keep_ended)
+        expiry, latest, timer, over = held
+        gone = max(expiry, latest) + self.keep
+        expires = not over and timer == expiry
+        if expires:  # a tombstone against repeated events
+            self.handle.registerTimer(gone)
+            self.value.update((expiry, latest, gone, True))
         else:
-            state.update(values)
-        if moved:
-            yield pd.DataFrame({"run_id": [key[0]], "status": [status], "last_seq": [following - 1], "n_completed": [done]})
+            self.value.clear()
+        if expires:
+            yield pd.DataFrame({"approval_id": [key[0]], "expired_at": [pd.Timestamp(expiry, unit="ms")]})
 
-    kept = "following bigint, status string, pending bigint, done bigint, latest bigint, early string"
-    return _per_run(stream, at, delay, step, "run_id string, status string, last_seq bigint, n_completed bigint", kept, "update")
+    def close(self) -> None:
+        pass
 
 
-def expire(stream: DataFrame) -> DataFrame:
+def expire(stream: DataFrame, keep_ended: int = KEEP_ENDED) -> DataFrame:
     """Rejections by the system of approvals that pass their expiry undecided: (approval_id, expired_at).
 
     stream: approval_id, event_type, occurred_at and expires_at (timestamps), with a watermark on occurred_at; the timer is the
-    expiry in event time, so a late decision before it still counts.
+    expiry in event time, so a decision that arrives before the watermark passes it still counts. An approval that is decided or
+    expired leaves a tombstone for `keep_ended` milliseconds of event time, then its state goes.
     """
-    ship(stream.sparkSession)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        none = pd.DataFrame({"approval_id": [], "expired_at": pd.Series([], dtype="datetime64[ns]")})
-        if state.hasTimedOut:
-            at = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"approval_id": [key[0]], "expired_at": [pd.Timestamp(at, unit="ms")]})
+    rows = stream.select("approval_id", "event_type", "occurred_at", "expires_at")
+    return _stateful(rows, ["approval_id"], _Expiry(keep_ended), "approval_id string, expired_at timestamp", "Append", True)
+
+
+class _Leases(StatefulProcessor):
+    """Events of an attempt that are not judged yet, by seq, and whether one before them settled it. One timer, `ttl` after the oldest of them: once the watermark is there, all events up to it have arrived."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("attempt", "timer bigint, over boolean")
+        self.events = handle.getMapState("events", "seq bigint", "at bigint, settled boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        timer, over = self.value.get() or (0, False)
+        oldest = None
+        for f in rows:
+            for at, kind, seq in zip(_ms(f["at"]), f["event_type"], f["seq"], strict=True):
+                self.events.updateValue((int(seq),), (at, kind in SETTLED))
+                oldest = at if oldest is None else min(oldest, at)
+        if oldest is not None and (not timer or oldest + self.ttl < timer):
+            self._rearm(timer, oldest, over)
+        yield from ()
+
+    def _rearm(self, timer: int, oldest: int, over: bool) -> None:
+        if timer:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(oldest + self.ttl)
+        self.value.update((oldest + self.ttl, over))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, now = self.value.get(), timerValues.getCurrentWatermarkInMs()
+        if not held or held[0] != expiredTimerInfo.getExpiryTimeInMs():
             return
-        at, decided = (state.get[0] if state.exists else 0), False
-        for f in frames:
-            decided = decided or bool(f["event_type"].isin(["approval.granted", "approval.rejected"]).any())
-            when = f["expires_at"].dropna()
-            if len(when):
-                at = int(when.max().timestamp() * 1000)
-        if decided:
-            state.update((0,))  # a tombstone: the request may still come
-        elif at > 0:
-            state.update((at,))
-            if at <= state.getCurrentWatermarkMs():
-                state.remove()
-                yield pd.DataFrame({"approval_id": [key[0]], "expired_at": [pd.Timestamp(at, unit="ms")]})
-                return
-            state.setTimeoutTimestamp(at)
-        yield none
-
-    return stream.groupBy("approval_id").applyInPandasWithState(step, "approval_id string, expired_at timestamp", "at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        events, over, out, judged = sorted((v[0], k[0], v[1]) for k, v in self.events.iterator()), held[1], [], 0
+        while judged < len(events) and events[judged][0] + self.ttl <= max(now, held[0]):
+            at, seq, settled = events[judged]
+            judged += 1
+            over = over or settled
+            heard = judged < len(events) and events[judged][0] <= at + self.ttl
+            if not over and not heard:
+                out.append((key[0], key[1], key[2], seq, pd.Timestamp(at + self.ttl, unit="ms")))
+        if judged == len(events):
+            self.events.clear()
+            self.value.clear()
+        else:
+            for _, seq, _ in events[:judged]:
+                self.events.removeKey((seq,))
+            self._rearm(0, events[judged][0], over)
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "step_id", "attempt", "last_seq", "lapsed_at"])
+
+    def close(self) -> None:
+        pass
+
+
+#: Events that end an attempt. Fixed values.
+SETTLED = ("step.completed", "step.failed", "step.dead_lettered", "step.cancelled")
+
+
+def stalled(stream: DataFrame, at: str, delay: str, ttl_seconds: float) -> DataFrame:
+    """Attempts that fall silent: (run_id, step_id, attempt, last_seq, lapsed_at), for each event of an unsettled attempt that nothing of the attempt follows within the time.
+
+    Order of arrival does not matter within the watermark's delay: a settlement that arrives late but happened in time counts.
+    An attempt's state is empty once the watermark has passed its last event by the time.
+    """
+    rows = stream.select("run_id", "step_id", "attempt", "seq", "event_type", F.col(at).cast("timestamp").alias("at")).withWatermark("at", delay)
+    return _stateful(rows, ["run_id", "step_id", "attempt"], _Leases(int(ttl_seconds * 1000)), "run_id string, step_id string, attempt bigint, last_seq bigint, lapsed_at timestamp", "Append", True)
 
 
 def deduplicate(stream: DataFrame, key: list[str], at: str, delay: str) -> DataFrame:
@@ -224,13 +358,6 @@ def sessions(stream: DataFrame, at: str, delay: str, gap: str, keys: list[str])
     return rows.select(*keys, F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
 
 
-def stalled(stream: DataFrame, at: str, delay: str, ttl: str) -> DataFrame:
-    """Steps that were started and then silent for `ttl`: sessions of a step that closed without a settlement."""
-    settled = F.col("event_type").isin("step.completed", "step.failed", "step.dead_lettered", "step.cancelled")
-    rows = stream.withWatermark(at, delay).groupBy(F.session_window(at, ttl).alias("w"), "run_id", "step_id").agg(F.max(settled.cast("int")).alias("_s"), F.min("seq").alias("first_seq"))
-    return rows.where("_s = 0").select("run_id", "step_id", "first_seq", F.col("w.end").alias("lapsed_at"))
-
-
 def decision_join(requests: DataFrame, decisions: DataFrame, delay: str, within: str) -> DataFrame:
     """Requests with their decision within a time, or nulls once that has passed. Inner columns: approval_id, requested_at / decided_at."""
     left = requests.withWatermark("requested_at", delay)

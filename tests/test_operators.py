@@ -300,16 +300,3 @@ def test_throttle_is_greedy(spark):
     rows = [("r", "s", float(t), 2.0, "n" * 300) for t in (0, 1, 5, 6, 9, 10, 15)]
     out = throttle(spark.createDataFrame(rows, "run_id string, step_id string, at double, fraction double, note string"), 5.0).orderBy("at").collect()
     assert [x["at"] for x in out] == [0, 5, 10, 15] and out[0]["fraction"] == 1.0 and len(out[0]["note"]) == 200
-
-
-def test_states_of_ended_runs_go(spark):
-    """Two ended runs and a late event of one of them: before its tombstone goes it is dropped; the state is empty at the end."""
-    from logweave.streaming import jobs
-
-    at = lambda h: T0 + datetime.timedelta(hours=h)
-    rows = [(0, "a", 1, "run.started", at(0)), (0, "a", 3, "run.completed", at(2)), (0, "b", 1, "run.started", at(0)), (1, "a", 2, "step.started", at(1)), (1, "b", 2, "run.failed", at(3)), (2, "a", 4, "step.retry_requested", at(4)), (3, "c", 1, "run.started", at(900)), (4, "c", 2, "run.completed", at(2000))]
-    log = spark.createDataFrame(rows, "mix bigint, run_id string, seq bigint, event_type string, occurred_at timestamp_ntz")
-    out = jobs.drain(jobs.until_terminal(jobs.as_stream(log, 5), "occurred_at", "10 hours", 3600_000)).collect()
-    assert sorted((x["run_id"], x["seq"]) for x in out) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 1), ("c", 2)]
-    last = {x["run_id"]: (x["status"], x["last_seq"]) for x in sorted(jobs.drain(jobs.live_state(jobs.as_stream(log, 5), "occurred_at", "10 hours", 3600_000), "update").collect(), key=lambda x: x["batch_id"])}
-    assert last == {"a": ("running", 4), "b": ("failed", 2), "c": ("completed", 2)}
