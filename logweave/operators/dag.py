@@ -189,6 +189,21 @@ def parallelism(spans: DataFrame) -> DataFrame:
     return moves.withColumn("n", running).groupBy("run_id").agg(F.max("n").cast("bigint").alias("peak"))
 
 
+def observed_waves(spans: DataFrame) -> DataFrame:
+    """Each attempt with the wave (from 1) that it ran in: attempts of a run whose times overlap, in a chain, are one wave. An attempt that starts as all before it end begins the next; one without an end is open."""
+    order = "over (partition by run_id order by started_at, step_id, attempt"
+    rows = spans.select("run_id", "step_id", "attempt", "started_at", F.coalesce("ended_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_end"))
+    rows = rows.withColumn("_before", F.expr(f"max(_end) {order} rows between unbounded preceding and 1 preceding)"))
+    fresh = F.when(F.col("_before").isNull() | (F.col("_before") <= F.col("started_at")), 1).otherwise(0)
+    rows = rows.withColumn("_fresh", fresh).withColumn("wave", F.expr(f"cast(sum(_fresh) {order}) as bigint)"))
+    return rows.select("run_id", "step_id", "attempt", "wave")
+
+
+def over_parallelism(spans: DataFrame, limits: DataFrame) -> DataFrame:
+    """Runs in which more attempts were open at once than their definition allows. limits: run_id, max_parallelism; null: no limit."""
+    return parallelism(spans).join(limits, "run_id").where("peak > max_parallelism")
+
+
 def order_audit(links: DataFrame, log: DataFrame) -> DataFrame:
     """Starts that come before a dependency's completion, or without one. links: (run_id, dep, node)."""
     starts = log.where("event_type = 'step.started'").groupBy("run_id", F.col("step_id").alias("node")).agg(F.min("seq").alias("start_seq"))
@@ -261,6 +276,32 @@ def lineage(runs: DataFrame) -> DataFrame:
             raise ValueError(f"run {moved.agg(F.min('run_id')).first()[0]} is its own ancestor, or descends from one")
 
 
+def subtree_totals(runs: DataFrame, values: list[str]) -> DataFrame:
+    """(run_id, n_runs, and the sum of each value) of each run and all runs below it. runs: run_id (unique), parent_run_id, values.
+
+    Partial sums jump with the pointers: after k rounds a run holds the sums of everything less than 2^k below it, and points to
+    its ancestor exactly 2^k above; each round adds a run's sums to the one it points to. A tree of depth d takes log2(d) rounds of
+    aggregates that are as large as the table, whatever its number of ancestor pairs. A parent that is not in the table makes a
+    root, a null value counts as none, a cycle of parents raises an error.
+    """
+    known = runs.select(F.col("run_id").alias("up"))
+    base = runs.select("run_id", F.col("parent_run_id").alias("up"), F.lit(1).cast("bigint").alias("n_runs"), *values)
+    roots = base.join(known, "up", "left_anti").withColumn("up", F.lit(None).cast("string")).select("run_id", "up", "n_runs", *values)
+    now = cut(base.join(known, "up", "left_semi").select("run_id", "up", "n_runs", *values).unionByName(roots))
+    sums = ["n_runs", *values]
+    kinds = dict(now.dtypes)
+    reach, most = 1, now.count()
+    while not now.where("up is not null").isEmpty():
+        if reach > 2 * most:
+            raise ValueError(f"run {now.where('up is not null').agg(F.min('run_id')).first()[0]} is its own ancestor, or descends from one")
+        below = now.where("up is not null").groupBy(F.col("up").alias("run_id")).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+        above = now.where("up is not null").select(F.col("run_id").alias("up"), F.col("up").alias("_up"))
+        total = [F.coalesce(F.col(c) + F.col(f"_{c}"), F.col(c), F.col(f"_{c}")).cast(kinds[c]).alias(c) for c in sums]
+        now = cut(now.join(below, "run_id", "left").join(above, "up", "left").select("run_id", F.col("_up").alias("up"), *total))
+        reach *= 2
+    return now.drop("up")
+
+
 def step_inputs(links: DataFrame, outputs: DataFrame, run_inputs: DataFrame) -> DataFrame:
     """Inputs of a step: outputs of its dependencies by name, and the run's own under run. Output and input are JSON text."""
     own = links.join(outputs.withColumnRenamed("step_id", "dep"), ["run_id", "dep"]).select("run_id", F.col("node").alias("step_id"), F.col("dep").alias("name"), "output")

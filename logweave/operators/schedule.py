@@ -42,6 +42,29 @@ def next_fire(parsed: DataFrame, after: Column, days: int = 366 * 8 + 2) -> Data
     return todays.unionByName(later).groupBy("name").agg(F.min("slot").alias("next_slot"))
 
 
+def next_fire_zones(parsed: DataFrame, after: Column, days: int = 366 * 8 + 2) -> DataFrame:
+    """(name, zone, slot, next_utc, key) of each schedule's first slot after an instant, in the schedule's own zone (column `zone`).
+
+    after: the instant in UTC, without a zone. A schedule reads the wall clock of its zone: the slot is the first that is later
+    than the wall time of the instant, to the minute. A wall time that a change of clocks skips fires at the instant it would
+    have had before the change; one that comes twice fires once, the first time. The key carries the slot's offset from UTC.
+    """
+    own = parsed.withColumn("_after", F.date_trunc("minute", F.convert_timezone(F.lit("UTC"), F.col("zone"), after.cast("timestamp_ntz"))).cast("timestamp_ntz"))
+    start = F.col("_after").cast("date")
+    table = firing_days(own, start, F.date_add(start, days))
+    # of the days after the first only the first firing one counts
+    near = table.groupBy("name", "zone", "_after", "hours", "minutes").agg(F.min(F.when(F.col("day") > start, F.col("day"))).alias("later"), F.max(F.col("day") == start).alias("today"))
+    day = F.explode(F.array_compact(F.array(F.when(F.col("today"), start), F.col("later"))))
+    times = near.select("name", "zone", "_after", "hours", "minutes", day.alias("day")).select("name", "zone", "_after", "day", "minutes", F.explode("hours").alias("h")).select("name", "zone", "_after", "day", "h", F.explode("minutes").alias("m"))
+    slot = times.withColumn("slot", F.expr("cast(day as timestamp_ntz) + make_dt_interval(0, h, m, 0)")).where(F.col("slot") > F.col("_after"))
+    first = slot.groupBy("name", "zone").agg(F.min("slot").alias("slot"))
+    utc = F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("slot"))
+    out = first.withColumn("next_utc", utc)
+    minutes = F.timestamp_diff("MINUTE", F.col("next_utc"), F.col("slot"))
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.format_string("%02d:%02d", F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60))
+    return out.withColumn("key", F.concat(F.lit("cron:"), F.col("name"), F.lit(":"), F.date_format("slot", "yyyy-MM-dd'T'HH:mm:ss"), offset))
+
+
 def slot_key(name: Column, slot: Column, offset: str) -> Column:
     return F.concat(F.lit("cron:"), name, F.lit(":"), F.date_format(slot, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
 

@@ -131,6 +131,30 @@ on_log(
 )
 
 
+#: Spans stretched by up to half an hour, by the run's first digit, so that attempts overlap.
+STRETCH = "cast(conv(substr(run_id, 1, 1), 16, 10) as int) % 4 * 600"
+OPEN = "open_spans as (select s.run_id, s.step_id, s.attempt, s.started_at, e.occurred_at + to_seconds(('0x' || substr(s.run_id, 1, 1))::int % 4 * 600) as ended_at from ended s join log e on e.run_id = s.run_id and e.seq = coalesce(eseq, rseq))"
+
+
+def _overlapping(g):
+    return spans.step_spans(g).withColumn("ended_at", F.expr(f"ended_at + make_dt_interval(0, 0, 0, {STRETCH})"))
+
+
+on_log(
+    "f07_observed_waves", lambda g: dag.observed_waves(_overlapping(g)),
+    """select run_id, step_id, attempt, sum(fresh) over (partition by run_id order by started_at, step_id, attempt)::bigint as wave from (
+      select *, case when before is null or before <= started_at then 1 else 0 end as fresh from (select *, max(ended_at) over (partition by run_id order by started_at, step_id, attempt rows between unbounded preceding and 1 preceding) as before from open_spans))""",
+    f"{SPANS}, {OPEN}",
+)
+on_log(
+    "f07_over_parallelism", lambda g: dag.over_parallelism(_overlapping(g), g.where("event_type = 'run.started'").selectExpr("run_id", "cast(if(workflow < '3', 2, 3) as bigint) as max_parallelism")),
+    """select run_id, peak, max_parallelism from (select run_id, max(n)::bigint as peak from (select run_id, sum(d) over (partition by run_id order by t, d rows between unbounded preceding and current row) as n
+      from (select run_id, started_at as t, 1 as d from open_spans union all select run_id, ended_at, -1 from open_spans)) group by run_id)
+      join (select run_id, case when workflow < '3' then 2 else 3 end::bigint as max_parallelism from log where event_type = 'run.started') using (run_id) where peak > max_parallelism""",
+    f"{SPANS}, {OPEN}",
+)
+
+
 @query("f08_order_audit", over_log("select e.workflow as run_id, e.dep, e.node, s.seq as start_seq, d.seq as done_seq from broken_edges e join (select run_id, step_id, min(seq) as seq from log where event_type = 'step.started' group by all) s on s.run_id = e.workflow and s.step_id = e.node left join (select run_id, step_id, min(seq) as seq from log where event_type = 'step.completed' group by all) d on d.run_id = e.workflow and d.step_id = e.dep where d.seq is null or d.seq > s.seq", SHARED))
 def _f08(spark, sf_dir):
     links = dag.edges(definitions(spark, sf_dir, broken=True)).withColumnRenamed("workflow", "run_id")
@@ -200,6 +224,14 @@ on_log(
     "heads as (select run_id, parent_run_id as parent from log where event_type = 'run.started'), up as (with recursive u(run_id, root, parent, depth) as (select run_id, run_id, parent, 0::bigint from heads union all select u.run_id, h.run_id, h.parent, u.depth + 1 from u join heads h on h.run_id = u.parent) select * from u)",
 )
 
+on_log(
+    "f16_subtree_cost", lambda g: dag.subtree_totals(fold.header(g).select("run_id", "parent_run_id").join(fold.total_cost(g).select("run_id", "total_cost"), "run_id"), ["total_cost"]).withColumn("total_cost", F.col("total_cost").cast("double")),
+    "select a as run_id, count(*) as n_runs, sum(cost)::double as total_cost from up join costs c on c.run_id = up.d group by a",
+    """heads as (select run_id, parent_run_id as parent from log where event_type = 'run.started'), costs as (select run_id, coalesce(sum(cost) filter (event_type in ('step.completed', 'step.dead_lettered')), 0) as cost from log group by run_id),
+    up as (with recursive u(d, a, parent) as (select run_id, run_id, parent from heads union all select u.d, h.run_id, h.parent from u join heads h on h.run_id = u.parent) select * from u)""",
+    ["run_id", "seq", "event_type", "occurred_at", "workflow", "request_id", "parent_run_id", "cost"],
+)
+
 
 @query("f17_step_inputs", over_log("select run_id, step_id, string_agg(name || '=' || output, ',' order by name) as inputs from ins group by run_id, step_id", f"{SHARED}, {INPUTS}"))
 def _f17(spark, sf_dir):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut, shared_dir
-from ..operators import fold, metrics, spans, telemetry
+from ..operators import fold, metrics, sketches, spans, telemetry
 from ..sources.run_log import derive, with_workflow
 from .base import SQL, on_log, query
 from .fold_queries import APPROVALS, STATUS_CTES
@@ -200,6 +200,37 @@ on_log(
 )
 
 
+def _rollup(spark, g):
+    """Sketches by workflow and day go to a table; a workflow's and all workflows' figures come from merging them."""
+    folder = f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    runs, steps = metrics.run_durations(g), with_workflow(g.where("event_type in ('run.started', 'step.started', 'step.completed')"))
+    tables = []
+    for name, rows in (("runs", sketches.daily(runs, ["workflow"], ["run_id"], ["seconds"])), ("steps", sketches.daily(steps, ["workflow"], ["agent", "model_id"], []))):
+        rows.write.parquet(f"{folder}/{name}")
+        tables.append(spark.read.schema(rows.schema).parquet(f"{folder}/{name}"))
+    out = None
+    for key in (F.col("workflow"), F.lit("all")):
+        a, b = (sketches.merged(t, key.alias("workflow")) for t in tables)
+        part = a.join(b.drop("n"), "workflow")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _rolled(g):
+    merged = _rollup(g.sparkSession, g)
+    close = F.abs(sketches.distinct_count("hll_run_id") / F.col("n") - 1) < 0.05
+    return merged.select("workflow", F.col("n").alias("runs"), close.alias("runs_close"), sketches.distinct_count("hll_agent").alias("agents"), sketches.distinct_count("hll_model_id").alias("models"))
+
+
+#: Agents and models are so few that their sketches count exactly; of runs the estimate's distance from their number is told.
+on_log(
+    "i18_sketch_rollup", _rolled,
+    """select workflow, count(*) filter (event_type in ('run.completed', 'run.failed', 'run.cancelled')) as runs, true as runs_close, count(distinct agent) as agents, count(distinct model_id) as models from both_wf group by workflow""",
+    f"{HEADS}, own_wf as (select h.workflow as workflow, event_type, case when event_type = 'step.started' then agent end as agent, case when event_type = 'step.completed' then model_id end as model_id from log l join heads h using (run_id)), both_wf as (select * from own_wf union all select * replace ('all' as workflow) from own_wf)",
+    store=["run_id", "seq", "event_type", "occurred_at", "workflow", "agent", "model_id"],
+)
+
+
 #: Columns of each metric table in the long form, at most four labels; spans are counted by status or name.
 SAMPLES = {
     "runs": ["workflow", "outcome"], "run_seconds": ["workflow", "outcome", "le"], "steps_started": ["workflow", "step_id", "agent"], "steps_ended": ["workflow", "step_id", "outcome"], "step_seconds": ["workflow", "outcome", "le"],

@@ -55,6 +55,20 @@ def _n02z(spark, sf_dir):
     return rows.select("name", F.to_utc_timestamp(F.col("next_slot").cast("timestamp"), "Asia/Kolkata").cast("timestamp_ntz").alias("next_utc"))
 
 
+#: Zones that change their clocks by an hour, by half an hour, on the other half of the year, and never.
+ZONES = ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata"]
+ZONED = f"""with {SPEC.format(a='2024-03-30', b='2032-04-10')}, zoned as (select *, (['{"', '".join(ZONES)}'])[k % 4 + 1] as zone from slots),
+firsts as (select name, zone, min(slot) as slot from zoned where slot > date_trunc('minute', timezone(zone, timestamptz '2024-03-31 00:45:30+00')) group by name, zone)
+select name, zone, slot, timezone('UTC', timezone(zone, slot)) as next_utc from firsts"""
+
+
+@query("n02_next_fire_zones", ZONED)
+def _n02d(spark, sf_dir):
+    """Just before the clocks change in Berlin: every schedule in its own zone."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return schedule.next_fire_zones(_parsed(spark, sf_dir).withColumn("zone", zone), _day("2024-03-31 00:45:30")).drop("key")
+
+
 @query("n03_slot_keys", f"with {SPEC.format(a='2024-02-28', b='2024-03-02')} select name, slot, 'cron:' || name || ':' || strftime(slot, '%Y-%m-%dT%H:%M:%S') || '+00:00' as key from slots")
 def _n03(spark, sf_dir):
     rows = schedule.slots(_parsed(spark, sf_dir), _day("2024-02-28"), _day("2024-03-02"))
