@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bloom, cut, few, ship, slabs
 from .components import connected_components
-from .jaccard import block_pairs, shingle_digests, shingle_hashes, verified_links
+from .jaccard import block_pairs, shingle_hashes, verified_links
 
 BANDS, ROWS = 16, 4
 #: Successive starts of which one window is picked.
@@ -38,6 +38,8 @@ _RNG = np.random.default_rng(20240101)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Factors of the words of a shingle, by place.
+_PLACES = _RNG.integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 #: Odd bases of two polynomial hashes over the words of a window, and their inverses modulo 2^64.
 _BASES = [int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
 _INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
@@ -59,6 +61,22 @@ def paragraphs(text: bytes | None, min_words: int):
         at += size + 1
 
 
+def flat_shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes of sets of words, back to back; shingles of each set) from 64-bit hashes of the words: a sum with a factor for each place, mixed. A set of fewer words is one shingle."""
+    begin = np.cumsum(sizes) - sizes
+    short = np.flatnonzero(sizes < width)
+    total = np.zeros(len(words), np.uint64)
+    for k in range(width):
+        total[: len(words) - k] += words[k:] * _PLACES[k]
+    for i in short:  # without the words of the next set
+        own = words[begin[i] : begin[i] + sizes[i]]
+        total[begin[i]] = (own * _PLACES[: len(own)]).sum(dtype=np.uint64)
+    n = np.maximum(sizes - width + 1, 1)
+    hashes = total[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return hashes ^ (hashes >> np.uint64(29)), n
+
+
 def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Band keys of sets of shingle hashes, back to back: a row for each set. Repeated hashes change nothing."""
     low = np.empty((len(sizes), BANDS * ROWS), np.uint64)
@@ -84,18 +102,30 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at, nums, marks, digests = [], [], [], []
+            at, nums, marks, raw, held = [], [], [], [], 0
+            keys = [np.zeros((0, BANDS), np.int64)]
+
+            def add_keys(raw=raw, nums=nums, keys=keys):
+                words = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+                keys.append(band_keys(*flat_shingles(words, np.array([x[3] for x in nums[-len(raw) :]], np.int64), width)))
+                raw.clear()
+
             for i, t in enumerate(as_bytes(b.column(2))):
                 for no, start, stop, words in paragraphs(t, min_words):
                     at.append(i)
                     nums.append((no, start, stop, len(words)))
                     marks.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    digests.append(shingle_digests(words, width))
+                    raw.append(b"".join(map(xxhash.xxh3_64_digest, words)))
+                    held += len(words)
+                    if held > 500_000:  # what is held of long texts stays small
+                        add_keys()
+                        held = 0
+            if raw:
+                add_keys()
             n = len(at)
             table = np.array(nums, np.int64).reshape(n, 4)
             marked = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(n, 2)
-            hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
-            key = band_keys(hashes, np.array([len(x) // 8 for x in digests], np.int64))
+            key = np.concatenate(keys)
             took = pa.array(at, pa.int64())
             cols = [b.column(0).take(took), b.column(1).take(took), *[pa.array(table[:, j]) for j in range(4)], pa.array(marked[:, 0]), pa.array(marked[:, 1]), *[pa.array(key[:, j]) for j in range(BANDS)]]
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -169,7 +199,7 @@ def _items(texts: list[bytes | None], width: int):
     for lo, hi in slabs([len(t or b"") + 200 for t in texts], 1_500_000):
         split = [t.lower().split() if t else [] for t in texts[lo:hi]]
         sizes = np.array(list(map(len, split)), np.int64)
-        raw = b"".join([xxhash.xxh3_64_digest(w) for own in split for w in own])
+        raw = b"".join([d for own in split for d in map(xxhash.xxh3_64_digest, own)])
         yield lo, *_windows(np.frombuffer(raw, ">u8").astype(np.uint64), sizes, width)
 
 
