@@ -8,7 +8,7 @@ shuffle that samples nothing and whose keys are uniform whatever the sizes of so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, masked
@@ -41,17 +41,18 @@ def source_rates(docs: DataFrame, source_col: str, size: Column, weights: dict[s
     return sizes.select("source", (share * F.lit(float(epochs)) * F.lit(float(all_size or 0.0)) / F.col("size")).alias("rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Cumulative Poisson probabilities of 0, 1, 2, ... as far as doubles tell them from 1."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("steps"))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(_source, _steps) of (source, rate): cumulative Poisson probabilities of 0, 1, 2, ... as far as doubles tell them from 1.
 
-    def add(acc: Column, j: Column) -> Column:
-        logp = acc["logp"] + F.ln(rate / j)
-        total = acc["total"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), total.alias("total"), F.array_append(acc["steps"], total).alias("steps"))
-
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, add, lambda acc: acc["steps"]))
+    Logarithms and probabilities are running sums over exploded steps, so the work is linear in the rate.
+    """
+    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")).otherwise(0)
+    so_far = Window.partitionBy("source").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    log_p = -F.col("rate") + F.sum(F.when(F.col("j") == 0, 0.0).otherwise(F.ln(F.col("rate") / F.col("j")))).over(so_far)
+    c = F.when(F.col("rate") > 0, F.sum(F.exp("log_p")).over(so_far)).otherwise(1.0)
+    steps = each.withColumn("log_p", log_p).select("source", F.struct("j", c.alias("c")).alias("step"))
+    return steps.groupBy(F.col("source").alias("_source")).agg(F.array_sort(F.collect_list("step"))["c"].alias("_steps"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def drawn_copies(rows: DataFrame, id_col: str, source_col: str, text_col: str, w
     """mix() over rows whose names are free of those used here."""
     columns = rows.columns
     rates = cut(source_rates(rows, source_col, F.coalesce(F.length(text_col), F.lit(0)), weights, alpha, epochs))
-    steps = rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
+    steps = poisson_steps(rates)
     bound = rates.agg(F.sum(F.col("rate") + 12 * F.sqrt("rate") + 26)).first()[0] or 0
     if bound <= MAX_STEPS:  # beyond it, a shuffled join that adaptive execution may split
         steps = F.broadcast(steps)

@@ -83,7 +83,11 @@ def test_mixing_counts_follow_the_inverse(docs, clashing, nothing):
     again = repeat_rows(clashing, epochs=3.0)
     assert again.columns == clashing.columns and rows_of(again) == sorted((tuple(r)[:-2] for r in more.collect()), key=repr)
     assert mix(nothing).count() == 0
-    steps = docs.sparkSession.range(1).select(poisson_steps(F.lit(900.0)).alias("s")).first()["s"]
+    rates = docs.sparkSession.createDataFrame([("a", 900.0), ("b", 1e6), (None, 0.0)], "source string, rate double")
+    found = {r["_source"]: r["_steps"] for r in poisson_steps(rates).collect()}
+    steps = found["a"]
+    assert found[None] == [1.0] and len(found["b"]) == 1_012_025
+    assert abs(found["b"][1_000_000] - 0.500266) < 1e-5 and abs(found["b"][-1] - 1) < 1e-6
     assert steps[-1] == pytest.approx(1.0, abs=1e-9) and steps == sorted(steps)
 
 
