@@ -35,14 +35,17 @@ BANDS, ROWS = 16, 4
 #: Successive starts of which one window is picked.
 REACH = 31
 _RNG = np.random.default_rng(20240101)
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Factors of the words of a shingle, by place.
 _PLACES = _RNG.integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 #: Odd bases of two polynomial hashes over the words of a window, and their inverses modulo 2^64.
 _BASES = [int(x) | 1 for x in _RNG.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
 _INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
+#: Masks of the first bytes of eight, and the bytes up to which words are hashed together.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 64
 
 
 def _document() -> Column:
@@ -61,6 +64,34 @@ def paragraphs(text: bytes | None, min_words: int):
         at += size + 1
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values in which every bit counts for every other."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _PLACES[0]
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each word, its 64-bit hash), eight bytes of all words at a time; words of over LONG_WORD bytes by XXH3."""
+    raw = np.frombuffer(text, np.uint8)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    begin, stop = edges[::2], edges[1::2]
+    size = stop - begin
+    hashes = size.astype(np.uint64) * _MIX
+    if not len(size):
+        return begin, hashes
+    eight = np.ndarray(len(raw), "<u8", text + bytes(8), strides=(1,))
+    for k in range(0, min(int(size.max()), LONG_WORD), 8):
+        rows = np.flatnonzero(size > k) if k else slice(None)
+        block = eight[begin[rows] + k] & _FIRST[np.minimum(size[rows] - k, 8)]
+        hashes[rows] = _stir(hashes[rows] ^ block)
+    for i in np.flatnonzero(size > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(text[begin[i] : stop[i]])
+    return begin, hashes
+
+
 def flat_shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of sets of words, back to back; shingles of each set) from 64-bit hashes of the words: a sum with a factor for each place, mixed. A set of fewer words is one shingle."""
     begin = np.cumsum(sizes) - sizes
@@ -79,23 +110,24 @@ def flat_shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.
 
 def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Band keys of sets of shingle hashes, back to back: a row for each set. Repeated hashes change nothing."""
-    low = np.empty((len(sizes), BANDS * ROWS), np.uint64)
+    low = np.empty((BANDS * ROWS, len(sizes)), np.uint32)
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    a, b = _A[:, None], _B[:, None]
     at = 0
     for lo, hi in slabs(sizes.tolist(), 8192):  # some at a time: the products of very long texts would fill the memory
         stop = at + int(sizes[lo:hi].sum())
         if hi - lo == 1:
-            low[lo] = np.min([(hashes[i : min(i + 8192, stop), None] * _A + _B).min(axis=0) for i in range(at, stop, 8192)], axis=0)
+            low[:, lo] = np.min([(hashes[i : min(i + 8192, stop)] * a + b).min(axis=1) for i in range(at, stop, 8192)], axis=0)
         else:
             starts = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
-            low[lo:hi] = np.minimum.reduceat(hashes[at:stop, None] * _A + _B, starts, axis=0)
+            low[:, lo:hi] = np.minimum.reduceat(hashes[at:stop] * a + b, starts, axis=1)
         at = stop
-    low >>= np.uint64(20)
-    key = np.zeros((len(sizes), BANDS), np.uint64)
+    key = np.zeros((BANDS, len(sizes)), np.uint64)
     for r in range(ROWS):
-        key = (key ^ low[:, r::ROWS]) * _MIX
+        key = (key ^ low[r::ROWS]) * _MIX
         key ^= key >> np.uint64(29)
     # 32 bits: half the bytes in shuffles, which compress zeros; a chance collision is one more pair to verify
-    return (key >> np.uint64(32)).view(np.int64)
+    return (key >> np.uint64(32)).view(np.int64).T
 
 
 def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
@@ -107,7 +139,7 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
             keys = [np.zeros((0, BANDS), np.int64)]
 
             def add_keys(raw=raw, nums=nums, keys=keys):
-                words = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+                words = word_hashes(b"\n".join(raw))[1]
                 keys.append(band_keys(*flat_shingles(words, np.array([x[3] for x in nums[-len(raw) :]], np.int64), width)))
                 raw.clear()
 
@@ -115,8 +147,8 @@ def _paragraph_rows(docs: DataFrame, min_words: int, width: int) -> DataFrame:
                 for no, start, stop, words in paragraphs(t, min_words):
                     at.append(i)
                     nums.append((no, start, stop, len(words)))
-                    marks.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    raw.append(b"".join(map(xxhash.xxh3_64_digest, words)))
+                    raw.append(b" ".join(words))
+                    marks.append(xxhash.xxh3_128_digest(raw[-1]))
                     held += len(words)
                     if held > 500_000:  # what is held of long texts stays small
                         add_keys()
@@ -198,10 +230,10 @@ def _windows(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarr
 def _items(texts: list[bytes | None], width: int):
     """The items of texts, some at a time: (index of the first text, text, first word, word after the last, hashes)."""
     for lo, hi in slabs([len(t or b"") + 200 for t in texts], 1_500_000):
-        split = [t.lower().split() if t else [] for t in texts[lo:hi]]
-        sizes = np.array(list(map(len, split)), np.int64)
-        raw = b"".join([d for own in split for d in map(xxhash.xxh3_64_digest, own)])
-        yield lo, *_windows(np.frombuffer(raw, ">u8").astype(np.uint64), sizes, width)
+        raw = b"\n".join([t or b"" for t in texts[lo:hi]]).lower()
+        begin, words = word_hashes(raw)
+        starts = np.cumsum([0, *[len(t or b"") + 1 for t in texts[lo:hi]]])
+        yield lo, *_windows(words, np.diff(np.searchsorted(begin, starts)), width)
 
 
 def _passage_digests(docs: DataFrame, min_words: int) -> DataFrame:
