@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from ..functions.shipping import ship
 
 #: Effect class of each tool kind; anything else counts as the last. Fixed values.
 KIND_EFFECTS = {
@@ -15,6 +21,8 @@ KIND_EFFECTS = {
 }
 UNKNOWN_EFFECT = "execute_code"
 MIN_SECRET = 8
+#: Bytes of secrets, with their names, that may be sent to every task.
+MAX_SECRETS = 64 << 20
 
 
 def redact(text: Column, secrets: dict[str, str]) -> tuple[Column, Column]:
@@ -27,6 +35,56 @@ def redact(text: Column, secrets: dict[str, str]) -> tuple[Column, Column]:
     return out, F.array_sort(F.filter(F.array(*names), lambda x: x.isNotNull())) if names else F.array().cast("array<string>")
 
 
+def _redacted(text: str, automaton, names: list[str]) -> tuple[str, list[str]]:
+    """One text; of overlapping values the longest is taken first, then by name, then from the left."""
+    found = sorted((-size, rank, stop + 1 - size) for stop, (rank, size) in automaton.iter(text))
+    taken, ends = [], []  # disjoint spans in order of the text
+    for minus, rank, start in found:
+        i = bisect.bisect_right(ends, start)
+        if i == len(taken) or taken[i][0] >= start - minus:
+            taken.insert(i, (start, start - minus, rank))
+            ends.insert(i, start - minus)
+    out, at = [], 0
+    for start, stop, rank in taken:
+        out += [text[at:start], f"[REDACTED:{names[rank]}]"]
+        at = stop
+    return "".join([*out, text[at:]]), sorted({names[rank] for _, _, rank in taken})
+
+
+def redact_all(docs: DataFrame, secrets: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the values of a table of secrets (name, value) replaced in one pass; adds `redacted`, the sorted names.
+
+    An automaton of all values goes to the tasks; a table of over MAX_SECRETS bytes raises an error. Values under the least length
+    and null names are left alone; a value under several names goes by the first. What a replacement puts in is not searched
+    again. A null text stays null, without names. If the input has a `redacted` itself, the added column gets an underscore more.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    known = secrets.where(F.col("name").isNotNull() & (F.length("value") >= MIN_SECRET)).groupBy("value").agg(F.min("name").alias("name"))
+    size = known.agg(F.sum(F.octet_length("value") + F.octet_length("name"))).first()[0] or 0
+    if size > MAX_SECRETS:
+        raise ValueError(f"{size} bytes of secrets; at most {MAX_SECRETS} go to the tasks")
+    held = spark.sparkContext.broadcast(sorted((r["name"], r["value"]) for r in known.collect()))
+    added = "redacted"
+    while added in docs.columns:
+        added += "_"
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for rank, (_, value) in enumerate(held.value):
+            automaton.add_word(value, (rank, len(value)))
+        automaton.make_automaton()
+        names = [n for n, _ in held.value]
+        for b in batches:
+            done = [(t, []) if t is None or not names else _redacted(t, automaton, names) for t in b.column(at).to_pylist()]
+            cols = list(b.columns)
+            cols[at] = pa.array([t for t, _ in done], b.column(at).type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.list_(pa.string()))], [*b.schema.names, added])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(added, ArrayType(StringType()))]))
+
+
 def wrap_input(name: str, value: Column) -> Column:
     return F.concat(F.lit(f'<input name="{name}">'), F.replace(value, F.lit("</input"), F.lit("<\\/input")), F.lit("</input>"))
 

@@ -130,6 +130,20 @@ def _m02(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.array_join(names, ",").alias("names"))
 
 
+#: The heads of the benchmark's items are the secrets.
+@query(
+    "m02_redact_table",
+    """with secrets as (select min(item_id::varchar) as name, left(text, 40) as value from benchmark where text is not null and length(text) >= 8 group by 2),
+    listed as (select list(name || chr(1) || value order by length(value) desc, name) as l from secrets),
+    done as (select doc_id, list_reduce(list_prepend(text, l), lambda t, s: replace(t, split_part(s, chr(1), 2), '[REDACTED:' || split_part(s, chr(1), 1) || ']')) as text, l from documents, listed)
+    select doc_id, text, coalesce(list_aggregate(list_sort(list_filter(list_transform(l, lambda s: split_part(s, chr(1), 1)), lambda n: contains(text, '[REDACTED:' || n || ']'))), 'string_agg', ','), '') as names from done""",
+)
+def _m02_table(spark, sf_dir):
+    secrets = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.substring("text", 1, 40).alias("value"))
+    done = textjobs.redact_all(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets)
+    return done.select("doc_id", "text", F.array_join("redacted", ",").alias("names"))
+
+
 @query("m03_render_prompts", "select conv_id, turn, case when system is not null then 'Role: <input name=\"turn.role\">' || role || '</input>. System: <input name=\"run.system\">' || replace(system, '</input', '<\\/input') || '</input>' end as prompt, case when system is null then 'missing field run.system' end as error from conversations left join (select conv_id, max(text) as system from conversations where role = 'system' group by 1) using (conv_id)")
 def _m03(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
