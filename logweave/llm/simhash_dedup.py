@@ -311,16 +311,16 @@ def _wide_stars(fp: np.ndarray, who: np.ndarray, radius: int, budget: int):
 
 
 def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
-    """Over rows (mask, key, f1, f2, who) sorted by mask, key and who: links (a, b), or members (a, null, mask, f1, f2) of buckets that want further masks."""
-    names = ["a", "b", "mask", "f1", "f2"]
+    """Over rows (mask, key, f1, f2, who) sorted by mask, key and who: links (a, b), or members (a, null, mask, key, f1, f2) of buckets over their bounds."""
+    names = ["a", "b", "mask", "key", "f1", "f2"]
 
     def links(a, b):
         z = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(z.astype(np.int32)), pa.array(z), pa.array(z)], names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(z.astype(np.int32)), pa.array(z), pa.array(z), pa.array(z)], names)
 
-    def members(mask, fp, who):
+    def members(mask, key, fp, who):
         f = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(mask), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(mask), pa.array(key), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names)
 
     def run(batches):
         def emit(mask, key, fp, who):
@@ -341,7 +341,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
                 a += x
                 b += y
                 if len(left):
-                    yield members(mask[s + left], fp[s + left], who[s + left])
+                    yield members(mask[s + left], key[s + left], fp[s + left], who[s + left])
             if a and sum(map(len, a)):
                 yield links(np.concatenate(a), np.concatenate(b))
 
@@ -356,7 +356,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
                 same = (mask == flooded[0]) & (key == flooded[1])
                 n = len(same) if same.all() else int(same.argmin())
                 if n:
-                    yield members(mask[:n], fp[:n], who[:n])
+                    yield members(mask[:n], key[:n], fp[:n], who[:n])
                 mask, key, fp, who = mask[n:], key[n:], fp[n:], who[n:]
             if not len(key):
                 continue
@@ -375,7 +375,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
                 a, b, _ = _wide_stars(fp, who, radius, budget)
                 if a:
                     yield links(np.concatenate(a), np.concatenate(b))
-                yield members(mask, fp, who)
+                yield members(mask, key, fp, who)
                 flooded, held = (mask[0], key[0]), []
         if held:
             yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -383,24 +383,39 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
     return run
 
 
+def bucket_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Rows (mask, key, f1, f2, who) of buckets dealt as pairs of blocks of about `block` members, a bucket of its own for each pair: any two members of a bucket meet, and nobody holds more than two blocks."""
+    sizes = members.groupBy("mask", "key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, ["mask", "key"]).withColumn("own", F.pmod(F.xxhash64("who"), F.col("blocks")).cast("int"))
+    # a block meets every other one; its own members meet there too
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
+    pairs = dealt.withColumn("other", F.explode(others))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.select("mask", key.alias("key"), "f1", "f2", "who")
+
+
 def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS, budget: int = COMPARISONS) -> DataFrame:
     """(a, b): links between distinct wide fingerprints (who, f1, f2) at `radius` or fewer differing bits: for each linked pair that shares a bucket, a path of links.
 
     Every pair within 19 bits shares a bucket, most pairs beyond it do too. A bucket with more members or work than its bounds
-    is split by further masks over its free bits.
+    is split by further masks over its free bits; what is over them even then is compared by pairs of blocks.
     """
     ship(prints.sparkSession)
     masks = wide_masks()
     keys = F.array(*[F.col("f1" if m[0] else "f2").bitwiseAND(F.lit(_signed(m[0] or m[1]))) for m in masks])
     rows = prints.select("f1", "f2", "who", F.posexplode(keys).alias("mask", "key")).select("mask", "key", "f1", "f2", "who")
-    schema = "a bigint, b bigint, mask int, f1 bigint, f2 bigint"
-    found = cut(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "who").mapInArrow(_wide_job(radius, held_rows, budget, False), schema))
+    schema = "a bigint, b bigint, mask int, key bigint, f1 bigint, f2 bigint"
+
+    def compared(buckets: DataFrame, last: bool) -> DataFrame:
+        return buckets.repartition("mask", "key").sortWithinPartitions("mask", "key", "who").mapInArrow(_wide_job(radius, held_rows, budget, last), schema)
+
+    found = cut(compared(rows, False))
     deep: dict[int, np.ndarray] = {}
 
     def further(batches):
         for b in batches:
             outer = b.column(2).to_numpy(zero_copy_only=False)
-            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4)], axis=1).view(np.uint64)
+            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)], axis=1).view(np.uint64)
             who = b.column(0).to_numpy(zero_copy_only=False)
             for m in np.unique(outer).tolist():
                 if m not in deep:
@@ -414,9 +429,13 @@ def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS,
                     f = own.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m * 1000 + i, np.int32)), pa.array(key.view(np.int64)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(who[outer == m])], ["mask", "key", "f1", "f2", "who"])
 
-    again = found.where("b is null").mapInArrow(further, "mask int, key bigint, f1 bigint, f2 bigint, who bigint")
-    more = again.repartition("mask", "key").sortWithinPartitions("mask", "key", "who").mapInArrow(_wide_job(radius, held_rows, budget, True), schema)
-    links = found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+    links, hot = found.where("b is not null").select("a", "b"), found.where("b is null")
+    if not hot.isEmpty():
+        again = cut(compared(hot.mapInArrow(further, "mask int, key bigint, f1 bigint, f2 bigint, who bigint"), False))
+        links, dense = links.unionByName(again.where("b is not null").select("a", "b")), again.where("b is null")
+        if not dense.isEmpty():
+            blocks = bucket_blocks(dense.select("mask", "key", "f1", "f2", F.col("a").alias("who")), max(2, held_rows // 4))
+            links = links.unionByName(compared(blocks, True).select("a", "b"))
     # a member meets a few smaller ones in each of its buckets: one link to the least stays, the others are linked to the least
     lists = links.groupBy(F.greatest("a", "b").alias("a")).agg(F.array_sort(F.collect_set(F.least("a", "b"))).alias("less"))
     lists = cut(few(lists, prints.count()))

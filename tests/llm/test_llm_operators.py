@@ -481,6 +481,27 @@ def test_wide_links_join_near_fingerprints(spark, held, budget):
     assert all(wide[a] == wide[b] for a, b in roots.items())
 
 
+def test_fingerprints_that_agree_in_most_bits(spark):
+    """One block of bits alone varies, so both coverings leave one huge bucket: it goes by pairs of blocks, and loses nothing."""
+    from logweave.llm.components import connected_components
+    from logweave.llm.simhash_dedup import bucket_blocks, wide_links
+
+    r = random.Random(3)
+    centers = [sum(1 << p for p in r.sample(range(32), 16)) for _ in range(40)]
+    rows = list(dict.fromkeys(c ^ (1 << r.randrange(32)) for c in centers for _ in range(12)))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(x), 7) for i, x in enumerate(rows)], "who bigint, f1 bigint, f2 bigint")
+    roots = {x["node"]: x["root"] for x in connected_components(wide_links(df, 3, 64, 200)).collect()}
+    want = brute_components(rows, 3)
+    assert len({*zip(want, (roots[i] for i in range(len(rows))))}) == len(set(want)) == len(set(roots.values()))
+    members = df.selectExpr("5 as mask", "cast(1 as bigint) as key", "f1", "f2", "who")
+    found = bucket_blocks(members, 16).groupBy("mask", "key").agg(F.collect_list("who").alias("w")).collect()
+    assert max(len(x["w"]) for x in found) <= 3 * 2 * 16
+    met = {pair for x in found for pair in itertools.combinations(sorted(x["w"]), 2)}
+    assert len(met) == len(rows) * (len(rows) - 1) // 2
+    assert bucket_blocks(members.limit(1), 16).count() == 1
+
+
 def test_one_row_of_a_group_stays(spark, nothing):
     from logweave.llm.simhash_dedup import keep_one
 
