@@ -94,11 +94,16 @@ def merge_pages(held: DataFrame, page_rows: DataFrame) -> DataFrame:
 
 
 def approval_context(approvals: DataFrame, completed: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Of each approval: cost and completed steps before it was requested, and its step's attempts."""
-    done = completed.select("run_id", F.col("seq").alias("_s"), F.col("cost").alias("_c"))
-    key = ["run_id", "approval_id", "step_id", "requested_seq"]
-    before = approvals.select(*key).join(done, "run_id", "left").where("_s is null or _s < requested_seq").groupBy(*key).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("cost_so_far"), F.count("_c").alias("steps_done"))
-    whole = approvals.select(*key, "kind", "approval_status").join(before.drop("step_id", "requested_seq"), ["run_id", "approval_id"], "left")
-    return whole.join(attempts.select("run_id", "step_id", "starts"), ["run_id", "step_id"], "left").select(
-        "run_id", "approval_id", "step_id", "kind", "approval_status", F.coalesce("cost_so_far", F.lit(0)).alias("cost_so_far"), F.coalesce("steps_done", F.lit(0)).alias("steps_done"), F.coalesce("starts", F.lit(0)).alias("starts")
+    """Of each approval: cost and completed steps before it was requested, and its step's attempts.
+
+    Completions and requests of a run pass together, in seq order, under one running sum.
+    """
+    done = completed.select("run_id", "seq", "cost")
+    own = ["approval_id", "step_id", "kind", "approval_status"]
+    asked = approvals.select("run_id", F.col("requested_seq").alias("seq"), *own)
+    before = "over (partition by run_id order by seq range between unbounded preceding and 1 preceding)"
+    marks = done.unionByName(asked, allowMissingColumns=True).select(
+        "run_id", *own, F.expr(f"coalesce(sum(cost) {before}, 0)").alias("cost_so_far"), F.expr(f"count(cost) {before}").alias("steps_done")
     )
+    whole = marks.where("approval_id is not null").join(attempts.select("run_id", "step_id", "starts"), ["run_id", "step_id"], "left")
+    return whole.select("run_id", *own, "cost_so_far", "steps_done", F.coalesce("starts", F.lit(0)).alias("starts"))

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BY_PRINCIPAL = ["approval.granted", "approval.rejected", "run.cancel_requested", "run.pause_requested", "run.resumed", "step.retry_requested"]
-
-
-def salient() -> Column:
-    """The one detail of an event that an operator asks for first; empty for the rest."""
-    t = F.col("event_type")
-    cost = F.when(F.col("cost") != 0, F.concat(F.lit("cost "), F.col("cost").cast("decimal(18,4)").cast("string")))
-    return F.coalesce(
-        F.when(t == "step.started", F.concat(F.lit("attempt "), F.coalesce("attempt", F.lit(1)).cast("string")))
-        .when(t == "step.completed", cost)
-        .when(t == "step.progress", F.concat(F.round(F.col("fraction") * 100).cast("bigint").cast("string"), F.lit("%")))
-        .when(t.isin("step.failed", "step.dead_lettered", "run.failed"), F.col("error"))
-        .when(t == "approval.requested", F.col("effect_class"))
-        .when(t.isin(BY_PRINCIPAL), F.concat(F.lit("by "), F.col("principal_kind")))
-        .when(t == "governance.policy_applied", F.concat(F.lit("policy "), F.substring("policy", 1, 12), F.when(F.col("narrowed") > 0, F.concat(F.lit(", "), F.col("narrowed").cast("string"), F.lit(" narrowing(s)"))).otherwise("")))
-        .when(t == "executor.substituted", F.concat(F.col("from_model"), F.lit(" → "), F.col("model_id"))),
-        F.lit(""),
-    )
+#: What is told of an event, by type. The texts.
+WHO = "'by ' || principal_kind"
+DETAILS = {
+    "step.started": "'attempt ' || coalesce(attempt, 1)",
+    "step.completed": "if(cost <> 0, 'cost ' || cast(cost as decimal(18,4)), null)",
+    "step.progress": "cast(round(fraction * 100) as bigint) || '%'",
+    "step.failed": "error",
+    "step.dead_lettered": "error",
+    "run.failed": "error",
+    "approval.requested": "effect_class",
+    "approval.granted": WHO,
+    "approval.rejected": WHO,
+    "run.cancel_requested": WHO,
+    "run.pause_requested": WHO,
+    "run.resumed": WHO,
+    "step.retry_requested": WHO,
+    "governance.policy_applied": "'policy ' || left(policy, 12) || if(narrowed > 0, ', ' || narrowed || ' narrowing(s)', '')",
+    "executor.substituted": "from_model || ' → ' || model_id",
+}
+SEAL_DETAILS = {"integrity.sealed": "'seals seq ' || sealed_seq || ' (key ' || key_id || ')'"}
+
+
+def salient(details: dict[str, str] = DETAILS) -> Column:
+    """The field of an event that comes first in a listing, as text; empty where its type has none or the field is null.
+
+    details: event type to SQL expression. DETAILS is for a run log, SEAL_DETAILS for a chain with its seal columns; a log that has both takes both.
+    """
+    return F.expr(f"coalesce(case event_type {' '.join(f"when '{kind}' then {text}" for kind, text in details.items())} end, '')")
 
 
 def family() -> Column:

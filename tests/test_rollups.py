@@ -116,3 +116,24 @@ def test_merged_sketches(spark):
     only_null = sketches.daily(rows.where("agent is null").withColumn("seconds", F.lit(None).cast("double")), ["g"], ["agent"], ["seconds"])
     x = sketches.merged(only_null).select(sketches.distinct_count("hll_agent").alias("a"), sketches.quantile("kll_seconds", 0.5).alias("q")).first()
     assert (x["a"], x["q"]) == (0, None)
+
+
+def test_details_of_seals_and_of_nulls(spark):
+    from logweave.operators import timeline
+
+    log = spark.createDataFrame(
+        [("integrity.sealed", 7, "k1", None, 0.0), ("run.failed", None, None, "broke", None), ("run.failed", None, None, None, None), ("other", 1, "k", "e", 0.5), ("step.progress", None, None, None, 0.5)],
+        "event_type string, sealed_seq bigint, key_id string, error string, fraction double",
+    )
+    some = {k: v for k, v in timeline.DETAILS.items() if k in ("run.failed", "step.progress")} | timeline.SEAL_DETAILS
+    assert [r[0] for r in log.select(timeline.salient(some)).collect()] == ["seals seq 7 (key k1)", "broke", "", "", "50%"]
+
+
+def test_approval_context_counts_what_came_before(spark):
+    from logweave.operators import index
+
+    done = spark.createDataFrame([("r", 3, 2.0), ("r", 5, 4.0), ("r", 9, None), ("q", 1, 1.0)], "run_id string, seq bigint, cost double")
+    asked = spark.createDataFrame([("r", "a", "s1", 5, "effect", "pending"), ("r", "b", "s2", 10, "cost", "granted"), ("p", "c", "s1", 1, "effect", "pending")], "run_id string, approval_id string, step_id string, requested_seq bigint, kind string, approval_status string")
+    tries = spark.createDataFrame([("r", "s1", 2)], "run_id string, step_id string, starts bigint")
+    got = {r.approval_id: (float(r.cost_so_far), r.steps_done, r.starts) for r in index.approval_context(asked, done, tries).collect()}
+    assert got == {"a": (2.0, 1, 2), "b": (6.0, 2, 0), "c": (0.0, 0, 0)}
