@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.run_log import with_workflow
 from . import fold, metrics, spans
 
 
-def tables(log: DataFrame) -> dict[str, DataFrame]:
-    """Span and metric tables by name. The log is read for each of them: hand in one that is written or cached."""
-    wide = log.withColumn("workflow", F.expr("max(workflow) over (partition by run_id)"))
+def tables(log: DataFrame, wide: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Span and metric tables by name. The log is read for each of them: hand in one that is written or cached.
+
+    wide: the log with its run's workflow in every row (with_workflow), if that is written already; else each table that wants it shuffles the log.
+    """
+    wide = with_workflow(log) if wide is None else wide
     settled = metrics.first_settles(wide)
     waits = metrics.approval_waits(fold.approvals(log)).withColumnRenamed("approval_status", "decision")
     count = F.count("*").alias("n")
@@ -32,10 +36,12 @@ def tables(log: DataFrame) -> dict[str, DataFrame]:
 
 
 def rebuild(log: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Write every table of tables() as Parquet into a folder of its own below `folder`, and read them back."""
+    """Write every table of tables() as Parquet into a folder of its own below `folder`, and read them back. The log with its workflows is written first: one shuffle of it by run."""
     spark = log.sparkSession
+    wide = with_workflow(log)
+    wide.write.parquet(f"{folder}/events")
     out = {}
-    for name, rows in tables(log).items():
+    for name, rows in tables(log, spark.read.schema(wide.schema).parquet(f"{folder}/events")).items():
         rows.write.parquet(f"{folder}/{name}")
         out[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
     return out
