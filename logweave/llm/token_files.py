@@ -186,14 +186,22 @@ def _sweep_strays(folder: str, names: set[str]) -> None:
             fs.delete_file(f.path)
 
 
+def _refuse_finished(folder: str) -> None:
+    """An index file marks a finished data set: its shards are not to be mixed with others, or swept as strays."""
+    fs, root = _filesystem(folder)
+    if any(re.fullmatch(r"\d{6}-[0-9a-f]{12}\.idx", f.base_name) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))):
+        raise ValueError(f"{folder} holds a finished data set; give a new folder")
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Write `.bin` and `.len` files and return the shard table: shard, name, n_docs, n_ids, base (ids before the shard), width.
 
     Ascending id, then text; null ids first; null text is empty: its end id alone. Repeated rows are written each time. An
-    empty table writes nothing and gives an empty table. Other columns are not read.
+    empty table writes nothing and gives an empty table. Other columns are not read. A folder with a finished data set is an error.
     """
     spark = docs.sparkSession
     ship(spark)
+    _refuse_finished(folder)
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // SHARD_BYTES)
     dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(n, "id").sortWithinPartitions("id", "t")
 

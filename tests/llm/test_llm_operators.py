@@ -796,6 +796,10 @@ def test_token_files_round_trip(spark, docs, nothing, tmp_path):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
+    before = sorted(f.name for f in tmp_path.iterdir())
+    with pytest.raises(ValueError, match="finished data set"):
+        write_token_files(docs, str(tmp_path), path)
+    assert sorted(f.name for f in tmp_path.iterdir()) == before
     remove_files(shards, str(tmp_path))
     assert not list(tmp_path.glob("*.bin"))
     none = write_token_files(nothing, str(tmp_path / "none"), path)
