@@ -3,8 +3,11 @@
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
+from logweave.operators import dag
 from logweave.plans import registry
+from logweave.sources import run_log
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,3 +21,28 @@ def test_order_twin_counts_waves_without_an_offset_frame():
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     bad = c.execute(f"select count(*) from (select workflow from ({sql}) group by workflow having min(place) <> 1 or max(place) <> count(*) or count(distinct place) <> count(*))").fetchone()[0]
     assert bad == 0
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_log_is_dealt_by_run_once(spark):
+    log = run_log.derive(spark, SF)
+    per = log.groupBy("run_id", "step_id").agg(F.max("seq")).withColumn("n", F.expr("count(*) over (partition by run_id)"))
+    assert _exchanges(per) == _exchanges(log)
+
+
+def test_partitions_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(run_log, "LINES", 5_000)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    sizes = [r["count"] for r in run_log.steps(spark, SF).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == -(-lines // 5_000) and max(sizes) < 2 * 5_000 and sum(sizes) == lines
+
+
+def test_many_small_workflows_share_frames(spark):
+    """A frame for each workflow took most of the time."""
+    nodes = spark.range(20_000).selectExpr("concat('w', id div 2) as workflow", "concat('n', id % 2) as node", "if(id % 2 = 1, array('n0'), cast(array() as array<string>)) as depends_on").coalesce(1)
+    rows = dag.rounds(nodes)
+    got = rows.groupBy("node", "wave", "place").count().orderBy("node").collect()
+    assert [tuple(r) for r in got] == [("n0", 0, 1, 10_000), ("n1", 1, 2, 10_000)]
