@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave.operators import dag
 from logweave.plans import registry
 from logweave.sources import run_log
+from logweave.streaming import jobs
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,3 +47,23 @@ def test_many_small_workflows_share_frames(spark):
     rows = dag.rounds(nodes)
     got = rows.groupBy("node", "wave", "place").count().orderBy("node").collect()
     assert [tuple(r) for r in got] == [("n0", 0, 1, 10_000), ("n1", 1, 2, 10_000)]
+
+
+def test_a_step_of_a_stream_is_many_files(spark):
+    """A step was one file, written by one task, even where all rows share the first column's value."""
+    rows = spark.range(9_000).selectExpr("case when id = 8999 then 2 when id = 8998 then 1 else 0 end as place", "id")
+    got = []
+
+    def batch(df, i):
+        got.append(tuple(df.withColumn("f", F.input_file_name()).agg(F.count_distinct("f"), F.count("*"), F.max("place"), F.count_distinct("id")).first()))
+
+    stream = jobs.as_stream(rows, 3, file_rows=1_000)
+    stream.writeStream.trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    assert [g[1:] for g in got if g[1]] == [(8_998, 0, 8_998), (2, 2, 2)] and got[0][0] == 3
+
+
+def test_steps_of_a_stream_keep_the_order_and_nulls(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["b", None, "a", "c", "d", "e", "f"])], "k string, i int")
+    got = []
+    jobs.as_stream(rows, 3).writeStream.trigger(availableNow=True).foreachBatch(lambda df, i: got.append(sorted(r["k"] or "" for r in df.collect()))).start().awaitTermination()
+    assert got == [["", "a", "b"], ["c", "d"], ["e", "f"]]
