@@ -22,13 +22,15 @@ ALG = "hmac-sha256"
 SEAL_AFTER = ["run.completed", "run.failed", "run.cancelled", "run.suspended", "run.paused"]
 SEALED = "integrity.sealed"
 MESSAGE = "seal-v1:{}:{}:{}"
+SEAL_TYPES = {"seq": "bigint", "sealed_seq": "bigint", "sealed_hash": "string", "alg": "string", "key_id": "string", "signature": "string"}
 CHAIN = "run_id string, seq bigint, event_type string, record string, prev_hash string, hash string, sealed_seq bigint, sealed_hash string, alg string, key_id string, signature string"
 
 
-def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str | None = None) -> DataFrame:
+def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str | None = None, dealt: bool = False) -> DataFrame:
     """Chain an unhashed log, with a seal after each due event when a secret is given.
 
     Each hash covers the one before, so a run is stamped in order within one task, row after row; runs are independent.
+    dealt: each run lies in one partition already, as a derived log's do.
     """
     ship(log.sparkSession)
     rows = log.select("run_id", "seq", "event_type", F.to_json(body).alias("body"))
@@ -59,7 +61,8 @@ def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str |
             frame["sealed_seq"] = frame["sealed_seq"].astype("Int64")
             yield frame
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInPandas(run, CHAIN)
+    rows = rows if dealt else rows.repartition("run_id")
+    return rows.sortWithinPartitions("run_id", "seq").mapInPandas(run, CHAIN)
 
 
 def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None = None, block: int | None = None) -> DataFrame:
@@ -99,9 +102,12 @@ def verify(chain: DataFrame, content_ok: Column | None = None, anchors: DataFram
 
 def judge_seals(chain: DataFrame, keyring: DataFrame | None) -> DataFrame:
     """One row per seal: valid, unknown_key, unjudged, or the problem found first. keyring: (key_id, secret)."""
-    seals = chain.where(F.col("event_type") == SEALED).select("run_id", "seq", "sealed_seq", "sealed_hash", "alg", "key_id", "signature")
-    target = chain.select("run_id", F.col("seq").alias("sealed_seq"), F.col("hash").alias("_hash"))
-    rows = seals.join(target, ["run_id", "sealed_seq"], "left")
+    # a seal meets the event it names in a window by run and seq: each event once, each seal once more at that place
+    named = ["seq", "sealed_seq", "sealed_hash", "alg", "key_id", "signature"]
+    own = f"struct(seq as _at, hash as _own, false as _seal, {', '.join(f'cast(null as {t}) as {c}' for c, t in SEAL_TYPES.items())})"
+    seal = f"if(event_type = '{SEALED}', struct(sealed_seq as _at, cast(null as string) as _own, true as _seal, {', '.join(named)}), null)"
+    rows = chain.selectExpr("run_id", f"inline(array_compact(array({own}, {seal})))")
+    rows = rows.withColumn("_hash", F.expr("max(_own) over (partition by run_id, _at)")).where("_seal").drop("_at", "_own", "_seal")
     if keyring is None:
         rows = rows.withColumn("_mac", F.lit(None).cast("string")).withColumn("_known", F.lit(None).cast("boolean"))
     else:

@@ -5,7 +5,8 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from logweave.operators import dag
+from logweave.functions.storage import bucketed
+from logweave.operators import dag, integrity, spans
 from logweave.plans import registry
 from logweave.sources import run_log
 from logweave.streaming import jobs
@@ -67,3 +68,17 @@ def test_steps_of_a_stream_keep_the_order_and_nulls(spark):
     got = []
     jobs.as_stream(rows, 3).writeStream.trigger(availableNow=True).foreachBatch(lambda df, i: got.append(sorted(r["k"] or "" for r in df.collect()))).start().awaitTermination()
     assert got == [["", "a", "b"], ["c", "d"], ["e", "f"]]
+
+
+def test_seals_meet_their_events_without_a_shuffle(spark):
+    rows = [("r", i, "integrity.sealed" if i == 3 else "run.completed", f"h{i}", *((2, "h2", "a", "k", "s") if i == 3 else (None,) * 5)) for i in (1, 2, 3)]
+    kind = "run_id string, seq bigint, event_type string, hash string, sealed_seq bigint, sealed_hash string, alg string, key_id string, signature string"
+    chain = bucketed(spark.createDataFrame(rows, kind), 4)
+    judged = integrity.judge_seals(chain, None)
+    assert _exchanges(judged) == 0
+    assert [tuple(r) for r in judged.collect()] == [("r", 3, 2, "k", "unknown algorithm")]
+
+
+def test_spans_over_buckets_shuffle_nothing(spark, tmp_path):
+    log = bucketed(run_log.derive(spark, "/root/testdata/sf0.001"), 4, path=str(tmp_path / "events"))
+    assert _exchanges(spans.step_spans(log)) == 0
