@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import written
 
 
 def _kind(v: Column) -> Column:
@@ -28,12 +28,12 @@ def levels(rows: DataFrame, keys: list[str], text: str):
 
     Rows whose text is null or no JSON, or a single scalar, have none. Of a repeated key of an object the parser keeps one.
     """
-    level = cut(_roots(rows, keys, text).where("kind in ('object', 'array')"))
+    level = written(_roots(rows, keys, text).where("kind in ('object', 'array')"))
     while not level.isEmpty():
         yield level
         inner = entries(level, keys).where("kind in ('object', 'array')")
         own = F.when(F.col("_name").isNull(), F.from_json("holder", "array<string>")[F.col("_pos")]).otherwise(F.from_json("holder", "map<string,string>")[F.col("_name")])
-        level = cut(inner.select(*keys, "place", "steps", own.alias("text"), "value", "kind"))
+        level = written(inner.select(*keys, "place", "steps", own.alias("text"), "value", "kind"))
 
 
 def _roots(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -94,7 +94,7 @@ def drift(recorded: DataFrame, current: DataFrame, key: str = "key", text: str =
     (booleans count as 1 and 0), all else by kind and value. Only the topmost path of a difference is given. A key without a
     current state differs at `$`. Keys are unique on both sides.
     """
-    a, b = cut(nodes(recorded.select(key, text), [key], text)), cut(nodes(current.select(key, text), [key], text))
+    a, b = written(nodes(recorded.select(key, text), [key], text)), written(nodes(current.select(key, text), [key], text))
     now = b.select(key, "steps", F.col("kind").alias("_kind"), F.col("size").alias("_size"), F.col("number").alias("_number"), F.col("value").alias("now"))
     pair = a.join(now, [key, "steps"], "left")
     same_kind = F.col("kind") == F.col("_kind")
@@ -105,7 +105,7 @@ def drift(recorded: DataFrame, current: DataFrame, key: str = "key", text: str =
         .when(F.col("number").isNotNull() & F.col("_number").isNotNull(), F.when(F.col("number") != F.col("_number"), "differs"))
         .when(~same_kind | (F.col("value") != F.col("now")), "differs")
     )
-    bad = cut(pair.withColumn("rule", rule).where("rule is not null").select(key, "steps", "rule", "value", "now"))
+    bad = written(pair.withColumn("rule", rule).where("rule is not null").select(key, "steps", "rule", "value", "now"))
     # what stands below another difference is part of it
     ups = bad.where(F.size("steps") > 0).select(key, F.col("steps").alias("own"), F.explode(F.transform(F.sequence(F.lit(0), F.size("steps") - 1), lambda n: F.slice("steps", F.lit(1), n))).alias("steps"))
     below = ups.join(bad.select(key, "steps"), [key, "steps"], "left_semi").select(key, F.col("own").alias("steps")).distinct()
