@@ -10,10 +10,14 @@ Inside a bucket a spanning forest of the verified links is emitted, not all pair
 Near copies in the sense of shingle sets (five words, Jaccard similarity 0.8 or more) differ in about ten of 64 bits, too many for
 one covering. keep_one() takes fingerprints of 128 bits in four blocks, each with a covering of radius 4: pairs within 19
 bits surely share a bucket, those beyond it mostly. Candidates at 32 bits or fewer are verified by exact Jaccard similarity.
+The pairs that fingerprints leave out are found by prefixes of the shingle sets, in one order for all: sets of similarity t share
+a shingle among the first n - ceil(t n) + 1 of each. Only pairs that fingerprints have not linked are followed (prefix_links).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .common import as_bytes, bloom, cut, few, masked, ship
 from .components import connected_components
 from .jaccard import block_pairs, shingle_hashes, verified_links
@@ -443,8 +448,59 @@ def wide_links(prints: DataFrame, radius: int = 32, held_rows: int = HELD_ROWS,
     return lists.select("a", F.col("less")[0].alias("b")).unionByName(rest)
 
 
-def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(pid, shingles) of the rows that wanted (pid, n, id, h) names. Texts are not shuffled: a filter of bounded size lets few others pass."""
+#: One text in SAMPLE is counted for its shingles; those of COMMON of them or more come last in the order of prefixes.
+SAMPLE, COMMON = 16, 3
+
+
+def _common_shingles(rows: DataFrame, width: int):
+    """A filter that holds the shingles of many texts, and by chance a few others. Any filter gives right results: it only keeps buckets small."""
+
+    def run(batches):
+        for b in batches:
+            for t in as_bytes(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes((t or b"").lower().split(), width).view(np.int64))], ["s"])
+
+    some = rows.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s bigint")
+    return bloom(cut(some.groupBy("s").count().where(F.col("count") >= COMMON).select("s")), "s")
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones and then by hash: two sets at `threshold` or more share one of them."""
+    ordered = np.concatenate([shingles[~common], shingles[common]])
+    return ordered[: len(ordered) - math.ceil(threshold * len(ordered) - 1e-9) + 1]
+
+
+def prefix_links(rows: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(a, b): the links between texts (pid, root, n, id, h) of different roots, by exact Jaccard similarity; texts are read from rows (n, id, h, text).
+
+    Sets that share a shingle of their prefixes are candidates if their sizes allow it. What their prefixes share bounds what the
+    whole sets share, so few candidates have their sets compared, each pair by itself.
+    """
+    common = _common_shingles(rows, width)
+
+    def heads(sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [prefix(s, common.value.may_hold(s.view(np.int64)), threshold) for s in sets]
+
+    first = _wanted_shingles(rows, texts.drop("root"), width, heads)
+    held = written(first.join(texts.select("pid", "root"), "pid"))
+    of = W.partitionBy("s")
+    met = held.select("pid", "root", "size", F.explode("shingles").alias("s"))
+    met = met.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low < high")
+    met = cut(met.select("s", "pid", "root", "size"))
+    other = met.select("s", *[F.col(c).alias(f"{c}2") for c in ("pid", "root", "size")])
+    fits = (F.col("root") < F.col("root2")) & (F.col("size") >= F.col("size2") * (threshold - 1e-9)) & (F.col("size2") >= F.col("size") * (threshold - 1e-9))
+    pairs = met.join(other, "s").where(fits).select("pid", "pid2").distinct()
+    left, right = (held.select(F.col("pid").alias(f"pid{i}"), F.col("size").alias(f"size{i}"), F.col("shingles").alias(f"shingles{i}")) for i in ("", "2"))
+    both = pairs.join(left, "pid").join(right, "pid2")
+    shared = F.size(F.array_intersect("shingles", "shingles2")) + F.greatest(F.col("size") - F.size("shingles"), F.col("size2") - F.size("shingles2"))
+    pairs = cut(both.where(shared >= (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-6).select("pid", "pid2").withColumn("bucket", F.monotonically_increasing_id()))
+    ends = pairs.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode(F.array("pid", "pid2")).alias("pid"))
+    wanted = texts.drop("root").join(ends.select("pid").distinct(), "pid", "left_semi")
+    return verified_links(ends, _wanted_shingles(rows, wanted, width).select("pid", "shingles"), threshold)
+
+
+def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int, part_of=None) -> DataFrame:
+    """(pid, size, shingles) of the rows that wanted (pid, n, id, h) names, or what part_of makes of their sets. Texts are not shuffled: a filter of bounded size lets few others pass."""
     sieve = bloom(wanted.select("h"), "h")
 
     def run(batches):
@@ -452,22 +508,24 @@ def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int) -> DataFram
             own = np.flatnonzero(sieve.value.may_hold(b.column(2).to_numpy(zero_copy_only=False)))
             part = b.take(pa.array(own))
             sets = [shingle_hashes((t or b"").lower().split(), width) for t in as_bytes(part.column(3))]
+            size = pa.array(list(map(len, sets)), pa.int64())
+            sets = part_of(sets) if part_of else sets
             ends = np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n", "id", "h", "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], size, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n", "id", "h", "size", "shingles"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    some = rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, shingles array<bigint>").withColumnsRenamed({"n": "_n", "id": "_id", "h": "_h"})
+    some = rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, size bigint, shingles array<bigint>").withColumnsRenamed({"n": "_n", "id": "_id", "h": "_h"})
     on = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_id"))
-    return wanted.join(some, on).select("pid", "shingles").dropDuplicates(["pid"])
+    return wanted.join(some, on).select("pid", "size", "shingles").dropDuplicates(["pid"])
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, radius: int = 32, block_words: int = 300_000) -> DataFrame:
     """(n, id, h, best): for every distinct row its identity and that of the row which stays of its group.
 
-    Candidates are texts whose wide fingerprints over `width`-word shingles differ in `radius` bits or fewer, or lead from one
-    to the other; they are linked if the exact Jaccard similarity of their shingle sets is `threshold` or more. A group is a
-    connected component of links; texts of the same words are one text. The row that stays is the first by id, rows without an
+    Texts are linked if the exact Jaccard similarity of their sets of `width`-word shingles is `threshold` or more. Most links are
+    found among candidates whose wide fingerprints differ in `radius` bits or fewer, or lead from one to the other; all others
+    by prefix_links. A group is a connected component of links; texts of the same words are one text. The row that stays is the first by id, rows without an
     id last, then by a hash of the text.
     """
     ship(docs.sparkSession)
@@ -485,11 +543,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # members weigh as their words, so blocks are bounded in memory
     groups = cut(rooted.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum(F.col("n_words") + 16).alias("size")).where("texts > 1").coalesce(8 + size // 250_000))
     members = cut(few(rooted.join(groups, "bucket").select("bucket", "pid", "size", "first"), size))
-    sets = _wanted_shingles(rows, members.select("pid", "first.*"), width)
+    sets = _wanted_shingles(rows, members.select("pid", "first.*"), width).select("pid", "shingles")
     links = verified_links(block_pairs(members.select("bucket", "pid", "size"), block_words), sets, threshold)
     same = connected_components(links).withColumnRenamed("node", "pid")
     labels = rooted.select("pid", "first").join(same, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
     labels = cut(few(labels, size))
+    # what fingerprints have left out joins whole groups
+    more = prefix_links(rows, labels.select("pid", "root", "first.*"), threshold, width)
+    root = {c: labels.select(F.col("pid").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"}
+    joined = connected_components(more.join(root["a"], "a").join(root["b"], "b"), "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    labels = cut(few(labels.join(joined, "root", "left").select("pid", "first", F.coalesce("top", "root").alias("root")), size))
     best = cut(few(labels.groupBy("root").agg(F.min("first").alias("best")), size))
     of = labels.join(best, "root").select("pid", "best")
     named = texts.select("d1", "d2", "pid").join(of, "pid").drop("pid")

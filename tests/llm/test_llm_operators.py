@@ -514,6 +514,44 @@ def test_one_row_of_a_group_stays(spark, nothing):
     assert keep_one(nothing).count() == 0 and keep_one(nothing).columns == nothing.columns
 
 
+def test_near_copies_with_far_fingerprints(spark):
+    """Pairs over the Jaccard threshold whose fingerprints differ in more bits than the radius are one group, too; and all groups are those of brute force."""
+    from logweave.llm.jaccard import shingle_hashes
+    from logweave.llm.simhash_dedup import keep_one, near_copies, wide_fingerprint
+
+    def jaccard(x, y):
+        x, y = (set(shingle_hashes(t.encode().split(), 5).tolist()) for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    def bits(x, y):
+        return sum((p ^ q).bit_count() for p, q in zip(*(wide_fingerprint(shingle_hashes(t.encode().split(), 5)) for t in (x, y)), strict=True))
+
+    r, far = random.Random(8), []
+    while len(far) < 3:
+        x = [f"w{r.randrange(10_000)}" for _ in range(r.randint(8, 24))]
+        n = len(x) - 4
+        y = x + [f"w{r.randrange(10_000)}" for _ in range(n // 4)]
+        x, y = " ".join(x), " ".join(y)
+        if jaccard(x, y) >= 0.8 and bits(x, y) > 32:
+            far.append((x, y))
+    rows = [(2 * i + j, t) for i, pair in enumerate(far) for j, t in enumerate(pair)]
+    assert [x["doc_id"] for x in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()] == [0, 2, 4]
+    line = " ".join(f"line{i}" for i in range(20))
+    for k in range(60):
+        x = [f"v{r.randrange(500)}" for _ in range(r.randint(1, 60))] + line.split() * (k % 2)
+        for _ in range(r.randint(1, 4)):
+            rows.append((len(rows), " ".join(x)))
+            at = r.randrange(len(x))
+            x = x[:at] + x[at + r.randint(0, 2) :] + [f"v{r.randrange(500)}"] * r.randint(0, 2)
+    want = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if jaccard(rows[i][1], rows[j][1]) >= 0.8 and want[i] != want[j]:
+            low, high = sorted((want[i], want[j]))
+            want = [low if w == high else w for w in want]
+    found = near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x["id"]: x["best"]["id"] for x in found.collect()} == dict(enumerate(want))
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 
