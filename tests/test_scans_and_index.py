@@ -111,3 +111,20 @@ def test_index_waits_before_gaps_and_survives_a_lost_writer(spark, tmp_path):
     spark.createDataFrame([(newest["version"], "other", newest["parts"], 5)], "version bigint, writer string, parts array<string>, through bigint").write.mode("append").parquet(str(tmp_path / "index" / "versions"))
     with pytest.raises(RuntimeError, match="two writers"):
         table.version()
+
+
+def test_blocks_meet_no_join_by_event(spark):
+    """The log of state_everywhere_blocks is dealt once, by block: no join by run and seq deals it before."""
+    import re
+
+    from logweave.operators import fold
+
+    kinds = ["run.started", "approval.requested", "run.suspended", "approval.granted", "step.completed", "approval.requested", "run.suspended", "approval.requested", "approval.granted", "approval.granted"]
+    rows = [("a", i, kind, i / 4) for i, kind in enumerate(kinds, 1)]
+    log = spark.createDataFrame(rows, "run_id string, seq bigint, event_type string, cost double").withColumn("cost", F.col("cost").cast("decimal(18,4)"))
+    for block in (1, 2, 3, 100):
+        out = fold.state_everywhere_blocks(log, block=block)
+        assert not re.search(r"Join \[run_id#\d+, seq#\d+", out._jdf.queryExecution().executedPlan().toString())
+        got = [(x["seq"], x["status"], float(x["total_cost"])) for x in out.orderBy("seq").collect()]
+        states = ["running", "running", "suspended", "running", "running", "running", "suspended", "suspended", "suspended", "running"]
+        assert got == [(i, s, 1.25 if i >= 5 else 0.0) for i, s in enumerate(states, 1)]

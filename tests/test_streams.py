@@ -73,6 +73,16 @@ def test_live_state_in_any_order(spark, seed):
     assert len(last) == len(runs)
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_runs_of_a_bucket_share_its_state(spark, tmp_path, buckets):
+    """One call takes all runs of a bucket; states and tombstones are still kept and dropped run by run."""
+    log = spark.createDataFrame(RUNS, EVENTS)
+    got, left = left_over(jobs.live_state(jobs.as_stream(log, 6), "occurred_at", "10 hours", 3600_000, buckets=buckets), tmp_path, ["run", "early"])
+    last = {x["run_id"]: (x["status"], x["last_seq"]) for _, x in sorted(got, key=lambda x: x[0])}
+    assert last == {"a": ("running", 4), "b": ("failed", 2), "c": ("completed", 2), "d": ("running", 1)}
+    assert left == {"run": 2, "early": 0}
+
+
 def test_a_run_that_arrives_backwards(spark, tmp_path):
     n = 300
     rows = [(n - k, "a", k, "run.started" if k == 1 else "run.completed" if k == n else "step.progress", at(0)) for k in range(1, n + 1)]
