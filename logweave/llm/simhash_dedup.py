@@ -267,6 +267,15 @@ def _row_key(id_col: str, text_col: str) -> list:
     return [F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")]
 
 
+#: Columns by which rows of one identity meet, see _keyed.
+ROW_KEY = ["h", "n", "k"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows (n, id, h, ...) with the id as text in k, empty where it is null (n tells): by these, joins, windows and groups deal rows alike, so texts and sets move once."""
+    return rows.withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit("")))
+
+
 def _wide_prints(rows: DataFrame, width: int) -> DataFrame:
     """(n, id, h, d1, d2, f1, f2, n_words) of rows (n, id, h, text): d is a digest of the words, f the fingerprint."""
 
@@ -470,26 +479,32 @@ def prefix(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.nda
     return ordered[: len(ordered) - math.ceil(threshold * len(ordered) - 1e-9) + 1]
 
 
+def prefix_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """(pid, pid2), each pair once: sets of different roots that may reach the threshold, by sizes and by what is left of each from a shared shingle on. met: (s, pid, root, size, left)."""
+    other = met.select("s", *[F.col(c).alias(f"{c}2") for c in ("pid", "root", "size", "left")])
+    fits = (F.col("root") < F.col("root2")) & (F.col("size") >= F.col("size2") * (threshold - 1e-9)) & (F.col("size2") >= F.col("size") * (threshold - 1e-9))
+    enough = F.least("left", "left2") >= (F.col("size") + F.col("size2")) * (threshold / (1 + threshold)) - 1e-6
+    return met.join(other, "s").where(fits & enough).select("pid", "pid2").distinct()
+
+
 def prefix_links(rows: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """(a, b): the links between texts (pid, root, n, id, h) of different roots, by exact Jaccard similarity; texts are read from rows (n, id, h, text).
 
-    Sets that share a shingle of their prefixes are candidates if their sizes allow it. What their prefixes share bounds what the
-    whole sets share, so few candidates have their sets compared, each pair by itself.
+    Sets that share a shingle of their prefixes are candidates if their sizes allow it, and the places of that shingle: where it is
+    the first that they share, only what follows it on either side can be shared besides. What their prefixes share bounds what
+    the whole sets share, so few candidates have their sets compared, each pair by itself.
     """
     common = _common_shingles(rows, width)
 
     def heads(sets: list[np.ndarray]) -> list[np.ndarray]:
         return [prefix(s, common.value.may_hold(s.view(np.int64)), threshold) for s in sets]
 
-    first = _wanted_shingles(rows, texts.drop("root"), width, heads)
-    held = written(first.join(texts.select("pid", "root"), "pid"))
+    held = written(_wanted_shingles(rows, texts, width, heads))
     of = W.partitionBy("s")
-    met = held.select("pid", "root", "size", F.explode("shingles").alias("s"))
+    met = held.select("pid", "root", "size", F.posexplode("shingles").alias("place", "s")).withColumn("left", F.col("size") - F.col("place")).drop("place")
     met = met.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of)}).where("low < high")
-    met = cut(met.select("s", "pid", "root", "size"))
-    other = met.select("s", *[F.col(c).alias(f"{c}2") for c in ("pid", "root", "size")])
-    fits = (F.col("root") < F.col("root2")) & (F.col("size") >= F.col("size2") * (threshold - 1e-9)) & (F.col("size2") >= F.col("size") * (threshold - 1e-9))
-    pairs = met.join(other, "s").where(fits).select("pid", "pid2").distinct()
+    met = cut(met.select("s", "pid", "root", "size", "left"))
+    pairs = prefix_pairs(met, threshold)
     left, right = (held.select(F.col("pid").alias(f"pid{i}"), F.col("size").alias(f"size{i}"), F.col("shingles").alias(f"shingles{i}")) for i in ("", "2"))
     both = pairs.join(left, "pid").join(right, "pid2")
     shared = F.size(F.array_intersect("shingles", "shingles2")) + F.greatest(F.col("size") - F.size("shingles"), F.col("size2") - F.size("shingles2"))
@@ -500,7 +515,7 @@ def prefix_links(rows: DataFrame, texts: DataFrame, threshold: float, width: int
 
 
 def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int, part_of=None) -> DataFrame:
-    """(pid, size, shingles) of the rows that wanted (pid, n, id, h) names, or what part_of makes of their sets. Texts are not shuffled: a filter of bounded size lets few others pass."""
+    """wanted's own columns (pid and others), size and shingles of the rows that wanted (pid, n, id, h) names, or what part_of makes of their sets. Texts are not shuffled: a filter of bounded size lets few others pass."""
     sieve = bloom(wanted.select("h"), "h")
 
     def run(batches):
@@ -515,9 +530,11 @@ def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int, part_of=Non
             yield pa.RecordBatch.from_arrays([*part.columns[:3], size, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n", "id", "h", "size", "shingles"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    some = rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, size bigint, shingles array<bigint>").withColumnsRenamed({"n": "_n", "id": "_id", "h": "_h"})
-    on = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_id"))
-    return wanted.join(some, on).select("pid", "size", "shingles").dropDuplicates(["pid"])
+    some = _keyed(rows.mapInArrow(run, f"n boolean, id {kind}, h bigint, size bigint, shingles array<bigint>")).drop("id")
+    own = _keyed(wanted).drop("id")
+    if part_of:  # repeated rows go where the join deals its rows anyway
+        return own.join(some.dropDuplicates(ROW_KEY), ROW_KEY).drop(*ROW_KEY)
+    return own.join(some, ROW_KEY).drop(*ROW_KEY).dropDuplicates(["pid"])  # the sets meet their groups by pid next
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, radius: int = 32, block_words: int = 300_000) -> DataFrame:
@@ -559,6 +576,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.select("n", "id", "h", "d1", "d2").distinct().join(named, ["d1", "d2"]).select("n", "id", "h", "best")
 
 
+def named_rows(rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose identity is among kept (n, id, h), a repeated row once. The join and the window deal the texts alike, so these move once."""
+    kept = _keyed(kept).select(*[F.col(c).alias(f"_{c}") for c in ROW_KEY])
+    n, _, h = _row_key(id_col, text_col)
+    keyed = rows.select("*", n.alias("_n"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), h.alias("_h"))
+    once = W.partitionBy("_h", "_n", "_k").orderBy("_h")
+    found = keyed.join(kept, ["_h", "_n", "_k"], "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1")
+    return found.drop("_h", "_n", "_k", "_r")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, one of each group of near copies (see near_copies), columns as they are.
 
@@ -569,9 +596,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     id_col, text_col = of[id_col], of[text_col]
     found = near_copies(rows, id_col, text_col, **options)
     kept = found.where((F.col("n") == F.col("best.n")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))).select("n", "id", "h")
-    n, id_, h = (c.alias(f"_{x}") for c, x in zip(_row_key(id_col, text_col), "nih", strict=True))
-    keyed = rows.select("*", n, id_, h)
-    on = (F.col("_h") == F.col("h")) & (F.col("_n") == F.col("n")) & F.col("_i").eqNullSafe(F.col("id"))
-    once = W.partitionBy("_h", "_n", "_i").orderBy("_h")
-    left = keyed.join(kept, on, "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1")
+    left = named_rows(rows, kept, id_col, text_col)
     return left.select(*names).toDF(*docs.columns)

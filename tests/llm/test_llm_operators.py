@@ -1106,3 +1106,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         current = stage(spark, current, str(tmp_path))
         assert current.columns == docs.columns, name
+
+
+def test_common_passage_makes_no_pairs_of_texts_that_cannot_reach_the_threshold(spark):
+    """Sixty sets of 100 shingles, 85 of them the same and last in the order: 85 of 115 is under 0.8, but each prefix of 21 holds a common one."""
+    from logweave.llm.simhash_dedup import prefix_pairs
+
+    met = spark.range(60).selectExpr("1L as s", "id as pid", "id as root", "100L as size", "85L as left")
+    assert prefix_pairs(met, 0.8).count() == 0
+    close = spark.range(60).selectExpr("1L as s", "id as pid", "id as root", "100L as size", "89L as left")  # 89 of 111
+    assert prefix_pairs(close, 0.8).count() == 60 * 59 // 2
+
+
+def test_kept_texts_are_dealt_once(spark):
+    """The join with the kept identities and the window over repeated rows dealt the texts by different keys."""
+    from logweave.llm.simhash_dedup import _row_key, named_rows
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (0, "c"), (None, None)], "id bigint, text string")
+    kept = rows.where("id = 1 or id is null").select(*_row_key("id", "text")).distinct()
+    found = named_rows(rows, kept.hint("merge"), "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    assert sorted(map(str, map(tuple, found.collect()))) == ["(1, 'a')", "(None, 'c')", "(None, None)"]
