@@ -9,6 +9,8 @@ from ..functions import cron
 from ..functions.hashing import hmac_hex
 
 SCHEME = "v1"
+#: Schedules of a task, where each is expanded to its days.
+SCHEDULES = 10_000
 
 
 def parse(schedules: DataFrame) -> DataFrame:
@@ -32,14 +34,18 @@ def slots(parsed: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def next_fire(parsed: DataFrame, after: Column, days: int = 366 * 8 + 2) -> DataFrame:
-    """First slot strictly after an instant; the firing day is found first, then its minutes."""
+    """First slot strictly after an instant. Each firing day gives one time: the first day the earliest still to come, any later one its earliest.
+
+    Schedules are dealt by name, some SCHEDULES to a task, before their days are rows; these pass one hash aggregate and none is held.
+    """
     start = after.cast("date")
-    table = firing_days(parsed, start, F.date_add(start, days))
-    minute = lambda: F.explode(F.flatten(F.transform("hours", lambda h: F.transform("minutes", lambda m: h * 60 + m))))
-    todays = table.where(F.col("day") == start).select("name", minute().alias("t"), "day").select("name", F.expr("cast(day as timestamp_ntz) + make_dt_interval(0, 0, t, 0)").alias("slot")).where(F.col("slot") > after)
-    later = table.where(F.col("day") > start).groupBy("name").agg(F.min_by(F.struct("day", (F.element_at("hours", 1) * 60 + F.element_at("minutes", 1)).alias("t")), "day").alias("d"))
-    later = later.select("name", F.expr("cast(d.day as timestamp_ntz) + make_dt_interval(0, 0, d.t, 0)").alias("slot"))
-    return todays.unionByName(later).groupBy("name").agg(F.min("slot").alias("next_slot"))
+    n = max(-(-parsed.count() // SCHEDULES), parsed.sparkSession.sparkContext.defaultParallelism)
+    times = F.flatten(F.transform("hours", lambda h: F.transform("minutes", lambda m: h * 60 + m)))
+    todays = F.transform(times, lambda t: start.cast("timestamp_ntz") + F.make_dt_interval(mins=t))
+    own = parsed.repartition(n, "name").withColumn("_least", F.array_min(times)).withColumn("_left", F.array_min(F.filter(todays, lambda t: t > after)))
+    table = firing_days(own, start, F.date_add(start, days))
+    slot = F.when(F.col("day") > start, F.col("day").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("_least"))).otherwise(F.col("_left"))
+    return table.groupBy("name").agg(F.min(slot).alias("next_slot")).where("next_slot is not null")
 
 
 def next_fire_zones(parsed: DataFrame, after: Column, days: int = 366 * 8 + 2) -> DataFrame:

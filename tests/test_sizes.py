@@ -82,3 +82,13 @@ def test_seals_meet_their_events_without_a_shuffle(spark):
 def test_spans_over_buckets_shuffle_nothing(spark, tmp_path):
     log = bucketed(run_log.derive(spark, "/root/testdata/sf0.001"), 4, path=str(tmp_path / "events"))
     assert _exchanges(spans.step_spans(log)) == 0
+
+
+def test_next_fire_keeps_no_days(spark):
+    """The days of all schedules were sorted by name in one task: a least struct is no hash aggregate."""
+    from logweave.operators import schedule
+
+    rows = spark.createDataFrame([("a", "5,50 8 * * *"), ("a", "10 9 * * *"), ("b", "0 0 29 2 *"), ("never", "0 0 31 2 *")], "name string, expr string").coalesce(1)
+    found = schedule.next_fire(schedule.parse(rows), F.lit("2024-02-28 08:50:00").cast("timestamp_ntz"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["name"], str(r["next_slot"])) for r in found.collect()) == [("a", "2024-02-28 09:10:00"), ("b", "2024-02-29 00:00:00")]
