@@ -13,9 +13,20 @@ from pyspark.sql import functions as F
 from .shipping import ship
 
 
+#: JSON text with sorted keys, no blanks, ASCII escapes.
+canonical_text = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+
+
 def canonical(record: dict) -> bytes:
     """Sorted keys, no blanks, ASCII escapes."""
-    return json.dumps(record, sort_keys=True, separators=(",", ":")).encode()
+    return canonical_text(record).encode()
+
+
+def packed(digest: Column | str) -> Column:
+    """A digest as bytes, half as long as its lowercase hex digits; any other text keeps its bytes. Equal only where the texts are; null for null."""
+    text = F.col(digest) if isinstance(digest, str) else digest
+    hexed = text.rlike("^(?:[0-9a-f]{2})+$")
+    return F.when(hexed, F.concat(F.lit(b"\x00"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x01"), F.encode(text, "UTF-8")))
 
 
 def _record_hashes(records: pd.Series) -> pd.Series:

@@ -8,12 +8,13 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import canonical, hmac_hex, record_hash
+from ..functions.hashing import canonical_text, hmac_hex, packed, record_hash
 from ..functions.shipping import ship
 from .scan import running
 
@@ -35,34 +36,59 @@ def stamp(log: DataFrame, body: Column, secret: str | None = None, key_id: str |
     ship(log.sparkSession)
     rows = log.select("run_id", "seq", "event_type", F.to_json(body).alias("body"))
 
-    columns = [c.split()[0] for c in CHAIN.split(", ")]
+    names = [c.split()[0] for c in CHAIN.split(", ")]
+    kinds = [pa.int64() if c.split()[1] == "bigint" else pa.string() for c in CHAIN.split(", ")]
 
     def run(batches):
-        now, prev, at = None, None, 0
+        @lru_cache(maxsize=65_536)
+        def around(text, kind):
+            """The canonical record of a body, cut where its event's prev_hash, run_id and seq go. Bodies repeat."""
+            doc = {**json.loads(text), "event_type": kind, "prev_hash": None, "run_id": None, "seq": None}
+            parts, cuts = ["{"], []
+            for i, k in enumerate(sorted(doc)):
+                own = k in ("prev_hash", "run_id", "seq")
+                parts.append(f"{',' if i else ''}{canonical_text(k)}:" + ("" if own else canonical_text(doc[k])))
+                if own:
+                    cuts.append("".join(parts))
+                    parts = []
+            return *cuts, "".join(parts) + "}"
+
+        now, prev, at, run_text = None, None, 0, "null"
         for batch in batches:
-            out = []
-            for run_id, _, kind, text in batch.itertuples(index=False):
+            out = [[] for _ in names]
+            for run_id, kind, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if run_id != now:
-                    now, prev, at = run_id, None, 0
+                    now, prev, at, run_text = run_id, None, 0, canonical_text(run_id)
                 at += 1
-                record = canonical({**json.loads(text), "run_id": run_id, "seq": at, "event_type": kind, "prev_hash": prev})
-                digest = hashlib.sha256(record).hexdigest()
-                out.append((run_id, at, kind, record.decode(), prev, digest, None, None, None, None, None))
+                a, b, c, d = around(text, kind)
+                record = f'{a}"{prev}"{b}{run_text}{c}{at}{d}' if prev else f"{a}null{b}{run_text}{c}{at}{d}"
+                digest = hashlib.sha256(record.encode()).hexdigest()
+                rows = [(run_id, at, kind, record, prev, digest, None, None, None, None, None)]
                 prev = digest
                 if secret is not None and kind in SEAL_AFTER:
                     sealed_seq = at
                     at += 1
                     sign = hmac.new(secret.encode(), MESSAGE.format(run_id, sealed_seq, digest).encode(), hashlib.sha256).hexdigest()
                     doc = {"run_id": run_id, "seq": at, "event_type": SEALED, "prev_hash": prev, "sealed_seq": sealed_seq, "sealed_hash": digest, "alg": ALG, "key_id": key_id, "signature": sign}
-                    record = canonical(doc)
-                    prev = hashlib.sha256(record).hexdigest()
-                    out.append((run_id, at, SEALED, record.decode(), digest, prev, sealed_seq, digest, ALG, key_id, sign))
-            frame = pd.DataFrame(out, columns=columns)
-            frame["sealed_seq"] = frame["sealed_seq"].astype("Int64")
-            yield frame
+                    record = canonical_text(doc)
+                    prev = hashlib.sha256(record.encode()).hexdigest()
+                    rows.append((run_id, at, SEALED, record, digest, prev, sealed_seq, digest, ALG, key_id, sign))
+                for row in rows:
+                    for values, value in zip(out, row):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     rows = rows if dealt else rows.repartition("run_id")
-    return rows.sortWithinPartitions("run_id", "seq").mapInPandas(run, CHAIN)
+    return rows.sortWithinPartitions("run_id", "seq").mapInArrow(run, CHAIN)
+
+
+def seal_plan(log: DataFrame) -> DataFrame:
+    """(run_id, seq, sealed_seq): the places of the seals that stamp() sets; a seal follows each due event, and what comes later moves on by one. No hash is needed for them."""
+    so_far = "over (partition by run_id order by seq rows between unbounded preceding and current row)"
+    due = F.col("event_type").isin(SEAL_AFTER)
+    rows = log.select("run_id", "seq", due.alias("due"))
+    rows = rows.select("run_id", "due", F.expr(f"count(*) {so_far} + count_if(due) {so_far}").alias("seq"))
+    return rows.where("due").select("run_id", "seq", (F.col("seq") - 1).alias("sealed_seq"))
 
 
 def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None = None, block: int | None = None) -> DataFrame:
@@ -91,7 +117,11 @@ def content_matches() -> Column:
 
 def verify(chain: DataFrame, content_ok: Column | None = None, anchors: DataFrame | None = None) -> DataFrame:
     """Per run: first failing seq and reason (null if it verifies), and the hashed events before it."""
-    rows = link_reasons(chain, content_matches() if content_ok is None else content_ok, anchors)
+    # records are judged before rows move, and digests move as bytes
+    judged = (content_matches() if content_ok is None else content_ok).alias("_content_ok")
+    rows = chain.select("run_id", "seq", packed("hash").alias("hash"), packed("prev_hash").alias("prev_hash"), judged)
+    anchors = None if anchors is None else anchors.withColumn("last_hash", packed("last_hash"))
+    rows = link_reasons(rows, F.col("_content_ok"), anchors)
     bad = F.col("reason").isNotNull()
     # whether the run has failed so far: a running maximum over the order in which the links were checked
     rows = rows.withColumn("_bad", F.expr("max(reason is not null) over (partition by run_id order by seq rows between unbounded preceding and current row)"))

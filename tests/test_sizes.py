@@ -92,3 +92,28 @@ def test_next_fire_keeps_no_days(spark):
     found = schedule.next_fire(schedule.parse(rows), F.lit("2024-02-28 08:50:00").cast("timestamp_ntz"))
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["name"], str(r["next_slot"])) for r in found.collect()) == [("a", "2024-02-28 09:10:00"), ("b", "2024-02-29 00:00:00")]
+
+
+def test_seals_are_planned_as_they_are_stamped(spark):
+    log = run_log.derive(spark, "/root/testdata/sf0.001")
+    plan = integrity.seal_plan(log)
+    assert _exchanges(plan) == _exchanges(log)
+    stamped = integrity.stamp(log, F.struct("step_id", "error"), "secret", "k", dealt=True).where("event_type = 'integrity.sealed'").select("run_id", "seq", "sealed_seq")
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, stamped.collect())) and plan.count() > 1_000
+
+
+def test_stamped_records_are_canonical_for_any_body(spark):
+    """Records are put together from cached pieces; they are what the encoder gives for the whole."""
+    import hashlib
+
+    from logweave.functions.hashing import canonical
+
+    rows = [("ré", 1, "x", "a\"\\é\n", 0.5), ("ré", 2, "y", None, 1e-9), ("s", 5, "x", "a", None)]
+    log = spark.createDataFrame(rows, "run_id string, seq bigint, event_type string, zeta string, alpha double")
+    got = integrity.stamp(log, F.struct("zeta", "alpha")).orderBy("run_id", "seq").collect()
+    prev = {}
+    for r, (run_id, _, kind, z, a) in zip(got, rows, strict=True):
+        body = {k: v for k, v in (("zeta", z), ("alpha", a)) if v is not None}
+        want = canonical({**body, "run_id": run_id, "seq": r["seq"], "event_type": kind, "prev_hash": prev.get(run_id)})
+        assert r["record"] == want.decode() and r["hash"] == hashlib.sha256(want).hexdigest() and r["prev_hash"] == prev.get(run_id)
+        prev[run_id] = r["hash"]
