@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,17 +108,24 @@ def export_lines(log: DataFrame, blobs: DataFrame | None = None, states: DataFra
     An event line holds every column of the log that is not null. blobs: (run_id, seq, sha256, data), null data marks a missing
     one; states: (run_id, status, total_cost, error) of the fold; chain: what integrity.chain_state gives.
     """
-    head = log.groupBy("run_id").agg(F.count("*").alias("events"))
-    top = head.select("run_id") if chain is None else head.select("run_id").join(chain.select("run_id", F.struct("verified", "sealed_through", F.col("state").alias("seals"), "error").alias("chain")), "run_id", "left")
+    rows = log.withColumns({"_at": F.expr("row_number() over (partition by run_id order by seq)"), "_n": F.expr("count(*) over (partition by run_id)")})
     own = {"kind": F.lit(EXPORT_KIND), "version": F.lit(EXPORT_VERSION), "run_id": F.col("run_id"), "exported_at": F.lit(exported_at)}
-    header = top.select("run_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("seq"), _json(own if chain is None else own | {"chain": F.col("chain")}).alias("line"))
-    events = log.select("run_id", F.lit(1).alias("section"), "seq", _json({f.name: _exact(f) for f in log.schema}).alias("line"))
-    end = {"kind": F.lit("summary"), "run_id": F.col("run_id"), "events": F.col("events")}
+    if chain is not None:
+        rows = rows.join(chain.select("run_id", F.struct("verified", "sealed_through", F.col("state").alias("seals"), "error").alias("_chain")), "run_id", "left")
+        own |= {"chain": F.col("_chain")}
+    end = {"kind": F.lit("summary"), "run_id": F.col("run_id"), "events": F.col("_n")}
     if states is not None:
-        head = head.join(states, "run_id", "left")
-        end |= {"status": F.col("status"), "cost": F.col("total_cost").cast("string"), "error": F.col("error")}
-    summary = head.select("run_id", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("seq"), _json(end).alias("line"))
-    out = header.unionByName(events).unionByName(summary)
+        rows = rows.join(states.select("run_id", F.col("status").alias("_status"), F.col("total_cost").cast("string").alias("_cost"), F.col("error").alias("_error")), "run_id", "left")
+        end |= {"status": F.col("_status"), "cost": F.col("_cost"), "error": F.col("_error")}
+
+    def item(section: int, seq: Column, line: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), seq.alias("seq"), line.alias("line"))
+
+    # one pass: a run's first event brings its header along, its last one the summary
+    header = F.when(F.col("_at") == 1, item(0, F.lit(0).cast("bigint"), _json(own)))
+    event = item(1, F.col("seq"), _json({f.name: _exact(f) for f in log.schema}))
+    summary = F.when(F.col("_at") == F.col("_n"), item(3, F.lit(0).cast("bigint"), _json(end)))
+    out = rows.select("run_id", F.inline(F.array_compact(F.array(header, event, summary))))
     if blobs is not None:
         line = _json({"kind": F.lit("blob"), "sha256": F.col("sha256"), "bytes_b64": F.base64("data"), "missing": F.when(F.col("data").isNull(), True)})
         out = out.unionByName(blobs.select("run_id", F.lit(2).alias("section"), "seq", line.alias("line")))
@@ -157,15 +165,20 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 def classify(lines: DataFrame) -> DataFrame:
     """Kind of each export line: event if it has an event type, else its own kind."""
-    v = F.try_parse_json("line")
-    rows = lines.withColumn("_event", F.variant_get(v, "$.event_type", "string")).withColumn("_kind", F.variant_get(v, "$.kind", "string"))
-    return rows.withColumn("kind", F.when(F.col("_event").isNotNull(), "event").otherwise(F.col("_kind"))).drop("_event", "_kind")
+    return _read(lines, {}).drop("_event", "_kind")
+
+
+def _read(lines: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Lines with their kind and some fields (column: name, type); each line is parsed once."""
+    wanted = {"_event": ("event_type", "string"), "_kind": ("kind", "string")} | fields
+    rows = lines.withColumn("_v", F.try_parse_json("line"))
+    rows = rows.select(*lines.columns, *[F.variant_get("_v", f"$.{n}", t).alias(c) for c, (n, t) in wanted.items()])
+    return rows.withColumn("kind", F.when(F.col("_event").isNotNull(), "event").otherwise(F.col("_kind")))
 
 
 def export_check(lines: DataFrame) -> DataFrame:
     """Per run: its header names it, event lines are seq 1..n, the summary agrees."""
-    v = F.try_parse_json("line")
-    rows = classify(lines).withColumn("_seq", F.variant_get(v, "$.seq", "bigint")).withColumn("_run", F.variant_get(v, "$.run_id", "string")).withColumn("_n", F.variant_get(v, "$.events", "bigint"))
+    rows = _read(lines, {"_seq": ("seq", "bigint"), "_run": ("run_id", "string"), "_n": ("events", "bigint")})
     event = F.col("kind") == "event"
     out = rows.groupBy("run_id").agg(
         F.count(F.when(event, 1)).alias("events"), F.count_distinct(F.when(event, F.col("_seq"))).alias("distinct_seqs"), F.min(F.when(event, F.col("_seq"))).alias("low"), F.max(F.when(event, F.col("_seq"))).alias("high"),
@@ -205,31 +218,45 @@ def retained(log: DataFrame, purged: DataFrame) -> DataFrame:
     return log.join(purged.select("run_id"), "run_id", "left_anti")
 
 
-def manifest(lines: DataFrame) -> DataFrame:
+def manifest(lines: DataFrame, dealt: bool = False) -> DataFrame:
     """Per archived run: lines, events, bytes with line ends and the digest of its file.
 
-    A run's lines pass in their order, one by one; none is held.
+    A run's lines pass in their order, one batch after the other; none is held. dealt: each run lies in one partition already.
     """
-    columns = ["run_id", "lines", "events", "bytes", "sha256"]
+    names = ["run_id", "lines", "events", "bytes", "sha256"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         now, digest, counts = None, None, [0, 0, 0]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             done = []
-            for run_id, section, line in batch.itertuples(index=False):
+            runs = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, of = runs.indices.to_numpy(zero_copy_only=False), runs.dictionary.to_pylist()
+            is_event = batch.column(1).to_numpy(zero_copy_only=False) == 1
+            text = batch.column(2).cast(pa.large_binary())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = memoryview(text.buffers()[2])
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            for i, j in zip(cuts, cuts[1:]):
+                run_id = of[code[i]]
                 if run_id != now or digest is None:
                     if digest is not None:
                         done.append((now, *counts, digest.hexdigest()))
                     now, digest, counts = run_id, hashlib.sha256(), [0, 0, 0]
-                text = (line + "\n").encode()
-                digest.update(text)
-                counts = [counts[0] + 1, counts[1] + int(section == 1), counts[2] + len(text)]
-            yield pd.DataFrame(done, columns=columns)
+                digest.update(data[ends[i] : ends[j]])
+                counts = [counts[0] + j - i, counts[1] + int(is_event[i:j].sum()), counts[2] + int(ends[j] - ends[i])]
+            yield rows_of(done)
         if digest is not None:
-            yield pd.DataFrame([(now, *counts, digest.hexdigest())], columns=columns)
+            yield rows_of([(now, *counts, digest.hexdigest())])
+
+    def rows_of(done):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names)
 
-    rows = lines.repartition("run_id").sortWithinPartitions("run_id", "section", "seq").select("run_id", "section", "line")
-    return rows.mapInPandas(run, "run_id string, lines bigint, events bigint, bytes bigint, sha256 string")
+    rows = lines if dealt else lines.repartition("run_id")
+    rows = rows.sortWithinPartitions("run_id", "section", "seq").select("run_id", "section", F.concat("line", F.lit("\n")).alias("line"))
+    return rows.mapInArrow(run, "run_id string, lines bigint, events bigint, bytes bigint, sha256 string")
 
 
 def unreferenced(candidates: DataFrame, references: DataFrame) -> DataFrame:

@@ -117,3 +117,12 @@ def test_stamped_records_are_canonical_for_any_body(spark):
         want = canonical({**body, "run_id": run_id, "seq": r["seq"], "event_type": kind, "prev_hash": prev.get(run_id)})
         assert r["record"] == want.decode() and r["hash"] == hashlib.sha256(want).hexdigest() and r["prev_hash"] == prev.get(run_id)
         prev[run_id] = r["hash"]
+
+
+def test_lines_of_a_dealt_log_shuffle_nothing(spark, tmp_path):
+    from logweave.plans import store_queries
+    from logweave.sources import ingest
+
+    log = bucketed(run_log.derive(spark, "/root/testdata/sf0.001"), 4, path=str(tmp_path / "log"))
+    lines = store_queries._lines(log)
+    assert _exchanges(ingest.manifest(lines, dealt=True)) == 0 and _exchanges(ingest.export_check(lines)) == 0
