@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_text, hmac_hex, packed, record_hash
 from ..functions.shipping import ship
-from .scan import running
+from .scan import newest_before
 
 ALG = "hmac-sha256"
 #: Events after which a seal is due. Fixed values.
@@ -100,7 +100,7 @@ def link_reasons(chain: DataFrame, content_ok: Column, anchors: DataFrame | None
         w = "over (partition by run_id order by seq rows between unbounded preceding and 1 preceding)"
         rows = chain.withColumn("_prev", F.expr(f"last(hash, true) {w}"))
     else:
-        rows = running(chain, {"_prev": ("before", F.col("hash"))}, block)
+        rows = newest_before(chain, "_prev", F.col("hash"), block)
     if anchors is not None:
         rows = rows.join(anchors.withColumnRenamed("last_hash", "_anchor"), "run_id", "left").withColumn("_prev", F.coalesce("_prev", "_anchor"))
     reason = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.storage import bucketed
 from logweave.operators import dag, integrity, spans
+from logweave.operators.scan import newest_before
 from logweave.plans import registry
 from logweave.sources import run_log
 from logweave.streaming import jobs
@@ -126,3 +127,14 @@ def test_lines_of_a_dealt_log_shuffle_nothing(spark, tmp_path):
     log = bucketed(run_log.derive(spark, "/root/testdata/sf0.001"), 4, path=str(tmp_path / "log"))
     lines = store_queries._lines(log)
     assert _exchanges(ingest.manifest(lines, dealt=True)) == 0 and _exchanges(ingest.export_check(lines)) == 0
+
+
+def test_links_by_blocks_deal_no_rows_of_a_dealt_log(spark):
+    """Rows met the start of their block in a join, which dealt all of them anew; now only a stored log without buckets is dealt."""
+    plan = registry.queries()["d02_chain_links_blocks"](spark, SF)
+    assert _exchanges(plan) == 0
+    rows = [("a", i, None if i % 5 < 3 or i > 60 else f"h{i}") for i in range(1, 90)] + [("b", i, None) for i in range(1, 9)] + [("c", 5, "x"), ("c", 40, None), ("c", 41, "y")]
+    log = spark.createDataFrame(rows, "run_id string, seq bigint, hash string")
+    plain = log.withColumn("p", F.expr("last(hash, true) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding)"))
+    for block in (1, 3, 100):
+        assert sorted(map(tuple, newest_before(log, "p", F.col("hash"), block).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
