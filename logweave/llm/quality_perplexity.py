@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, few, masked, ship, slabs
+from .common import as_bytes, cut, few, let_go, masked, ship, slabs
 
 ORDER = 4
 SYMBOL_BITS = 16
@@ -121,6 +121,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     ship(docs.sparkSession)
 
     def run(batches):
+        let_go()
         held: dict[str, tuple[list, list]] = {}
 
         def flush(lang):
@@ -274,6 +275,7 @@ def _measure(models):
     """Rows (carried columns, lang, base features, number of n-grams, sum of log-probabilities, null without a model of the language). models: broadcast, or None for features only."""
 
     def run(batches):
+        let_go()
         arrays = models.value if models is not None else {}
         for b in batches:
             texts, langs = as_bytes(b.column(0)), b.column(1).to_pylist()

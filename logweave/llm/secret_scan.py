@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, masked, ship
+from .common import cut, let_go, masked, ship
 
 _GAP = r"(?:\s|\\[nr])"
 #: A private key: its first line, header lines, base64 lines (the last may be short before the END line or with its padding), the END line if there is one.
@@ -85,6 +85,7 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", min_entropy:
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())])
 
     def run(batches):
+        let_go()
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
             for t in b.column(0).to_pylist():
@@ -170,6 +171,7 @@ def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
     kinds = {f.name: f.dataType for f in renamed.schema}
 
     def run(batches):
+        let_go()
         for b in batches:
             text = [_redact(t, s, dict(c or []), mark) for t, s, c in zip(b.column("_text").to_pylist(), b.column("found").to_pylist(), b.column("classes").to_pylist(), strict=True)]
             arrays = []

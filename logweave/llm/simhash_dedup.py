@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.storage import written
-from .common import as_bytes, bloom, cut, few, masked, ship
+from .common import as_bytes, bloom, cut, few, let_go, masked, ship
 from .components import connected_components
 from .jaccard import block_pairs, shingle_hashes, verified_links
 
@@ -280,6 +280,7 @@ def _wide_prints(rows: DataFrame, width: int) -> DataFrame:
     """(n, id, h, d1, d2, f1, f2, n_words) of rows (n, id, h, text): d is a digest of the words, f the fingerprint."""
 
     def run(batches):
+        let_go()
         for b in batches:
             digests, prints, n_words = [], [], np.zeros(b.num_rows, np.int64)
             for i, t in enumerate(as_bytes(b.column(3))):  # one text's words at a time
@@ -359,6 +360,7 @@ def _wide_job(radius: int, held_rows: int, budget: int, last: bool):
             if a and sum(map(len, a)):
                 yield links(np.concatenate(a), np.concatenate(b))
 
+        let_go()
         held: list = []
         flooded = None
         for batch in batches:
@@ -465,6 +467,7 @@ def _common_shingles(rows: DataFrame, width: int):
     """A filter that holds the shingles of many texts, and by chance a few others. Any filter gives right results: it only keeps buckets small."""
 
     def run(batches):
+        let_go()
         for b in batches:
             for t in as_bytes(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes((t or b"").lower().split(), width).view(np.int64))], ["s"])
@@ -519,6 +522,7 @@ def _wanted_shingles(rows: DataFrame, wanted: DataFrame, width: int, part_of=Non
     sieve = bloom(wanted.select("h"), "h")
 
     def run(batches):
+        let_go()
         for b in batches:
             own = np.flatnonzero(sieve.value.may_hold(b.column(2).to_numpy(zero_copy_only=False)))
             part = b.take(pa.array(own))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slabs
+from .common import let_go, ship, slabs, worker_cache
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
@@ -36,7 +36,7 @@ CACHE = 1_500_000
 SLAB = 250_000
 #: Edges that are kept room for, per position.
 EDGES = 5
-_models: dict[tuple, Lattices] = {}
+_models: dict[tuple, Lattices] = worker_cache()
 _ALL = (1 << 64) - 1
 #: A region of log mass below NEAR arrives after time exp(FAR): waiting times from 52-bit numbers are at least exp(-37).
 NEAR, FAR = -60.0, 22.0
@@ -430,6 +430,7 @@ class Lattices:
 
 
 def lattices(path: str, alpha: float) -> Lattices:
+    let_go(_models)
     if (path, alpha) not in _models:
         _models[path, alpha] = Lattices(path, alpha)
     return _models[path, alpha]
