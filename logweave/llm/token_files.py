@@ -16,7 +16,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import let_go, ship, worker_cache
 
 #: Cached chunks per worker before the cache starts anew.
 CACHE = 800_000
 #: Bytes of input for a shard, where that gives more shards than shuffle partitions: bounds what a task holds of its ids.
 SHARD_BYTES = 128 << 20
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = worker_cache()
 
 
 def _filesystem(uri: str):
@@ -54,7 +54,8 @@ class _Chunks(dict):
         own = self.owner
         number = self[word] = own.known
         own.known += 1
-        own.pending.append((self.lead, word))
+        own.leads.append(self.lead)
+        own.words.append(word)
         return number
 
 
@@ -89,44 +90,51 @@ class ChunkEncoder:
 
     def reset(self):
         self.known = 1
-        self.pending: list[tuple[str, str]] = []
+        # chunks noted, and what is known of parts of them as bytes of 32-bit ids: no containers that the garbage collector would walk
+        self.leads: list[str] = []
+        self.words: list[str] = []
         self.first, self.inner = _Chunks(self, ""), _Chunks(self, " ")
         self.ids: list[np.ndarray] = [np.array([self.newline or 0], np.uint32)]
         self.sizes: list[np.ndarray] = [np.ones(1, np.int64)]
-        self.cores: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}
 
-    def _bpe(self, text: str) -> list[int]:
+    def _bpe(self, text: str) -> bytes:
         """Ids of one pre-token of Latin letters or of marks, as visible characters."""
-        got = self.cores.get(text)
-        if got is None:
-            got = self.cores[text] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        got = self.cores[text] = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
         return got
 
     def _learn(self) -> None:
         """Encode the chunks noted, in order of their numbers."""
-        out: list[list[int] | None] = []
+        out: list[bytes] = []
         rest = []
-        for lead, word in self.pending:
+        known, blank, letters = self.cores.get, self.blank, self.letters
+        for lead, word in zip(self.leads, self.words, strict=True):
             core = word.rstrip(".,;:!?") if self.plain else ""
-            if core and core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                ids = self._bpe((self.blank if lead else "") + core.translate(self.letters))
-                out.append(ids + self._bpe(word[len(core) :]) if len(core) < len(word) else ids)
+            if core.isalpha() and ((ascii := core.isascii()) or max(core) < "\u0250"):
+                shown = core if ascii else core.translate(letters)
+                if lead:
+                    shown = blank + shown
+                ids = known(shown) or self._bpe(shown)
+                if len(core) < len(word):
+                    mark = word[len(core) :]
+                    ids += known(mark) or self._bpe(mark)
+                out.append(ids)
             else:
                 rest.append(len(out))
-                out.append(None)
+                out.append(b"")
         for lo in range(0, len(rest), 20_000):
             part = rest[lo : lo + 20_000]
-            ids = self.tokenizer.encode("\n".join([self.pending[i][0] + self.pending[i][1] for i in part]), add_special_tokens=False).ids
+            ids = self.tokenizer.encode("\n".join([self.leads[i] + self.words[i] for i in part]), add_special_tokens=False).ids
             at = 0
             for i in part:
                 stop = ids.index(self.newline, at) if i != part[-1] else len(ids)
-                out[i] = ids[at:stop]
+                out[i] = array("I", ids[at:stop]).tobytes()
                 at = stop + 1
             if at != len(ids) + 1:
                 raise ValueError("chunks do not part at newlines")
-        self.sizes.append(np.fromiter(map(len, out), np.int64, len(out)))
-        self.ids.append(np.fromiter(chain.from_iterable(out), np.uint32))
-        self.pending = []
+        self.sizes.append(np.fromiter(map(len, out), np.int64, len(out)) // 4)
+        self.ids.append(np.frombuffer(b"".join(out), np.uint32))
+        self.leads, self.words = [], []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids back to back, `end_id` after each text, and the number of ids of each text."""
@@ -149,7 +157,7 @@ class ChunkEncoder:
                 at.append(0)
             at.pop()
             numbers.append(np.array(at, np.int64))
-        if self.pending:
+        if self.words:
             self._learn()
         flat, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
         self.ids, self.sizes = [flat], [sizes]
@@ -167,6 +175,7 @@ class ChunkEncoder:
 
 
 def _encoder(path: str) -> ChunkEncoder:
+    let_go(_encoders)
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
