@@ -29,6 +29,13 @@ def packed(digest: Column | str) -> Column:
     return F.when(hexed, F.concat(F.lit(b"\x00"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x01"), F.encode(text, "UTF-8")))
 
 
+def unpacked(digest: Column | str) -> Column:
+    """The text that packed() made bytes of."""
+    data = F.col(digest) if isinstance(digest, str) else digest
+    rest = F.substring(data, F.lit(2), F.length(data))
+    return F.when(F.substring(data, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def _record_hashes(records: pd.Series) -> pd.Series:
     def one(text):
         try:

@@ -87,6 +87,27 @@ def test_drift_equals_recursion(spark):
     assert json_walk.drift(old.limit(0), new).count() == 0
 
 
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_walk_stores_no_levels(spark, tmp_path):
+    """Records are walked where they lie: nothing is written, references move once and drift not at all; escaped names and digests of any form are found."""
+    record = json.dumps({"effects": [{"proof": {"sha256": "AB", "size": 0}}, {"sha256": "0aff", "size": None}, {"sha256": "", "size": 1}]}).replace("sha256", "\\u0073ha256", 1)
+    rows = spark.createDataFrame([("r\u00e9", 2, record), ("r\u00e9", 1, '{"pricing_snapshot_hash":"0aff"} end')], "run_id string, seq bigint, record string").repartition(3, "run_id")
+    found = json_walk.references(rows)
+    assert _plan(found).count("Exchange") == 2  # the rows' own, and one by run
+    assert sorted((x["place"], x["sha256"], x["run_id"]) for x in found.collect()) == [(1, "0aff", "r\u00e9"), (2, "AB", "r\u00e9"), (3, "", "r\u00e9")]
+    pairs = spark.createDataFrame([("a", '{"n":1e3,"m":1.50,"x":{"b":1,"a":[2]}}', '{"n":1001,"m":2,"x":[]}'), ("b", "[1]", None), ("c", None, "[1]"), ("d", "{", "{}")], "key string, recorded string, current string")
+    drift = json_walk.drift_of(pairs)
+    assert "Exchange" not in _plan(drift)
+    assert sorted(map(tuple, drift.collect())) == [("a", "$.m", "differs", "1.5", "2"), ("a", "$.n", "differs", "1000.0", "1001"), ("a", "$.x", "differs", '{"a":[2],"b":1}', "[]"), ("b", "$", "vanished", "[1]", None)]
+
+
 # ------------------------------------------------------------------ schemas
 
 SCHEMA = {
