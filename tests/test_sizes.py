@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from logweave.functions.storage import bucketed
-from logweave.operators import dag, integrity, spans
+from logweave.operators import dag, fold, integrity, spans
 from logweave.operators.scan import newest_before
 from logweave.plans import registry
 from logweave.sources import run_log
@@ -138,3 +138,26 @@ def test_links_by_blocks_deal_no_rows_of_a_dealt_log(spark):
     plain = log.withColumn("p", F.expr("last(hash, true) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding)"))
     for block in (1, 3, 100):
         assert sorted(map(tuple, newest_before(log, "p", F.col("hash"), block).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def _line_scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+
+
+def test_states_at_points_derive_the_log_once(spark):
+    """The log was derived anew for each part of a state; several points of a run were mixed up."""
+    assert _line_scans(registry.queries()["b21_time_travel"](spark, SF)) == 1
+    events = ["run.started", "approval.requested", "run.suspended", "approval.granted", "step.completed", "run.completed"]
+    log = spark.createDataFrame([("a", i, e, 2) for i, e in enumerate(events, 1)] + [("b", 1, "step.started", 5)], "run_id string, seq bigint, event_type string, cost int")
+    log = log.withColumns({"cost": F.col("cost").cast("decimal(18,4)"), "occurred_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+    points = spark.createDataFrame([*(("a", k) for k in range(8)), ("b", 1), ("b", 2), ("c", 1), ("a", None)], "run_id string, k bigint")
+    got = {(x["run_id"], x["k"]): (x["in_range"], x["status"], None if x["total_cost"] is None else int(x["total_cost"])) for x in fold.state_at(log, points).collect()}
+    want = {("a", k): (True, s, c) for k, s, c in [(1, "running", 0), (2, "running", 0), (3, "suspended", 0), (4, "running", 0), (5, "running", 2), (6, "completed", 2)]}
+    none = (False, None, None)
+    assert got == want | {("b", 1): (True, "pending", 0), ("b", 2): none, ("c", 1): none, ("a", 0): none, ("a", 7): none, ("a", None): none}
+
+
+def test_inbox_reads_written_prefixes(spark):
+    """Each of the inbox's eight parts derived the log."""
+    plan = registry.queries()["c08_inbox"](spark, SF)
+    assert _line_scans(plan) == 0 and _exchanges(plan) == 0
