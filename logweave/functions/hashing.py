@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,20 +37,47 @@ def unpacked(digest: Column | str) -> Column:
     return F.when(F.substring(data, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
-def _record_hashes(records: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            doc = json.loads(text)
-            doc.pop("hash", None)
-        except (TypeError, ValueError, AttributeError):
-            return None
-        return hashlib.sha256(canonical(doc)).hexdigest()
+#: Values that differ from record to record and are their own canonical text: plain strings and whole numbers under known names.
+_VARYING = re.compile(r'''"(prev_hash|run_id|seq|sealed_hash|sealed_seq|signature)":(?:"[0-9A-Za-z_.:-]*"|0(?=[,}])|[1-9][0-9]{0,17}(?=[,}]))''')
+#: Shapes of records (what stands around such values, and their names) that were seen, and whether such records are canonical.
+_shapes: dict[tuple[str, ...], bool] = {}
+
+
+def _slow_record_digest(text: str | None) -> str | None:
+    try:
+        doc = json.loads(text)
+        doc.pop("hash", None)
+    except (TypeError, ValueError, AttributeError):
+        return None
+    return hashlib.sha256(canonical(doc)).hexdigest()
+
 
-    return records.map(one)
+def record_digest(text: str | None) -> str | None:
+    """SHA-256 of a record's canonical JSON without its own hash; null for null or unreadable text.
+
+    Whether a record is its own canonical text does not depend on its varying values, only on its shape; shapes repeat and are
+    remembered, so that most records need no parser.
+    """
+    if text is None:
+        return None
+    shape = tuple(_VARYING.split(text))
+    canonical_so = _shapes.get(shape)
+    if canonical_so:
+        return hashlib.sha256(text.encode()).hexdigest()
+    digest = _slow_record_digest(text)
+    if canonical_so is None:
+        if len(_shapes) >= 65_536:
+            _shapes.clear()
+        _shapes[shape] = digest is not None and digest == hashlib.sha256(text.encode()).hexdigest()
+    return digest
+
+
+def _record_hashes(records: pd.Series) -> pd.Series:
+    return records.map(record_digest)
 
 
 def _macs(secrets: pd.Series, messages: pd.Series) -> pd.Series:
-    return pd.Series([None if k is None or m is None else hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in zip(secrets, messages, strict=True)], dtype=object)
+    return pd.Series([None if k is None or m is None else hmac.digest(k.encode(), m.encode(), "sha256").hex() for k, m in zip(secrets, messages, strict=True)], dtype=object)
 
 
 def record_hash(record: Column | str) -> Column:
