@@ -125,7 +125,8 @@ def export_lines(log: DataFrame, blobs: DataFrame | None = None, states: DataFra
     header = F.when(F.col("_at") == 1, item(0, F.lit(0).cast("bigint"), _json(own)))
     event = item(1, F.col("seq"), _json({f.name: _exact(f) for f in log.schema}))
     summary = F.when(F.col("_at") == F.col("_n"), item(3, F.lit(0).cast("bigint"), _json(end)))
-    out = rows.select("run_id", F.inline(F.array_compact(F.array(header, event, summary))))
+    # what an event does not bring comes out null: an array without its nulls would be made twice, for a filter on its size
+    out = rows.select("run_id", F.inline(F.array(header, event, summary))).where("section is not null")
     if blobs is not None:
         line = _json({"kind": F.lit("blob"), "sha256": F.col("sha256"), "bytes_b64": F.base64("data"), "missing": F.when(F.col("data").isNull(), True)})
         out = out.unionByName(blobs.select("run_id", F.lit(2).alias("section"), "seq", line.alias("line")))
@@ -169,10 +170,10 @@ def classify(lines: DataFrame) -> DataFrame:
 
 
 def _read(lines: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """Lines with their kind and some fields (column: name, type); each line is parsed once."""
+    """Lines with their kind and some fields (column: name, type); each line is parsed once, without building its values. A field that is not of its type is null; of a repeated one the last counts."""
     wanted = {"_event": ("event_type", "string"), "_kind": ("kind", "string")} | fields
-    rows = lines.withColumn("_v", F.try_parse_json("line"))
-    rows = rows.select(*lines.columns, *[F.variant_get("_v", f"$.{n}", t).alias(c) for c, (n, t) in wanted.items()])
+    rows = lines.select("*", F.json_tuple("line", *[n for n, _ in wanted.values()]).alias(*wanted))
+    rows = rows.select(*lines.columns, *[F.col(c).try_cast(t).alias(c) for c, (_, t) in wanted.items()])
     return rows.withColumn("kind", F.when(F.col("_event").isNotNull(), "event").otherwise(F.col("_kind")))
 
 
@@ -180,12 +181,16 @@ def export_check(lines: DataFrame) -> DataFrame:
     """Per run: its header names it, event lines are seq 1..n, the summary agrees."""
     rows = _read(lines, {"_seq": ("seq", "bigint"), "_run": ("run_id", "string"), "_n": ("events", "bigint")})
     event = F.col("kind") == "event"
+    # the greatest id that a header names must be the run's; as counts, since a greatest text is no hash aggregate
+    header = F.col("kind") == EXPORT_KIND
     out = rows.groupBy("run_id").agg(
         F.count(F.when(event, 1)).alias("events"), F.count_distinct(F.when(event, F.col("_seq"))).alias("distinct_seqs"), F.min(F.when(event, F.col("_seq"))).alias("low"), F.max(F.when(event, F.col("_seq"))).alias("high"),
-        F.max(F.when(F.col("kind") == EXPORT_KIND, F.col("_run"))).alias("named"), F.max(F.when(F.col("kind") == "summary", F.col("_n"))).alias("said"),
+        F.count(F.when(header & (F.col("_run") == F.col("run_id")), 1)).alias("named"), F.count(F.when(header & (F.col("_run") > F.col("run_id")), 1)).alias("beyond"),
+        F.count(F.when(header & F.col("_run").isNotNull(), 1)).alias("headers"), F.max(F.when(F.col("kind") == "summary", F.col("_n"))).alias("said"),
     )
+    nameless = F.col("run_id").isNull() & (F.col("headers") == 0)
     problem = (
-        F.when(~F.col("named").eqNullSafe(F.col("run_id")), "header")
+        F.when(~(((F.col("named") > 0) & (F.col("beyond") == 0)) | nameless), "header")
         .when((F.col("events") > 0) & ((F.col("low") != 1) | (F.col("high") != F.col("events")) | (F.col("distinct_seqs") != F.col("events"))), "event lines")
         .when(~F.col("said").eqNullSafe(F.col("events")), "summary")
     )

@@ -219,3 +219,23 @@ def test_record_digests_by_shape():
     for text in texts:
         assert record_digest(text) == _slow_record_digest(text), text
     assert record_digest(plain) is not None and record_digest(plain) != record_digest(plain.replace(":12", ":13"))
+
+
+def test_export_check_sorts_nothing_and_stands_odd_lines(spark, tmp_path):
+    """A greatest text made the check sort all lines; a seq that is no number ended the job."""
+    from logweave.sources import ingest
+
+    event = lambda n: f'{{"event_type":"e","seq":{n}}}'
+    head, end = '{"kind":"run-export","run_id":"%s"}', '{"events":%d,"kind":"summary"}'
+    runs = {
+        "good": [head % "good", event(1), event(2), end % 2], "twice": [head % "twice", event(1), event(1), end % 2], "text": [head % "text", event('"x"'), end % 1], "gap": [head % "gap", event(1), event(3), end % 2],
+        "less": [head % "less", event(1), end % 2], "cut": [head % "cut", event(1), event(2)[:-1], end % 2], "none": [head % "none", end % 0], "other": [head % "othes", event(1), end % 1], "headless": [event(1), end % 1],
+        "two": [head % "two", head % "twp", event(1), end % 1], "older": [head % "older", head % "a", event(1), end % 1], "array": [head % "array", "[1]", "null", "no json", end % 0],
+    }
+    lines = spark.createDataFrame([(r, x) for r, xs in runs.items() for x in xs], "run_id string, line string")
+    found = ingest.export_check(lines)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["run_id"]: (x["events"], x["problem"]) for x in found.collect()} == {
+        "good": (2, None), "twice": (2, "event lines"), "text": (1, "event lines"), "gap": (2, "event lines"), "less": (1, "summary"), "cut": (1, "summary"), "none": (0, None), "other": (1, "header"),
+        "headless": (1, "header"), "two": (1, "header"), "older": (1, None), "array": (0, None),
+    }
