@@ -239,3 +239,23 @@ def test_export_check_sorts_nothing_and_stands_odd_lines(spark, tmp_path):
         "good": (2, None), "twice": (2, "event lines"), "text": (1, "event lines"), "gap": (2, "event lines"), "less": (1, "summary"), "cut": (1, "summary"), "none": (0, None), "other": (1, "header"),
         "headless": (1, "header"), "two": (1, "header"), "older": (1, None), "array": (0, None),
     }
+
+
+def test_steps_of_a_stream_are_not_dealt(spark, tmp_path, monkeypatch):
+    """The rows of a step were dealt at random to its files, so that each carried its run's id; a stored table was written again."""
+    spark.range(0, 9_000, 1, 4).selectExpr("id % 3 as place", "id").write.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(jobs, "written", lambda df: 1 / 0)
+    stream, n = jobs.counted_stream(spark.read.parquet(str(tmp_path / "rows")), 3, file_rows=1_000, stored=True)
+    got = []
+
+    def batch(df, i):
+        files = {}
+        for r in df.withColumn("f", F.input_file_name()).collect():
+            files.setdefault(r["f"], []).append(r["id"])
+        got.append(files)
+
+    stream.writeStream.trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    assert n == 9_000 and [len(files) for files in got] == [3, 3, 3]
+    assert [sorted(sum(files.values(), [])) for files in got] == [list(range(k, 9_000, 3)) for k in range(3)]
+    breaks = [sum(b != a + 3 for a, b in zip(ids, ids[1:])) for files in got for ids in files.values()]
+    assert max(breaks) <= 4
